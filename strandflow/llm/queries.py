@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm import bpe, sharding
+from strandflow.llm import bpe, langid, mixing, neardup, quality, sharding
 from strandflow.llm.shared import table
 
 
@@ -15,6 +15,21 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def quality_model(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """Trusted positives: documents labelled 1 outside the held-out fold. Unlabelled: all documents outside it."""
+    seen = docs.select("doc_id", "text").where(~quality.held_out(F.col("doc_id")))
+    trusted = labels.where((F.col("quality") == 1) & ~quality.held_out(F.col("doc_id")))
+    return quality.train(seen, trusted)
+
+
+def op1_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of documents, scored by a model of positives and unlabelled text."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model(spark, docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts encoded and decoded; digests of both."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -23,6 +38,71 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", bpe.ids_digest().alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents in groups of texts whose 2-word shingle sets have a Jaccard similarity of 0.8 or more."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 2 THEN [w[1]]
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
+classes AS (SELECT doc_id, len(s) AS n, s, min(doc_id) OVER (PARTITION BY list_sort(s)) AS first_id FROM sets WHERE len(s) > 0),
+heads AS (SELECT doc_id, n, s FROM classes WHERE doc_id = first_id),
+grams AS (SELECT doc_id, n, unnest(s) AS g FROM heads),
+pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs),
+reach AS (SELECT doc_id AS node, doc_id AS seen FROM heads UNION SELECT r.node, e.y FROM reach r JOIN edges e ON e.x = r.seen),
+roots AS (SELECT node, min(seen) AS root FROM reach GROUP BY node)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(r.root, s.doc_id) AS component_id, s.doc_id = coalesce(r.root, s.doc_id) AS kept
+FROM sets s LEFT JOIN classes c ON c.doc_id = s.doc_id LEFT JOIN roots r ON r.node = c.first_id
+"""
+
+
+def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents repeated so that every source has an equal share of the characters, shuffled; the digest of each copy."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("size"))
+    mix = mixing.mixed(docs, "doc_id", source="source", size=F.col("size"))
+    return mix.select("doc_id", "source", "copy_no", F.floor(F.col("shuffle_key") * (1 << 40)).cast("bigint").alias("shuffle_place"))
+
+
+OP4_SQL = """
+WITH RECURSIVE sized AS (SELECT doc_id, source, length(coalesce(text, '')) AS size FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS DOUBLE) AS size FROM sized GROUP BY source),
+rates AS (SELECT source, CASE WHEN size > 0 THEN 1.0::DOUBLE / (SELECT count(*) FROM sources) * (SELECT sum(size) FROM sources) / size ELSE 0.0 END AS rate FROM sources),
+parts AS (
+  SELECT d.doc_id, d.source, r.rate, greatest(CAST(ceil(r.rate / 32.0::DOUBLE) AS INT), 1) AS parts
+  FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+draws AS (
+  SELECT doc_id, source, i, rate / parts AS mean,
+    (CAST(('0x' || substr(md5('17:' || i || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM (SELECT *, unnest(range(1, parts + 1)) AS i FROM parts)),
+steps AS (
+  SELECT doc_id, source, i, mean, u, 0 AS k, exp(-mean) AS p, exp(-mean) AS cdf FROM draws
+  UNION ALL
+  SELECT doc_id, source, i, mean, u, k + 1, p * mean / (k + 1)::DOUBLE, cdf + p * mean / (k + 1)::DOUBLE FROM steps
+  WHERE cdf < u AND k < ceil(mean + sqrt(mean) * 14.0 + 40.0)),
+counts AS (SELECT doc_id, source, CAST(sum(k) AS BIGINT) AS n FROM (SELECT doc_id, source, i, max(k) AS k FROM steps GROUP BY doc_id, source, i) GROUP BY doc_id, source),
+copies AS (SELECT doc_id, source, unnest(range(0, n)) AS copy_no FROM counts)
+SELECT doc_id, source, CAST(copy_no AS INT) AS copy_no,
+  CAST(floor((CAST(('0x' || substr(md5('17:order:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy_no), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE * 1099511627776) AS BIGINT) AS shuffle_place
+FROM copies
+"""
+
+
+def op5_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every page from its visible text, its declared language, its address suffix and its host."""
+    langs, model = langid.train(table(spark, sf_dir, "documents"), "text", "lang", "doc_id")
+    pages = langid.page_evidence(table(spark, sf_dir, "pages"))
+    found = langid.identify(pages, langs, model, "text", F.col("host"), F.col("domain"), F.col("declared"), F.col("suffix"))
+    return found.select("page_id", "lang_found", F.round("lang_posterior", 6).alias("lang_posterior"), "lang_rejected")
+
+
 def op8_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents in shards 0 to 7 by jump consistent hashing of doc_id; texts are measured before any row moves."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -31,8 +111,9 @@ def op8_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_bpe_round_trip, op8_jump_hash_shards)}
+    found = (op1_pu_quality, op2_bpe_round_trip, op3_minhash_near_duplicates, op4_poisson_mix, op5_language_evidence, op8_jump_hash_shards)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_minhash_near_duplicates": OP3_SQL, "op4_poisson_mix": OP4_SQL}

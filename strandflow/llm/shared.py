@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker holds at once, besides a single longer text.
 SLICE_BYTES = 4 << 20
@@ -35,6 +36,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hashed_uniform(*parts: Column) -> Column:
+    """A double in (0, 1) from 52 bits of the md5 of the parts joined by colons; nulls count as the word null."""
+    text = F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit("null")) for p in parts])
+    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint")
+    return (bits.cast("double") + 0.5) / float(1 << 52)
+
+
 def drop_columns(df: DataFrame, *names: str) -> DataFrame:
     """df without columns that equal one of the names under Spark's case-insensitive rule."""
     gone = {n.lower() for n in names}
