@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from strandflow.llm.shared import drop_columns, hashed_uniform, slices
 TRAINING_ROWS = 6000
 #: Byte-pair buckets, besides the named shape features.
 PAIRS = 256
-SHAPE = 26
+SHAPE = 27
 
 #: Byte classes: 0 other, 1 lower case, 2 upper case, 3 digit, 4 white space but newline, 5 newline, 6 sentence marks, 7 other ASCII marks, 8 beyond ASCII
 CLASS = np.zeros(256, np.uint8)
@@ -57,6 +58,7 @@ def text_features(text: str | None) -> np.ndarray:
         out[13] = unique / len(words) ** 0.9
         out[14] = (sizes == 1).mean()
         out[15] = (sizes > 15).mean()
+        out[26] = sum(map(eq, words, words[1:])) / len(words)
     if lines:
         out[16] = 1 - len(set(lines)) / len(lines)
         out[17] = np.log1p(n / len(lines)) / 10
@@ -78,10 +80,6 @@ class Model:
     scale: np.ndarray
     prior: float
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        z = ((x - self.mean) / self.scale) @ self.weights[:-1] + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
 
 def minimise(pos: np.ndarray, unl: np.ndarray, prior: float, rounds: int = 400, rate: float = 0.03, decay: float = 1e-3) -> np.ndarray:
     """Weights of least non-negative risk with the sigmoid loss, by full-batch Adam; while the negative part is below 0 its gradient is reversed, as published."""
@@ -131,6 +129,8 @@ def fit(pos: np.ndarray, unl: np.ndarray) -> Model:
     both = np.r_[pos, unl].astype(np.float64)
     mean, scale = both.mean(axis=0), both.std(axis=0)
     scale = np.where(scale > 1e-6, scale, 1.0)
+    # few rows can't tell the byte pairs' chance differences from real ones: they weigh less there
+    scale[SHAPE:] /= min(1.0, len(pos) / TRAINING_ROWS)
     pos, unl = (np.clip((x - mean) / scale, -8, 8) for x in (pos, unl))
     if len(pos) < 4 or len(unl) < 4:
         prior = 0.5
