@@ -14,11 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: States: nothing yet, after system, after user, after assistant.
 START, SYSTEM, USER, ASSISTANT = range(4)
+#: Cost of what can't be reached.
+FAR = 1 << 40
 ROLES = ("", "system", "user", "assistant")
 #: Legal next states of each.
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
@@ -72,24 +76,32 @@ class Repairer:
                     own[a, b] = (cost, path, merged)
             self.best[role] = own
         self.finish = {s: min((cost, path) for (a, b), (cost, path) in inserted_paths(costs).items() if a == s and b == ASSISTANT) for s in range(1, 4)}
-        self.matrix = {role: np.array([[own.get((a, b), (1 << 40,))[0] for b in range(4)] for a in range(4)]) for role, own in self.best.items()}
+        self.matrix = {role: np.array([[own.get((a, b), (FAR,))[0] for b in range(4)] for a in range(4)]) for role, own in self.best.items()}
 
     def product(self, roles: list[str]) -> np.ndarray:
         """The (min, +) product of the messages' matrices."""
-        total = np.where(np.eye(4, dtype=bool), 0, 1 << 40)
+        total = np.where(np.eye(4, dtype=bool), 0, FAR)
         for r in roles:
-            total = np.minimum((total[:, :, None] + self.matrix[r][None]).min(axis=1), 1 << 40)
+            total = np.minimum((total[:, :, None] + self.matrix[r][None]).min(axis=1), FAR)
         return total
 
-    def path(self, roles: list[str], start: int, end: int) -> list[int]:
-        """States after each message on a least-cost path from start to end; ties go to the lesser state before."""
-        n = len(roles)
-        reach = np.full((n + 1, 4), 1 << 40)
+    def reached(self, roles: list[str], start: int) -> np.ndarray:
+        """Least costs of the states after each message, before the first in row 0."""
+        reach = np.full((len(roles) + 1, 4), FAR)
         reach[0, start] = 0
         for i, r in enumerate(roles):
-            reach[i + 1] = np.minimum((reach[i][:, None] + self.matrix[r]).min(axis=0), 1 << 40)
-        states = [end]
-        for i in range(n, 0, -1):
+            reach[i + 1] = np.minimum((reach[i][:, None] + self.matrix[r]).min(axis=0), FAR)
+        return reach
+
+    def end(self, costs: np.ndarray) -> tuple[int, int]:
+        """The last state of least total cost, the lesser one of ties, and that cost."""
+        last = min(range(1, 4), key=lambda s: (costs[s] + self.finish[s][0], s))
+        return last, int(costs[last] + self.finish[last][0])
+
+    def path(self, roles: list[str], start: int, end: int) -> list[int]:
+        """States after each message on a least-cost path from start to end; ties go to the lesser state before."""
+        reach, states = self.reached(roles, start), [end]
+        for i in range(len(roles), 0, -1):
             states.append(int(np.argmin(reach[i - 1] + self.matrix[roles[i - 1]][:, states[-1]])))
         return states[::-1][1:]
 
@@ -121,42 +133,65 @@ def repair_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
         return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[:1], "block": pdf["block"].iloc[:1], "product": [total.ravel().tolist()]})
 
     key = dict(df.dtypes)[conv]
-    # roles and turns alone move for the products; the texts' order matters only among equal turns and roles, whose matrices are equal
-    slim = rows.select("conv_id", "block", "turn", "role", F.lit("").alias("text"))
+    # conversations of one block, nearly all, need no scan over blocks; of the others only roles and turns move for it
+    several = rows.groupBy("conv_id").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high").select(F.col("conv_id").alias("long_id"))
+    slim = rows.select("conv_id", "block", "turn", "role", F.lit("").alias("text")).join(several, F.col("conv_id").eqNullSafe(F.col("long_id")), "left_semi")
     made = slim.groupBy("conv_id", "block").applyInPandas(products, f"conv_id {key}, block bigint, product array<bigint>")
 
     def states(pdf: pd.DataFrame) -> pd.DataFrame:
         """From one small row a block: the states at which the least-cost path enters and leaves each."""
         pdf = pdf.sort_values("block")
         mats = [np.array(p).reshape(4, 4) for p in pdf["product"]]
-        reach = [np.array([0, 1 << 40, 1 << 40, 1 << 40])]
+        reach = [np.array([0, FAR, FAR, FAR])]
         for m in mats:
-            reach.append(np.minimum((reach[-1][:, None] + m).min(axis=0), 1 << 40))
-        last = min(range(1, 4), key=lambda s: (reach[-1][s] + repairer.finish[s][0], s))
-        total = int(reach[-1][last] + repairer.finish[last][0])
+            reach.append(np.minimum((reach[-1][:, None] + m).min(axis=0), FAR))
+        last, total = repairer.end(reach[-1])
         at = [last]
         for i in range(len(mats), 0, -1):
             at.append(int(np.argmin(reach[i - 1] + mats[i - 1][:, at[-1]])))
         at = at[::-1]
-        return pd.DataFrame({"conv_id": pdf["conv_id"], "block": pdf["block"], "enter": at[:-1], "leave": at[1:], "cost": total, "final": [False] * (len(mats) - 1) + [True]})
-
-    ends = made.groupBy("conv_id").applyInPandas(states, f"conv_id {key}, block bigint, enter int, leave int, cost bigint, final boolean")
-    joined = rows.join(ends, rows["conv_id"].eqNullSafe(ends["conv_id"]) & (rows["block"] == ends["block"])).drop(ends["conv_id"]).drop(ends["block"])
-
-    def repaired(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = ordered(pdf)
-        roles = [known_role(r) for r in pdf["role"]]
-        before, out = int(pdf["enter"].iloc[0]), []
-        for r, s in zip(roles, repairer.path(roles, before, int(pdf["leave"].iloc[0])), strict=True):
-            _, path, merged = repairer.best[r][before, s]
-            out.append((ROLES[s], merged, [ROLES[x] for x in path], bool(r) and r != ROLES[s]))
-            before = s
-        after = [[] for _ in out]
-        if pdf["final"].iloc[0]:
-            after[-1] = [ROLES[x] for x in repairer.finish[before][1]]
-        return pd.DataFrame({"conv_id": pdf["conv_id"].to_numpy(), "block": pdf["block"].to_numpy(), "place": np.arange(len(out)), "role": [o[0] for o in out], "merged": [o[1] for o in out], "inserted": [o[2] for o in out], "relabelled": [o[3] for o in out], "inserted_after": after, "text": pdf["text"].to_numpy(), "cost": pdf["cost"].to_numpy()})
-
-    return joined.groupBy("conv_id", "block").applyInPandas(repaired, f"conv_id {key}, block bigint, place bigint, role string, merged boolean, inserted array<string>, relabelled boolean, inserted_after array<string>, text string, cost bigint")
+        return pd.DataFrame({"long_id": pdf["conv_id"], "long_block": pdf["block"], "enter": at[:-1], "leave": at[1:], "cost": total, "final": [False] * (len(mats) - 1) + [True]})
+
+    ends = made.groupBy("conv_id").applyInPandas(states, f"long_id {key}, long_block bigint, enter int, leave int, cost bigint, final boolean")
+    joined = rows.join(ends, F.col("conv_id").eqNullSafe(F.col("long_id")) & (F.col("block") == F.col("long_block")), "left").drop("long_id", "long_block")
+    spread = joined.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "turn", "role", "text")
+
+    def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in runs(batches, ("conv_id", "block")):
+            roles = [known_role(r["role"]) for r in group]
+            before, leave, cost = group[0]["enter"] or START, group[0]["leave"], group[0]["cost"]
+            if leave is None:
+                leave, cost = repairer.end(repairer.reached(roles, before)[-1])
+            out = []
+            for r, s in zip(roles, repairer.path(roles, before, leave), strict=True):
+                _, path, merged = repairer.best[r][before, s]
+                out.append((ROLES[s], merged, [ROLES[x] for x in path], bool(r) and r != ROLES[s]))
+                before = s
+            after = [[] for _ in out]
+            if group[0]["final"] is not False:
+                after[-1] = [ROLES[x] for x in repairer.finish[before][1]]
+            strings = pa.list_(pa.string())
+            columns = {"block": [r["block"] for r in group], "place": list(range(len(out))), "role": [o[0] for o in out], "merged": [o[1] for o in out]}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r["conv_id"] for r in group], kind), *map(pa.array, columns.values()), pa.array([o[2] for o in out], strings), pa.array([o[3] for o in out]), pa.array(after, strings), pa.array([r["text"] for r in group], pa.string()), pa.array([cost] * len(out), pa.int64())],
+                ["conv_id", *columns, "inserted", "relabelled", "inserted_after", "text", "cost"],
+            )
+
+    kind = to_arrow_type(df.schema[conv].dataType)
+    return spread.mapInArrow(repaired, f"conv_id {key}, block bigint, place bigint, role string, merged boolean, inserted array<string>, relabelled boolean, inserted_after array<string>, text string, cost bigint")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[list[dict]]:
+    """Groups of rows of a stream that is sorted by the keys; one group is held at a time."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and any(held[0][k] != row[k] for k in keys):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
 
 def rendered_pieces(turns: DataFrame, opening: str = "<|im_start|>", closing: str = "<|im_end|>") -> DataFrame:

@@ -135,11 +135,11 @@ def identify(
     Repeated rows get equal results; an empty df gives no rows; columns of df with the new names are replaced.
     """
     k = len(langs)
-    df = drop_columns(df, "lang_found", "lang_posterior", "lang_rejected", "_log", "_soft", "_host", "_domain", "_declared", "_suffix", "_text")
-    if not langs:  # nothing to learn from: no language is found
-        return df.withColumns({"lang_found": F.lit(None).cast("string"), "lang_posterior": F.lit(0.0), "lang_rejected": F.lit(True)})
     given = {"_host": host, "_domain": domain, "_declared": declared, "_suffix": suffix}
     rows = df.withColumns({name: (F.lit(None) if c is None else c).cast("string") for name, c in given.items()})
+    rows, df = (drop_columns(x, "lang_found", "lang_posterior", "lang_rejected", "_log", "_soft", *gone) for x, gone in ((rows, ()), (df, given)))
+    if not langs:  # nothing to learn from: no language is found
+        return df.withColumns({"lang_found": F.lit(None).cast("string"), "lang_posterior": F.lit(0.0), "lang_rejected": F.lit(True)})
     # what the priors are summed from: evidence columns alone, not the texts
     rows = text_evidence(rows, text, langs, table, temper, "_log")
     soft = rows.where("_log is not null").select("_host", "_domain", "_declared", "_suffix", softmax(F.col("_log")).alias("_soft"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm import bpe, langid, mixing, neardup, quality, sharding
+from strandflow.llm import audio, bpe, chat, langid, mixing, neardup, quality, sharding, tokencount, vectors
 from strandflow.llm.shared import table
 
 
@@ -110,10 +110,56 @@ def op8_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_key(docs, "doc_id", 8, order_by=("size", "text_crc32")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op6_pruned_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th embedding among all others."""
+    return vectors.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op7_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation repaired and rendered; the digest of the text."""
+    chats = chat.format_chats(table(spark, sf_dir, "conversations"))
+    text = F.col("rendered").cast("binary")
+    return chats.select("conv_id", "n_messages", "n_turns", "n_merged", "n_relabelled", "n_inserted", "cost", F.octet_length(text).cast("bigint").alias("n_bytes"), F.md5(text).alias("rendered_md5"))
+
+
+def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, found again in flat token streams of them."""
+    blocks = tokencount.packed_bytes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return tokencount.document_lengths(blocks, 256, labels="doc_ids").select(F.col("label").alias("doc_id"), "n_tokens")
+
+
+OP9_SQL = "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_tokens FROM documents"
+
+
+def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as a recording of 8-bit samples: what was stored, read back and computed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("raw"))
+    stored = audio.store_samples(docs, "raw").select("doc_id", F.octet_length("raw").cast("bigint").alias("n_bytes"), "media")
+    heard = audio.audio_features(stored)
+    active = F.aggregate("segments", F.lit(0.0), lambda a, s: a + s["end_s"] - s["start_s"])
+    level = F.aggregate("tensors", F.lit(0.0), lambda a, t: a + F.aggregate(t["log_mel"], F.lit(0.0), lambda b, x: b + x.cast("double")))
+    feature = F.format_string("frames=%d tensors=%d segments=%d active_s=%.3f mel=%.2f", "n_frames", F.size("tensors"), F.size("segments"), active, level / (F.col("n_frames") * 24))
+    return heard.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )
+
+
 def queries() -> dict:
-    found = (op1_pu_quality, op2_bpe_round_trip, op3_minhash_near_duplicates, op4_poisson_mix, op5_language_evidence, op8_jump_hash_shards)
+    found = (
+        op1_pu_quality,
+        op2_bpe_round_trip,
+        op3_minhash_near_duplicates,
+        op4_poisson_mix,
+        op5_language_evidence,
+        op6_pruned_graph_neighbours,
+        op7_role_repair,
+        op8_jump_hash_shards,
+        op9_separator_scan,
+        op10_audio_features,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_duplicates": OP3_SQL, "op4_poisson_mix": OP4_SQL}
+    return {"op3_minhash_near_duplicates": OP3_SQL, "op4_poisson_mix": OP4_SQL, "op9_separator_scan": OP9_SQL}

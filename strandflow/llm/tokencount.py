@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandflow.llm.shared import slices
+from strandflow.llm.shared import slices, written
 
 BLOCK_TOKENS = 1 << 18
 #: Blocks of a file that one window of the prefix scan covers; windows are stitched by a second scan.
@@ -74,33 +74,35 @@ def read_token_files(spark: SparkSession, path: str, dtype: str = "<u2", block_t
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, BLOCK_SCHEMA)
 
 
-def separators(blocks: DataFrame, eod: int, dtype: str = "<u2") -> DataFrame:
-    """file, block_no, n_ends, last_end and ends of each block: places in the file of its separators. Null or empty blocks have none."""
+def separators(blocks: DataFrame, eod: int, dtype: str = "<u2", labels: str | None = None) -> DataFrame:
+    """file, block_no, n_ends, last_end, ends and labels of each block: ends are the places in the file of its separators.
+    labels names a column with one bigint a separator, which is carried along, or is None. Null or empty blocks have no separators."""
+    carried = (F.lit(None) if labels is None else F.col(labels)).cast("array<bigint>").alias("labels")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             ends = [np.flatnonzero(np.frombuffer(t.as_buffer(), dtype) == eod) + first if t.is_valid and len(t.as_buffer()) else np.zeros(0, np.int64) for t, first in zip(part.column("tokens"), part.column("first_token").to_pylist(), strict=True)]
             offsets = np.r_[0, np.cumsum([len(e) for e in ends])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *ends])))
-            yield pa.RecordBatch.from_arrays([part.column("file"), part.column("block_no"), pa.array(np.diff(offsets).astype(np.int64)), pa.array([int(e[-1]) if len(e) else None for e in ends], pa.int64()), lists], ["file", "block_no", "n_ends", "last_end", "ends"])
+            yield pa.RecordBatch.from_arrays([part.column("file"), part.column("block_no"), pa.array(np.diff(offsets).astype(np.int64)), pa.array([int(e[-1]) if len(e) else None for e in ends], pa.int64()), lists, part.column("labels")], ["file", "block_no", "n_ends", "last_end", "ends", "labels"])
 
-    return blocks.select("file", "block_no", "first_token", "tokens").mapInArrow(run, "file string, block_no bigint, n_ends bigint, last_end bigint, ends array<bigint>")
+    return blocks.select("file", "block_no", "first_token", "tokens", carried).mapInArrow(run, "file string, block_no bigint, n_ends bigint, last_end bigint, ends array<bigint>, labels array<bigint>")
 
 
-def document_lengths(blocks: DataFrame, eod: int, dtype: str = "<u2") -> DataFrame:
-    """file, doc_no (from 0 in its file), first_token, n_tokens (without the separator) of every document.
+def document_lengths(blocks: DataFrame, eod: int, dtype: str = "<u2", labels: str | None = None) -> DataFrame:
+    """file, doc_no (from 0 in its file), first_token, n_tokens (without the separator), label of every document.
 
     Tokens after a file's last separator are an unfinished document and give no row; two separators in a row close a
     document of 0 tokens; no blocks give no rows. Blocks carry their places, so their order and partitioning don't matter.
     """
-    found = separators(blocks, eod, dtype).withColumn("span", F.floor(F.col("block_no") / SPAN))
+    found = written(separators(blocks, eod, dtype, labels), "separators").withColumn("span", F.floor(F.col("block_no") / SPAN))
     spans = found.groupBy("file", "span").agg(F.sum("n_ends").alias("n"), F.max("last_end").alias("last"))
     before = Window.partitionBy("file").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.select("file", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.max("last").over(before), F.lit(-1)).alias("end_before"))
     inner = Window.partitionBy("file", "span").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    small = found.select("file", "span", "block_no", F.coalesce(F.sum("n_ends").over(inner), F.lit(0)).alias("n_inner"), F.max("last_end").over(inner).alias("end_inner"), "ends")
+    small = found.select("file", "span", "block_no", F.coalesce(F.sum("n_ends").over(inner), F.lit(0)).alias("n_inner"), F.max("last_end").over(inner).alias("end_inner"), "ends", "labels")
     stitched = small.join(spans, ["file", "span"]).where(F.size("ends") > 0)
     opened = F.concat(F.array(F.greatest("end_inner", "end_before")), F.col("ends"))
-    each = stitched.select("file", (F.col("n_before") + F.col("n_inner")).alias("n"), opened.alias("opened"), F.posexplode("ends").alias("i", "end"))
+    each = stitched.select("file", (F.col("n_before") + F.col("n_inner")).alias("n"), opened.alias("opened"), "labels", F.posexplode("ends").alias("i", "end"))
     start = F.get("opened", F.col("i")) + 1
-    return each.select("file", (F.col("n") + F.col("i")).alias("doc_no"), start.alias("first_token"), (F.col("end") - start).alias("n_tokens"))
+    return each.select("file", (F.col("n") + F.col("i")).alias("doc_no"), start.alias("first_token"), (F.col("end") - start).alias("n_tokens"), F.get("labels", F.col("i")).alias("label"))
