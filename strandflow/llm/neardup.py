@@ -3,11 +3,12 @@
 1. A text's words (ASCII lower case) become the set of its distinct k-word shingles, a 128-bit digest of that set and
    a MinHash signature. Texts with equal sets are one class, whose least doc_id stands for it from here on; so copies,
    however many, meet only in a count of their class.
-2. Signatures are cut into bands; a bucket is a band's value that at least two classes share. Instead of all pairs of
-   a bucket, each member is compared with the bucket's leader, the member that most others share buckets with. Members
-   that no verified link to a leader puts on one side are then compared across sides, so no candidate pair of
-   different sides goes unseen, and the pairs within a side, which can't change the groups, are never made.
-3. Candidates meet the signatures batch by batch (Satuluri and Parthasarathy, "Bayesian locality sensitive hashing
+2. Signatures are cut into bands; a bucket is a band's value that at least two classes share. Buckets are gathered by
+   leader, the member that most others share buckets with, so a cluster whose members meet in many bands is one group,
+   in which every candidate pair of those buckets lies. Large groups are dealt into blocks of bounded size.
+3. In a group the leader meets every member, and members that it is not linked with meet the others, but for those
+   that links have joined with them already. No pair is ever a row: only links leave a task, and as few as connect.
+   Candidates meet the signatures batch by batch (Satuluri and Parthasarathy, "Bayesian locality sensitive hashing
    for fast similarity search", 2012): with m agreements in n, the posterior of the similarity is Beta(m+1, n-m+1),
    and a pair goes as soon as the threshold's posterior tail falls below the miss probability.
 4. Survivors are verified on the full shingle sets, and components of the links are found by alternating large and
@@ -70,12 +71,13 @@ class Shingler:
         return np.unique(out)
 
     def signature(self, sets: np.ndarray) -> np.ndarray:
-        """The least of each hash over the set, as 32 bits; blocks bound the memory."""
+        """The low 16 bits of the least of each hash over the set; blocks bound the memory."""
         low = np.full(len(self.a), np.iinfo(np.uint32).max, np.uint32)
         for k in range(0, len(sets), 2048):
             x = sets[None, k : k + 2048] * self.a[:, None] + self.b[:, None]
             np.minimum(low, (x >> np.uint64(32)).astype(np.uint32).min(axis=1), out=low)
-        return low.view(np.int32)
+        # 16 bits are kept: unequal ones that look equal (1 in 65,536) can only keep a pair for the exact check
+        return low.astype(np.uint16)
 
 
 @functools.lru_cache(maxsize=4)
@@ -94,32 +96,28 @@ def features(docs: DataFrame, doc_id: str, text: str, words: int, hashes: int) -
                 s = own.shingles(t)
                 sizes.append(len(s))
                 digests.append(xxhash.xxh3_128_intdigest(s.tobytes()) if len(s) else None)
-                signatures.append(own.signature(s) if len(s) else None)
-            full = [s for s in signatures if s is not None]
-            offsets = np.r_[0, np.cumsum([hashes * (s is not None) for s in signatures])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(full) if full else np.zeros(0, np.int32)))
+                signatures.append(own.signature(s).tobytes() if len(s) else None)
             half = lambda d, k: None if d is None else ((d >> k) & (2**64 - 1)) - (1 << 63)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([half(d, 64) for d in digests], pa.int64()), pa.array([half(d, 0) for d in digests], pa.int64()), lists],
+                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([half(d, 64) for d in digests], pa.int64()), pa.array([half(d, 0) for d in digests], pa.int64()), pa.array(signatures, pa.binary())],
                 ["doc_id", "n_shingles", "digest_a", "digest_b", "signature"],
             )
 
     named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return named.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest_a bigint, digest_b bigint, signature array<int>")
+    return named.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest_a bigint, digest_b bigint, signature binary")
 
 
-def shingle_sets(docs: DataFrame, words: int, hashes: int) -> DataFrame:
-    """doc_id and the set's hashes of each row of (doc_id, text)."""
+def with_shingles(rows: DataFrame, words: int, hashes: int) -> DataFrame:
+    """rows with shingles, the sorted hashes of the set, in the place of text."""
+    kept = [f for f in rows.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shingler(words, hashes)
         for part in slices(batches, "text"):
-            sets = [own.shingles(t) for t in part.column("text").to_pylist()]
-            offsets = np.r_[0, np.cumsum([len(s) for s in sets])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], ["doc_id", "shingles"])
+            sets = [own.shingles(t).tobytes() for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(sets, pa.binary())], [*(f.name for f in kept), "shingles"])
 
-    return docs.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", shingles binary")
 
 
 def least_agreements(hashes: int, batch: int, threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -138,34 +136,119 @@ def least_agreements(hashes: int, batch: int, threshold: float, miss: float) ->
     return out
 
 
-def bayes_survivors(pairs: DataFrame, signatures: DataFrame, hashes: int, batch: int, threshold: float, miss: float) -> DataFrame:
-    """The pairs (a, b) that no batch of their signatures prunes. Sizes that rule the threshold out go first."""
-    bounds = least_agreements(hashes, batch, threshold, miss)
-    side = lambda x: signatures.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    both = both.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold - 1e-9)).select("a", "b", "s_a", "s_b")
+class Verifier:
+    """Links among the texts of a group."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            s_a, s_b = (part.column(x).flatten().to_numpy().reshape(-1, hashes) for x in ("s_a", "s_b"))
-            alive, agree, done = np.arange(part.num_rows), np.zeros(part.num_rows, np.int64), 0
-            for n, m in bounds:
-                agree = agree + (s_a[alive, done:n] == s_b[alive, done:n]).sum(axis=1)
-                kept = agree >= m
-                alive, agree, done = alive[kept], agree[kept], n
-            yield part.select(["a", "b"]).take(pa.array(alive))
+    def __init__(self, hashes: int, batch: int, percent: int, miss: float):
+        self.hashes, self.percent = hashes, percent
+        self.bounds = least_agreements(hashes, batch, percent / 100, miss)
 
-    return both.mapInArrow(run, "a bigint, b bigint")
+    def survivors(self, one: int, others: np.ndarray, signatures: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Those of others that neither their size nor a batch of signatures rules out, most agreements first."""
+        low, high = np.minimum(sizes[one], sizes[others]), np.maximum(sizes[one], sizes[others])
+        others = others[100 * low >= self.percent * high]
+        agree, done = np.zeros(len(others), np.int64), 0
+        for n, m in self.bounds:
+            agree = agree + (signatures[others, done:n] == signatures[one, done:n]).sum(axis=1)
+            kept = agree >= m
+            others, agree, done = others[kept], agree[kept], n
+            if not len(others):
+                break
+        return others[np.argsort(-agree, kind="stable")]
+
+    def linked(self, one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+        """Whether each full set is similar enough to the first."""
+        flat, lengths = np.concatenate(others), np.array([len(s) for s in others])
+        hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+        shared = np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(lengths)[:-1]])
+        return 100 * shared >= self.percent * (len(one) + lengths - shared)
+
+    def links(self, sets: list[np.ndarray], signatures: np.ndarray, first: np.ndarray, others: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+        """Links that connect all that similarity connects between first and others, places in sets; side, the
+        component of each place so far, is brought up to date, and pairs of one component are passed over."""
+        sizes, found = np.array([len(s) for s in sets]), []
+        for x in first:
+            alive = self.survivors(x, others[side[others] != side[x]], signatures, sizes)
+            while len(alive):
+                some, alive = alive[:32], alive[32:]
+                good = some[self.linked(sets[x], [sets[y] for y in some])]
+                for y in good:
+                    if side[y] != side[x]:
+                        found.append((int(x), int(y)))
+                        side[side == side[y]] = side[x]
+                alive = alive[side[alive] != side[x]]
+        return found
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Groups of a stream that is sorted by the bigint keys, one at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        starts = np.r_[0, 1 + np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)), batch.num_rows]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            now = tuple(c[a] for c in columns)
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def unpacked(group: pa.Table, hashes: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """doc_ids, signatures and sets of a group's rows."""
+    signatures = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(-1, hashes)
+    return group.column("doc_id").to_numpy(), signatures, [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
+
+
+LINK_SCHEMA = "leader bigint, block bigint, a bigint, b bigint"
+
+
+def links_in_groups(profiles: DataFrame, check: Verifier) -> DataFrame:
+    """leader, block, a, b: links within each block, of which the leader is a row. Stray members, those that the leader
+    is not linked with, come as links (a, null) too where a group has several blocks, for links_across_blocks."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, ("leader", "block")):
+            leader, block, blocks = (group.column(c)[0].as_py() for c in ("leader", "block", "blocks"))
+            ids, signatures, sets = unpacked(group, check.hashes)
+            side, everyone = np.arange(len(ids)), np.arange(len(ids))
+            head = np.flatnonzero(ids == leader)[:1]
+            found = check.links(sets, signatures, head, everyone, side)
+            strays = everyone[side != side[head[0]]]
+            found += check.links(sets, signatures, strays, everyone, side)
+            a, b = [int(ids[x]) for x, _ in found], [int(ids[y]) for _, y in found]
+            if blocks > 1:
+                a += ids[strays].tolist()
+                b += [None] * len(strays)
+            yield pa.RecordBatch.from_arrays([pa.array([leader] * len(a), pa.int64()), pa.array([block] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["leader", "block", "a", "b"])
+
+    return profiles.repartition("leader", "block").sortWithinPartitions("leader", "block", "doc_id").mapInArrow(run, LINK_SCHEMA)
+
+
+def links_across_blocks(profiles: DataFrame, strays: DataFrame, check: Verifier) -> DataFrame:
+    """leader, block, a, b: links of strays (leader, stray_block, doc_id) with the members of all other blocks of their group, a block of each a task."""
+    marked = profiles.join(strays.select("leader", "doc_id", F.lit(1).alias("stray")), ["leader", "doc_id"], "left")
+    others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda k: k != F.col("block"))
+    asked = marked.where("stray = 1").select("leader", F.explode(others).alias("block"), F.col("block").alias("stray_block"), F.lit(0).alias("kind"), "doc_id", "signature", "shingles")
+    met = strays.select("leader", F.col("block").alias("stray_block")).distinct()
+    members = profiles.join(met, "leader").where("block != stray_block").select("leader", "block", "stray_block", F.lit(1).alias("kind"), "doc_id", "signature", "shingles")
+    rows = asked.union(members).repartition("leader", "block", "stray_block").sortWithinPartitions("leader", "block", "stray_block", "kind", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups_of(batches, ("leader", "block", "stray_block")):
+            ids, signatures, sets = unpacked(group, check.hashes)
+            kind = group.column("kind").to_numpy()
+            found = check.links(sets, signatures, np.flatnonzero(kind == 0), np.flatnonzero(kind == 1), np.arange(len(ids)))
+            n = len(found)
+            yield pa.RecordBatch.from_arrays([pa.array([group.column(c)[0].as_py()] * n, pa.int64()) for c in ("leader", "block")] + [pa.array([int(ids[x[k]]) for x in found], pa.int64()) for k in (0, 1)], ["leader", "block", "a", "b"])
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, hashes: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 x intersection >= percent x union."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = shingle_sets(docs.join(wanted, "doc_id", "left_semi"), words, hashes)
-    side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("s_a", "s_b")).cast("bigint")
-    return both.where(shared * 100 >= (F.size("s_a") + F.size("s_b") - shared) * percent).select("a", "b")
+    return rows.mapInArrow(run, LINK_SCHEMA)
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -195,61 +278,59 @@ def near_duplicates(
     text: str = "text",
     words: int = 5,
     percent: int = 80,
-    bands: int = 40,
+    bands: int = 32,
     rows: int = 5,
     batch: int = 20,
     miss: float = 1e-7,
+    block_shingles: int = 2_000_000,
+    block_members: int = 4096,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Words are [^ \\t-\\r]+ after ASCII lower-casing; a text with fewer words than a shingle has its whole sequence as
     one. Texts are linked from percent on. component_id is the least doc_id that links reach; kept marks the row
-    that has it. Chance of missing a pair at the threshold: (1 - 0.8^rows)^bands, 1e-7 as set, besides miss.
+    that has it. Chance of missing a pair at the threshold: (1 - 0.8^rows)^bands, 3e-6 as set, besides miss.
 
     Null, empty and blank texts have 0 shingles and no links. A null doc_id has no links, its component is null and it is kept.
     Repeated rows fall in one class and are all marked alike; texts under one doc_id are judged each by its own set.
     An empty table gives no rows. Other columns are ignored.
     """
-    hashes, threshold = bands * rows, percent / 100
+    hashes = bands * rows
+    check = Verifier(hashes, batch, percent, miss)
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     base = written(features(docs, "doc_id", "text", words, hashes), "features")
     usable = base.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("digest_a", "digest_b").agg(F.min("doc_id").alias("first_id"))
-    signatures = usable.join(classes, ["digest_a", "digest_b"]).where("doc_id = first_id").dropDuplicates(["doc_id", "digest_a"]).select("doc_id", "n_shingles", "signature")
-    signatures = written(signatures, "signatures")
+    firsts = usable.join(classes, ["digest_a", "digest_b"]).where("doc_id = first_id").dropDuplicates(["doc_id", "digest_a"])
+    signatures = written(firsts.select("doc_id", "digest_a", "n_shingles", "signature"), "signatures")
 
-    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.slice("signature", k * rows + 1, rows))))
-    placed = signatures.select("doc_id", band.alias("bucket"))
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.substring(F.col("signature"), k * (2 * rows) + 1, F.lit(2 * rows)))))
+    placed = signatures.select("doc_id", "n_shingles", band.alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = written(placed.join(shared, "bucket"), "buckets")
     reach = members.groupBy("doc_id").agg(F.sum("members").alias("reach"))
-    members = members.select("bucket", "doc_id").join(reach, "doc_id")
     # the most reaching member leads; equal reach: the least doc_id
-    rank = F.struct(-F.col("reach"), F.col("doc_id"))
-    leaders = members.groupBy("bucket").agg(F.min(rank).alias("lead")).select("bucket", F.col("lead.doc_id").alias("leader"), F.col("lead.col1").alias("order"))
-    led = members.join(leaders, "bucket").where("doc_id != leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"), "order").distinct()
-    led = written(led, "led")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        alive = written(bayes_survivors(pairs, signatures, hashes, batch, threshold, miss), "alive")
-        return written(verified(alive, docs, words, hashes, percent), "links")
-
-    links = linked(led.select("a", "b"))
-    # a member's side: the most reaching leader that it is linked with, or itself
-    sides = links.join(led, ["a", "b"]).groupBy(F.col("b").alias("doc_id")).agg(F.min(F.struct("order", "a"))["a"].alias("side"))
-    sided = members.select("bucket", "doc_id").join(sides, "doc_id", "left").withColumn("side", F.coalesce("side", "doc_id"))
-    # a leader that follows no other is its own side, so it and its followers are of one
-    open_buckets = sided.groupBy("bucket").agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low != high").select("bucket")
-    sided = written(sided.join(open_buckets, "bucket"), "sided").join(signatures.select("doc_id", "n_shingles"), "doc_id")
-    x, y = sided.alias("x"), sided.alias("y")
-    across = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.side") < F.col("y.side")))
-    across = across.where((F.least("x.n_shingles", "y.n_shingles") >= F.greatest("x.n_shingles", "y.n_shingles") * F.lit(threshold - 1e-9)))
-    across = across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    done = led.select("a", "b").union(led.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    links = links.union(linked(across.join(done, ["a", "b"], "left_anti")))
+    ranked = members.join(reach, "doc_id").select("bucket", "doc_id", F.struct(-F.col("reach"), F.col("doc_id")).alias("rank"))
+    leaders = ranked.groupBy("bucket").agg(F.min("rank")["doc_id"].alias("leader"))
+    led = written(members.join(leaders, "bucket").groupBy("leader", "doc_id").agg(F.max("n_shingles").alias("n_shingles")), "led")
+
+    sizes = led.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("n"))
+    sizes = sizes.select("leader", F.greatest(F.ceil(F.col("m") / block_members), F.ceil(F.col("n") / block_shingles)).cast("bigint").alias("blocks"))
+    sized = led.join(sizes, "leader")
+    # the leader is a row of every block of its group
+    block = F.when(F.col("doc_id") == F.col("leader"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
+    dealt = sized.select("leader", "blocks", "doc_id", F.explode(block).alias("block"))
+    texts = docs.join(dealt, "doc_id").select("leader", "blocks", "block", "doc_id", "text")
+    profiles = texts.join(signatures.select("doc_id", "signature"), "doc_id").select("leader", "blocks", "block", "doc_id", "signature", "text")
+    profiles = written(with_shingles(profiles, words, hashes), "profiles")
+    found = written(links_in_groups(profiles, check), "links")
+    links = found.where("b is not null").select("a", "b")
+    strays = found.where("b is null").select("leader", "block", F.col("a").alias("doc_id"))
+    if not strays.isEmpty():
+        links = links.union(links_across_blocks(profiles.where("blocks > 1"), strays, check).select("a", "b"))
 
     groups = components(links)
     stands = classes.join(groups.withColumnRenamed("node", "first_id"), "first_id", "left").select("digest_a", "digest_b", F.coalesce("component", "first_id").alias("component"))
-    found = base.select("doc_id", "n_shingles", "digest_a", "digest_b").join(stands, ["digest_a", "digest_b"], "left")
+    result = base.select("doc_id", "n_shingles", "digest_a", "digest_b").join(stands, ["digest_a", "digest_b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -142,8 +142,10 @@ def test_near_duplicates(spark, words):
         n += 1
     texts |= {n: None, n + 1: "", n + 2: " \n\t", n + 3: LONG, n + 4: LONG + "end"}
     df = spark.createDataFrame([(i, t, 5) for i, t in texts.items()], "doc_id bigint, text string, component_id int").repartition(5)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, words=words).collect()}
-    assert got == brute_components(texts, words, 80)
+    true = brute_components(texts, words, 80)
+    for blocks in ({}, {"block_members": 3}):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, words=words, **blocks).collect()}
+        assert got == true
 
 
 def test_near_duplicate_edges(spark):
