@@ -1,11 +1,385 @@
-"""Every query of the sequence engine by name, and SQL of the same rows."""
+"""Every query of the sequence engine by name, and SQL of the same rows. All read whole tables; doubles are rounded to six places in both."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandflow.functions import sequence as S
+from strandflow.operators import cohort, evaluate, pieces, scan
+from strandflow.operators.measures import measured
+from strandflow.plans import oracle as O
+from strandflow.sources import documents as D
+
+W, STEP = O.W, O.STEP
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register the function under its name, with DuckDB SQL of its rows where that can express them."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(column) -> object:
+    return F.round(column, 6)
+
+
+def contig_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.windows(D.contig_pieces(spark, sf_dir), W, STEP)
+
+
+def measured_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measured(contig_windows(spark, sf_dir))
+
+
+@query(
+    f"""WITH {O.CONTIGS}, {O.windows()}, {O.letters()},
+z AS (SELECT w.contig_id, w.start, w."end", c + g AS gc, abs(c + g - avg(c + g) OVER ()) / greatest(stddev_pop(c + g) OVER (), 1e-6) AS z FROM wins w JOIN letters_wins USING (contig_id, window_no)),
+r AS (SELECT *, row_number() OVER (PARTITION BY contig_id ORDER BY round(z, 9) DESC, start) AS place FROM z)
+SELECT contig_id, CAST(place AS INT) AS place, start, "end", round(gc, 6) AS gc, round(z, 6) AS z FROM r WHERE place <= 5"""
+)
+def window_gc_topk(spark, sf_dir):
+    """The five windows of each contig whose GC content is farthest from that of all windows."""
+    gc = contig_windows(spark, sf_dir).select("contig_id", "start", "end", S.gc_content(F.col("seq")).alias("gc"))
+    stats = gc.agg(F.avg("gc").alias("m"), F.greatest(F.stddev_pop("gc"), F.lit(1e-6)).alias("s"))
+    z = gc.crossJoin(F.broadcast(stats)).withColumn("z", F.abs(F.col("gc") - F.col("m")) / F.col("s"))
+    place = F.row_number().over(Window.partitionBy("contig_id").orderBy(F.round("z", 9).desc(), "start"))
+    return z.withColumn("place", place).where("place <= 5").select("contig_id", "place", "start", "end", r6("gc").alias("gc"), r6("z").alias("z"))
+
+
+@query(
+    f"""WITH {O.DOCS}, d AS (SELECT doc_id AS contig_id, 0 AS window_no, seq FROM doc_seq), e AS (SELECT contig_id, {O.ENTROPY} AS h FROM {O.grams(1, 'd')} GROUP BY contig_id)
+SELECT d.contig_id AS doc_id, CAST(length(d.seq) AS INT) AS n, round(coalesce(e.h, 0), 6) AS entropy FROM d LEFT JOIN e USING (contig_id)"""
+)
+def symbol_entropy(spark, sf_dir):
+    docs = D.document_sequences(spark, sf_dir)
+    return docs.select("doc_id", F.length("seq").alias("n"), r6(S.entropy(S.counts(S.codes(F.col("seq"))))).alias("entropy"))
+
+
+@query(
+    f"""WITH {O.CONTIGS}, {O.windows()}, {O.entropies('h3', 3)}, {O.entropies('h4', 4)}
+SELECT contig_id, start, round(h3.h / 6, 6) AS h3, round(h4.h / 8, 6) AS h4 FROM wins JOIN h3 USING (contig_id, window_no) JOIN h4 USING (contig_id, window_no)"""
+)
+def kmer_entropy(spark, sf_dir):
+    m = measured_windows(spark, sf_dir)
+    return m.select("contig_id", "start", r6(S.entropy(F.col("k3")) / 6).alias("h3"), r6(S.entropy(F.col("k4")) / 8).alias("h4"))
+
+
+@query(
+    f"""WITH {O.CONTIGS}, {O.windows()}, {O.entropies('a', 1)}, {O.entropies('b', 2)}
+SELECT contig_id, start, round(greatest(2 * a.h - b.h, 0), 6) AS mi1 FROM wins JOIN a USING (contig_id, window_no) JOIN b USING (contig_id, window_no)"""
+)
+def mi_lag1(spark, sf_dir):
+    return measured_windows(spark, sf_dir).select("contig_id", "start", r6(S.information(F.col("k1"), F.col("k2"))).alias("mi1"))
+
+
+@query(f"WITH {O.CONTIGS}, {O.windows()}, {O.SPINE2}, {O.rho('r')} SELECT contig_id, window_no * {STEP} AS start, g AS pair, round(rho, 6) AS rho FROM r")
+def rho_vector(spark, sf_dir):
+    m = measured_windows(spark, sf_dir).select("contig_id", "start", F.posexplode(S.rho_from_counts(F.col("k1"), F.col("k2"))).alias("i", "rho"))
+    pair = F.concat(F.substring(F.lit("ACGT"), F.floor(F.col("i") / 4).cast("int") + 1, F.lit(1)), F.substring(F.lit("ACGT"), F.col("i") % 4 + 1, F.lit(1)))
+    return m.select("contig_id", "start", pair.alias("pair"), r6("rho").alias("rho"))
+
+
+@query(f"WITH {O.CONTIGS}, {O.windows()}, {O.letters()} SELECT contig_id, start, round(abs(a - t) + abs(c - g), 6) AS c2 FROM wins JOIN letters_wins USING (contig_id, window_no)")
+def chargaff(spark, sf_dir):
+    return contig_windows(spark, sf_dir).select("contig_id", "start", r6(S.chargaff_deviation(F.col("seq"))).alias("c2"))
+
+
+@query(
+    f"""WITH {O.CONTIGS}, {O.windows('tiles', window=1000, step=1000)}, {O.letters('tiles')},
+s AS (SELECT contig_id, window_no, coalesce((g - c) / nullif(g + c, 0), 0) AS skew FROM tiles JOIN letters_tiles USING (contig_id, window_no) WHERE length(seq) = 1000)
+SELECT contig_id, CAST(window_no * 1000 + 500 AS BIGINT) AS position, round(skew, 6) AS skew, round(sum(skew) OVER (PARTITION BY contig_id ORDER BY window_no), 6) AS cumulative FROM s"""
+)
+def gc_skew_cumulative(spark, sf_dir):
+    """(G - C) / (G + C) of whole tiles of 1000 letters, and its running sum, whose extremes mark origin and terminus."""
+    tiles = pieces.windows(D.contig_pieces(spark, sf_dir), 1000, 1000).where(F.length("seq") == 1000)
+    n = lambda c: F.length(F.regexp_replace("seq", f"[^{c}]", ""))
+    skew = tiles.select("contig_id", (F.col("start") + 500).alias("position"), F.coalesce((n("G") - n("C")) / F.nullif(n("G") + n("C"), F.lit(0)), F.lit(0.0)).alias("skew"))
+    run = F.sum("skew").over(Window.partitionBy("contig_id").orderBy("position"))
+    return skew.select("contig_id", "position", r6("skew").alias("skew"), r6(run).alias("cumulative"))
+
+
+@query(f"WITH {O.DOCS} SELECT doc_id, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS revcomp_md5 FROM doc_seq")
+def revcomp(spark, sf_dir):
+    return D.document_sequences(spark, sf_dir).select("doc_id", F.md5(S.reverse_complement(F.col("seq")).cast("binary")).alias("revcomp_md5"))
+
+
+@query(f"WITH {O.DOCS}, d AS (SELECT lang AS contig_id, 0 AS window_no, seq FROM doc_seq) SELECT contig_id AS lang, g AS codon, CAST(sum(n) AS BIGINT) AS n FROM {O.grams(3, 'd', every=3)} GROUP BY contig_id, g")
+def codon_counts(spark, sf_dir):
+    docs = D.document_sequences(spark, sf_dir).withColumn("s", S.codes(F.col("seq")))
+    each = docs.select("lang", F.inline(S.histogram(S.codons(F.col("s")))))
+    letter = lambda x: F.substring(F.lit("ACGT"), (x % 4 + 1).cast("int"), F.lit(1))
+    codon = F.concat(letter(F.floor(F.col("value") / 16)), letter(F.floor(F.col("value") / 4)), letter(F.col("value")))
+    return each.groupBy("lang", codon.alias("codon")).agg(F.sum("n").alias("n"))
+
+
+@query(f"WITH {O.CONTIGS}, {O.windows()}, {O.hurst()} SELECT contig_id, window_no * {STEP} AS start, round(h, 6) AS hurst FROM hurst")
+def hurst(spark, sf_dir):
+    return measured_windows(spark, sf_dir).select("contig_id", "start", r6("hurst").alias("hurst"))
+
+
+@query(f"WITH {O.CONTIGS}, {O.windows()}, {O.period3()} SELECT contig_id, window_no * {STEP} AS start, round(h, 6) AS ac3 FROM ac")
+def autocorr_period3(spark, sf_dir):
+    return measured_windows(spark, sf_dir).select("contig_id", "start", r6(S.period3_share(F.col("autocorrelation"))).alias("ac3"))
+
+
+@query(f"WITH {O.CONTIGS}, {O.windows()}, {O.SPINE3}, {O.rscu('r')} SELECT contig_id, window_no * {STEP} AS start, g AS codon, round(rscu, 6) AS rscu FROM r")
+def rscu(spark, sf_dir):
+    m = measured_windows(spark, sf_dir).select("contig_id", "start", F.posexplode(S.rscu_from_counts(F.col("codon"))).alias("i", "rscu"))
+    letter = lambda x: F.substring(F.lit("ACGT"), (x % 4 + 1).cast("int"), F.lit(1))
+    codon = F.concat(letter(F.floor(F.col("i") / 16)), letter(F.floor(F.col("i") / 4)), letter(F.col("i")))
+    return m.select("contig_id", "start", codon.alias("codon"), r6("rscu").alias("rscu"))
+
+
+@query(
+    f"""WITH {O.CONTIGS}, {O.windows()}, {O.entropies('a', 3, 3)}, {O.entropies('b', 6, 3)}
+SELECT contig_id, start, round(greatest(2 * a.h - b.h, 0), 6) AS codon_mi FROM wins JOIN a USING (contig_id, window_no) JOIN b USING (contig_id, window_no)"""
+)
+def codon_mi(spark, sf_dir):
+    return measured_windows(spark, sf_dir).select("contig_id", "start", r6(S.information(F.col("codon"), F.col("pair_n"))).alias("codon_mi"))
+
+
+NO_WINDOW = ", ".join(f"round({s}, 6) AS {s}" for s in O.NAMES)
+
+
+@query(f"WITH {O.CONTIGS}, {O.SPINE2}, {O.SPINE3}, {O.profile()}, {O.windows()}, {O.signals('sig', 'wins')} SELECT contig_id, start, {NO_WINDOW} FROM sig")
+def window_signals(spark, sf_dir):
+    """The ten signals of every window, distances against the profile of all contigs."""
+    p = D.contig_pieces(spark, sf_dir)
+    found = scan.signals(pieces.windows(p, W, STEP), scan.host_profile(D.host_pieces(p)))
+    return found.select("contig_id", "start", *[r6(s).alias(s) for s in O.NAMES])
+
+
+@query(f"{O.SCAN} SELECT {', '.join(f'round({s}_{x}, 6) AS {s}_{x}' for s in O.NAMES for x in ('mean', 'std'))} FROM stats")
+def baseline_stats(spark, sf_dir):
+    stats = scan.baseline_stats(D.host_pieces(D.contig_pieces(spark, sf_dir)), W, W)
+    return stats.select(*[r6(c).alias(c) for c in stats.columns])
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = D.contig_pieces(spark, sf_dir)
+    host = D.host_pieces(p)
+    profile = scan.host_profile(host)
+    stats = scan.baseline_stats(host, W, W, profile=profile)
+    found = scan.signals(pieces.windows(p, W, STEP).where(F.col("end") - F.col("start") == W), profile)
+    return scan.composite(scan.z_scores(found, stats))
+
+
+@query(f"{O.SCAN} SELECT contig_id, start, {', '.join(f'round({s}, 6) AS {s}' for s in scan.FUSED)} FROM z")
+def scan_zscores(spark, sf_dir):
+    return scored(spark, sf_dir).select("contig_id", "start", *[r6(s).alias(s) for s in scan.FUSED])
+
+
+@query(f"{O.SCAN} SELECT contig_id, start, round(geomean, 6) AS geomean, round(rankfusion, 6) AS rankfusion, track, round(composite, 6) AS composite FROM scored")
+def scan_composite(spark, sf_dir):
+    return scored(spark, sf_dir).select("contig_id", "start", r6("geomean").alias("geomean"), r6("rankfusion").alias("rankfusion"), "track", r6("composite").alias("composite"))
+
+
+@query(f'{O.SCAN}, {O.SUPPRESSED} SELECT contig_id, start, "end", round(composite, 6) AS composite FROM kept')
+def scan_dedup(spark, sf_dir):
+    return scan.suppressed(scored(spark, sf_dir)).select("contig_id", "start", "end", r6("composite").alias("composite"))
+
+
+@query(f"{O.SCAN}, {O.SUPPRESSED}, {O.CONTEXT} SELECT contig_id, start, context_class, round(context_boost, 6) AS context_boost, round(boosted, 6) AS boosted FROM boosted")
+def context_boost(spark, sf_dir):
+    rows = scan.with_context(scan.suppressed(scored(spark, sf_dir)))
+    return rows.select("contig_id", "start", "context_class", r6("context_boost").alias("context_boost"), r6("boosted").alias("boosted"))
+
+
+@query(
+    f"""{O.SCAN}, {O.SUPPRESSED}, {O.CONTEXT},
+moves AS (SELECT context_class AS from_state, lead(context_class) OVER (PARTITION BY contig_id ORDER BY start) AS to_state FROM context)
+SELECT from_state, to_state, count(*) AS n FROM moves WHERE to_state IS NOT NULL GROUP BY ALL"""
+)
+def region_transitions(spark, sf_dir):
+    return scan.transitions(scan.with_context(scan.suppressed(scored(spark, sf_dir))), ["contig_id"], "start", "context_class")
+
+
+EVIDENCE = "[" + ", ".join(f"{{'z': round({s}, 9), 'i': {i}, 'name': '{s}'}}" for i, s in enumerate(scan.FUSED)) + "]"
+
+
+@query(
+    f"""{O.SCAN}, {O.SUPPRESSED}, {O.CONTEXT},
+placed AS (SELECT *, row_number() OVER (PARTITION BY contig_id ORDER BY boosted DESC, start) AS place FROM boosted),
+ev AS (SELECT contig_id, place, start, "end", least(boosted / 3.0::DOUBLE, 1.0::DOUBLE) AS confidence, unnest({EVIDENCE}) AS e FROM placed WHERE place <= 20),
+txt AS (SELECT contig_id, place, start, "end", confidence, coalesce(string_agg(e.name || ': z=' || printf('%.1f', round(e.z, 1)), '; ' ORDER BY e.z DESC, e.i) FILTER (WHERE e.z > 1.5), '') AS evidence FROM ev GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, contig_id, place) AS rank FROM txt)
+SELECT CAST(rank AS INT) AS rank, contig_id, start, "end", round(confidence, 6) AS confidence, evidence FROM best WHERE rank <= 20"""
+)
+def candidates(spark, sf_dir):
+    """The top 20 candidate regions (a top-k report)."""
+    top = scan.candidates(scan.with_context(scan.suppressed(scored(spark, sf_dir))), 20)
+    return top.select("rank", "contig_id", "start", "end", r6("confidence").alias("confidence"), F.array_join("evidence", "; ").alias("evidence"))
+
+
+@query(
+    """WITH v AS (SELECT event_type, CAST(value AS DOUBLE) AS v FROM events WHERE value IS NOT NULL),
+s AS (SELECT event_type, v, row_number() OVER w AS i, sum(v) OVER (PARTITION BY event_type ORDER BY v ROWS UNBOUNDED PRECEDING) AS s0, count(*) OVER (PARTITION BY event_type) AS n, sum(v) OVER (PARTITION BY event_type) AS s, lead(v) OVER w AS after FROM v WINDOW w AS (PARTITION BY event_type ORDER BY v)),
+b AS (SELECT *, CASE WHEN after IS NULL OR after = v THEN 0 ELSE round(i * (n - i) / (CAST(n AS DOUBLE) * n) * (s0 / i - (s - s0) / (n - i)) ** 2, 9) END AS between_ FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY between_ DESC, v) AS o FROM b)
+SELECT event_type, round((v + coalesce(after, v)) / 2, 6) AS threshold, round(between_, 4) AS between_variance FROM r WHERE o = 1"""
+)
+def otsu_threshold(spark, sf_dir):
+    found = evaluate.otsu(D.table(spark, sf_dir, "events"), ["event_type"], "value")
+    return found.select("event_type", r6("threshold").alias("threshold"), F.round("between", 4).alias("between_variance"))
+
+
+def scored_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Genes with the largest GC deviation (from the contig's mean window) among the windows that overlap them, 0 without one."""
+    gc = contig_windows(spark, sf_dir).select("contig_id", "start", "end", S.gc_content(F.col("seq")).alias("gc"))
+    mean = gc.groupBy("contig_id").agg(F.avg("gc").alias("m"))
+    dev = gc.join(mean, "contig_id").select("contig_id", "start", "end", F.round(F.abs(F.col("gc") - F.col("m")), 9).alias("dev"))
+    hit = pieces.overlaps(D.genes(spark, sf_dir), dev, W, ["contig_id"], "left")
+    return hit.groupBy("contig_id", "gene_id", "start", "end", "is_pos").agg(F.coalesce(F.max("dev"), F.lit(0.0)).alias("score"))
+
+
+@query(f'WITH {O.GENE_SCORES} SELECT contig_id, gene_id, start, "end", is_pos, round(score, 6) AS score FROM gene_scores')
+def gene_scores(spark, sf_dir):
+    return scored_genes(spark, sf_dir).withColumn("score", r6("score"))
+
+
+AUC_SQL = "count(*) FILTER (WHERE is_pos) AS n_pos, count(*) FILTER (WHERE NOT is_pos) AS n_neg"
+RANKS = "rank() OVER (PARTITION BY {k} ORDER BY score) + (count(*) OVER (PARTITION BY {k}, score) - 1) / 2.0 AS rk"
+
+
+@query(
+    f"""WITH {O.GENE_SCORES}, r AS (SELECT contig_id, is_pos, {RANKS.format(k='contig_id')} FROM gene_scores), c AS (SELECT contig_id, {AUC_SQL}, sum(rk) FILTER (WHERE is_pos) AS s FROM r GROUP BY contig_id)
+SELECT contig_id, n_pos, n_neg, round((s - n_pos * (n_pos + 1) / 2.0) / nullif(n_pos * n_neg, 0), 6) AS auc FROM c WHERE n_pos >= 1 AND n_neg >= 3"""
+)
+def auc_per_contig(spark, sf_dir):
+    """AUC of the contigs with a positive and three negatives at least."""
+    found = evaluate.auc(scored_genes(spark, sf_dir), ["contig_id"], "score", "is_pos").where("n_pos >= 1 and n_neg >= 3")
+    return found.withColumn("auc", r6("auc"))
+
+
+@query(
+    f"""WITH {O.GENE_SCORES}, r AS (SELECT is_pos, {RANKS.format(k='1')} FROM gene_scores), c AS (SELECT {AUC_SQL}, sum(rk) FILTER (WHERE is_pos) AS s FROM r)
+SELECT n_pos, n_neg, round((s - n_pos * (n_pos + 1) / 2.0) / nullif(n_pos * n_neg, 0), 6) AS auc FROM c"""
+)
+def auc_pooled(spark, sf_dir):
+    return evaluate.auc(scored_genes(spark, sf_dir), [], "score", "is_pos").withColumn("auc", r6("auc"))
+
+
+@query(
+    f"""WITH {O.GENE_SCORES}, p AS (SELECT contig_id, is_pos, row_number() OVER (PARTITION BY contig_id ORDER BY score DESC, start) AS place FROM gene_scores),
+b AS (SELECT contig_id, min(place) AS best FROM p WHERE is_pos GROUP BY contig_id)
+SELECT CAST(k AS INT) AS k, round(avg((best <= k)::INT), 6) AS recall FROM b, (SELECT unnest([1, 3, 5, 10]) AS k) GROUP BY k"""
+)
+def recall_at_k(spark, sf_dir):
+    return evaluate.recall_at(scored_genes(spark, sf_dir), ["contig_id"], "score", "start", "is_pos").withColumn("recall", r6("recall"))
+
+
+@query(
+    f"""WITH {O.GENE_SCORES}, x AS (SELECT "end" - start AS len, score FROM gene_scores),
+r AS (SELECT rank() OVER (ORDER BY len) + (count(*) OVER (PARTITION BY len) - 1) / 2.0 AS a, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS b FROM x)
+SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r"""
+)
+def spearman(spark, sf_dir):
+    rows = scored_genes(spark, sf_dir).select((F.col("end") - F.col("start")).alias("len"), "score")
+    return evaluate.spearman(rows, "len", "score").withColumn("rho", r6("rho"))
+
+
+@query(
+    f"""WITH {O.GENE_SCORES}, r AS (SELECT contig_id, is_pos, {RANKS.format(k='contig_id')} FROM gene_scores),
+t AS (SELECT contig_id, sum(c ** 3 - c) AS t FROM (SELECT contig_id, score, count(*) AS c FROM gene_scores GROUP BY ALL) GROUP BY contig_id),
+c AS (SELECT contig_id, {AUC_SQL}, coalesce(sum(rk) FILTER (WHERE is_pos), 0) AS s FROM r GROUP BY contig_id), u AS (SELECT *, s - n_pos * (n_pos + 1) / 2.0 AS u, n_pos + n_neg AS n FROM c JOIN t USING (contig_id))
+SELECT contig_id, round(u, 6) AS u, round((u - n_pos * n_neg / 2.0) / nullif(sqrt(n_pos * n_neg / 12.0 * (n + 1 - t / nullif(n * (n - 1), 0))), 0), 6) AS z FROM u"""
+)
+def rank_test(spark, sf_dir):
+    """Mann-Whitney test of positive against other genes, contig by contig."""
+    found = evaluate.rank_test(scored_genes(spark, sf_dir), ["contig_id"], "score", "is_pos")
+    return found.select("contig_id", r6("u").alias("u"), r6("z").alias("z"))
+
+
+@query(f"WITH {O.ISOLATES} SELECT kmer, cnt_r, cnt_s, round(score, 6) AS score FROM assoc")
+def kmer_gwas(spark, sf_dir):
+    return cohort.association(D.isolates(spark, sf_dir), O.K).withColumn("score", r6("score"))
+
+
+def strong_kmers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohort.strong(cohort.association(D.isolates(spark, sf_dir), O.K), 0.35)
+
+
+@query(f"WITH {O.ISOLATES} SELECT kmer, round(score, 6) AS score FROM assoc WHERE round(score, 9) >= 0.35")
+def strong_kmers(spark, sf_dir):
+    return strong_kmers_of(spark, sf_dir).select("kmer", r6("score").alias("score"))
+
+
+@query(
+    f"""WITH {O.ISOLATES}, m AS (SELECT *, coalesce((pos - lag(pos) OVER (PARTITION BY genome_id ORDER BY pos) > 100)::INT, 1) AS fresh FROM doc_hits),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY genome_id ORDER BY pos) AS island FROM m)
+SELECT genome_id, CAST(min(pos) AS INT) AS start, CAST(max(pos) + {O.K} AS INT) AS "end", count(*) AS n FROM g GROUP BY genome_id, island"""
+)
+def localize_loci(spark, sf_dir):
+    found = cohort.hits(D.isolates(spark, sf_dir), strong_kmers_of(spark, sf_dir), O.K)
+    return cohort.loci(found, O.K, 100)
+
+
+@query(
+    f"""WITH {O.ISOLATES}, own AS (SELECT DISTINCT genome_id, kmer FROM gkmers)
+SELECT genome_id AS gene_id, count(*) AS n_kmers, count(*) FILTER (WHERE kmer IN (SELECT kmer FROM strong)) AS n_wanted, round(avg((kmer IN (SELECT kmer FROM strong))::INT), 6) AS share FROM own GROUP BY genome_id"""
+)
+def gene_overlap(spark, sf_dir):
+    genes = D.isolates(spark, sf_dir).select(F.col("genome_id").alias("gene_id"), "seq")
+    return cohort.gene_carriage(genes, strong_kmers_of(spark, sf_dir), O.K).withColumn("share", r6("share"))
+
+
+@query(f"WITH {O.ISOLATES} SELECT kmer FROM assoc WHERE kmer NOT IN (SELECT kmer FROM gkmers WHERE lineage = 'en')")
+def explained_residual(spark, sf_dir):
+    """Informative k-mers that no English genome holds."""
+    genomes = D.isolates(spark, sf_dir)
+    return cohort.residual(cohort.association(genomes, O.K), genomes.where("lineage = 'en'").select(F.col("genome_id").alias("gene_id"), "seq"), O.K).select("kmer")
+
+
+@query(
+    f"""WITH {O.ISOLATES}, lk AS (SELECT DISTINCT lineage || '-' || label AS g, kmer FROM gkmers),
+sk AS (SELECT g, kmer FROM (SELECT g, kmer, row_number() OVER (PARTITION BY g ORDER BY kmer) AS r FROM lk) WHERE r <= 200),
+u AS (SELECT a.g AS a, b.g AS b, x.kmer, count(*) AS c FROM (SELECT DISTINCT g FROM sk) a JOIN (SELECT DISTINCT g FROM sk) b ON a.g < b.g JOIN sk x ON x.g IN (a.g, b.g) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY kmer) AS r FROM u)
+SELECT a, b, round(avg((c = 2)::INT), 6) AS jaccard FROM o WHERE r <= 200 GROUP BY a, b HAVING sum((c = 2)::INT) > 0"""
+)
+def minhash_jaccard(spark, sf_dir):
+    """Similarity of the bottom-200 sketches of lineage and phenotype groups."""
+    rows = D.isolates(spark, sf_dir).select(F.concat_ws("-", "lineage", "label").alias("genome_id"), "seq")
+    return cohort.sketch_similarity(cohort.sketches(rows, O.K, 200), 200).withColumn("jaccard", r6("jaccard"))
+
+
+@query(
+    f"""WITH {O.ISOLATES}, c AS (SELECT i.genome_id, i.label, i.lineage, count(g.kmer) AS n FROM isolates i LEFT JOIN (SELECT DISTINCT genome_id, kmer FROM gkmers WHERE kmer IN (SELECT kmer FROM strong)) g USING (genome_id) GROUP BY ALL),
+m AS (SELECT lineage, count(*) FILTER (WHERE label = 'R') AS n_r, count(*) FILTER (WHERE label = 'S') AS n_s, avg(n) FILTER (WHERE label = 'R') AS mean_r, avg(n) FILTER (WHERE label = 'S') AS mean_s FROM c GROUP BY lineage)
+SELECT lineage, n_r, n_s, round(mean_r, 6) AS mean_r, round(mean_s, 6) AS mean_s, mean_r > 1.5 * mean_s + 1 AS separates FROM m"""
+)
+def within_lineage(spark, sf_dir):
+    found = cohort.within_lineages(D.isolates(spark, sf_dir), strong_kmers_of(spark, sf_dir), O.K)
+    return found.withColumns({"mean_r": r6("mean_r"), "mean_s": r6("mean_s")})
+
+
+@query(
+    """WITH c AS (SELECT label AS t, CAST(floor((embedding[1] + 1) * 5) AS INT) AS f, CAST(count(*) AS DOUBLE) AS c FROM embeddings GROUP BY ALL),
+a AS (SELECT t, sum(c) AS a FROM c GROUP BY t), b AS (SELECT f, sum(c) AS b FROM c GROUP BY f), n AS (SELECT sum(c) AS n FROM c),
+s AS (SELECT (SELECT n FROM n) AS n, (SELECT sum(c * (c - 1) / 2) FROM c) AS cc, (SELECT sum(a * (a - 1) / 2) FROM a) AS aa, (SELECT sum(b * (b - 1) / 2) FROM b) AS bb,
+  (SELECT sum(c / n * ln(c * n / (a * b))) FROM c JOIN a USING (t) JOIN b USING (f), n) AS mi, (SELECT -sum(a / n * ln(a / n)) FROM a, n) AS ha, (SELECT -sum(b / n * ln(b / n)) FROM b, n) AS hb,
+  (SELECT sum(m) FROM (SELECT max(c) AS m FROM c GROUP BY f)) AS best)
+SELECT CAST(n AS BIGINT) AS n, round((cc - aa * bb / (n * (n - 1) / 2)) / ((aa + bb) / 2 - aa * bb / (n * (n - 1) / 2)), 6) AS ari, round(mi / ((ha + hb) / 2), 6) AS nmi, round(best / n, 6) AS purity FROM s"""
+)
+def label_agreement(spark, sf_dir):
+    """ARI, NMI and purity of the embeddings' labels and bins of their first component."""
+    rows = D.table(spark, sf_dir, "embeddings").select("label", F.floor((F.get("embedding", F.lit(0)) + F.lit(1).cast("float")) * F.lit(5).cast("float")).cast("int").alias("bin"))
+    found = evaluate.agreement(rows, "label", "bin")
+    return found.select("n", r6("ari").alias("ari"), r6("nmi").alias("nmi"), r6("purity").alias("purity"))
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
