@@ -320,7 +320,8 @@ def near_duplicates(
     # the leader is a row of every block of its group
     block = F.when(F.col("doc_id") == F.col("leader"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
     dealt = sized.select("leader", "blocks", "doc_id", F.explode(block).alias("block"))
-    texts = docs.join(dealt, "doc_id").select("leader", "blocks", "block", "doc_id", "text")
+    # a merge join at every size: a broadcast of these ids would grow with the corpus
+    texts = docs.join(dealt.hint("merge"), "doc_id").select("leader", "blocks", "block", "doc_id", "text")
     profiles = texts.join(signatures.select("doc_id", "signature"), "doc_id").select("leader", "blocks", "block", "doc_id", "signature", "text")
     profiles = written(with_shingles(profiles, words, hashes), "profiles")
     found = written(links_in_groups(profiles, check), "links")
