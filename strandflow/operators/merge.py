@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.functions.sequence import steps
+from strandflow.plans.session import settled
 
 
 def symbol_rows(sequences: DataFrame, seq: str = "seq") -> DataFrame:
@@ -76,7 +77,7 @@ def byte_pair_merges(rows: DataFrame, rounds: int = 300, least: int = 5, width:
         history += [{"step": len(history) + i, "level": level, "a": a, "b": b, "n": n[a, b]} for i, (a, b) in enumerate(chosen)]
         rows = replaced(rows, chosen)
         if level % 10 == 9:
-            rows = rows.checkpoint()
+            rows = settled(rows)
     return rows, history
 
 

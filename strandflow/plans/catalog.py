@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions import sequence as S
-from strandflow.operators import cohort, evaluate, pieces, scan
+from strandflow.operators import cluster, cohort, evaluate, fusion, merge, pieces, resonance, scan
 from strandflow.operators.measures import measured
 from strandflow.plans import oracle as O
 from strandflow.sources import documents as D
+from strandflow.sources import reports
 
 W, STEP = O.W, O.STEP
 QUERIES: dict = {}
@@ -377,6 +378,233 @@ def label_agreement(spark, sf_dir):
     return found.select("n", r6("ari").alias("ari"), r6("nmi").alias("nmi"), r6("purity").alias("purity"))
 
 
+FRAGMENT = 5000
+
+
+@query(
+    f"""WITH {O.CONTIGS}, {O.SPINE2}, {O.windows('w0', window=FRAGMENT, step=FRAGMENT)}, wins AS (SELECT * FROM w0 WHERE length(seq) = {FRAGMENT}), {O.letters()}, {O.entropies('h3', 3)}, {O.entropies('h4', 4)}, {O.entropies('k1', 1)}, {O.entropies('k2', 2)}, {O.hurst()}, {O.period3()}, {O.rho('rr')},
+f AS (SELECT contig_id, window_no, unnest([{{'name': 'gc', 'value': l.c + l.g}}, {{'name': 'h3', 'value': h3.h / 6}}, {{'name': 'h4', 'value': h4.h / 8}}, {{'name': 'hurst', 'value': hurst.h}}, {{'name': 'mi1', 'value': greatest(2 * k1.h - k2.h, 0)}}, {{'name': 'ac3', 'value': ac.h}}]) AS x
+  FROM wins JOIN letters_wins l USING (contig_id, window_no) JOIN h3 USING (contig_id, window_no) JOIN h4 USING (contig_id, window_no) JOIN k1 USING (contig_id, window_no) JOIN k2 USING (contig_id, window_no) JOIN hurst USING (contig_id, window_no) JOIN ac USING (contig_id, window_no))
+SELECT contig_id, window_no, x.name AS feature, round(x.value, 6) AS value FROM f
+UNION ALL SELECT contig_id, window_no, printf('rho_%02d', (row_number() OVER (PARTITION BY contig_id, window_no ORDER BY g)) - 1), round(rho, 6) FROM rr"""
+)
+def features22(spark, sf_dir):
+    """The 22 features of whole fragments of 5000 letters."""
+    found = cluster.features(fragments5000(spark, sf_dir)).select("contig_id", "window_no", F.posexplode("features").alias("i", "value"))
+    name = F.get(F.array(*[F.lit(x) for x in cluster.FEATURES]), F.col("i"))
+    return found.select("contig_id", "window_no", name.alias("feature"), r6("value").alias("value"))
+
+
+def fragments5000(spark, sf_dir):
+    return pieces.windows(D.contig_pieces(spark, sf_dir), FRAGMENT, FRAGMENT).where(F.length("seq") == FRAGMENT)
+
+
+def fragment_z(spark, sf_dir):
+    return cluster.standardised(cluster.features(fragments5000(spark, sf_dir)))
+
+
+@query()
+def kmeans_fragments(spark, sf_dir):
+    """Agreement of k-means clusters of the fragments with their contigs."""
+    found = cluster.k_means(fragment_z(spark, sf_dir), 4, runs=2)
+    return evaluate.agreement(found, "contig_id", "cluster")
+
+
+@query()
+def ward_fragments(spark, sf_dir):
+    """Cluster of each fragment by Ward linkage."""
+    return cluster.hierarchical(fragment_z(spark, sf_dir), 4).select("contig_id", "window_no", "cluster")
+
+
+@query()
+def average_linkage_fragments(spark, sf_dir):
+    return cluster.hierarchical(fragment_z(spark, sf_dir), 6, "average").select("contig_id", "window_no", "cluster")
+
+
+def first_letters(n: int) -> str:
+    return f"{O.DOCS}, m AS (SELECT doc_id, list_transform(range(1, {n + 1}), lambda i: instr('ACGT', substr(seq, i, 1)) - 1) AS s FROM doc_seq WHERE length(seq) >= {n})"
+
+
+STABLE = "CASE WHEN sum(n) <= 1 THEN 0.0 WHEN count(*) < 2 THEN 1.0 ELSE 1.0 - (log2(sum(n)) - sum(n * log2(n)) / sum(n)) / log2(count(*)) END"
+
+
+@query(
+    f"""WITH {first_letters(60)}, n AS (SELECT count(*) AS rows FROM m), f AS (SELECT v, count(*) / (SELECT rows * 60 FROM n) AS f FROM (SELECT unnest(s) AS v FROM m) GROUP BY v),
+occ AS (SELECT s, k, c, s[c + 1] AS b1, s[c + k + 1] AS b2 FROM (SELECT s, k, unnest(range(0, 60 - k)) AS c FROM (SELECT s, unnest(range(1, 7)) AS k FROM m))),
+p AS (SELECT k, b1, b2, 'p' AS kind, c AS v FROM occ UNION ALL SELECT k, b1, b2, 'l', s[c] FROM occ WHERE c > 0 UNION ALL SELECT k, b1, b2, 'r', s[c + k + 1] FROM occ WHERE c + k + 1 < 60
+  UNION ALL SELECT k, b1, b2, 'g', s[c + g + 1] FROM (SELECT *, unnest(range(1, least(k, 4))) AS g FROM occ WHERE k > 1)),
+h AS (SELECT k, b1, b2, kind, v, count(*) AS n FROM p GROUP BY ALL), st AS (SELECT k, b1, b2, kind, {STABLE} AS s FROM h GROUP BY k, b1, b2, kind),
+t AS (SELECT k, b1, b2, count(*) AS n FROM occ GROUP BY ALL), w AS (SELECT k, b1, b2, max(s) FILTER (WHERE kind = 'p') AS p, max(s) FILTER (WHERE kind = 'l') AS l, max(s) FILTER (WHERE kind = 'r') AS r, max(s) FILTER (WHERE kind = 'g') AS g FROM st GROUP BY ALL),
+v AS (SELECT t.b1, t.b2, t.k, t.n, least(1, ln(1 + 10.0 * t.n) / ln(1 + (SELECT rows FROM n) * (60 - t.k))) AS a, abs(t.n - coalesce(u.n, 0)) / (t.n + coalesce(u.n, 0)) AS d,
+  1 - exp(-greatest(log2(t.n / ((SELECT rows FROM n) * (60 - t.k)) / (f1.f * f2.f)), 0) / 4) AS mi, w.p, (coalesce(w.l, 0) + coalesce(w.r, 0)) / 2 AS x, CASE WHEN t.k > 1 THEN coalesce(w.g, 0) ELSE 1.0 END AS g
+  FROM t LEFT JOIN t u ON u.k = t.k AND u.b1 = t.b2 AND u.b2 = t.b1 JOIN w ON w.k = t.k AND w.b1 = t.b1 AND w.b2 = t.b2 JOIN f f1 ON f1.v = t.b1 JOIN f f2 ON f2.v = t.b2 WHERE t.n >= 5)
+SELECT CAST(b1 AS INT) AS b1, CAST(b2 AS INT) AS b2, CAST(k AS INT) AS k, n, round(a, 6) AS a, round(d, 6) AS d, round(mi, 6) AS mi, round(p, 6) AS p, round(x, 6) AS x, round(g, 6) AS g,
+  round(CASE WHEN least(a, d, mi, p, x, g) > 0 THEN exp((ln(a) + ln(d) + ln(mi) + ln(p) + ln(x) + ln(g)) / 6) ELSE 0 END, 6) AS r FROM v"""
+)
+def resonance_pairs(spark, sf_dir):
+    """Pair resonance over the first 60 letters of the documents that have them, as an aligned matrix."""
+    docs = D.document_sequences(spark, sf_dir).where(F.length("seq") >= 60).select(S.codes(F.substring("seq", 1, 60)).alias("symbols"))
+    found = resonance.resonance(docs, 60)
+    return found.select("b1", "b2", "k", "n", *[r6(c).alias(c) for c in ("a", "d", "mi", "p", "x", "g", "r")])
+
+
+@query(
+    f"""WITH {O.DOCS}, d AS (SELECT doc_id, seq FROM doc_seq WHERE length(seq) >= 12),
+x AS (SELECT doc_id, length(seq) AS n, i - 1 AS pos, substr(seq, i, 1) AS c, CASE WHEN i > 5 THEN substr(seq, i - 5, 5) END AS pre, CASE WHEN i + 5 <= length(seq) THEN substr(seq, i + 1, 5) END AS post FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM d)),
+hb AS (SELECT doc_id, pre, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM (SELECT doc_id, pre, c, count(*) AS n FROM x WHERE pre IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+ha AS (SELECT doc_id, post, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS h FROM (SELECT doc_id, post, c, count(*) AS n FROM x WHERE post IS NOT NULL GROUP BY ALL) GROUP BY ALL)
+SELECT x.doc_id, count(*) AS n, round(avg(abs(hb.h - ha.h)), 6) AS mean_abs FROM x JOIN hb ON hb.doc_id = x.doc_id AND hb.pre = x.pre JOIN ha ON ha.doc_id = x.doc_id AND ha.post = x.post WHERE x.pos >= 5 AND x.pos < x.n - 5 GROUP BY x.doc_id"""
+)
+def delta_h(spark, sf_dir):
+    """Mean absolute contrast of forward and backward conditional entropies of each document."""
+    found = resonance.entropy_contrast(D.document_sequences(spark, sf_dir).select("doc_id", "seq"), "doc_id")
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.abs("delta_h"))).alias("mean_abs"))
+
+
+@query(
+    f"""WITH {O.CONTIGS}, w AS (SELECT contig_id, length(seq) AS len, k AS window_no, seq, k * 1000 AS s, least(k * 1000 + 5000, length(seq) - 7) AS e FROM (SELECT contig_id, seq, unnest(range(0, greatest(0, (length(seq) - 5000) // 1000) + 1)) AS k FROM contigs WHERE length(seq) >= 8)),
+f AS (SELECT DISTINCT contig_id, window_no, substr(seq, i + 1, 8) AS g FROM (SELECT *, unnest(range(s, e)) AS i FROM w)),
+b AS (SELECT DISTINCT contig_id, window_no, reverse(translate(substr(seq, i + 1, 8), 'ACGT', 'TGCA')) AS g FROM (SELECT *, unnest(range(s, least(e + 500, len - 7))) AS i FROM w))
+SELECT w.contig_id, CAST(w.window_no AS BIGINT) AS window_no, CAST(count(b.g) AS INT) AS n FROM w LEFT JOIN f USING (contig_id, window_no) LEFT JOIN b ON b.contig_id = f.contig_id AND b.window_no = f.window_no AND b.g = f.g GROUP BY ALL"""
+)
+def inverted_repeats(spark, sf_dir):
+    found = pieces.windows(D.contig_pieces(spark, sf_dir), 5000, 1000, extra=507)
+    return resonance.inverted_repeats(found)
+
+
+@query(
+    f"""WITH {O.CONTIGS}, {O.windows()}, {O.entropies('one', 1)},
+g AS (SELECT contig_id, window_no, lag, a, b, count(*) AS n FROM (SELECT contig_id, window_no, lag, substr(seq, i, 1) AS a, substr(seq, i + lag, 1) AS b FROM (SELECT *, unnest(range(1, length(seq) - lag + 1)) AS i FROM (SELECT *, unnest(range(1, 13)) AS lag FROM wins))) GROUP BY ALL),
+h AS (SELECT contig_id, window_no, lag, greatest(2 * o.h - e, 0) AS mi FROM (SELECT contig_id, window_no, lag, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS e FROM g GROUP BY ALL) JOIN one o USING (contig_id, window_no)),
+s AS (SELECT contig_id, window_no, regr_slope(ln(mi), lag) AS slope FROM h WHERE mi > 1e-12 GROUP BY ALL)
+SELECT contig_id, window_no * {STEP} AS start, round(slope, 6) AS slope, round(CASE WHEN slope < -1e-6 THEN -ln(2) / slope END, 4) AS half_life FROM s"""
+)
+def mi_half_life(spark, sf_dir):
+    rows = contig_windows(spark, sf_dir).withColumn("unit", F.struct("contig_id", "start"))
+    found = resonance.information_half_life(rows, "unit")
+    return found.select("unit.contig_id", "unit.start", r6("slope").alias("slope"), F.round("half_life", 4).alias("half_life"))
+
+
+@query(
+    f"""WITH RECURSIVE {O.CONTIGS}, {O.windows()}, c AS {O.grams(4)}, t AS (SELECT contig_id, window_no, sum(n) AS n, list(n) AS c FROM c GROUP BY ALL),
+b AS (SELECT contig_id, window_no, n, c, 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM t
+  UNION ALL SELECT contig_id, window_no, n, c, i + 1, CASE WHEN heavy THEN mid ELSE lo END, CASE WHEN heavy THEN hi ELSE mid END FROM (SELECT *, (lo + hi) / 2 AS mid, coalesce(list_sum(list_filter(c, lambda x: x / n > (lo + hi) / 2)), 0) / n > 0.5 AS heavy FROM b WHERE i < 50))
+SELECT contig_id, window_no * {STEP} AS start, round(len(list_filter(c, lambda x: x / n > (lo + hi) / 2)) / len(c), 6) AS share FROM b WHERE i = 50"""
+)
+def sdr(spark, sf_dir):
+    """Share of each window's distinct 4-mers that hold half of its mass."""
+    return measured_windows(spark, sf_dir).select("contig_id", "start", r6(S.structural_share(F.filter("k4", lambda n: n > 0))).alias("share"))
+
+
+@query(
+    f"""WITH {O.CONTIGS}, {O.windows()}, {O.entropies('h3', 3)},
+h AS (SELECT c.contig_id, coalesce(stddev_pop(h3.h / 6) FILTER (WHERE w.start < length(c.seq) - {W}), 0.00844) AS het FROM contigs c LEFT JOIN wins w USING (contig_id) LEFT JOIN h3 USING (contig_id, window_no) WHERE length(c.seq) > 0 GROUP BY c.contig_id)
+SELECT contig_id, round(het, 6) AS heterogeneity, round(1 / (1 + exp(-(het - 0.00844) / 0.00445)), 6) AS weight FROM h"""
+)
+def heterogeneity(spark, sf_dir):
+    h3 = measured_windows(spark, sf_dir).select("contig_id", "start", (S.entropy(F.col("k3")) / 6).alias("h3"))
+    found = fusion.heterogeneity(h3, D.contig_pieces(spark, sf_dir), W)
+    return found.select("contig_id", r6("heterogeneity").alias("heterogeneity"), r6(fusion.fusion_weight(F.col("heterogeneity"))).alias("weight"))
+
+
+@query(
+    f"""WITH {O.CONTIGS}, {O.windows()}, {O.letters()}, {O.entropies('h3', 3)},
+x AS (SELECT contig_id, start, round(c + g, 9) AS composite, round(h3.h, 9) AS structural, row_number() OVER (PARTITION BY contig_id ORDER BY round(c + g, 9), start) - 1 AS a, row_number() OVER (PARTITION BY contig_id ORDER BY round(h3.h, 9), start) - 1 AS b, count(*) OVER (PARTITION BY contig_id) - 1 AS n FROM wins JOIN letters_wins USING (contig_id, window_no) JOIN h3 USING (contig_id, window_no))
+SELECT contig_id, start, round(coalesce(0.6::DOUBLE * a / nullif(n, 0) + 0.4::DOUBLE * b / nullif(n, 0), 0) * 3, 6) AS fused FROM x"""
+)
+def soft_fusion(spark, sf_dir):
+    """Soft fusion of two window channels, GC and 3-mer entropy, at weight 0.4."""
+    m = measured_windows(spark, sf_dir).select("contig_id", "start", F.round(S.gc_content(F.col("seq")), 9).alias("composite"), F.round(S.entropy(F.col("k3")), 9).alias("structural"), F.lit(0.4).alias("weight"))
+    return fusion.soft_fusion(m).select("contig_id", "start", r6("fused").alias("fused"))
+
+
+@query()
+def two_channel_scan(spark, sf_dir):
+    """The scan's windows re-ranked by soft fusion with the compression channel."""
+    found = scan.suppressed(scored(spark, sf_dir))
+    text = contig_windows(spark, sf_dir).select("contig_id", "start", "seq")
+    rows = fusion.structural_distance(found.join(text, ["contig_id", "start"])).withColumn("composite", F.col("composite").cast("double"))
+    h3 = measured_windows(spark, sf_dir).select("contig_id", "start", (S.entropy(F.col("k3")) / 6).alias("h3"))
+    weight = fusion.heterogeneity(h3, D.contig_pieces(spark, sf_dir), W).select("contig_id", fusion.fusion_weight(F.col("heterogeneity")).alias("weight"))
+    return fusion.soft_fusion(rows.join(weight, "contig_id")).select("contig_id", "start", "end", r6("fused").alias("fused"))
+
+
+KEYWORDS, OTHERS = ["tion", "ment", "lich"], ["the", "que", "ein"]
+
+
+def keyword_sql(words: list[str]) -> str:
+    return " OR ".join(f"contains(lower(description), '{w}')" for w in words)
+
+
+@query(
+    f"""WITH h AS (SELECT regexp_extract(url, '://([^/]+)', 1) AS host, page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS description FROM pages),
+t AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id, description) AS place FROM h), f AS (SELECT host, place, description, {keyword_sql(KEYWORDS)} AS w, {keyword_sql(OTHERS)} AS u FROM t WHERE place <= 10),
+g AS (SELECT host, count(*) AS n, avg(w::INT) AS ws, avg(u::INT) AS us, arg_min(description, place) FILTER (WHERE w) AS first_wanted FROM f GROUP BY host)
+SELECT host, n, round(ws, 6) AS wanted_share, round(us, 6) AS unwanted_share, first_wanted, CASE WHEN round(ws - us, 9) > 0.1 THEN 'LIKELY' WHEN round(ws - us, 9) < -0.1 THEN 'UNLIKELY' WHEN first_wanted IS NOT NULL THEN 'POSSIBLE' ELSE 'UNKNOWN' END AS verdict FROM g"""
+)
+def hit_classification(spark, sf_dir):
+    """Keyword verdicts on each host's first ten page titles (top ten hits)."""
+    pages = D.table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/]+)", 1).alias("host"), "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("description"))
+    found = fusion.classify_hits(pages, ["host"], "page_id", "description", KEYWORDS, OTHERS)
+    return found.select("host", "n", r6("wanted_share").alias("wanted_share"), r6("unwanted_share").alias("unwanted_share"), "first_wanted", "verdict")
+
+
+@query()
+def bootstrap_ci(spark, sf_dir):
+    """Bootstrap interval of the mean event value."""
+    return evaluate.bootstrap_means(D.table(spark, sf_dir, "events"), "value", "event_id", 200)
+
+
+@query()
+def byte_pairs(spark, sf_dir):
+    """Symbols by length after 24 byte-pair merges of the documents' letters."""
+    rows = merge.symbol_rows(D.document_sequences(spark, sf_dir).withColumnRenamed("doc_id", "seq_id"))
+    return merge.lengths(merge.byte_pair_merges(rows, rounds=24)[0])
+
+
+@query(
+    f"""WITH s AS (SELECT user_id, list(c ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id, (SELECT count(DISTINCT event_type) FROM events x WHERE x.event_type < e.event_type) AS c FROM events e) GROUP BY user_id),
+k AS (SELECT user_id, a * 5 + b AS g, count(*) AS n FROM (SELECT user_id, s[i] AS a, s[i + 1] AS b FROM (SELECT *, unnest(range(1, len(s))) AS i FROM s)) GROUP BY ALL),
+h AS (SELECT user_id, {O.ENTROPY} AS h FROM k GROUP BY user_id)
+SELECT s.user_id, CAST(len(s) AS INT) AS n, round(CASE WHEN len(s) < 2 THEN 0 ELSE coalesce(h.h, 0) / log2(25) END, 6) AS h2 FROM s LEFT JOIN h USING (user_id)"""
+)
+def event_pair_entropy(spark, sf_dir):
+    """The same functions on another alphabet: entropy of each user's consecutive event types."""
+    users = D.user_symbols(spark, sf_dir)
+    return users.select("user_id", F.size("symbols").alias("n"), r6(S.kmer_entropy(F.col("symbols"), 2, 5)).alias("h2"))
+
+
+@query(
+    f"""WITH {O.CONTIGS}, {O.windows()}, {O.letters()}, q AS (SELECT contig_id, quantile_cont(c + g, 0.5) AS med, quantile_cont(c + g, 0.25) AS lo, quantile_cont(c + g, 0.75) AS hi, max(c + g) AS top FROM letters_wins GROUP BY contig_id)
+SELECT contig_id, round((top - med) / (hi - lo + 1e-9), 4) AS contrast FROM q WHERE hi > lo"""
+)
+def tail_contrast(spark, sf_dir):
+    """Contigs whose windows' GC content varies between its quartiles."""
+    gc = contig_windows(spark, sf_dir).select("contig_id", S.gc_content(F.col("seq")).alias("gc"))
+    varied = gc.groupBy("contig_id").agg((F.percentile("gc", F.lit(0.75)) > F.percentile("gc", F.lit(0.25))).alias("v")).where("v").select("contig_id")
+    return resonance.tail_contrast(gc.join(varied, "contig_id"), ["contig_id"], "gc").select("contig_id", F.round("contrast", 4).alias("contrast"))
+
+
+@query(f'WITH {O.GENES}, n AS (SELECT contig_id, "end" AS s, lead(start) OVER (PARTITION BY contig_id ORDER BY start, "end") AS e FROM genes) SELECT contig_id, s AS start, e AS "end" FROM n WHERE e - s >= 20')
+def gene_gaps(spark, sf_dir):
+    """Stretches of 20 letters or more between a gene and the next."""
+    return pieces.complement(D.genes(spark, sf_dir), ["contig_id"], 20)
+
+
+@query(
+    f"""{O.SCAN}, {O.SUPPRESSED}, {O.CONTEXT},
+placed AS (SELECT *, row_number() OVER (PARTITION BY contig_id ORDER BY boosted DESC, start) AS place FROM boosted),
+best AS (SELECT *, least(boosted / 3.0::DOUBLE, 1.0::DOUBLE) AS confidence FROM placed WHERE place <= 20), top AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, contig_id, place) AS rank FROM best),
+ev AS (SELECT rank, contig_id, start, "end", confidence, unnest({EVIDENCE}) AS e FROM top WHERE rank <= 20),
+five AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY (e.z > 1.5) DESC, e.z DESC, e.i) AS o FROM ev)
+SELECT CAST(rank AS INT) AS rank, contig_id AS contig, start, "end", "end" - start AS length, '+' AS strand, printf('%.3f', round(confidence, 3)) AS confidence, 'novel' AS novelty, '' AS nearest_known,
+  coalesce(string_agg(e.name || ': z=' || printf('%.1f', round(e.z, 1)), '; ' ORDER BY o) FILTER (WHERE e.z > 1.5 AND o <= 5), '') AS evidence FROM five GROUP BY ALL"""
+)
+def report_tsv(spark, sf_dir):
+    """The TSV report of the top 20 candidates (a top-k report)."""
+    return reports.tsv_columns(scan.candidates(scan.with_context(scan.suppressed(scored(spark, sf_dir))), 20))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

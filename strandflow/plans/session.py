@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, str] = {}
 
@@ -23,3 +23,12 @@ def ship_package(spark: SparkSession) -> None:
             z.write(path, path.relative_to(root.parent))
     context.addPyFile(str(archive))
     _shipped[context.applicationId] = str(archive)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df checkpointed in the folder that spark.checkpoint.dir names (a temporary one where it is unset): rows that later jobs
+    read alike, with a cut lineage that outlives lost executors."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandflow-"))
+    return df.checkpoint()
