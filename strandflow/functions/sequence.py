@@ -125,7 +125,7 @@ def autocorrelations(symbols: Column, most_lag: int = 30) -> Column:
         norm = total(F.transform(c, lambda x: x * x))
         return let(norm, lambda v: F.when(v > 1e-9, F.transform(steps(1, F.least(F.lit(most_lag), F.floor(n / 4))), lambda lag: each(lag) / v)))
 
-    centred = lambda s: let(total(s) / F.size(s), lambda mean: F.transform(s, lambda x: x - mean))
+    centred = lambda s: let(total(s) / F.nullif(F.size(s), F.lit(0)), lambda mean: F.transform(s, lambda x: x - mean))
     return let(symbols, lambda s: let(centred(s), lags))
 
 
