@@ -203,10 +203,16 @@ def rho_vector(symbols: Column, expected_zero: float = 1.0) -> Column:
 
 def rscu_from_counts(n: Column) -> Column:
     """64 relative synonymous codon usages from dense counts: count over the mean of its group; 1 for empty groups and for fewer than 10 codons."""
-    group = {c: SYNONYMS[aa] for aa, cs in SYNONYMS.items() for c in cs}
-    mean = {c: sum(F.get(n, F.lit(x)) for x in g) / float(len(g)) for c, g in group.items()}
-    few = total(n, 0) < 10
-    return F.array(*[F.when(few | (mean[c] == 0), 1.0).otherwise(F.get(n, F.lit(c)) / F.nullif(mean[c], F.lit(0.0))) for c in range(64)])
+    groups = list(SYNONYMS)
+    group = F.array(*[F.lit(groups.index(aa)) for aa in GENETIC_CODE])
+
+    def of(c: Column) -> Column:
+        means = F.array(*[sum(F.get(c, F.lit(x)) for x in SYNONYMS[aa]) / float(len(SYNONYMS[aa])) for aa in groups])
+        usage = lambda i, m: F.when(F.get(m, F.get(group, i)) > 0, F.get(c, i) / F.get(m, F.get(group, i))).otherwise(1.0)
+        each = lambda m: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: usage(i, m))
+        return F.when(total(c, 0) < 10, F.array_repeat(F.lit(1.0), 64)).otherwise(let(means, each))
+
+    return let(n, of)
 
 
 def rscu(symbols: Column) -> Column:
