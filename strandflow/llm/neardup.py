@@ -85,6 +85,12 @@ def shingler(words: int, hashes: int) -> Shingler:
     return Shingler(words, hashes)
 
 
+def met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A merge join at every size: both sides grow with the corpus, so neither is ever broadcast, and the plan that small inputs
+    show is the plan of large ones."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def features(docs: DataFrame, doc_id: str, text: str, words: int, hashes: int) -> DataFrame:
     """doc_id, n_shingles, digest_a, digest_b, signature of each row; sets without shingles have no digest and signature."""
 
@@ -233,11 +239,11 @@ def links_in_groups(profiles: DataFrame, check: Verifier) -> DataFrame:
 
 def links_across_blocks(profiles: DataFrame, strays: DataFrame, check: Verifier) -> DataFrame:
     """leader, block, a, b: links of strays (leader, stray_block, doc_id) with the members of all other blocks of their group, a block of each a task."""
-    marked = profiles.join(strays.select("leader", "doc_id", F.lit(1).alias("stray")), ["leader", "doc_id"], "left")
+    marked = met(profiles, strays.select("leader", "doc_id", F.lit(1).alias("stray")), ["leader", "doc_id"], "left")
     others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda k: k != F.col("block"))
     asked = marked.where("stray = 1").select("leader", F.explode(others).alias("block"), F.col("block").alias("stray_block"), F.lit(0).alias("kind"), "doc_id", "signature", "shingles")
-    met = strays.select("leader", F.col("block").alias("stray_block")).distinct()
-    members = profiles.join(met, "leader").where("block != stray_block").select("leader", "block", "stray_block", F.lit(1).alias("kind"), "doc_id", "signature", "shingles")
+    sought = strays.select("leader", F.col("block").alias("stray_block")).distinct()
+    members = met(profiles, sought, "leader").where("block != stray_block").select("leader", "block", "stray_block", F.lit(1).alias("kind"), "doc_id", "signature", "shingles")
     rows = asked.union(members).repartition("leader", "block", "stray_block").sortWithinPartitions("leader", "block", "stray_block", "kind", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,9 +270,9 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         seen = state
         near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = near.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = near.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = met(near, low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        both = large.join(low, "u")
+        both = met(large, low, "u")
         small = both.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         edges = written(small, "edges")
     raise RuntimeError("the components did not settle")
@@ -301,28 +307,27 @@ def near_duplicates(
     base = written(features(docs, "doc_id", "text", words, hashes), "features")
     usable = base.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("digest_a", "digest_b").agg(F.min("doc_id").alias("first_id"))
-    firsts = usable.join(classes, ["digest_a", "digest_b"]).where("doc_id = first_id").dropDuplicates(["doc_id", "digest_a"])
+    firsts = met(usable, classes, ["digest_a", "digest_b"]).where("doc_id = first_id").dropDuplicates(["doc_id", "digest_a"])
     signatures = written(firsts.select("doc_id", "digest_a", "n_shingles", "signature"), "signatures")
 
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.substring(F.col("signature"), k * (2 * rows) + 1, F.lit(2 * rows)))))
     placed = signatures.select("doc_id", "n_shingles", band.alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = written(placed.join(shared, "bucket"), "buckets")
+    members = written(met(placed, shared, "bucket"), "buckets")
     reach = members.groupBy("doc_id").agg(F.sum("members").alias("reach"))
     # the most reaching member leads; equal reach: the least doc_id
-    ranked = members.join(reach, "doc_id").select("bucket", "doc_id", F.struct(-F.col("reach"), F.col("doc_id")).alias("rank"))
+    ranked = met(members, reach, "doc_id").select("bucket", "doc_id", F.struct(-F.col("reach"), F.col("doc_id")).alias("rank"))
     leaders = ranked.groupBy("bucket").agg(F.min("rank")["doc_id"].alias("leader"))
-    led = written(members.join(leaders, "bucket").groupBy("leader", "doc_id").agg(F.max("n_shingles").alias("n_shingles")), "led")
+    led = written(met(members, leaders, "bucket").groupBy("leader", "doc_id").agg(F.max("n_shingles").alias("n_shingles")), "led")
 
     sizes = led.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("n"))
     sizes = sizes.select("leader", F.greatest(F.ceil(F.col("m") / block_members), F.ceil(F.col("n") / block_shingles)).cast("bigint").alias("blocks"))
-    sized = led.join(sizes, "leader")
+    sized = met(led, sizes, "leader")
     # the leader is a row of every block of its group
     block = F.when(F.col("doc_id") == F.col("leader"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
     dealt = sized.select("leader", "blocks", "doc_id", F.explode(block).alias("block"))
-    # a merge join at every size: a broadcast of these ids would grow with the corpus
-    texts = docs.join(dealt.hint("merge"), "doc_id").select("leader", "blocks", "block", "doc_id", "text")
-    profiles = texts.join(signatures.select("doc_id", "signature"), "doc_id").select("leader", "blocks", "block", "doc_id", "signature", "text")
+    texts = met(docs, dealt, "doc_id").select("leader", "blocks", "block", "doc_id", "text")
+    profiles = met(texts, signatures.select("doc_id", "signature"), "doc_id").select("leader", "blocks", "block", "doc_id", "signature", "text")
     profiles = written(with_shingles(profiles, words, hashes), "profiles")
     found = written(links_in_groups(profiles, check), "links")
     links = found.where("b is not null").select("a", "b")
@@ -331,7 +336,8 @@ def near_duplicates(
         links = links.union(links_across_blocks(profiles.where("blocks > 1"), strays, check).select("a", "b"))
 
     groups = components(links)
-    stands = classes.join(groups.withColumnRenamed("node", "first_id"), "first_id", "left").select("digest_a", "digest_b", F.coalesce("component", "first_id").alias("component"))
-    result = base.select("doc_id", "n_shingles", "digest_a", "digest_b").join(stands, ["digest_a", "digest_b"], "left")
+    stands = met(classes, groups.withColumnRenamed("node", "first_id"), "first_id", "left").select("digest_a", "digest_b", F.coalesce("component", "first_id").alias("component"))
+    result = base.select("doc_id", "n_shingles", "digest_a", "digest_b")
+    result = met(result, stands, ["digest_a", "digest_b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
