@@ -32,7 +32,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     ship_package(spark)
     groups = neardup.near_duplicates(docs, words=5, percent=80)
     ids = written(groups.where("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("times")), "kept")
-    stay = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    stay = neardup.met(docs, ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
     if ids.where("times > 1 and kept_id is not null").isEmpty():
         return stay
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
