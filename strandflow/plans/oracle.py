@@ -7,14 +7,14 @@ from strandflow.operators.scan import FUSED
 
 W, STEP = 2000, 500
 
-DOCS = "doc_seq AS (SELECT doc_id, source, lang, upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS seq FROM documents)"
-CONTIGS = f"{DOCS}, contigs AS (SELECT source AS contig_id, string_agg(seq, '' ORDER BY doc_id) AS seq FROM doc_seq GROUP BY source)"
+DOCS = "doc_seq AS MATERIALIZED (SELECT doc_id, source, lang, upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS seq FROM documents)"
+CONTIGS = f"{DOCS}, contigs AS MATERIALIZED (SELECT source AS contig_id, string_agg(seq, '' ORDER BY doc_id) AS seq FROM doc_seq GROUP BY source)"
 HOST = "host AS (SELECT 'host' AS contig_id, string_agg(seq, '' ORDER BY contig_id) AS seq FROM contigs)"
 
 
 def windows(name: str = "wins", of: str = "contigs", window: int = W, step: int = STEP) -> str:
     return (
-        f"{name} AS (SELECT contig_id, k AS window_no, k * {step} AS start, least(k * {step} + {window}, length(seq)) AS \"end\", substr(seq, k * {step} + 1, {window}) AS seq "
+        f"{name} AS MATERIALIZED (SELECT contig_id, k AS window_no, k * {step} AS start, least(k * {step} + {window}, length(seq)) AS \"end\", substr(seq, k * {step} + 1, {window}) AS seq "
         f"FROM (SELECT contig_id, seq, unnest(range(0, greatest(0, (length(seq) - {window}) // {step}) + 1)) AS k FROM {of} WHERE length(seq) > 0))"
     )
 
@@ -65,11 +65,11 @@ SPINE2 = "spine2 AS (SELECT x || y AS g FROM (SELECT unnest(['A', 'C', 'G', 'T']
 SPINE3 = "spine3 AS (SELECT x || y || z AS g, substr('" + GENETIC_CODE + "', CAST(16 * (instr('ACGT', x) - 1) + 4 * (instr('ACGT', y) - 1) + instr('ACGT', z) AS INT), 1) AS aa FROM (SELECT unnest(['A', 'C', 'G', 'T']) AS x), (SELECT unnest(['A', 'C', 'G', 'T']) AS y), (SELECT unnest(['A', 'C', 'G', 'T']) AS z))"
 
 
-def rho(name: str, of: str = "wins") -> str:
+def rho(name: str, of: str = "wins", one: str = "", two: str = "") -> str:
     """name: contig_id, window_no, g, rho over all 16 pairs."""
     return f"""
-{name}_1 AS {grams(1, of)},
-{name}_2 AS {grams(2, of)},
+{name}_1 AS MATERIALIZED {one or grams(1, of)},
+{name}_2 AS MATERIALIZED {two or grams(2, of)},
 {name} AS (SELECT s.contig_id, s.window_no, p.g,
     CASE WHEN length(s.seq) < 10 OR x.n IS NULL OR y.n IS NULL THEN 1.0 ELSE coalesce(d.n, 0) / (length(s.seq) - 1) / (CAST(x.n AS DOUBLE) * y.n / length(s.seq) / length(s.seq)) END AS rho
   FROM {of} s CROSS JOIN spine2 p
@@ -78,17 +78,26 @@ def rho(name: str, of: str = "wins") -> str:
   LEFT JOIN {name}_2 d ON d.contig_id = s.contig_id AND d.window_no = s.window_no AND d.g = p.g)"""
 
 
-def rscu(name: str, of: str = "wins") -> str:
+def rscu(name: str, of: str = "wins", three: str = "") -> str:
     """name: contig_id, window_no, g, rscu over all 64 codons."""
     return f"""
-{name}_n AS {grams(3, of, every=3)},
+{name}_n AS {three or grams(3, of, every=3)},
 {name}_s AS (SELECT s.contig_id, s.window_no, length(s.seq) // 3 AS codons, p.g, p.aa, coalesce(c.n, 0) AS n FROM {of} s CROSS JOIN spine3 p LEFT JOIN {name}_n c ON c.contig_id = s.contig_id AND c.window_no = s.window_no AND c.g = p.g),
 {name} AS (SELECT contig_id, window_no, g, CASE WHEN codons < 10 THEN 1.0 ELSE coalesce(n / nullif(avg(n) OVER (PARTITION BY contig_id, window_no, aa), 0), 1.0) END AS rscu FROM {name}_s)"""
 
 
+def host_grams(k: int, every: int = 1) -> str:
+    """As grams, of the host's letters: substr on a string this long would start over for each k-mer."""
+    g = " || ".join(f"c{x}" for x in range(k))
+    return f"(SELECT 'host' AS contig_id, 0 AS window_no, {g} AS g, count(*) AS n FROM hostc WHERE c{k - 1} IS NOT NULL AND (i - 1) % {every} = 0 GROUP BY {g})"
+
+
 def profile() -> str:
-    whole = "hostw AS (SELECT contig_id, 0 AS window_no, seq FROM host)"
-    return f"{HOST}, {whole}, {rho('host_rho', 'hostw')}, {rscu('host_rscu', 'hostw')}, host_pairs AS {codon_pairs('hostw')}, host_size AS (SELECT sum(n) AS size FROM host_pairs)"
+    whole = "hostw AS MATERIALIZED (SELECT contig_id, 0 AS window_no, seq FROM host)"
+    split = "hostl AS (SELECT unnest(string_split(seq, '')) AS c0, generate_subscripts(string_split(seq, ''), 1) AS i FROM host)"
+    ahead = ", ".join(f"lead(c0, {x}) OVER (ORDER BY i) AS c{x}" for x in range(1, 6))
+    letters_ = f"{split}, hostc AS MATERIALIZED (SELECT i, c0, {ahead} FROM hostl)"
+    return f"{HOST}, {whole}, {letters_}, {rho('host_rho', 'hostw', host_grams(1), host_grams(2))}, {rscu('host_rscu', 'hostw', host_grams(3, 3))}, host_pairs AS MATERIALIZED {host_grams(6, 3)}, host_size AS (SELECT sum(n) AS size FROM host_pairs)"
 
 
 def signals(name: str, of: str) -> str:
@@ -99,12 +108,12 @@ def signals(name: str, of: str) -> str:
 {hurst(p + 'hurst', of)}, {period3(p + 'ac', of)}, {letters(of)}, {rho(p + 'rho', of)}, {rscu(p + 'rscu', of)},
 {p}rhod AS (SELECT w.contig_id, w.window_no, sqrt(sum((w.rho - h.rho) ** 2)) AS d FROM {p}rho w JOIN host_rho h USING (g) GROUP BY w.contig_id, w.window_no),
 {p}rscud AS (SELECT w.contig_id, w.window_no, sqrt(sum((w.rscu - h.rscu) ** 2)) AS d FROM {p}rscu w JOIN host_rscu h USING (g) GROUP BY w.contig_id, w.window_no),
-{p}pn AS {codon_pairs(of)},
+{p}pn AS MATERIALIZED {codon_pairs(of)},
 {p}pt AS (SELECT contig_id, window_no, sum(n) AS size FROM {p}pn GROUP BY contig_id, window_no),
 {p}bins AS (SELECT t.contig_id, t.window_no, (coalesce(n.n, 0) / t.size + 1e-10) / (1 + 4096e-10) AS p, (coalesce(h.n, 0) / (SELECT size FROM host_size) + 1e-10) / (1 + 4096e-10) AS q
   FROM {p}pt t CROSS JOIN (SELECT a.g || b.g AS g FROM spine3 a, spine3 b) s LEFT JOIN {p}pn n ON n.contig_id = t.contig_id AND n.window_no = t.window_no AND n.g = s.g LEFT JOIN host_pairs h ON h.g = s.g),
 {p}jsd AS (SELECT contig_id, window_no, sum(p * log2(2 * p / (p + q)) + q * log2(2 * q / (p + q))) / 2 AS d FROM {p}bins GROUP BY contig_id, window_no),
-{name} AS (SELECT s.contig_id, s.window_no, s.start, s."end", l.c + l.g AS gc, h3.h / 6 AS h3, hu.h AS hurst, ac.h AS ac3, greatest(2 * k1.h - k2.h, 0) AS mi1, abs(l.a - l.t) + abs(l.c - l.g) AS c2,
+{name} AS MATERIALIZED (SELECT s.contig_id, s.window_no, s.start, s."end", l.c + l.g AS gc, h3.h / 6 AS h3, hu.h AS hurst, ac.h AS ac3, greatest(2 * k1.h - k2.h, 0) AS mi1, abs(l.a - l.t) + abs(l.c - l.g) AS c2,
     rd.d AS rho, j.d AS cpd, cd.d AS rscu_d, greatest(2 * co.h - cp.h, 0) AS codon_mi
   FROM {of} s JOIN letters_{of} l USING (contig_id, window_no) JOIN {p}h3 h3 USING (contig_id, window_no) JOIN {p}hurst hu USING (contig_id, window_no) JOIN {p}ac ac USING (contig_id, window_no)
   JOIN {p}k1 k1 USING (contig_id, window_no) JOIN {p}k2 k2 USING (contig_id, window_no) JOIN {p}cod co USING (contig_id, window_no) JOIN {p}cp cp USING (contig_id, window_no)
@@ -119,7 +128,7 @@ def baseline() -> str:
 {windows('hwin_all', 'host', W, W)},
 hwin_n AS (SELECT count(*) AS n FROM hwin_all WHERE "end" - start = {W}),
 hwin_i AS (SELECT DISTINCT CASE WHEN i = least(500, n) - 1 THEN n - 1 ELSE CAST(floor(i * ((n - 1) / CAST(greatest(least(500, n) - 1, 1) AS DOUBLE))) AS BIGINT) END AS window_no FROM (SELECT n, unnest(range(0, least(500, n))) AS i FROM hwin_n)),
-hwin AS (SELECT * FROM hwin_all WHERE window_no IN (SELECT window_no FROM hwin_i) AND "end" - start = {W})"""
+hwin AS MATERIALIZED (SELECT * FROM hwin_all WHERE window_no IN (SELECT window_no FROM hwin_i) AND "end" - start = {W})"""
     stats = ", ".join(f"avg({s}) AS {s}_mean, greatest(stddev_pop({s}), 1e-6) AS {s}_std" for s in NAMES)
     return f"{grid}, {signals('hsig', 'hwin')}, stats AS (SELECT {stats} FROM hsig)"
 
@@ -130,13 +139,13 @@ def scan() -> str:
     geo = "round(exp((" + " + ".join(f"ln(greatest({s}, 0.01))" for s in FUSED) + f") / {len(FUSED)}), 9)"
     top = "list_sum(list_sort([" + ", ".join(f"r_{s}" for s in FUSED) + "])[1:3])"
     return f"""
-{windows()}, full_wins AS (SELECT * FROM wins WHERE "end" - start = {W}), {signals('sig', 'full_wins')},
+{windows()}, full_wins AS MATERIALIZED (SELECT * FROM wins WHERE "end" - start = {W}), {signals('sig', 'full_wins')},
 z0 AS (SELECT contig_id, window_no, start, "end", {z} FROM sig, stats),
-z AS (SELECT *, coalesce(abs(gc - lag(gc) OVER w) + abs(h3 - lag(h3) OVER w), 0.0) AS gradient FROM z0 WINDOW w AS (PARTITION BY contig_id ORDER BY start)),
+z AS MATERIALIZED (SELECT *, coalesce(abs(gc - lag(gc) OVER w) + abs(h3 - lag(h3) OVER w), 0.0) AS gradient FROM z0 WINDOW w AS (PARTITION BY contig_id ORDER BY start)),
 ranked AS (SELECT *, {geo} AS geomean, count(*) OVER (PARTITION BY contig_id) AS nw, {ranks} FROM z),
 fused AS (SELECT *, round(nw * 3.0::DOUBLE / {top}, 9) AS rankfusion FROM ranked),
 tracks AS (SELECT *, row_number() OVER (PARTITION BY contig_id ORDER BY geomean DESC, start) AS gr, row_number() OVER (PARTITION BY contig_id ORDER BY rankfusion DESC, start) AS fr FROM fused),
-scored AS (SELECT *, nw / least(gr, fr) AS composite, CASE WHEN gr <= fr THEN 'geometric' ELSE 'rankfusion' END AS track FROM tracks)"""
+scored AS MATERIALIZED (SELECT *, nw / least(gr, fr) AS composite, CASE WHEN gr <= fr THEN 'geometric' ELSE 'rankfusion' END AS track FROM tracks)"""
 
 
 #: Greedy suppression as it is defined: best first, a window goes if a kept one is closer than two steps.
