@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.operators import cluster, cohort, scan
-from strandflow.operators.pieces import contig_lengths, windows, with_starts
+from strandflow.operators.pieces import contig_lengths, with_starts
 from strandflow.plans.session import ship_package
 from strandflow.sources.documents import host_pieces
 from strandflow.sources.genomic import read_fasta
@@ -48,9 +48,7 @@ def main(argv: list[str] | None = None) -> None:
         return
     long = contig_lengths(pieces).where(F.col("contig_length") >= args.min_len)
     pieces = pieces.join(long.select("contig_id"), "contig_id")
-    # a contig's features are those of its first stretch of up to a million letters
-    segments = windows(pieces, 1_000_000, 1_000_000).where("window_no = 0")
-    z = cluster.standardised(cluster.features(segments))
+    z = cluster.standardised(cluster.contig_features(pieces))
     labels = cluster.hierarchical(z, args.clusters or cluster.automatic_k(long.count())).select("contig_id", "cluster")
     for row in labels.select("cluster").distinct().orderBy("cluster").collect():
         own = pieces.join(labels.where(F.col("cluster") == row["cluster"]).select("contig_id"), "contig_id")

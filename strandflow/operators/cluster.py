@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandflow.functions import sequence as S
 from strandflow.operators.measures import measured
+from strandflow.operators.pieces import windows
 from strandflow.plans.session import settled
 
 #: Names of the 22 features, in order.
@@ -31,6 +32,34 @@ def features(segments: DataFrame) -> DataFrame:
     return measured(segments).select(*segments.columns, vector.alias("features"))
 
 
+def contig_features(pieces: DataFrame, tile: int = 1_000_000) -> DataFrame:
+    """contig_id, features of whole contigs of any length (contig_id, ordinal, start, seq).
+
+    k-mers are counted over tiles and across their borders, and summed, so these features are those of the whole
+    contig. Hurst exponents and the shares of period 3 don't add up: a contig's is the mean of its tiles', weighed by their letters.
+    """
+    tiles = windows(pieces, tile, tile, extra=3, tail=True)
+    own = F.least(F.length("seq"), F.lit(tile))
+    # the tile itself; for each k the letters around its end that only k-mers across the end lie in
+    border = lambda k: F.when(own == tile, F.substring(F.col("seq"), F.lit(tile - k + 2), F.lit(2 * (k - 1)))).otherwise("")
+    parts = F.array(F.struct(F.lit(1).alias("kind"), F.substring("seq", 1, tile).alias("part")), *[F.struct(F.lit(k).alias("kind"), border(k).alias("part")) for k in (2, 3, 4)])
+    m = measured(tiles.select("contig_id", own.cast("bigint").alias("own"), F.inline(parts)).select("contig_id", "own", "kind", F.col("part").alias("seq")))
+    whole = F.col("kind") == 1
+    weighed = lambda c: F.sum(F.when(whole, c * F.col("own"))) / F.sum(F.when(whole, F.col("own")))
+    summed = lambda k: F.array(*[F.coalesce(F.sum(F.when(whole | (F.col("kind") == k), F.get(f"k{k}", F.lit(i)))), F.lit(0)) for i in range(4**k)])
+    rows = m.groupBy("contig_id").agg(F.sum(F.when(whole, F.col("own"))).alias("n"), weighed(F.col("hurst")).alias("hurst"), weighed(S.period3_share(F.col("autocorrelation"))).alias("ac3"), *[summed(k).alias(f"k{k}") for k in (1, 2, 3, 4)])
+    n = F.col("n")
+    plain = [
+        (F.get("k1", F.lit(1)) + F.get("k1", F.lit(2))) / n,
+        F.when(n < 3, 0.0).otherwise(S.entropy(F.col("k3")) / 6),
+        F.when(n < 4, 0.0).otherwise(S.entropy(F.col("k4")) / 8),
+        F.col("hurst"),
+        F.when(n <= 2, 0.0).otherwise(S.information(F.col("k1"), F.col("k2"))),
+        F.col("ac3"),
+    ]
+    return rows.select("contig_id", F.concat(F.array(*plain), S.rho_from_counts(F.col("k1"), F.col("k2"))).alias("features"))
+
+
 def standardised(rows: DataFrame, size: int = len(FEATURES), column: str = "features") -> DataFrame:
     """rows with the vectors as z-scores by population deviations; a constant feature stays at 0."""
     stats = rows.agg(*[f(F.get(column, F.lit(i))).alias(f"{n}{i}") for i in range(size) for n, f in (("m", F.avg), ("s", F.stddev_pop))])

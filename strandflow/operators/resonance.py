@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions import sequence as S
+from strandflow.operators.measures import CODES
+from strandflow.plans.session import settled
 
 
 def stability(n: Column) -> Column:
@@ -29,15 +35,69 @@ def resonance(matrix: DataFrame, columns: int, alphabet: int = 4, first_k: int =
     each = F.concat(F.array(F.struct(F.lit("p").alias("kind"), c.alias("value")), F.struct(F.lit("l").alias("kind"), F.when(c > 0, at(c - 1)).alias("value")), F.struct(F.lit("r").alias("kind"), right.alias("value"))), gaps)
     tagged = pairs.select("k", at(c).alias("b1"), at(c + k).alias("b2"), F.inline(each)).where("value is not null")
     counts = tagged.groupBy("k", "b1", "b2", "kind", "value").agg(F.count(F.lit(1)).alias("n"))
-    hist = counts.groupBy("k", "b1", "b2").agg(*[F.collect_list(F.when(F.col("kind") == x, F.col("n"))).alias(x) for x in "plrg"])  # at most one count a column or symbol
-    hist = hist.withColumn("n", S.total(F.col("p"), 0))
-    reverse = hist.select("k", F.col("b1").alias("b2"), F.col("b2").alias("b1"), F.col("n").alias("back"))
     symbols = matrix.select(F.explode("symbols").alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("m"))
     size = matrix.agg(F.count(F.lit(1)).alias("rows"))
     share = symbols.crossJoin(F.broadcast(size)).select("v", (F.col("m") / (F.col("rows") * columns)).alias("f"))
+    places = size.select(F.explode(F.sequence(F.lit(first_k), F.lit(min(last_k, columns - 1)))).alias("k"), "rows").select("k", (F.col("rows") * (columns - F.col("k"))).cast("double").alias("positions"))
+    return scored_pairs(counts, share, places, least)
+
+
+def tiled_resonance(docs: DataFrame, columns: int, last_k: int = 6, least: int = 5) -> DataFrame:
+    """As resonance, over every letter of docs (seq of ACGT): a sequence is cut into consecutive rows of `columns` letters, and its
+    last row, or a sequence shorter than a row, is a row of the letters that there are. Pairs lie within rows.
+
+    Rows of different lengths make a ragged matrix: a pair counts in each row that reaches to its second symbol, and the
+    possible places of a distance and the shares of the symbols are counted, not computed from columns.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        widths = {"s": 1, "p": columns, "l": 4, "r": 4, "g": 4}
+        sums = {(kind, k): np.zeros((16, w), np.int64) for k in range(1, last_k + 1) for kind, w in widths.items() if kind != "s"} | {("s", 0): np.zeros((16, 1), np.int64)}
+        for batch in batches:
+            texts = [t for t in batch.column("seq").to_pylist() if t]
+            some, size = [], 0
+            for i, t in enumerate(texts):
+                some.append(CODES[np.frombuffer(t.encode(), np.uint8)])
+                size += len(t)
+                if size > 1 << 20 or i == len(texts) - 1:
+                    x, n = np.concatenate(some), np.array([len(v) for v in some])
+                    at = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+                    c = at % columns
+                    width = np.minimum(columns, np.repeat(n, n) - (at - c))
+                    sums["s", 0] += np.bincount(x, minlength=16)[:, None]
+                    for k in range(1, last_k + 1):
+                        p = np.flatnonzero(c + k < width)
+                        pair = x[p] * 4 + x[p + k]
+                        add = lambda kind, on, value: sums[kind, k].__iadd__(np.bincount(pair[on] * widths[kind] + value, minlength=16 * widths[kind]).reshape(16, -1))  # noqa: B023, E731
+                        add("p", slice(None), c[p])
+                        inner = np.flatnonzero(c[p] > 0)
+                        add("l", inner, x[p[inner] - 1])
+                        inner = np.flatnonzero(c[p] + k + 1 < width[p])
+                        add("r", inner, x[p[inner] + k])
+                        for g in range(1, min(k, 4)):
+                            add("g", slice(None), x[p + g])
+                    some, size = [], 0
+        for (kind, k), n in sums.items():
+            pair, value = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(pair), pa.int32()), pa.array(pair // 4, pa.int32()), pa.array(pair % 4, pa.int32()), pa.array([kind] * len(pair), pa.string()), pa.array(value, pa.int32()), pa.array(n[pair, value], pa.int64())], ["k", "b1", "b2", "kind", "value", "n"])
+
+    # a task has at most a row for each cell of the histograms, so this table is small; the texts are read once
+    found = docs.select("seq").mapInArrow(run, "k int, b1 int, b2 int, kind string, value int, n bigint").groupBy("k", "b1", "b2", "kind", "value").agg(F.sum("n").alias("n"))
+    found = settled(found)
+    letters = found.where("kind = 's'").select(F.col("b2").alias("v"), "n")
+    share = letters.crossJoin(F.broadcast(letters.agg(F.sum("n").alias("all")))).select("v", (F.col("n") / F.col("all")).alias("f"))
+    places = found.where("kind = 'p'").groupBy("k").agg(F.sum("n").cast("double").alias("positions"))
+    return scored_pairs(found.where("kind != 's'"), share, places, least)
+
+
+def scored_pairs(counts: DataFrame, share: DataFrame, places: DataFrame, least: int) -> DataFrame:
+    """The signals of the pairs from counts (k, b1, b2, kind, value, n), shares of the symbols (v, f) and possible places by distance (k, positions)."""
+    hist = counts.groupBy("k", "b1", "b2").agg(*[F.collect_list(F.when(F.col("kind") == x, F.col("n"))).alias(x) for x in "plrg"])  # at most one count a column or symbol
+    hist = hist.withColumn("n", S.total(F.col("p"), 0))
+    reverse = hist.select("k", F.col("b1").alias("b2"), F.col("b2").alias("b1"), F.col("n").alias("back"))
     rows = hist.join(reverse, ["k", "b1", "b2"], "left").where(F.col("n") >= least)
-    rows = rows.join(F.broadcast(share.withColumnsRenamed({"v": "b1", "f": "f1"})), "b1").join(F.broadcast(share.withColumnsRenamed({"v": "b2", "f": "f2"})), "b2").crossJoin(F.broadcast(size))  # alphabet rows
-    positions = (F.col("rows") * (columns - F.col("k"))).cast("double")
+    rows = rows.join(F.broadcast(share.withColumnsRenamed({"v": "b1", "f": "f1"})), "b1").join(F.broadcast(share.withColumnsRenamed({"v": "b2", "f": "f2"})), "b2").join(F.broadcast(places), "k")  # a row a symbol or distance
+    positions = F.col("positions")
     cut = lambda v: F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0))
     pmi = F.log2(F.col("n") / positions / (F.col("f1") * F.col("f2")))
     back = F.coalesce("back", F.lit(0))

@@ -1,5 +1,6 @@
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -194,6 +195,32 @@ def test_half_life_and_contrast(spark):
     assert (row.n, row.d, row.p, row.g) == (6, 1.0, 1.0, 1.0) and 0 < row.r <= 1
 
 
+def test_resonance_of_all_letters(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("AACGT") for _ in range(n)) for n in (0, 1, 5, 12, 12, 24)]
+    whole = [t[i : i + 12] for t in texts for i in range(0, len(t), 12) if len(t[i : i + 12]) == 12]
+    docs = lambda rows: spark.createDataFrame([(t,) for t in rows], "seq string").repartition(3)
+    matrix = spark.createDataFrame([(["ACGT".index(c) for c in t],) for t in whole], "symbols array<int>")
+    values = lambda df: {(r.b1, r.b2, r.k): tuple(round(x, 9) for x in r[3:]) for r in df.collect()}
+    assert values(resonance.tiled_resonance(docs(whole), 12, least=1)) == values(resonance.resonance(matrix, 12, least=1))
+    tiles = [t[i : i + 12] for t in texts for i in range(0, len(t), 12)]
+    n = Counter(("ACGT".index(t[c]), "ACGT".index(t[c + k]), k) for t in tiles for k in range(1, 7) for c in range(len(t) - k))
+    assert {k: v[0] for k, v in values(resonance.tiled_resonance(docs(texts), 12, least=1)).items()} == n  # short rows and letters behind the first row count
+
+
+def test_features_of_whole_contigs(spark):
+    rng = random.Random(6)
+    seqs = {"a": "A" * 50 + "".join(rng.choice("CGT") for _ in range(173)), "b": "".join(rng.choice("ACGT") for _ in range(100)), "c": "ACGTA" * 20 + "C"}
+    rows = [(c, i, s[k : k + 30]) for c, s in seqs.items() for i, k in enumerate(range(0, len(s), 30))]
+    df = pieces.with_starts(spark.createDataFrame(rows, "contig_id string, ordinal bigint, seq string"))
+    whole = {r.contig_id: r.features for r in cluster.features(spark.createDataFrame(list(seqs.items()), "contig_id string, seq string")).collect()}
+    for tile in (50, 1000):
+        got = {r.contig_id: r.features for r in cluster.contig_features(df, tile).collect()}
+        for c in seqs:
+            places = range(22) if tile == 1000 else [i for i in range(22) if i not in (3, 5)]  # hurst and ac3 are means over the tiles
+            assert np.allclose([got[c][i] for i in places], [whole[c][i] for i in places])
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "a.fasta").write_text(">one first > word\nACGTnn\nacgt\n>two\nGGG\n>empty\n")
     rows = {r.contig_id: r.seq for r in genomic.read_fasta(spark, str(tmp_path / "a.fasta"), piece=4).groupBy("contig_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "seq"))), lambda x: x["seq"]), "").alias("seq")).collect()}
