@@ -65,8 +65,10 @@ def signals(segments: DataFrame, profile: DataFrame) -> DataFrame:
     return rows.select(*segments.columns, *[v.alias(k) for k, v in values.items()])
 
 
-def baseline_windows(host: DataFrame, window: int, step: int, most: int = 500) -> DataFrame:
-    """Up to most windows of the host, evenly spread over its whole length by integer parts of an even grid."""
+def baseline_windows(host: DataFrame, window: int, step: int, most: int | None = None) -> DataFrame:
+    """The host's whole windows: all of them, or with most up to so many, evenly spread over its length by integer parts of an even grid."""
+    if most is None:
+        return windows(host, window, step).where(F.col("end") - F.col("start") == window)
     n = contig_lengths(host).select(F.greatest(F.floor((F.col("contig_length") - window) / step) + 1, F.lit(0)).alias("_n"))
     found = windows(host, window, step).crossJoin(F.broadcast(n)).where("_n > 0 and end - start = %d" % window)
     grid = F.transform(F.sequence(F.lit(0), F.least(F.lit(most), F.col("_n")) - 1), lambda i: F.when(i == F.least(F.lit(most), F.col("_n")) - 1, F.col("_n") - 1).otherwise(F.floor(i * ((F.col("_n") - 1) / F.greatest(F.least(F.lit(most), F.col("_n")) - 1, F.lit(1)).cast("double")))))
@@ -74,8 +76,8 @@ def baseline_windows(host: DataFrame, window: int, step: int, most: int = 500) -
     return found.drop("_n").join(F.broadcast(picked), "window_no")  # at most `most` numbers
 
 
-def baseline_stats(host: DataFrame, window: int = 2000, step: int = 2000, most: int = 500, profile: DataFrame | None = None) -> DataFrame:
-    """One row: mean and population deviation (at least 1e-6) of each signal over the host's sampled windows. A host shorter than a window gives nulls."""
+def baseline_stats(host: DataFrame, window: int = 2000, step: int = 2000, most: int | None = None, profile: DataFrame | None = None) -> DataFrame:
+    """One row: mean and population deviation (at least 1e-6) of each signal over all windows of the host, or a grid of most (the reference's 500). A host shorter than a window gives nulls."""
     found = signals(baseline_windows(host, window, step, most), host_profile(host) if profile is None else profile)
     columns = []
     for name in (*PLAIN, *PROFILE):

@@ -103,6 +103,16 @@ def test_suppression_is_greedy(spark):
     assert got == want
 
 
+def test_every_baseline_window_counts(spark):
+    rows = [("c", i, ("ACGT" if i != 601 else "CCGG") * 10) for i in range(1203)]  # the grid of 500 passes window 601 by
+    host = pieces.with_starts(spark.createDataFrame(rows, "contig_id string, ordinal bigint, seq string"))
+    gc = np.array([0.5] * 1202 + [1.0])
+    found = scan.baseline_stats(host, 40, 40).first()
+    assert math.isclose(found.gc_mean, gc.mean()) and math.isclose(found.gc_std, gc.std())
+    assert scan.baseline_windows(host, 40, 40).count() == 1203 and scan.baseline_windows(host, 40, 40, 500).count() == 500
+    assert scan.baseline_stats(host, 40, 40, most=500).first().gc_mean == 0.5
+
+
 def test_planted_block_comes_first(spark):
     rng = random.Random(8)
     base = [rng.choice("ACGT") for _ in range(60_000)]
