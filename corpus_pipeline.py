@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.llm import bpe, langid, mixing, neardup, quality
@@ -28,15 +28,21 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts whose 5-word shingle sets have a Jaccard similarity of 0.8 or more, that of the least doc_id.
-    Of rows that repeat a doc_id one stays; rows without a doc_id stay."""
+    Of rows that repeat a doc_id with the same set one stays, other texts under the doc_id are judged for themselves; rows without a doc_id stay."""
     ship_package(spark)
-    groups = neardup.near_duplicates(docs, words=5, percent=80)
-    ids = written(groups.where("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count(F.lit(1)).alias("times")), "kept")
-    stay = neardup.met(docs, ids, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    groups = neardup.judged(docs, words=5, percent=80).where("kept")
+    # a row of each doc_id and set, that of the least text keys; without a doc_id of each text
+    one = [F.when(F.col("doc_id").isNull(), F.col(f"text_{x}")).otherwise(F.col(f"digest_{x}")).alias(f"one_{x}") for x in "ab"]
+    ids = groups.groupBy(F.col("doc_id").alias("kept_id"), *one).agg(F.min(F.struct("text_a", "text_b")).alias("keys"), F.count(F.lit(1)).alias("times"))
+    ids = written(ids.select("kept_id", F.col("keys.text_a").alias("kept_a"), F.col("keys.text_b").alias("kept_b"), "times"), "kept")
+    keyed = docs.withColumns({f"_{k}": c for k, c in neardup.text_keys("text").items()})
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_text_a") == F.col("kept_a")) & (F.col("_text_b") == F.col("kept_b"))
+    stay = neardup.met(keyed, ids, same, "left_semi")
     if ids.where("times > 1 and kept_id is not null").isEmpty():
-        return stay
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return stay.withColumn("_rank", rank).where("_rank = 1 or doc_id is null").select(*docs.columns)
+        return stay.select(*docs.columns)
+    stay = written(stay, "stay")
+    once = stay.where("doc_id is not null").dropDuplicates(["doc_id", "_text_a", "_text_b"])
+    return once.union(stay.where("doc_id is null")).select(*docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

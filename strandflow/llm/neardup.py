@@ -24,7 +24,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandflow.llm.shared import slices, written
@@ -91,8 +91,13 @@ def met(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     return left.join(right.hint("merge"), on, how)
 
 
-def features(docs: DataFrame, doc_id: str, text: str, words: int, hashes: int) -> DataFrame:
-    """doc_id, n_shingles, digest_a, digest_b, signature of each row; sets without shingles have no digest and signature."""
+def text_keys(text: str) -> dict[str, Column]:
+    """Two 64-bit hashes by which a text is found again without being carried along."""
+    return {"text_a": F.xxhash64(F.col(text)), "text_b": F.xxhash64(F.lit(1), F.col(text))}
+
+
+def features(docs: DataFrame, words: int, hashes: int) -> DataFrame:
+    """doc_id, text_a, text_b, n_shingles, digest_a, digest_b, signature of each row (doc_id, text, text_a, text_b); sets without shingles have no digest and signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shingler(words, hashes)
@@ -105,12 +110,11 @@ def features(docs: DataFrame, doc_id: str, text: str, words: int, hashes: int) -
                 signatures.append(own.signature(s).tobytes() if len(s) else None)
             half = lambda d, k: None if d is None else ((d >> k) & (2**64 - 1)) - (1 << 63)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array([half(d, 64) for d in digests], pa.int64()), pa.array([half(d, 0) for d in digests], pa.int64()), pa.array(signatures, pa.binary())],
-                ["doc_id", "n_shingles", "digest_a", "digest_b", "signature"],
+                [*(part.column(c) for c in ("doc_id", "text_a", "text_b")), pa.array(sizes, pa.int64()), pa.array([half(d, 64) for d in digests], pa.int64()), pa.array([half(d, 0) for d in digests], pa.int64()), pa.array(signatures, pa.binary())],
+                ["doc_id", "text_a", "text_b", "n_shingles", "digest_a", "digest_b", "signature"],
             )
 
-    named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return named.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest_a bigint, digest_b bigint, signature binary")
+    return docs.mapInArrow(run, "doc_id bigint, text_a bigint, text_b bigint, n_shingles bigint, digest_a bigint, digest_b bigint, signature binary")
 
 
 def with_shingles(rows: DataFrame, words: int, hashes: int) -> DataFrame:
@@ -207,9 +211,9 @@ def groups_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Itera
 
 
 def unpacked(group: pa.Table, hashes: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """doc_ids, signatures and sets of a group's rows."""
+    """Nodes, signatures and sets of a group's rows."""
     signatures = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(-1, hashes)
-    return group.column("doc_id").to_numpy(), signatures, [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
+    return group.column("node").to_numpy(), signatures, [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
 
 
 LINK_SCHEMA = "leader bigint, block bigint, a bigint, b bigint"
@@ -234,17 +238,17 @@ def links_in_groups(profiles: DataFrame, check: Verifier) -> DataFrame:
                 b += [None] * len(strays)
             yield pa.RecordBatch.from_arrays([pa.array([leader] * len(a), pa.int64()), pa.array([block] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["leader", "block", "a", "b"])
 
-    return profiles.repartition("leader", "block").sortWithinPartitions("leader", "block", "doc_id").mapInArrow(run, LINK_SCHEMA)
+    return profiles.repartition("leader", "block").sortWithinPartitions("leader", "block", "node").mapInArrow(run, LINK_SCHEMA)
 
 
 def links_across_blocks(profiles: DataFrame, strays: DataFrame, check: Verifier) -> DataFrame:
-    """leader, block, a, b: links of strays (leader, stray_block, doc_id) with the members of all other blocks of their group, a block of each a task."""
-    marked = met(profiles, strays.select("leader", "doc_id", F.lit(1).alias("stray")), ["leader", "doc_id"], "left")
+    """leader, block, a, b: links of strays (leader, stray_block, node) with the members of all other blocks of their group, a block of each a task."""
+    marked = met(profiles, strays.select("leader", "node", F.lit(1).alias("stray")), ["leader", "node"], "left")
     others = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda k: k != F.col("block"))
-    asked = marked.where("stray = 1").select("leader", F.explode(others).alias("block"), F.col("block").alias("stray_block"), F.lit(0).alias("kind"), "doc_id", "signature", "shingles")
+    asked = marked.where("stray = 1").select("leader", F.explode(others).alias("block"), F.col("block").alias("stray_block"), F.lit(0).alias("kind"), "node", "signature", "shingles")
     sought = strays.select("leader", F.col("block").alias("stray_block")).distinct()
-    members = met(profiles, sought, "leader").where("block != stray_block").select("leader", "block", "stray_block", F.lit(1).alias("kind"), "doc_id", "signature", "shingles")
-    rows = asked.union(members).repartition("leader", "block", "stray_block").sortWithinPartitions("leader", "block", "stray_block", "kind", "doc_id")
+    members = met(profiles, sought, "leader").where("block != stray_block").select("leader", "block", "stray_block", F.lit(1).alias("kind"), "node", "signature", "shingles")
+    rows = asked.union(members).repartition("leader", "block", "stray_block").sortWithinPartitions("leader", "block", "stray_block", "kind", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_of(batches, ("leader", "block", "stray_block")):
@@ -278,7 +282,7 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
-def near_duplicates(
+def judged(
     df: DataFrame,
     doc_id: str = "doc_id",
     text: str = "text",
@@ -291,53 +295,64 @@ def near_duplicates(
     block_shingles: int = 2_000_000,
     block_members: int = 4096,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.
-
-    Words are [^ \\t-\\r]+ after ASCII lower-casing; a text with fewer words than a shingle has its whole sequence as
-    one. Texts are linked from percent on. component_id is the least doc_id that links reach; kept marks the row
-    that has it. Chance of missing a pair at the threshold: (1 - 0.8^rows)^bands, 3e-6 as set, besides miss.
-
-    Null, empty and blank texts have 0 shingles and no links. A null doc_id has no links, its component is null and it is kept.
-    Repeated rows fall in one class and are all marked alike; texts under one doc_id are judged each by its own set.
-    An empty table gives no rows. Other columns are ignored.
-    """
+    """As near_duplicates, with text_a and text_b (text_keys) and digest_a and digest_b (of the set) besides."""
     hashes = bands * rows
     check = Verifier(hashes, batch, percent, miss)
-    docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    base = written(features(docs, "doc_id", "text", words, hashes), "features")
+    docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *[c.alias(k) for k, c in text_keys(text).items()])
+    base = written(features(docs, words, hashes), "features")
     usable = base.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("digest_a", "digest_b").agg(F.min("doc_id").alias("first_id"))
-    firsts = met(usable, classes, ["digest_a", "digest_b"]).where("doc_id = first_id").dropDuplicates(["doc_id", "digest_a"])
-    signatures = written(firsts.select("doc_id", "digest_a", "n_shingles", "signature"), "signatures")
+    firsts = met(usable, classes, ["digest_a", "digest_b"]).where("doc_id = first_id").dropDuplicates(["digest_a", "digest_b"])
+    # a node is a class: one doc_id can have texts of several. Numbers are fixed by writing them
+    signatures = written(firsts.select(F.monotonically_increasing_id().alias("node"), "doc_id", "text_a", "text_b", "digest_a", "digest_b", "n_shingles", "signature"), "signatures")
 
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.substring(F.col("signature"), k * (2 * rows) + 1, F.lit(2 * rows)))))
-    placed = signatures.select("doc_id", "n_shingles", band.alias("bucket"))
+    placed = signatures.select("node", "n_shingles", band.alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = written(met(placed, shared, "bucket"), "buckets")
-    reach = members.groupBy("doc_id").agg(F.sum("members").alias("reach"))
-    # the most reaching member leads; equal reach: the least doc_id
-    ranked = met(members, reach, "doc_id").select("bucket", "doc_id", F.struct(-F.col("reach"), F.col("doc_id")).alias("rank"))
-    leaders = ranked.groupBy("bucket").agg(F.min("rank")["doc_id"].alias("leader"))
-    led = written(met(members, leaders, "bucket").groupBy("leader", "doc_id").agg(F.max("n_shingles").alias("n_shingles")), "led")
+    reach = members.groupBy("node").agg(F.sum("members").alias("reach"))
+    # the most reaching member leads; equal reach: the least node
+    ranked = met(members, reach, "node").select("bucket", "node", F.struct(-F.col("reach"), F.col("node")).alias("rank"))
+    leaders = ranked.groupBy("bucket").agg(F.min("rank")["node"].alias("leader"))
+    led = written(met(members, leaders, "bucket").groupBy("leader", "node").agg(F.max("n_shingles").alias("n_shingles")), "led")
 
     sizes = led.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("n"))
     sizes = sizes.select("leader", F.greatest(F.ceil(F.col("m") / block_members), F.ceil(F.col("n") / block_shingles)).cast("bigint").alias("blocks"))
     sized = met(led, sizes, "leader")
     # the leader is a row of every block of its group
-    block = F.when(F.col("doc_id") == F.col("leader"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id"), F.col("blocks"))))
-    dealt = sized.select("leader", "blocks", "doc_id", F.explode(block).alias("block"))
-    texts = met(docs, dealt, "doc_id").select("leader", "blocks", "block", "doc_id", "text")
-    profiles = met(texts, signatures.select("doc_id", "signature"), "doc_id").select("leader", "blocks", "block", "doc_id", "signature", "text")
+    block = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks"))))
+    dealt = sized.select("leader", "blocks", "node", F.explode(block).alias("block"))
+    wanted = met(dealt, signatures.select("node", "doc_id", "text_a", "text_b", "signature"), "node")
+    # repeated rows fall together before the join, so a class meets one text
+    once = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text_a", "text_b"])
+    profiles = met(once, wanted, ["doc_id", "text_a", "text_b"]).select("leader", "blocks", "block", "node", "signature", "text")
     profiles = written(with_shingles(profiles, words, hashes), "profiles")
     found = written(links_in_groups(profiles, check), "links")
     links = found.where("b is not null").select("a", "b")
-    strays = found.where("b is null").select("leader", "block", F.col("a").alias("doc_id"))
+    strays = found.where("b is null").select("leader", "block", F.col("a").alias("node"))
     if not strays.isEmpty():
         links = links.union(links_across_blocks(profiles.where("blocks > 1"), strays, check).select("a", "b"))
 
-    groups = components(links)
-    stands = met(classes, groups.withColumnRenamed("node", "first_id"), "first_id", "left").select("digest_a", "digest_b", F.coalesce("component", "first_id").alias("component"))
-    result = base.select("doc_id", "n_shingles", "digest_a", "digest_b")
-    result = met(result, stands, ["digest_a", "digest_b"], "left")
+    linked = met(components(links), signatures.select("node", F.struct("doc_id", "digest_a", "digest_b").alias("own")), "node")
+    heads = linked.groupBy("component").agg(F.min("own").alias("head"))
+    linked = met(linked, heads, "component").select("own.digest_a", "own.digest_b", F.col("head.doc_id").alias("component"), (F.col("own") == F.col("head")).alias("heads"))
+    stands = met(classes, linked, ["digest_a", "digest_b"], "left").select("digest_a", "digest_b", F.coalesce("component", "first_id").alias("component"), F.coalesce("heads", F.lit(True)).alias("heads"))
+    result = met(base.drop("signature"), stands, ["digest_a", "digest_b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(component) & (F.col("doc_id").isNull() | F.coalesce("heads", F.lit(True)))
+    return result.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_a", "text_b", "digest_a", "digest_b")
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row.
+
+    Words are [^ \\t-\\r]+ after ASCII lower-casing; a text with fewer words than a shingle has its whole sequence as
+    one. Texts are linked from percent on. component_id is the least doc_id that links reach; kept marks the row
+    that has it. Chance of missing a pair at the threshold: (1 - 0.8^rows)^bands, 3e-6 as set, besides miss. options: those of judged.
+
+    Null, empty and blank texts have 0 shingles and no links. A null doc_id has no links, its component is null and it is kept.
+    Repeated rows fall in one class and are all marked alike; texts under one doc_id are judged each by its own set, so
+    unrelated ones can each be kept with the same component_id, and of linked ones with the least doc_id one set is kept.
+    An empty table gives no rows. Other columns are ignored.
+    """
+    return judged(df, doc_id, text, words, percent, **options).select("doc_id", "n_shingles", "component_id", "kept")

@@ -155,6 +155,23 @@ def test_near_duplicate_edges(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_texts_under_one_doc_id(spark):
+    import corpus_pipeline
+
+    a, b, c = ("one two three four five six seven", "eight nine ten eleven twelve thirteen", "red green blue white black brown")
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, a), (7, b), (7, b), (3, a.upper()), (8, c), (8, c + " grey and more words at the end"), (9, near), (9, near + " more"), (None, a), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = neardup.near_duplicates(df).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id != 9) == sorted(
+        [(7, 3, 3, False), (7, 2, 7, True), (7, 2, 7, True), (3, 3, 3, True), (8, 2, 8, True), (8, 9, 8, True), (0, 3, None, True), (0, 3, None, True)], key=lambda r: (r[0], r[1], r[2] or 0)
+    )
+    assert sorted(r.kept for r in got if r.doc_id == 9) == [False, True]  # linked: one of the two
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, df, "").collect()), key=repr)
+    assert [r for r in left if r[0] != 9] == sorted([(7, b), (3, a.upper()), (8, rows[4][1]), (8, rows[5][1]), (None, a), (None, a)], key=repr)
+    assert sum(r[0] == 9 for r in left) == 1
+
+
 def test_least_agreements():
     bounds = neardup.least_agreements(200, 20, 0.8, 1e-7)
     assert [n for n, _ in bounds] == list(range(20, 201, 20))
