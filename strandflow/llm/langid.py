@@ -2,7 +2,7 @@
 
 posterior(lang) ~ prior(lang | host) x P(text | lang)^temper x P(declared | lang) x P(suffix | lang)
 
-The text model is naive Bayes over hashed letter n-grams, trained on a bounded sample of labelled rows. The host
+The text model is naive Bayes over hashed letter n-grams, trained on a bounded sample of each language's rows. The host
 priors come from grouped aggregation over all rows: each row's text posterior is summed by host, domain and overall,
 and every level is smoothed towards the one above, so a host of few pages leans on its domain. The likelihoods of a
 declared language and of an address suffix are counted the same way from the text posteriors.
@@ -21,7 +21,7 @@ from strandflow.llm.shared import drop_columns, hashed_uniform, slices, written
 
 #: Hash space of the letter n-grams, a power of two.
 BUCKETS = 1 << 14
-#: Rows that the text model is trained on, as expected of the sample.
+#: Rows of each language that the text model is trained on, as expected of the sample.
 TRAINING_ROWS = 4000
 #: Letters of a text at least, below which it counts as without language.
 LEAST_LETTERS = 4
@@ -45,13 +45,16 @@ def grams(text: str) -> np.ndarray:
 
 
 def train(labelled: DataFrame, text: str, lang: str, key: str, most_rows: int = TRAINING_ROWS, smooth: float = 0.5) -> tuple[list[str], np.ndarray]:
-    """The languages and their log likelihood table (languages x BUCKETS), from a sample of most_rows expected rows that the hashed keys decide.
+    """The languages and their log likelihood table (languages x BUCKETS): all languages that label a row, each from a sample of
+    most_rows expected rows of its own, all where it has no more, that hashed keys and texts decide.
 
     The sample is a documented bound; its n-gram counts are summed on the executors and the driver receives the table alone.
     """
-    rows = labelled.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    share = most_rows / max(1, rows.select("key").count())
-    sample = rows.where((hashed_uniform(F.lit("train"), F.col("key")) < share) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = rows.select(hashed_uniform(F.lit("train"), F.col(key), F.xxhash64(F.col(text))).alias("u"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    own = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.min("u").alias("least"))
+    # the least hash is always in, so no language is without a row; one row a language is broadcast, as in the table below
+    sample = rows.join(F.broadcast(own), "lang").where((F.col("u") * F.col("rows") < most_rows) | (F.col("u") == F.col("least"))).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables: dict[str, np.ndarray] = {}

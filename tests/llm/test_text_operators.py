@@ -214,6 +214,13 @@ def test_languages(spark, sf_dir):
     assert not r.lang_rejected.any()
 
 
+def test_rare_languages_are_learnt(spark):
+    rows = [(i, f"the common words of row {i}", "en") for i in range(2000)] + [(5000 + i, "kaksi sanaa harvinaista", "fi") for i in range(2)] + [(None, f"palabra {i}", "es") for i in range(300)]
+    rows += [(9000 + i, "unlabelled", None) for i in range(2000)] + [(9999, None, "xx")]
+    langs, model = langid.train(spark.createDataFrame(rows, "k int, t string, l string"), "t", "l", "k", most_rows=20)
+    assert langs == ["en", "es", "fi"] and model.shape[0] == 3
+
+
 def test_language_edges(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     langs, model = langid.train(docs, "text", "lang", "doc_id")
