@@ -1,12 +1,14 @@
 """Audio features of media columns: polyphase resampling, overlapped log-mel filterbanks and hysteresis energy segments.
 
 Samples are 8-bit unsigned PCM, stored losslessly as WAV. Features are cut into tensors of one fixed shape (frames x
-bands) with their time spans, so that Arrow and trainers can map them without looking at lengths.
+bands) with their time spans, so that Arrow and trainers can map them without looking at lengths. Spark has no type of fixed shape:
+the values are arrays whose field carries the name and shape of Arrow's tensor type as metadata, in the schema and in written Parquet.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import struct
 from collections.abc import Iterator
 from math import gcd
@@ -14,8 +16,11 @@ from math import gcd
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from strandflow.llm.shared import slices
+from strandflow.llm.shared import drop_columns, mapped, named, slices
 
 #: Frames of a tensor.
 TENSOR_FRAMES = 64
@@ -71,35 +76,58 @@ class LogMel:
         low, mid, high = edges[:-2], edges[1:-1], edges[2:]
         return np.maximum(0, np.minimum((f[:, None] - low) / (mid - low), (high - f[:, None]) / (high - mid)))
 
-    def resampled(self, x: np.ndarray) -> np.ndarray:
-        """Polyphase: output i is one phase's taps over the input that ends at i * down // up; no zero-stuffed signal is formed."""
+    def size(self, n: int) -> int:
+        """Outputs of n inputs."""
+        return -(-n * self.up // self.down)
+
+    def resampled(self, x: np.ndarray, first: int = 0, end: int | None = None) -> np.ndarray:
+        """Outputs first to end - 1. Polyphase: output i is one phase's taps over the input around i * down // up; no zero-stuffed signal is
+        formed, and only the inputs that these outputs meet are read."""
+        end = self.size(len(x)) if end is None else end
         if self.up == self.down:
-            return x
+            return x[first:end]
         width = self.phases.shape[1]
-        padded = np.r_[np.zeros(width // 2), x, np.zeros(width)]
-        n = -(-len(x) * self.up // self.down)
-        out = np.empty(n)
-        views = np.lib.stride_tricks.sliding_window_view(padded, width)
-        for p in range(self.up):  # outputs p, p + up, ... advance by down inputs each
-            i = np.arange(p, n, self.up)
-            if len(i):
-                first = p * self.down // self.up
-                rows = views[first :: self.down][: len(i)]
-                phase = p * self.down % self.up
-                out[i] = np.einsum("ij,j->i", rows, self.phases[phase])
+        low, high = first * self.down // self.up - width // 2, (end - 1) * self.down // self.up - width // 2 + width
+        part = x[max(0, low) : max(0, high)]
+        part = np.r_[np.zeros(max(0, -low)), part, np.zeros(max(0, high - low - len(part) - max(0, -low)))]
+        views = np.lib.stride_tricks.sliding_window_view(part, width)
+        i = np.arange(first, end)
+        start, phase = i * self.down // self.up - (low + width // 2), i * self.down % self.up
+        out = np.empty(len(i))
+        for p in np.unique(phase):
+            of = np.flatnonzero(phase == p)
+            step = (start[of[1]] - start[of[0]]) if len(of) > 1 else 1
+            out[of] = np.einsum("ij,j->i", views[start[of[0]] :: step][: len(of)], self.phases[p])
         return out
 
-    def frames(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-mel rows (frames x bands, float32) and frame energies in dB; the tail is padded with silence to a whole frame."""
-        n = 1 + max(0, -(-(len(y) - self.window) // self.hop))
-        y = np.r_[y, np.zeros(max(0, (n - 1) * self.hop + self.window - len(y)))]
-        mels, energy = [], []
+    def blocks(self, samples: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Log-mel rows (frames x bands, float32) and frame energies in dB of 8-bit samples, block by block: beside the samples
+        only a block is held as floats. The tail is padded with silence to a whole frame."""
+        size = self.size(len(samples))
+        n = 1 + max(0, -(-(size - self.window) // self.hop))
         for k in range(0, n, BLOCK_FRAMES):
-            part = np.lib.stride_tricks.sliding_window_view(y[k * self.hop :], self.window)[:: self.hop][: min(BLOCK_FRAMES, n - k)]
-            power = np.abs(np.fft.rfft(part * self.hann)) ** 2
-            mels.append(np.log(power @ self.bank + 1e-10).astype(np.float32))
-            energy.append(10 * np.log10((part * part).mean(axis=1) + 1e-12))
-        return np.concatenate(mels), np.concatenate(energy)
+            count = min(BLOCK_FRAMES, n - k)
+            first, end = k * self.hop, (k + count - 1) * self.hop + self.window
+            yield self.frames(np.r_[self.heard(samples, first, min(end, size)), np.zeros(max(0, end - max(first, size)))], count)
+
+    def heard(self, samples: np.ndarray, first: int, end: int) -> np.ndarray:
+        """Resampled outputs first to end - 1 of 8-bit samples, as floats of -1 to 1."""
+        if end <= first:
+            return np.zeros(0)
+        low = max(0, first * self.down // self.up - self.phases.shape[1])
+        high = end * self.down // self.up + self.phases.shape[1] + 1
+        # cut at a multiple of down, so that the part's outputs have the phases of the whole
+        low -= low % self.down
+        x = (samples[low:high].astype(np.float64) - 128) / 128
+        skip = low // self.down * self.up
+        if low:
+            return self.resampled(x, first - skip, end - skip)
+        return self.resampled(x, first, end)
+
+    def frames(self, y: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+        part = np.lib.stride_tricks.sliding_window_view(y, self.window)[:: self.hop][:count]
+        power = np.abs(np.fft.rfft(part * self.hann)) ** 2
+        return np.log(power @ self.bank + 1e-10).astype(np.float32), 10 * np.log10((part * part).mean(axis=1) + 1e-12)
 
 
 @functools.lru_cache(maxsize=4)
@@ -120,21 +148,34 @@ def hysteresis_segments(energy: np.ndarray, above: float = 3.0, below: float = 0
 
 
 def store_samples(df: DataFrame, payload: str, rate: int = 16000, block: int = 64) -> DataFrame:
-    """df with media, the payload's bytes as 8-bit samples of a WAV file. Payloads are padded by zero bytes to a positive multiple of block; a null one is empty."""
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    """df with media, the payload's bytes as 8-bit samples of a WAV file. Payloads are padded by zero bytes to a positive multiple of
+    block; a null one is empty; equal ones give equal files. A column of df named media is replaced; an empty df gives no rows.
+    WAV holds up to 4 GB; Spark's binaries are smaller."""
+    df = df if payload.lower() == "media" else drop_columns(df, "media")
+    kept = [c for c in df.columns if c.lower() != "media"]
+    given = df.select(*[named(c) for c in kept], F.col(payload).alias("_payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, payload):
+        for part in slices(batches, "_payload"):
             media = []
-            for raw in part.column(payload):
+            for raw in part.column("_payload"):
                 raw = raw.as_buffer().to_pybytes() if raw.is_valid else b""
                 media.append(wav_bytes(raw.ljust(max(block, -(-len(raw) // block) * block), b"\0"), rate))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(media, pa.binary())], [*part.schema.names, "media"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(media, pa.binary())], [*part.schema.names[:-1], "media"])
+
+    return mapped(given, run, "media binary", without="_payload")
 
-    return df.mapInArrow(run, f"{shape}, media binary")
 
+SPAN = "struct<start_s:double,end_s:double>"
 
-FEATURE_FIELDS = "payload binary, n_samples bigint, n_frames bigint, segments array<struct<start_s:double,end_s:double>>, tensors array<struct<start_s:double,end_s:double,n_frames:int,log_mel:array<float>>>"
+
+def feature_fields(frames: int, bands: int) -> T.StructType:
+    """The new columns. The tensor values' field carries the name and shape of Arrow's fixed-shape tensor type, which as_tensor_array reads."""
+    plain = T.StructType.fromDDL(f"payload binary, n_samples bigint, n_frames bigint, segments array<{SPAN}>")
+    shape = {"ARROW:extension:name": "arrow.fixed_shape_tensor", "ARROW:extension:metadata": json.dumps({"shape": [frames, bands]})}
+    values = T.StructField("log_mel", T.ArrayType(T.FloatType(), False), False, shape)
+    cell = T.StructType([*T.StructType.fromDDL("start_s double, end_s double, n_frames int").fields, values])
+    return plain.add("tensors", T.ArrayType(cell))
 
 
 def audio_features(df: DataFrame, media: str = "media", rate: int = 8000, window: int = 256, hop: int = 128, bands: int = 24, frames: int = TENSOR_FRAMES) -> DataFrame:
@@ -142,12 +183,12 @@ def audio_features(df: DataFrame, media: str = "media", rate: int = 8000, window
 
     A tensor holds frames x bands log-mel values of its time span, the last one filled up with zeros behind its n_frames.
     Equal files give equal values whatever else is in the batch: no operation spans two files. A null file gives nulls;
-    one without samples is one silent frame; a file that isn't WAV is an error. Long files are framed in blocks.
+    one without samples is one silent frame; a file that isn't WAV is an error. Long files are resampled and framed in blocks, so that
+    floats of a block alone are held. Columns of df with the new names are replaced; an empty df gives no rows.
     """
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    tensor = pa.fixed_shape_tensor(pa.float32(), (frames, bands))
-    span = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
-    cell = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64()), ("n_frames", pa.int32()), ("log_mel", pa.list_(pa.float32()))])
+    new = feature_fields(frames, bands)
+    df = drop_columns(df, *[f.name for f in new.fields if f.name != media.lower()])
+    types = to_arrow_schema(T.StructType([new["segments"], new["tensors"]]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, media, 1 << 20):
@@ -158,8 +199,7 @@ def audio_features(df: DataFrame, media: str = "media", rate: int = 8000, window
                     continue
                 data, rate_in = wav_samples(raw.as_buffer().to_pybytes())
                 own = log_mel(rate_in, rate, window, hop, bands)
-                x = (np.frombuffer(data, np.uint8).astype(np.float64) - 128) / 128
-                mel, energy = own.frames(own.resampled(x))
+                mel, energy = (np.concatenate(x) for x in zip(*own.blocks(np.frombuffer(data, np.uint8)), strict=True))
                 second = hop / rate
                 segments.append([{"start_s": a * second, "end_s": ((b - 1) * hop + window) / rate} for a, b in hysteresis_segments(energy).tolist()])
                 whole = -(-len(mel) // frames)
@@ -168,20 +208,34 @@ def audio_features(df: DataFrame, media: str = "media", rate: int = 8000, window
                     held = min(frames, len(mel) - k * frames)
                     spans.append((k * frames * second, ((k * frames + held - 1) * hop + window) / rate, held))
                 payloads.append(data), samples.append(len(data)), counts.append(len(mel)), offsets.append(offsets[-1] + whole)
-            block = np.concatenate(mels) if mels else np.zeros((0, frames, bands), np.float32)
-            stored = pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(block)) if len(block) else pa.ExtensionArray.from_storage(tensor, pa.array([], tensor.storage_type))
-            assert stored.type.shape == [frames, bands]
-            values = stored.storage.flatten()
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1, dtype=np.int32) * frames * bands), values)
-            cells = pa.StructArray.from_arrays([pa.array([s[0] for s in spans], pa.float64()), pa.array([s[1] for s in spans], pa.float64()), pa.array([s[2] for s in spans], pa.int32()), lists], fields=list(cell))
+            values = np.concatenate(mels).ravel() if mels else np.zeros(0, np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(spans) + 1, dtype=np.int32) * frames * bands), pa.array(values))
+            cell = types.field("tensors").type.value_type
+            cells = pa.StructArray.from_arrays([*(pa.array([s[k] for s in spans], cell.field(k).type) for k in range(3)), lists], names=[cell.field(k).name for k in range(4)])
             null = pa.array([p is None for p in payloads])
             tensors = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cells, mask=null)
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(payloads, pa.binary()), pa.array(samples, pa.int64()), pa.array(counts, pa.int64()), pa.array(segments, pa.list_(span)), tensors],
+                [*part.columns, pa.array(payloads, pa.binary()), pa.array(samples, pa.int64()), pa.array(counts, pa.int64()), pa.array(segments, types.field("segments").type), tensors],
                 [*part.schema.names, "payload", "n_samples", "n_frames", "segments", "tensors"],
             )
 
-    return df.mapInArrow(run, f"{shape}, {FEATURE_FIELDS}")
+    return mapped(df, run, new)
+
+
+def tensor_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, tensor_no, start_s, end_s, n_frames, log_mel: one row a tensor, a flat table whose log_mel is a fixed-shape tensor column to Arrow."""
+    shape = df.schema["tensors"].dataType.elementType["log_mel"].metadata
+    each = df.select(*keys, F.posexplode("tensors").alias("tensor_no", "_t"))
+    return each.select(*keys, "tensor_no", "_t.start_s", "_t.end_s", "_t.n_frames", F.col("_t.log_mel").alias("log_mel", metadata=shape))
+
+
+def as_tensor_table(rows: DataFrame) -> pa.Table:
+    """tensor_rows exported to Arrow, log_mel as Arrow's fixed-shape tensor type with the shape that the column's metadata tells. For a part that fits the caller."""
+    frames, bands = json.loads(rows.schema["log_mel"].metadata["ARROW:extension:metadata"])["shape"]
+    table = rows.toArrow().combine_chunks()
+    at = table.schema.get_field_index("log_mel")
+    values = table.column(at).combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.float32()))
+    return table.set_column(at, "log_mel", as_tensor_array(values, frames, bands))
 
 
 def as_tensor_array(lists: pa.Array, frames: int = TENSOR_FRAMES, bands: int = 24) -> pa.FixedShapeTensorArray:

@@ -9,11 +9,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.shared import SLICE_BYTES, drop_columns, slices
+from strandflow.llm.shared import SLICE_BYTES, drop_columns, listed, mapped, slices
 
 #: Words whose pieces a Python worker remembers; the memory is emptied beyond that, which changes no result.
 REMEMBERED_WORDS = 400_000
@@ -177,12 +178,12 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """df with ids array<int> and n_tokens bigint of the whole texts.
 
     vocabulary: path of the file on every worker. Null and empty texts have no ids. Rows are independent, so repeats,
-    ties and empty tables need no care; columns named ids or n_tokens are replaced.
+    ties and empty tables need no care; columns named ids or n_tokens are replaced. Texts are taken in slices of some
+    megabytes; a longer one is a slice of its own and takes some 40 times its bytes while it is merged.
     """
     df = drop_columns(df, "ids", "n_tokens")
     if text not in df.columns:
         raise ValueError(f"no column {text}")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, ids array<int>, n_tokens bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
@@ -191,23 +192,26 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(np.diff(offsets))], [*part.schema.names, "ids", "n_tokens"])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, "ids array<int>, n_tokens bigint")
 
 
-def decode(df: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
-    """df with decoded, the text of the ids. Null and empty ids give an empty text; a null within ids or an unknown id is an error."""
+def decode(df: DataFrame, vocabulary: str, ids: str = "ids", slice_ids: int = 1 << 18) -> DataFrame:
+    """df with decoded, the text of the ids. Null and empty ids give an empty text; a null within ids or an id that the file lacks is an error.
+
+    A slice of slice_ids ids or one row is decoded at once; a column of df named decoded is replaced; an empty df gives no rows.
+    """
     df = drop_columns(df, "decoded")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(vocabulary)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                texts = [bpe.decode(x.values.to_numpy()) if x.is_valid else "" for x in part.column(ids)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
-
-    return df.mapInArrow(run, schema)
+        for part in listed(batches, ids, slice_ids):
+            values = part.column(ids).flatten()
+            if values.null_count or (len(values) and not 0 <= pa.compute.min(values).as_py() <= pa.compute.max(values).as_py() < bpe.size):
+                raise ValueError(f"{ids} holds a null or an id beyond the vocabulary")
+            texts = [bpe.decode(x.values.to_numpy()) if x.is_valid else "" for x in part.column(ids)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
+
+    return mapped(df, run, "decoded string")
 
 
 def ids_digest(ids: str = "ids"):

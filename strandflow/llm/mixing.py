@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.shared import drop_columns, hashed_uniform, written
+from strandflow.llm.shared import drop_columns, hashed_uniform, named, numbered_copies, written
 
 #: A Poisson draw of a larger mean is the sum of equal draws of at most this mean, so that exp(-mean) stays normal.
 LARGEST_STEP = 32.0
+#: The largest mean that is inverted exactly.
+LARGEST_SUM = 2048.0
 
 
 def poisson_inverse(uniform: Column, mean: Column) -> Column:
@@ -28,10 +32,20 @@ def poisson_inverse(uniform: Column, mean: Column) -> Column:
 
 
 def poisson_count(mean: Column, seed: int, *key: Column) -> Column:
-    """A Poisson(mean) count that the seed and the key decide."""
-    parts = F.greatest(F.ceil(mean / LARGEST_STEP).cast("int"), F.lit(1))
+    """A Poisson(mean) count, bigint, that the seed and the key decide.
+
+    Up to LARGEST_SUM it is inverted exactly, as a sum of equal draws. Beyond, the quantile comes from the Cornish-Fisher expansion
+    at a hashed normal score, whose error at these means is under a hundredth of a count; so a count costs no more however large its mean.
+    """
+    mean = mean.cast("double")
+    parts = F.greatest(F.ceil(F.least(mean, F.lit(LARGEST_SUM)) / LARGEST_STEP).cast("int"), F.lit(1))
     draw = lambda i: poisson_inverse(hashed_uniform(F.lit(seed), i, *key), mean / parts)
-    return F.aggregate(F.transform(F.sequence(F.lit(1), parts), draw), F.lit(0), lambda a, b: a + b)
+    exact = F.aggregate(F.transform(F.sequence(F.lit(1), parts), draw), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    u, v = (hashed_uniform(F.lit(seed), F.lit(name), *key) for name in ("radius", "angle"))
+    z = F.sqrt(F.log(u) * -2.0) * F.cos(v * (2.0 * math.pi))
+    root = F.sqrt(mean)
+    large = F.round(mean + root * z + (z * z - 1.0) / 6.0 + (z - z * z * z) / (root * 72.0) - 0.5).cast("bigint")
+    return F.when(mean > LARGEST_SUM, large).otherwise(exact)
 
 
 def repetition_rates(df: DataFrame, source: str, size: Column, weights: dict[str | None, float] | None = None, total: float | None = None) -> DataFrame:
@@ -66,19 +80,21 @@ def replicate(
 ) -> DataFrame:
     """df's rows repeated by a Poisson count whose mean is the source's rate, with copy_no (from 0) and shuffle_key.
 
-    The seed and doc_id alone decide a count, so a rerun after a lost executor gives the same rows. Repeated rows get
-    equal counts. A null source is a source of its own; a null doc_id counts as the word null; a source of size 0 or
-    without weight has rate 0; an empty df gives no rows. Columns named copy_no or shuffle_key are replaced. The rates
-    are broadcast while they are at most most_sources rows, else joined by shuffle.
+    The seed and doc_id decide a count, so a rerun after a lost executor gives the same rows. Rows that repeat a doc_id get
+    equal counts; rows without one are told apart by all that they hold. A null source is a source of its own; a source of size 0 or
+    without weight has rate 0; an empty df gives no rows. A rare source can have any rate: its copies are made in levels and
+    dealt out again between them, so neither a row nor a task holds them all. Columns named copy_no (bigint) or shuffle_key are
+    replaced. The rates are broadcast while they are at most most_sources rows, else joined by shuffle.
     """
-    df = drop_columns(df, "copy_no", "shuffle_key", "_rate", "_source")
+    df = drop_columns(df, "copy_no", "shuffle_key", "_rate", "_source", "_count", "_key", "_high", "_middle", "_low")
     rates = written(repetition_rates(df, source, size, weights, total).withColumnsRenamed({"source": "_source", "rate": "_rate"}), "rates")
-    few = rates.limit(most_sources + 1).count() <= most_sources
-    joined = df.join(F.broadcast(rates) if few else rates, F.col(source).eqNullSafe(F.col("_source")))
-    count = poisson_count(F.col("_rate"), seed, F.col(doc_id))
-    kept = joined.withColumn("_count", count).where("_count > 0")
-    copies = kept.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_count") - 1))).drop("_source", "_rate", "_count")
-    return copies.withColumn("shuffle_key", hashed_uniform(F.lit(seed), F.lit("order"), F.col(doc_id), F.col("copy_no")))
+    # one pass over a row a source
+    n, high = rates.agg(F.count(F.lit(1)), F.max("_rate")).first()
+    own = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null:"), F.xxhash64(*[named(c) for c in df.columns]).cast("string")))
+    joined = df.withColumn("_key", own).join(F.broadcast(rates) if n <= most_sources else rates, F.col(source).eqNullSafe(F.col("_source")))
+    kept = joined.withColumn("_count", poisson_count(F.col("_rate"), seed, F.col("_key"))).drop("_source", "_rate")
+    copies = numbered_copies(kept, "_count", "copy_no", ["_key"] if (high or 0) > 512 else None)
+    return copies.withColumn("shuffle_key", hashed_uniform(F.lit(seed), F.lit("order"), F.col("_key"), F.col("copy_no"))).drop("_count", "_key")
 
 
 def mixed(df: DataFrame, doc_id: str, **options) -> DataFrame:

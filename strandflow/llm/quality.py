@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.shared import drop_columns, hashed_uniform, slices
+from strandflow.llm.shared import drop_columns, hashed_uniform, mapped, slices
 
 #: Rows of each kind that a model is fitted on at most.
 TRAINING_ROWS = 6000
@@ -140,38 +140,36 @@ def fit(pos: np.ndarray, unl: np.ndarray) -> Model:
     return Model(minimise(pos, unl, prior), mean, scale, prior)
 
 
-def place(key: str) -> Column:
+def place(*key: Column) -> Column:
     """A row's place in the order in which samples take rows, 0 to 1."""
-    return hashed_uniform(F.lit("train"), F.col(key))
+    return hashed_uniform(F.lit("train"), *key)
 
 
-def sampled_ids(ids: DataFrame, key: str, most_rows: int) -> DataFrame:
-    """About most_rows ids, at most twice as many: those of least hash."""
-    share = most_rows / max(1, ids.count())
-    return ids.where(place(key) < share * 1.1).limit(2 * most_rows)
-
-
-def sampled_features(rows: DataFrame, key: str, text: str, most_rows: int) -> np.ndarray:
-    """Features of most_rows rows at most, those of least hash of the key; the driver receives the bounded matrix."""
-    rows = rows.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+def sampled_features(rows: DataFrame, most_rows: int) -> np.ndarray:
+    """Features of most_rows rows (place, text) at most, those of least place; the driver receives the bounded matrix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             x = [text_features(t).tobytes() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(x, pa.binary())], ["key", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("place"), pa.array(x, pa.binary())], ["place", "x"])
 
-    found = rows.mapInArrow(run, "key string, x binary").orderBy(place("key"), "x").limit(most_rows).toPandas()["x"]
+    # rows that repeat an id and its text are one, so none fills the sample
+    found = rows.dropDuplicates(["place"]).mapInArrow(run, "place double, x binary").orderBy("place", "x").limit(most_rows).toPandas()["x"]
     return np.frombuffer(b"".join(found), np.float32).reshape(-1, SHAPE + PAIRS).astype(np.float64)
 
 
 def train(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", most_rows: int = TRAINING_ROWS) -> Model:
     """Model of docs' texts; trusted has the keys of positives. Of positives and of all docs, most_rows each at most are
-    fitted on (a documented bound of the fit alone; every row is scored). The sampled keys, bounded by it too, are broadcast."""
-    samples = []
-    for ids in (trusted.select(key).distinct(), docs.select(key)):
-        picked = F.broadcast(sampled_ids(ids, key, most_rows))
-        samples.append(sampled_features(docs.join(picked, key, "left_semi"), key, text, most_rows))
-    return fit(*samples)
+    fitted on (a documented bound of the fit alone; every row is scored): those of least hash of key and text, whatever the order
+    of tasks. Of positives, 1.3 times as many keys, those of least hash, are looked up; they are broadcast. Null keys are no
+    positives, and among docs a key like others. Null texts count as empty."""
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).withColumn("place", place(F.col("key"), F.xxhash64("text")))
+    share = lambda n: F.lit(1.3 * most_rows / max(1, n))
+    ids = trusted.select(F.col(key).alias("key")).where("key is not null").distinct()
+    picked = ids.where(place(F.col("key")) < share(ids.count()))
+    positives = rows.join(F.broadcast(picked), "key", "left_semi").select("place", "text")
+    unlabelled = rows.where(F.col("place") < share(rows.count())).select("place", "text")
+    return fit(*(sampled_features(x, most_rows) for x in (positives, unlabelled)))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -181,7 +179,6 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.
     df gives no rows, columns named score or predicted are replaced.
     """
     df = drop_columns(df, "score", "predicted")
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text):
@@ -192,7 +189,7 @@ def score(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.
             s = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*part.schema.names, "score", "predicted"])
 
-    return df.mapInArrow(run, f"{shape}, score double, predicted int")
+    return mapped(df, run, "score double, predicted int")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -66,13 +66,15 @@ FROM sets s LEFT JOIN classes c ON c.doc_id = s.doc_id LEFT JOIN roots r ON r.no
 
 def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents repeated so that every source has an equal share of the characters, shuffled; the digest of each copy."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("size"))
-    mix = mixing.mixed(docs, "doc_id", source="source", size=F.col("size"))
-    return mix.select("doc_id", "source", "copy_no", F.floor(F.col("shuffle_key") * (1 << 40)).cast("bigint").alias("shuffle_place"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mix = mixing.mixed(docs, "doc_id", source="source", size=F.length(F.coalesce("text", F.lit(""))).cast("bigint"))
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5")
+    return mix.select("doc_id", "source", "copy_no", F.floor(F.col("shuffle_key") * (1 << 40)).cast("bigint").alias("shuffle_place"), digest)
 
 
 OP4_SQL = """
 WITH RECURSIVE sized AS (SELECT doc_id, source, length(coalesce(text, '')) AS size FROM documents),
+digests AS (SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS DOUBLE) AS size FROM sized GROUP BY source),
 rates AS (SELECT source, CASE WHEN size > 0 THEN 1.0::DOUBLE / (SELECT count(*) FROM sources) * (SELECT sum(size) FROM sources) / size ELSE 0.0 END AS rate FROM sources),
 parts AS (
@@ -89,9 +91,9 @@ steps AS (
   WHERE cdf < u AND k < ceil(mean + sqrt(mean) * 14.0 + 40.0)),
 counts AS (SELECT doc_id, source, CAST(sum(k) AS BIGINT) AS n FROM (SELECT doc_id, source, i, max(k) AS k FROM steps GROUP BY doc_id, source, i) GROUP BY doc_id, source),
 copies AS (SELECT doc_id, source, unnest(range(0, n)) AS copy_no FROM counts)
-SELECT doc_id, source, CAST(copy_no AS INT) AS copy_no,
+SELECT doc_id, source, CAST(copy_no AS BIGINT) AS copy_no, text_md5,
   CAST(floor((CAST(('0x' || substr(md5('17:order:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || copy_no), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE * 1099511627776) AS BIGINT) AS shuffle_place
-FROM copies
+FROM copies JOIN digests USING (doc_id)
 """
 
 

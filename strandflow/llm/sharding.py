@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.llm.shared import drop_columns
+from strandflow.llm.shared import drop_columns, named, numbered_copies
 
 #: Fixed values of the published generator.
 MULTIPLIER, MODULUS = 2862933555777941757, 1 << 64
@@ -32,7 +32,9 @@ def jump_hash(key: Column, shards: int) -> Column:
 
     def jump(s: Column, _: Column) -> Column:
         drawn = ((s["key"] * F.lit(str(MULTIPLIER)).cast("decimal(19,0)") + F.lit(1)) % F.lit(str(MODULUS)).cast("decimal(20,0)")).cast(wide)
-        high = F.floor(drawn / F.lit(1 << 33).cast("decimal(20,0)")).cast("double") + 1.0
+        # what is divided is a multiple of the divisor: decimal division would round
+        low = drawn % F.lit(1 << 33).cast("decimal(20,0)")
+        high = ((drawn - low) / F.lit(1 << 33).cast("decimal(20,0)")).cast("bigint").cast("double") + 1.0
         moved = F.struct(drawn.alias("key"), s["j"].alias("b"), F.floor((s["j"] + 1).cast("double") * (F.lit(2147483648.0) / high)).cast("bigint").alias("j"))
         return F.when(s["j"] < shards, moved.cast(state)).otherwise(s)
 
@@ -43,30 +45,37 @@ def jump_hash(key: Column, shards: int) -> Column:
     return first["b"].cast("int")
 
 
-def shard_by_key(df: DataFrame, key: str, shards: int, slot_buckets: int = 4096, order_by: tuple[str, ...] = ()) -> DataFrame:
+def shard_by_key(df: DataFrame, key: str, shards: int, slot_buckets: int = 4096, order_by: tuple[str, ...] = (), hot_rows: int = 100_000) -> DataFrame:
     """df with law, shard, slot and grown_shard.
 
     shard depends on the key and the number of shards alone; grown_shard is the shard after one more is appended.
     slot numbers a shard's rows from 0 without gaps. It is found without sorting a whole shard: rows are counted by
-    shard and bucket of the key's md5 (slot_buckets x shards small counts, so their broadcast is bounded), running
+    shard and bucket (slot_buckets x shards small counts, so their broadcast is bounded), running
     sums of the counts give each bucket's first slot, and rows are numbered within their bucket, by key and then by
-    the order_by columns.
+    the order_by columns. A bucket comes from the md5 of the key; rows of a hot key (more than hot_rows) are dealt to buckets by the
+    rest of the row as well, so no key is one task, and rows that are equal in all columns are counted before they are shuffled.
 
     Integer keys are hashed as they are, others by xxhash64. Null keys are one key, that of 0. Repeated rows get a slot each.
-    Input columns with the names of the new ones are replaced; an empty df gives no rows.
+    Input columns with the names of the new ones are replaced; an empty df gives no rows. Columns of map type can't be compared, so they aren't taken.
     """
-    df = drop_columns(df, "law", "shard", "slot", "grown_shard", "_bucket", "_first", "_place")
+    df = drop_columns(df, "law", "shard", "slot", "grown_shard", "_bucket", "_first", "_place", "_n", "_copy", "_hot", "_high", "_middle", "_low")
+    own = [named(c) for c in df.columns]
     integral = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
     number = F.col(key) if integral else F.xxhash64(F.col(key))
-    bucket = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("0")).cast("binary")), 1, 8), 16, 10).cast("bigint") % slot_buckets
-    dealt = df.withColumns({"shard": jump_hash(number, shards), "grown_shard": jump_hash(number, shards + 1), "_bucket": bucket})
-    counts = dealt.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    distinct = df.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"))
+    # keys that more than hot_rows rows hold: fewer than rows / hot_rows of them, found from partial counts
+    hot = df.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > hot_rows).select("_hot")
+    if hot.isEmpty():
+        marked = distinct.withColumn("_hot", F.lit(False))
+    else:
+        marked = distinct.join(hot.withColumnRenamed("_hot", "_key").withColumn("_hot", F.lit(True)), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("0")).cast("binary"))
+    bucket = F.when(F.col("_hot"), F.pmod(F.xxhash64(*own), F.lit(slot_buckets))).otherwise(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % slot_buckets)
+    dealt = marked.withColumns({"shard": jump_hash(number, shards), "grown_shard": jump_hash(number, shards + 1), "_bucket": bucket})
+    counts = dealt.groupBy("shard", "_bucket").agg(F.sum("_n").alias("_m"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("shard", "_bucket").orderBy(*[F.col(c) for c in (key, *order_by)])
-    return (
-        dealt.withColumn("_place", F.row_number().over(within))
-        .join(F.broadcast(firsts), ["shard", "_bucket"])
-        .withColumns({"law": F.lit("key"), "slot": F.col("_first") + F.col("_place") - 1})
-        .drop("_bucket", "_first", "_place")
-    )
+    firsts = counts.select("shard", "_bucket", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_first"))
+    within = Window.partitionBy("shard", "_bucket").orderBy(F.col(key), *[F.col(c) for c in order_by], F.xxhash64(*own)).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_place", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(F.broadcast(firsts), ["shard", "_bucket"])
+    copies = numbered_copies(placed, "_n", "_copy")
+    return copies.withColumns({"law": F.lit("key"), "slot": F.col("_first") + F.col("_place") + F.col("_copy")}).select(*own, "law", "shard", "slot", "grown_shard")

@@ -40,6 +40,30 @@ def test_neighbours_recall(spark, sf_dir):
         assert hits / (20 * len(true)) >= 0.9
 
 
+def recall(spark, ids, x, **options):
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id bigint, embedding array<double>").repartition(4)
+    got, true = vectors.nearest(df, **options).toPandas(), exact_nearest(ids, x, 20, 20)
+    assert len(got) == sum(map(len, true.values()))  # whole results
+    return sum(len(set(part.vec_id) & {v for v, _ in true[q]}) for q, part in got.groupby("query_id")) / len(got)
+
+
+@pytest.mark.parametrize("kind", ["unit", "sigma 0.3", "sigma 1", "one x1e5", "one x1e200", "collinear", "clusters"])
+def test_neighbours_of_uneven_norms(spark, kind):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    if kind.startswith("sigma"):
+        x *= np.exp(rng.normal(0, float(kind[6:]), (3000, 1)))
+    elif kind.startswith("one"):
+        x[1234] *= float(kind[5:])
+    elif kind == "collinear":
+        x = x[:5][np.arange(3000) % 5] * np.exp(rng.normal(0, 2, (3000, 1)))
+    elif kind == "clusters":
+        x = x[np.arange(3000) % 40] * 2 + x * np.exp(rng.normal(0, 1, (3000, 1)))
+    ids = np.arange(3000)
+    assert recall(spark, ids, x, **({"shard_rows": 700, "query_block": 50} if kind in ("unit", "sigma 1") else {})) >= 0.9
+
+
 def test_neighbour_edges(spark):
     rows = [(0, [1.0, 0.0]), (20, [0.0, 0.0]), (40, None), (60, [1.0, NAN]), (80, [INF, 1.0]), (100, [1.0, None]), (None, [1.0, 1.0]), (1, [2.0, 0.0])]
     rows += [(i, [1.0, 0.0]) for i in range(200, 260)] + [(5, [0.5, 0.5, 0.5]), (1, [2.0, 0.0]), (3, [-1.0, 0.0])]
@@ -52,6 +76,9 @@ def test_neighbour_edges(spark):
     few = vectors.nearest(df.where("vec_id in (0, 1, 3)"), k=20).toPandas()
     assert [(r.vec_id, r.score) for r in few.sort_values("rank").itertuples()] == [(1, 2.0), (3, -1.0)]
     assert vectors.nearest(df.limit(0)).count() == 0
+    tiny = [(i, [1e-320 * (i + 1), 0.0]) for i in range(3)] + [(20, [1e300, 1e300]), (7, [-1e300, 1e300]), (9, [1e300, 1e300])]
+    big = vectors.nearest(spark.createDataFrame(tiny, "vec_id bigint, embedding array<double>")).toPandas()
+    assert list(big[big.query_id == 20].sort_values("rank").vec_id)[0] == 9 and len(big) == 10
 
 
 def test_token_files(spark, tmp_path):
@@ -164,6 +191,61 @@ def test_audio_edges(spark):
     assert tensors.to_numpy_ndarray().shape[1:] == (audio.TENSOR_FRAMES, 24)
 
 
+def test_audio_columns_and_tensors(spark, tmp_path):
+    df = spark.createDataFrame([(1, b"x" * 100, "m", 5, 6), (2, bytes(range(256)) * 90, "m", 5, 6)], "id int, raw binary, MEDIA string, Payload int, `a``b` int")
+    out = audio.audio_features(audio.store_samples(df, "raw"))
+    assert out.columns == ["id", "raw", "a`b", "media", "payload", "n_samples", "n_frames", "segments", "tensors"]
+    out.write.parquet(str(tmp_path / "t"))
+    rows = audio.tensor_rows(spark.read.parquet(str(tmp_path / "t")), ["id"])
+    table = audio.as_tensor_table(rows.orderBy("id", "tensor_no"))
+    assert table.schema.field("log_mel").type == pa.fixed_shape_tensor(pa.float32(), (audio.TENSOR_FRAMES, 24))
+    assert table.column("log_mel").combine_chunks().to_numpy_ndarray().shape == (table.num_rows, audio.TENSOR_FRAMES, 24)
+    assert audio.as_tensor_table(rows.limit(0)).num_rows == 0
+    assert audio.store_samples(df.withColumn("media", F.col("raw")).drop("raw"), "media").columns == ["id", "Payload", "a`b", "media"]
+
+
+def plain_features(payload):
+    """Frames, segments and log-mel values of a payload by plain loops: direct convolution, one frame at a time."""
+    x, own = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128, audio.LogMel(16000, 8000, 256, 128, 24)
+    taps = own.phases[0]
+    y = np.array([sum(taps[j] * x[2 * i - len(taps) // 2 + j] for j in range(len(taps)) if 0 <= 2 * i - len(taps) // 2 + j < len(x)) for i in range(-(-len(x) // 2))])
+    n = 1 + max(0, -(-(len(y) - 256) // 128))
+    y = np.r_[y, np.zeros((n - 1) * 128 + 256 - len(y))] if (n - 1) * 128 + 256 > len(y) else y
+    mel, energy = [], []
+    for f in range(n):
+        part = y[f * 128 : f * 128 + 256]
+        mel.append(np.log(np.abs(np.fft.rfft(part * own.hann)) ** 2 @ own.bank + 1e-10))
+        energy.append(10 * np.log10(np.mean(part**2) + 1e-12))
+    level, state, segments, begun = np.median(energy), False, [], 0
+    for f, e in enumerate([*energy, -np.inf]):
+        if not state and e >= level + 3:
+            state, begun = True, f
+        elif state and e < level:
+            state = False
+            if f - begun >= 3:
+                segments.append((begun * 0.016, ((f - 1) * 128 + 256) / 8000))
+    return np.array(mel), segments
+
+
+def test_features_by_plain_loops(spark, monkeypatch):
+    rng = random.Random(4)
+    raws = [b"", b"abc", ("The quick brown fox. " * 300).encode(), bytes(rng.choice((100, 128, 160)) for _ in range(5000)) + bytes(range(256)) * 10]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "id int, raw binary")
+    for r in audio.audio_features(audio.store_samples(df, "raw")).collect():
+        mel, segments = plain_features(bytes(r.payload))
+        assert r.n_frames == len(mel) and len(r.segments) == len(segments)
+        assert np.allclose([(s.start_s, s.end_s) for s in r.segments] or np.zeros((0, 2)), segments or np.zeros((0, 2)))
+        got = np.concatenate([np.array(t.log_mel).reshape(-1, 24)[: t.n_frames] for t in r.tensors])
+        assert np.allclose(got, mel, atol=1e-3)
+    monkeypatch.setattr(audio, "BLOCK_FRAMES", 7)
+    for rates in ((16000, 8000), (8000, 16000), (11025, 8000), (8000, 8000)):
+        own, x = audio.LogMel(*rates, 256, 128, 24), np.frombuffer(raws[3], np.uint8)
+        small = np.concatenate([m for m, _ in own.blocks(x)])
+        monkeypatch.setattr(audio, "BLOCK_FRAMES", 4096)
+        assert np.allclose(small, np.concatenate([m for m, _ in own.blocks(x)]), atol=1e-4)
+        monkeypatch.setattr(audio, "BLOCK_FRAMES", 7)
+
+
 @pytest.mark.parametrize("rates", [(16000, 8000), (8000, 16000), (11025, 8000), (8000, 8000)])
 def test_resampling_keeps_a_tone(rates):
     a, b = rates
