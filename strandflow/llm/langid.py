@@ -10,6 +10,8 @@ declared language and of an address suffix are counted the same way from the tex
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.shared import drop_columns, hashed_uniform, slices, written
+from strandflow.llm.shared import drop_columns, hashed_uniform, mapped, named, slices, written
 
 #: Hash space of the letter n-grams, a power of two.
 BUCKETS = 1 << 14
@@ -75,9 +77,8 @@ def train(labelled: DataFrame, text: str, lang: str, key: str, most_rows: int =
     return langs, np.log(table / table.sum(axis=1, keepdims=True))
 
 
-def text_evidence(df: DataFrame, text: str, langs: list[str], table: np.ndarray, temper: float, as_name: str = "text_log") -> DataFrame:
-    """df with the tempered log likelihoods of the text, by language, less the largest; texts of few letters have none (null)."""
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+def text_evidence(df: DataFrame, text: str, langs: list[str], table: np.ndarray, temper: float, as_name: str = "text_log", drop_text: bool = False) -> DataFrame:
+    """df (without the text, if wished) with the tempered log likelihoods of the text, by language, less the largest; texts of few letters have none (null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = np.ascontiguousarray(table.T)
@@ -90,9 +91,10 @@ def text_evidence(df: DataFrame, text: str, langs: list[str], table: np.ndarray,
                     continue
                 log = sum(flat[g[k : k + 65536]].sum(axis=0) for k in range(0, len(g), 65536)) * (temper / max(1.0, len(g) / 300.0))
                 out.append((log - log.max()).tolist())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.list_(pa.float64()))], [*part.schema.names, as_name])
+            kept = [(n, c) for n, c in zip(part.schema.names, part.columns, strict=True) if not (drop_text and n == text)]
+            yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(out, pa.list_(pa.float64()))], [*(n for n, _ in kept), as_name])
 
-    return df.mapInArrow(run, f"{shape}, {as_name} array<double>")
+    return mapped(df, run, f"{as_name} array<double>", text if drop_text else None)
 
 
 def softmax(log: Column) -> Column:
@@ -128,66 +130,107 @@ def identify(
     strength: float = 20.0,
     floor: float = 0.05,
     threshold: float = 0.5,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """df with lang_found, lang_posterior and lang_rejected.
+    """df (of its columns those in keep; None: all) with lang_found, lang_posterior and lang_rejected.
 
     host, domain, declared, suffix: string expressions, null where a row lacks them, or None. A missing piece of evidence says nothing:
     a null host leans on its domain, a null domain on all rows, and a null declared language or suffix has
     likelihood 1. A text that is null, empty or has few letters has no text evidence. Rejected are rows without text
     evidence and rows whose best posterior is below the threshold; ties go to the language first in order.
-    Repeated rows get equal results; an empty df gives no rows; columns of df with the new names are replaced.
+    Repeated rows get equal results; an empty df gives no rows; columns of df with the new names are replaced, of other names kept
+    whatever they are. Texts are scored once: the scored rows are a written table that the priors and the fusion both read.
     """
     k = len(langs)
-    given = {"_host": host, "_domain": domain, "_declared": declared, "_suffix": suffix}
-    rows = df.withColumns({name: (F.lit(None) if c is None else c).cast("string") for name, c in given.items()})
-    rows, df = (drop_columns(x, "lang_found", "lang_posterior", "lang_rejected", "_log", "_soft", *gone) for x, gone in ((rows, ()), (df, given)))
+    new = ("lang_found", "lang_posterior", "lang_rejected")
+    columns = [c for c in df.columns if c.lower() not in new and (keep is None or c in keep)]
+    own = {f"_own_{i}": c for i, c in enumerate(columns)}
     if not langs:  # nothing to learn from: no language is found
-        return df.withColumns({"lang_found": F.lit(None).cast("string"), "lang_posterior": F.lit(0.0), "lang_rejected": F.lit(True)})
-    # what the priors are summed from: evidence columns alone, not the texts
-    rows = text_evidence(rows, text, langs, table, temper, "_log")
-    soft = rows.where("_log is not null").select("_host", "_domain", "_declared", "_suffix", softmax(F.col("_log")).alias("_soft"))
-    counts = written(summed_posteriors(soft, ["_host", "_domain", "_declared", "_suffix"], k), "evidence")
+        return df.select(*map(named, columns), F.lit(None).cast("string").alias(new[0]), F.lit(0.0).alias(new[1]), F.lit(True).alias(new[2]))
+    given = {"_host": host, "_domain": domain, "_declared": declared, "_suffix": suffix}
+    evidence = [(F.lit(None) if c is None else c).cast("string").alias(name) for name, c in given.items()]
+    carried = next((o for o, c in own.items() if c == text), None)
+    rows = df.select(*[named(c).alias(o) for o, c in own.items()], *evidence, *([] if carried else [F.col(text).alias("_text")]))
+    rows = written(text_evidence(rows, carried or "_text", langs, table, temper, "_log", drop_text=not carried), "scored")
+    soft = rows.where("_log is not null").select(*given, softmax(F.col("_log")).alias("_soft"))
+    # what the priors are summed from: one row a combination of evidence
+    counts = written(summed_posteriors(soft, list(given), k), "evidence")
     regrouped = lambda *keys: counts.groupBy(*keys).agg(*[F.sum(F.get("mass", F.lit(i))).alias(f"m{i}") for i in range(k)]).select(*keys, F.array(*[F.coalesce(f"m{i}", F.lit(0.0)) for i in range(k)]).alias("mass"))
     even = F.array(*[F.lit(1.0 / k)] * k)
-    everything = regrouped().select(smoothed(F.col("mass"), even, 1.0).alias("all_prior"), F.col("mass").alias("all_mass"))
-    domains = regrouped("_domain").where("_domain is not null").crossJoin(F.broadcast(everything)).select("_domain", smoothed(F.col("mass"), F.col("all_prior"), strength).alias("domain_prior"))
+    everything = regrouped().select(smoothed(F.col("mass"), even, 1.0).alias("_all_prior"))
+    domains = regrouped("_domain").where("_domain is not null").crossJoin(F.broadcast(everything)).select("_domain", smoothed(F.col("mass"), F.col("_all_prior"), strength).alias("_domain_prior"))
     hosts = regrouped("_host", "_domain").where("_host is not null").join(domains, "_domain", "left").crossJoin(F.broadcast(everything))
-    hosts = hosts.select("_host", F.col("_domain").alias("_of"), smoothed(F.col("mass"), F.coalesce("domain_prior", "all_prior"), strength).alias("host_prior"))
-
-    def likelihood(name: str) -> DataFrame:
-        """P(value | lang) by value: posterior mass of the value over all mass of the language, with a floor that keeps one lie from deciding."""
-        values = regrouped(name).where(f"{name} is not null").crossJoin(F.broadcast(everything))
-        ratio = F.zip_with("mass", "all_mass", lambda m, a: F.log((m + floor) / (a + floor * 2) * (1 - floor) + floor))
-        return values.select(name, ratio.alias(f"{name}_log"))
-
-    out = rows.crossJoin(F.broadcast(everything.select("all_prior")))
-    for side, keys in ((domains, ["_domain"]), (hosts, ["_host"]), (likelihood("_declared"), ["_declared"]), (likelihood("_suffix"), ["_suffix"])):
-        if given[keys[0]] is None:
-            out = out.withColumn({"_domain": "domain_prior", "_host": "host_prior"}.get(keys[0], f"{keys[0]}_log"), F.lit(None).cast("array<double>"))
-        elif keys == ["_host"]:
+    hosts = hosts.select("_host", F.col("_domain").alias("_of"), smoothed(F.col("mass"), F.coalesce("_domain_prior", "_all_prior"), strength).alias("_host_prior"))
+
+    out = rows.crossJoin(F.broadcast(everything))
+    likely = {name: value_likelihoods(regrouped(name), name, k, floor) for name in ("_declared", "_suffix")}
+    for side, key in ((domains, "_domain"), (hosts, "_host"), (likely["_declared"], "_declared"), (likely["_suffix"], "_suffix")):
+        if given[key] is None:
+            out = out.withColumn({"_domain": "_domain_prior", "_host": "_host_prior"}.get(key, f"{key}_log"), F.lit(None).cast("array<double>"))
+        elif key == "_host":
             out = out.join(side.withColumnRenamed("_host", "_at"), (F.col("_host") == F.col("_at")) & F.col("_domain").eqNullSafe(F.col("_of")), "left").drop("_at", "_of")
         else:
-            out = out.join(side, keys, "left")
+            out = out.join(side, key, "left")
     nothing = F.array(*[F.lit(0.0)] * k)
-    prior = F.transform(F.coalesce("host_prior", "domain_prior", "all_prior"), lambda p: F.log(F.greatest(p, F.lit(1e-12))))
+    prior = F.transform(F.coalesce("_host_prior", "_domain_prior", "_all_prior"), lambda p: F.log(F.greatest(p, F.lit(1e-12))))
     log = added(added(added(prior, F.coalesce("_log", nothing)), F.coalesce("_declared_log", nothing)), F.coalesce("_suffix_log", nothing))
     top = F.array_max(log)
     out = out.withColumn("_soft", softmax(F.transform(log, lambda x: x - top)))
-    names = F.array(*[F.lit(x) for x in langs])
     best = F.array_max("_soft")
-    found = F.get(names, (F.array_position("_soft", best) - 1).cast("int"))
-    columns = {"lang_found": found, "lang_posterior": best, "lang_rejected": F.col("_log").isNull() | (best < threshold)}
-    return out.withColumns(columns).select(*[F.col(f"`{c}`") for c in df.columns], *columns)
+    found = F.get(F.array(*[F.lit(x) for x in langs]), (F.array_position("_soft", best) - 1).cast("int"))
+    return out.select(*[F.col(o).alias(c) for o, c in own.items()], found.alias(new[0]), best.alias(new[1]), (F.col("_log").isNull() | (best < threshold)).alias(new[2]))
+
+
+def value_likelihoods(values: DataFrame, name: str, k: int, floor: float) -> DataFrame:
+    """name, name_log: log P(value | lang) by value (name, mass). Posterior mass of the value, with floor rows more of every value, over
+    that of all, and a share of floor dealt evenly, which keeps one lie from deciding; so each language's sum to 1."""
+    values = values.where(f"{name} is not null")
+    whole = values.agg(F.count(F.lit(1)).alias("_values"), F.array(*[F.sum(F.get("mass", F.lit(i))) for i in range(k)]).alias("_all"))
+    n = F.col("_values")
+    ratio = F.zip_with("mass", "_all", lambda m, a: F.log((m + floor) / (a + n * floor) * (1 - floor) + F.lit(floor) / n))
+    return values.crossJoin(F.broadcast(whole)).select(name, ratio.alias(f"{name}_log"))
+
+
+HIDDEN = re.compile(r"<!--|<(script|style|nav|head)\b", re.I)
+CLOSING = re.compile(r"</(script|style|nav|head)\s*>", re.I)
+ENTITY = re.compile(r"&[a-zA-Z]{1,10};|&#[0-9xXa-fA-F]{1,8};")
+
+
+def visible_text(page: str) -> str:
+    """A page without scripts, styles, navigation, head, comments, tags and entities, in time linear in its length: where hidden parts end is
+    listed beforehand, so a part that never ends costs no search of the rest. Such a part loses its tag alone."""
+    starts: dict[str, list[int]] = {"-->": [m.start() for m in re.finditer("-->", page)]}
+    ends: dict[str, list[int]] = {"-->": [at + 3 for at in starts["-->"]]}
+    for m in CLOSING.finditer(page):
+        name = m[1].lower()
+        starts.setdefault(name, []).append(m.start())
+        ends.setdefault(name, []).append(m.end())
+    out, seen, at = [], 0, 0
+    while m := HIDDEN.search(page, at):
+        name = m[1].lower() if m[1] else "-->"
+        i = bisect.bisect_left(starts.get(name, ()), m.end())
+        at = m.end()
+        if i < len(starts.get(name, ())):
+            out += [page[seen : m.start()], " "]
+            seen = at = ends[name][i]
+    bare = "".join([*out, page[seen:]])
+    last = bare.rfind(">") + 1  # behind it no tag ends
+    return ENTITY.sub(" ", re.sub("<[^>]*>", " ", bare[:last]) + bare[last:])
 
 
 def page_evidence(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """pages with text (markup, scripts and styles taken out), declared (the html tag's lang, its first part), host, domain (the host's last two labels) and suffix; each null where a page lacks it."""
+    """pages with text (visible_text), declared (the html tag's lang, its first part), host, domain (the host's last two labels) and suffix; each null where a page lacks it."""
     pages = drop_columns(pages, "text", "declared", "host", "domain", "suffix")
-    page = F.col(html)
-    # one tag or hidden block at a time: no pattern here can run on without end
-    bare = F.regexp_replace(page, r"(?is)<(script|style|nav|head)\b.*?</\1\s*>|<!--.*?-->", " ")
-    text = F.regexp_replace(F.regexp_replace(bare, r"<[^>]*>", " "), r"&[a-zA-Z]{1,10};|&#[0-9xXa-fA-F]{1,8};", " ")
-    declared = F.lower(F.regexp_extract(page, r"(?i)<html[^>]{0,400}?\blang\s*=\s*[\"']?([a-zA-Z]{2,3})", 1))
+    declared = F.lower(F.regexp_extract(F.col(html), r"(?i)<html[^>]{0,400}?\blang\s{0,9}=\s{0,9}[\"']?([a-zA-Z]{2,3})", 1))
     host = F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
     blank = lambda c: F.when(c != "", c)
-    return pages.withColumns({"text": text, "declared": blank(declared), "host": blank(host), "domain": blank(F.substring_index(host, ".", -2)), "suffix": blank(F.substring_index(host, ".", -1))})
+    told = pages.withColumns({"declared": blank(declared), "host": blank(host), "domain": blank(F.substring_index(host, ".", -2)), "suffix": blank(F.substring_index(host, ".", -1))})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, html):
+            texts = [None if p is None else visible_text(p) for p in part.column(html).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "text"])
+
+    return mapped(told, run, "text string")
+
+

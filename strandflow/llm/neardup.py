@@ -27,10 +27,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandflow.llm.shared import slices, written
+from strandflow.llm.shared import deleted, mapped, slices, written
 
 #: Words whose hashes a Python worker remembers; emptied beyond that, which changes no result.
 REMEMBERED_WORDS = 500_000
+#: Shares into which a large group's rows are dealt where they meet its size.
+SALTS = 64
 
 #: The multipliers of splitmix64.
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -119,15 +121,15 @@ def features(docs: DataFrame, words: int, hashes: int) -> DataFrame:
 
 def with_shingles(rows: DataFrame, words: int, hashes: int) -> DataFrame:
     """rows with shingles, the sorted hashes of the set, in the place of text."""
-    kept = [f for f in rows.schema if f.name != "text"]
+    kept = [f.name for f in rows.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shingler(words, hashes)
         for part in slices(batches, "text"):
             sets = [own.shingles(t).tobytes() for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(sets, pa.binary())], [*(f.name for f in kept), "shingles"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(sets, pa.binary())], [*kept, "shingles"])
 
-    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", shingles binary")
+    return mapped(rows, run, "shingles binary", without="text")
 
 
 def least_agreements(hashes: int, batch: int, threshold: float, miss: float) -> list[tuple[int, int]]:
@@ -261,13 +263,13 @@ def links_across_blocks(profiles: DataFrame, strays: DataFrame, check: Verifier)
     return rows.mapInArrow(run, LINK_SCHEMA)
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (the least node reachable) of every node of the links (a, b): alternating large and small stars
     (Kiveris et al., "Connected components in MapReduce and beyond", 2014). Edges stay distributed; each round is a
-    written table, and the rounds, a logarithm of the longest path, end when a round changes no edge."""
-    edges = written(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    seen = None
-    for _ in range(most_rounds):
+    written table, the one before is deleted, and the rounds, a logarithm of the longest path, end when a round changes no edge."""
+    spark, old, seen = links.sparkSession, [], None
+    edges = written(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", old)
+    while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
@@ -278,8 +280,10 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         both = met(large, low, "u")
         small = both.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "edges")
-    raise RuntimeError("the components did not settle")
+        new: list[str] = []
+        edges = written(small, "edges", new)
+        deleted(spark, old)
+        old = new
 
 
 def judged(
@@ -293,32 +297,35 @@ def judged(
     batch: int = 20,
     miss: float = 1e-7,
     block_shingles: int = 2_000_000,
-    block_members: int = 4096,
+    block_members: int = 1024,
 ) -> DataFrame:
     """As near_duplicates, with text_a and text_b (text_keys) and digest_a and digest_b (of the set) besides."""
     hashes = bands * rows
     check = Verifier(hashes, batch, percent, miss)
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *[c.alias(k) for k, c in text_keys(text).items()])
-    base = written(features(docs, words, hashes), "features")
+    scratch: list[str] = []
+    base = written(features(docs, words, hashes), "features", scratch)
     usable = base.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("digest_a", "digest_b").agg(F.min("doc_id").alias("first_id"))
     firsts = met(usable, classes, ["digest_a", "digest_b"]).where("doc_id = first_id").dropDuplicates(["digest_a", "digest_b"])
     # a node is a class: one doc_id can have texts of several. Numbers are fixed by writing them
-    signatures = written(firsts.select(F.monotonically_increasing_id().alias("node"), "doc_id", "text_a", "text_b", "digest_a", "digest_b", "n_shingles", "signature"), "signatures")
+    signatures = written(firsts.select(F.monotonically_increasing_id().alias("node"), "doc_id", "text_a", "text_b", "digest_a", "digest_b", "n_shingles", "signature"), "signatures", scratch)
 
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.substring(F.col("signature"), k * (2 * rows) + 1, F.lit(2 * rows)))))
     placed = signatures.select("node", "n_shingles", band.alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = written(met(placed, shared, "bucket"), "buckets")
+    members = written(met(placed, shared, "bucket"), "buckets", scratch)
     reach = members.groupBy("node").agg(F.sum("members").alias("reach"))
     # the most reaching member leads; equal reach: the least node
     ranked = met(members, reach, "node").select("bucket", "node", F.struct(-F.col("reach"), F.col("node")).alias("rank"))
     leaders = ranked.groupBy("bucket").agg(F.min("rank")["node"].alias("leader"))
-    led = written(met(members, leaders, "bucket").groupBy("leader", "node").agg(F.max("n_shingles").alias("n_shingles")), "led")
+    led = written(met(members, leaders, "bucket").groupBy("leader", "node").agg(F.max("n_shingles").alias("n_shingles")), "led", scratch)
 
     sizes = led.groupBy("leader").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("n"))
     sizes = sizes.select("leader", F.greatest(F.ceil(F.col("m") / block_members), F.ceil(F.col("n") / block_shingles)).cast("bigint").alias("blocks"))
-    sized = met(led, sizes, "leader")
+    # few groups have several blocks, and one may be a third of all rows: they are met by leader and salt
+    salted = sizes.where("blocks > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sized = met(led.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")), salted, ["leader", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint")))
     # the leader is a row of every block of its group
     block = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks"))))
     dealt = sized.select("leader", "blocks", "node", F.explode(block).alias("block"))
@@ -326,8 +333,8 @@ def judged(
     # repeated rows fall together before the join, so a class meets one text
     once = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text_a", "text_b"])
     profiles = met(once, wanted, ["doc_id", "text_a", "text_b"]).select("leader", "blocks", "block", "node", "signature", "text")
-    profiles = written(with_shingles(profiles, words, hashes), "profiles")
-    found = written(links_in_groups(profiles, check), "links")
+    profiles = written(with_shingles(profiles, words, hashes), "profiles", scratch)
+    found = written(links_in_groups(profiles, check), "links", scratch)
     links = found.where("b is not null").select("a", "b")
     strays = found.where("b is null").select("leader", "block", F.col("a").alias("node"))
     if not strays.isEmpty():
@@ -340,7 +347,9 @@ def judged(
     result = met(base.drop("signature"), stands, ["digest_a", "digest_b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     kept = F.col("doc_id").eqNullSafe(component) & (F.col("doc_id").isNull() | F.coalesce("heads", F.lit(True)))
-    return result.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_a", "text_b", "digest_a", "digest_b")
+    done = written(result.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_a", "text_b", "digest_a", "digest_b"), "judged")
+    deleted(df.sparkSession, scratch)
+    return done
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, **options) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.llm import audio, bpe, chat, langid, mixing, neardup, quality, sharding, tokencount, vectors
-from strandflow.llm.shared import table
+from strandflow.llm.shared import fresh_path, table, written
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -100,8 +100,8 @@ FROM copies JOIN digests USING (doc_id)
 def op5_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every page from its visible text, its declared language, its address suffix and its host."""
     langs, model = langid.train(table(spark, sf_dir, "documents"), "text", "lang", "doc_id")
-    pages = langid.page_evidence(table(spark, sf_dir, "pages"))
-    found = langid.identify(pages, langs, model, "text", F.col("host"), F.col("domain"), F.col("declared"), F.col("suffix"))
+    pages = langid.page_evidence(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = langid.identify(pages, langs, model, "text", F.col("host"), F.col("domain"), F.col("declared"), F.col("suffix"), keep=["page_id"])
     return found.select("page_id", "lang_found", F.round("lang_posterior", 6).alias("lang_posterior"), "lang_rejected")
 
 
@@ -118,19 +118,22 @@ def op6_pruned_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation repaired and rendered; the digest of the text."""
-    chats = chat.format_chats(table(spark, sf_dir, "conversations"))
+    """Every conversation repaired and rendered. rendered_digest: the sum, over the parts of its text, of the first 15 hex digits of their md5; conversations of less than 512 turns are one part."""
+    parts = chat.format_chats(table(spark, sf_dir, "conversations"))
     text = F.col("rendered").cast("binary")
-    return chats.select("conv_id", "n_messages", "n_turns", "n_merged", "n_relabelled", "n_inserted", "cost", F.octet_length(text).cast("bigint").alias("n_bytes"), F.md5(text).alias("rendered_md5"))
+    digest = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+    sums = [F.sum(c).alias(c) for c in ("n_messages", "n_turns", "n_merged", "n_relabelled", "n_inserted")]
+    return parts.groupBy("conv_id").agg(*sums, F.max("cost").alias("cost"), F.sum(F.octet_length(text).cast("bigint")).alias("n_bytes"), F.sum(digest).cast("string").alias("rendered_digest"))
 
 
 def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all documents, found again in flat token streams of them."""
-    blocks = tokencount.packed_bytes(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return tokencount.document_lengths(blocks, 256, labels="doc_ids").select(F.col("label").alias("doc_id"), "n_tokens")
-
-
-OP9_SQL = "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_tokens FROM documents"
+    """Token counts of all documents, from flat files of their token ids: the files hold ids and separators alone and are scanned by ranges;
+    which document comes where is another table, joined to the counts by place."""
+    folder = fresh_path(spark, "tokens")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    order = written(tokencount.write_token_files(docs, "doc_id", "text", vocabulary(), folder), "order")
+    counts = tokencount.document_lengths(tokencount.read_token_files(spark, folder), tokencount.separator_of(vocabulary()))
+    return order.join(counts.select(F.substring_index("file", "/", -1).alias("file"), "doc_no", "n_tokens"), ["file", "doc_no"]).select("doc_id", "n_tokens")
 
 
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,4 +167,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_duplicates": OP3_SQL, "op4_poisson_mix": OP4_SQL, "op9_separator_scan": OP9_SQL}
+    return {"op3_minhash_near_duplicates": OP3_SQL, "op4_poisson_mix": OP4_SQL}

@@ -246,6 +246,58 @@ def test_languages(spark, sf_dir):
     assert not r.lang_rejected.any()
 
 
+def test_fusion_by_brute_force(spark, sf_dir):
+    """Posteriors of few rows, by plain loops over the same text scores."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    langs, model = langid.train(docs, "text", "lang", "doc_id")
+    rng = random.Random(6)
+    rows = [(i, r.text[:200], rng.choice(["a", "b", None]), rng.choice([r.lang, r.lang, "fr", None]), rng.choice(["x", "y", "z"])) for i, r in enumerate(docs.limit(60).collect())]
+    df = spark.createDataFrame(rows, "id int, text string, host string, said string, suffix string").withColumns({"_host_prior": F.lit(1), "all_prior": F.lit(2), "domain": F.concat(F.lit("d"), "host")})
+    got = {r.id: r for r in langid.identify(df, langs, model, host=F.col("host"), domain=F.col("domain"), declared=F.col("said"), suffix=F.col("suffix"), threshold=0.6).collect()}
+    logs = {r.id: r.text_log for r in langid.text_evidence(df, "text", langs, model, 0.2).collect()}
+    k = len(langs)
+    soft = {i: [np.exp(x) / sum(map(np.exp, v)) for x in v] for i, v in logs.items() if v is not None}
+
+    def mass(keep):
+        return [sum(round(soft[r[0]][j], 9) for r in rows if r[0] in soft and keep(r)) for j in range(k)]
+
+    def lean(m, above, strength):
+        return [(m[j] + strength * above[j]) / (sum(m) + strength) for j in range(k)]
+
+    everything = lean(mass(lambda r: True), [1 / k] * k, 1.0)
+
+    def likely(column, value):
+        values = {r[column] for r in rows if r[0] in soft and r[column] is not None}
+        if value is None:
+            return [1.0] * k
+        own, whole = mass(lambda r: r[column] == value), mass(lambda r: r[column] is not None)
+        return [(own[j] + 0.05) / (whole[j] + 0.05 * len(values)) * 0.95 + 0.05 / len(values) for j in range(k)]
+
+    for column in (3, 4):
+        assert np.allclose(np.sum([likely(column, v) for v in {r[column] for r in rows if r[0] in soft} - {None}], axis=0), 1.0)
+    for r in rows:
+        prior = lean(mass(lambda x: x[2] == r[2]), lean(mass(lambda x: x[2] == r[2]), everything, 20.0), 20.0) if r[2] else everything
+        p = np.array(prior) * likely(3, r[3]) * likely(4, r[4]) * (np.exp(logs[r[0]]) if logs[r[0]] else 1.0)
+        assert abs(got[r[0]].lang_posterior - p.max() / p.sum()) < 1e-6 and got[r[0]].lang_found == langs[int(p.argmax())]
+        assert got[r[0]].lang_rejected == (logs[r[0]] is None or p.max() / p.sum() < 0.6) and (got[r[0]]["_host_prior"], got[r[0]]["all_prior"]) == (1, 2)
+
+
+def test_visible_text():
+    import re
+    import time
+
+    rng = random.Random(2)
+    bits = ["<script>", "</script>", "<STYLE a=b>", "</style >", "<!--", "-->", "<p>", "</p>", "<", ">", "word", "&amp;", "&#x41;", "<nav>", "</nav>", "<header>", "</head>", "<head>", " ", "\n"]
+    for _ in range(500):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(40)))
+        bare = re.sub(r"(?is)<(script|style|nav|head)\b.*?</\1\s*>|<!--.*?-->", " ", page)
+        assert langid.visible_text(page) == re.sub(r"&[a-zA-Z]{1,10};|&#[0-9xXa-fA-F]{1,8};", " ", re.sub(r"<[^>]*>", " ", bare))
+    for bit in ("<script>", "<!--", "<", "<nav><head>", "</script", "<script></style>"):
+        began = time.time()
+        langid.visible_text(bit * (1_000_000 // len(bit)))
+        assert time.time() - began < 3
+
+
 def test_rare_languages_are_learnt(spark):
     rows = [(i, f"the common words of row {i}", "en") for i in range(2000)] + [(5000 + i, "kaksi sanaa harvinaista", "fi") for i in range(2)] + [(None, f"palabra {i}", "es") for i in range(300)]
     rows += [(9000 + i, "unlabelled", None) for i in range(2000)] + [(9999, None, "xx")]
