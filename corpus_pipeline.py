@@ -10,20 +10,33 @@ from strandflow.llm.queries import quality_model, vocabulary
 from strandflow.llm.shared import table, written
 from strandflow.plans.session import ship_package
 
+#: Posterior of a document's language below which the first stage drops it.
+LEAST_POSTERIOR = 0.8
+
+
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list]:
+    """docs with the columns of these names under others, and what selects its columns as they were."""
+    taken = {n.lower() for n in names}
+    new = {c: f"_own_{i}" if c.lower() in taken else c for i, c in enumerate(docs.columns)}
+    return docs.withColumnsRenamed({c: n for c, n in new.items() if c != n}), [F.col(f"`{n}`").alias(c) for c, n in new.items()]
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the text, the declared language and the source's prior settle; those without letters or a clear posterior go."""
+    """Documents whose language the text, the declared language and the source's prior settle, with the found one as their lang; those without
+    letters or with a posterior under LEAST_POSTERIOR go."""
     ship_package(spark)
     langs, model = langid.train(docs, "text", "lang", "doc_id")
-    found = langid.identify(docs, langs, model, "text", host=F.col("source"), declared=F.col("lang"))
-    return found.where(~F.col("lang_rejected")).select(*docs.columns)
+    rows, own = set_aside(docs, "lang_found", "lang_posterior", "lang_rejected")
+    found = langid.identify(rows, langs, model, "text", host=F.col("source"), declared=F.col("lang"), threshold=LEAST_POSTERIOR)
+    return found.where(~F.col("lang_rejected")).withColumn("lang", F.col("lang_found")).select(*own)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled model scores 0.3 or more."""
     ship_package(spark)
     model = quality_model(spark, docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    rows, own = set_aside(docs, "score", "predicted")
+    return quality.score(rows, model).where("predicted = 1").select(*own)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,20 +48,22 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     one = [F.when(F.col("doc_id").isNull(), F.col(f"text_{x}")).otherwise(F.col(f"digest_{x}")).alias(f"one_{x}") for x in "ab"]
     ids = groups.groupBy(F.col("doc_id").alias("kept_id"), *one).agg(F.min(F.struct("text_a", "text_b")).alias("keys"), F.count(F.lit(1)).alias("times"))
     ids = written(ids.select("kept_id", F.col("keys.text_a").alias("kept_a"), F.col("keys.text_b").alias("kept_b"), "times"), "kept")
-    keyed = docs.withColumns({f"_{k}": c for k, c in neardup.text_keys("text").items()})
+    rows, own = set_aside(docs, "_text_a", "_text_b", "kept_id", "kept_a", "kept_b", "times")
+    keyed = rows.withColumns({f"_{k}": c for k, c in neardup.text_keys("text").items()})
     same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_text_a") == F.col("kept_a")) & (F.col("_text_b") == F.col("kept_b"))
     stay = neardup.met(keyed, ids, same, "left_semi")
     if ids.where("times > 1 and kept_id is not null").isEmpty():
-        return stay.select(*docs.columns)
+        return stay.select(*own)
     stay = written(stay, "stay")
     once = stay.where("doc_id is not null").dropDuplicates(["doc_id", "_text_a", "_text_b"])
-    return once.union(stay.where("doc_id is null")).select(*docs.columns)
+    return once.union(stay.where("doc_id is null")).select(*own)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated by hashed Poisson counts so that every source has an equal share of the characters, shuffled globally."""
     ship_package(spark)
-    return mixing.mixed(docs, "doc_id", source="source", size=F.length("text")).select(*docs.columns)
+    rows, own = set_aside(docs, "copy_no", "shuffle_key", "_rate", "_source", "_count", "_key", "_high", "_middle", "_low")
+    return mixing.mixed(rows, "doc_id", source="source", size=F.length("text")).select(*own)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
