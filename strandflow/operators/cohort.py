@@ -2,24 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandflow.functions.sequence import codes, kmers, reverse_complement
+from strandflow.operators.measures import CODES, packed_kmers
 from strandflow.operators.pieces import islands
 
+#: Bytes that are letters of a sequence.
+LETTER = np.zeros(256, bool)
+LETTER[[ord(c) for c in "ACGTacgt"]] = True
+
+
+def row_kmers(rows: DataFrame, k: int, seq: str, keep: list[str], both_strands: bool, places: bool) -> DataFrame:
+    """keep, kmer (and pos): the packed k-mers of each row's runs of ACGT, distinct in the row or (places) each with its place; in Arrow batches."""
+    slim = rows.select(*keep, F.col(seq).alias("_seq"))
+    new = [T.StructField("pos", T.IntegerType())] if places else []
+    shape = T.StructType([*(slim.schema[c] for c in keep), *new, T.StructField("kmer", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part, found, spots = batch.slice(at, 64), [], []
+                for text in part.column("_seq").to_pylist():
+                    raw = np.frombuffer((text or "").encode(), np.uint8)
+                    s = CODES[raw]
+                    bad = np.r_[0, np.cumsum(~LETTER[raw])]
+                    whole = np.flatnonzero(bad[k:] == bad[: len(bad) - k]) if len(s) >= k else np.zeros(0, np.int64)
+                    kmers = packed_kmers(s, k)[whole]
+                    if both_strands:
+                        kmers = np.r_[kmers, packed_kmers((3 - s)[::-1], k)[::-1][whole]]
+                    found.append(kmers if places else np.unique(kmers))
+                    spots.append(whole)
+                owner = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in found]))
+                columns = [*(part.column(c).take(owner) for c in keep), *([pa.array(np.concatenate(spots).astype(np.int32))] if places else []), pa.array(np.concatenate(found), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, shape.names)
+
+    return slim.mapInArrow(run, shape)
+
 
 def genome_kmers(genomes: DataFrame, k: int, seq: str = "seq", both_strands: bool = True, keep: list[str] | None = None) -> DataFrame:
     """genome_id (and the kept columns), kmer: the distinct packed k-mers of each genome. Runs are split at letters outside ACGT.
 
-    Copies within a row go before the shuffle; k is at most 31, so that a k-mer fits a bigint.
+    A genome may be several rows (pieces that overlap by k - 1 letters, or contigs). Copies within a row go before the shuffle; k is at most 31, so that a k-mer fits a bigint.
     """
-    keep = keep or []
-    runs = F.filter(F.split(F.upper(seq), "[^ACGT]+"), lambda r: F.length(r) >= k)
-    own = genomes.select("genome_id", *keep, F.explode(runs).alias("run"))
-    strands = F.array("run", reverse_complement(F.col("run"))) if both_strands else F.array("run")
-    rows = own.select("genome_id", *keep, F.explode(strands).alias("run")).withColumn("s", codes(F.col("run")))
-    return rows.select("genome_id", *keep, F.explode(F.array_distinct(kmers(F.col("s"), k))).alias("kmer")).distinct()
+    return row_kmers(genomes, k, seq, ["genome_id", *(keep or [])], both_strands, False).distinct()
 
 
 def association(genomes: DataFrame, k: int, informative: bool = True) -> DataFrame:
@@ -42,8 +73,7 @@ def strong(scores: DataFrame, threshold: float) -> DataFrame:
 
 def hits(genomes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """genome_id, pos, kmer: places on the forward strand of the wanted k-mers."""
-    rows = genomes.withColumn("s", codes(F.col("seq")))
-    places = rows.select("genome_id", F.posexplode(kmers(F.col("s"), k)).alias("pos", "kmer"))
+    places = row_kmers(genomes, k, "seq", ["genome_id"], False, True)
     return places.join(wanted.select("kmer"), "kmer", "left_semi").select("genome_id", "pos", "kmer")
 
 
@@ -75,7 +105,7 @@ def sketches(genomes: DataFrame, k: int, size: int = 3000, hashed: bool = False,
     return rows.withColumn("rank", rank).where(F.col("rank") <= size)
 
 
-def sketch_similarity(sketch: DataFrame, size: int = 3000, most_carriers: int | None = None) -> DataFrame:
+def sketch_similarity(sketch: DataFrame, size: int = 3000) -> DataFrame:
     """a, b, jaccard of genomes that share a sketched k-mer: share of the size least k-mers of the union that both have.
 
     Pairs come from shared k-mers; a pair without any has jaccard 0 and no row. The rank in the union of a k-mer that

@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandflow.operators.pieces import running_sums
+from strandflow.plans.session import settled
 
-def mid_rank(keys: list[str], value: str) -> Column:
-    """Rank from 1 of value within the keys, ties sharing the mean of their places."""
-    place = Window.partitionBy(*keys).orderBy(value)
-    ties = Window.partitionBy(*keys, value)
-    return F.rank().over(place) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
+
+def mid_ranks(levels: DataFrame, keys: list[str], value: str, count: str) -> DataFrame:
+    """levels (keys, value, count; values differ) with _rank: the rank from 1 that rows of the value share, the mean of their places. No key is one task."""
+    ranked = running_sums(levels, keys, [value], count)
+    return ranked.withColumn("_rank", F.col(f"before_{count}") + (F.col(count) + 1) / 2.0).drop(f"before_{count}")
 
 
 def auc(rows: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
     """keys, n_pos, n_neg, auc (Mann-Whitney with mid-ranks; null where a class is empty)."""
-    keys = keys or ["_all"]
-    rows = rows if keys != ["_all"] else rows.withColumn("_all", F.lit(0))
-    # equal scores are counted first, so that a large key is ordered by distinct scores alone
+    # equal scores are counted first, so that distinct scores alone are ordered
     levels = rows.groupBy(*keys, score).agg(F.count_if(F.col(positive)).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = levels.withColumn("_rank", F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2.0)
-    sums = ranked.groupBy(*keys).agg(F.sum("_p").alias("n_pos"), (F.sum("_n") - F.sum("_p")).alias("n_neg"), F.sum(F.col("_rank") * F.col("_p")).alias("_s"))
+    sums = mid_ranks(levels, keys, score, "_n").groupBy(*keys).agg(F.sum("_p").alias("n_pos"), (F.sum("_n") - F.sum("_p")).alias("n_neg"), F.sum(F.col("_rank") * F.col("_p")).alias("_s"))
     value = (F.col("_s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0) / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))
-    return sums.select(*[k for k in keys if k != "_all"], "n_pos", "n_neg", value.alias("auc"))
+    return sums.select(*keys, "n_pos", "n_neg", value.alias("auc"))
 
 
 def recall_at(rows: DataFrame, keys: list[str], score: str, order: str, positive: str, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
@@ -36,16 +34,26 @@ def recall_at(rows: DataFrame, keys: list[str], score: str, order: str, positive
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
     """n, rho: correlation of mid-ranks."""
-    ranked = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_all", F.lit(0))
-    ranked = ranked.select(mid_rank(["_all"], x).alias("_x"), mid_rank(["_all"], y).alias("_y"))
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("_x", "_y").alias("rho"))
+    # one row a pair of values from here on
+    cells = settled(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count(F.lit(1)).alias("_n")))
+    for v in ("_x", "_y"):
+        levels = cells.groupBy(v).agg(F.sum("_n").alias("_m"))
+        cells = cells.join(mid_ranks(levels, [], v, "_m").select(v, F.col("_rank").alias(f"_r{v}")), v)
+    return weighed_correlation(cells, "_r_x", "_r_y", "_n").select("n", F.col("r").alias("rho"))
+
+
+def weighed_correlation(cells: DataFrame, x: str, y: str, n: str) -> DataFrame:
+    """n, r: Pearson correlation of x and y over cells that stand for n rows each."""
+    x, y, n = F.col(x).cast("double"), F.col(y).cast("double"), F.col(n).cast("double")
+    sums = cells.agg(F.sum(n).alias("n"), F.sum(n * x).alias("sx"), F.sum(n * y).alias("sy"), F.sum(n * x * x).alias("sxx"), F.sum(n * y * y).alias("syy"), F.sum(n * x * y).alias("sxy"))
+    spread = F.sqrt((F.col("n") * F.col("sxx") - F.col("sx") ** 2) * (F.col("n") * F.col("syy") - F.col("sy") ** 2))
+    return sums.select(F.coalesce("n", F.lit(0.0)).cast("bigint").alias("n"), ((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(spread, F.lit(0.0))).alias("r"))
 
 
 def rank_test(rows: DataFrame, keys: list[str], value: str, first: str) -> DataFrame:
     """keys, u, z: Mann-Whitney statistic of the rows where first holds, and its normal score with tie correction."""
     levels = rows.groupBy(*keys, value).agg(F.count_if(F.col(first)).alias("_p"), F.count(F.lit(1)).alias("_n"))
-    below = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = levels.withColumn("_rank", F.coalesce(F.sum("_n").over(below), F.lit(0)) + (F.col("_n") + 1) / 2.0)
+    ranked = mid_ranks(levels, keys, value, "_n")
     cubes = F.sum(F.pow(F.col("_n").cast("double"), 3) - F.col("_n"))
     s = ranked.groupBy(*keys).agg(F.sum("_p").cast("double").alias("a"), (F.sum("_n") - F.sum("_p")).cast("double").alias("b"), F.sum(F.col("_rank") * F.col("_p")).alias("r"), cubes.alias("t"))
     u = F.col("r") - F.col("a") * (F.col("a") + 1) / 2

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from strandflow.functions.sequence import HURST_WIDTHS
 
@@ -54,32 +55,45 @@ def lagged_products(x: np.ndarray, most_lag: int = 30) -> np.ndarray | None:
     return np.array([away[:-lag] @ away[lag:] / norm for lag in range(1, min(most_lag, len(x) // 4))])
 
 
-def measured(segments: DataFrame, seq: str = "seq") -> DataFrame:
-    """segments with dense counts of 1- to 4-mers and codons (frame 0), sparse counts of neighbouring codons, the Hurst exponent and autocorrelations. A null sequence is empty."""
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.schema)
+def packed_kmers(s: np.ndarray, k: int) -> np.ndarray:
+    """The overlapping k-mers of an array of codes, base 4, for k up to 31."""
+    out = np.zeros(max(0, len(s) - k + 1), np.int64)
+    for i in range(k):
+        out = out * 4 + s[i : i + len(out)]
+    return out
+
+
+def measured(segments: DataFrame, seq: str = "seq", wanted: tuple[str, ...] = tuple(NAMES)) -> DataFrame:
+    """segments with the wanted ones of: dense counts of 1- to 4-mers and codons (frame 0), sparse counts of neighbouring codons, the Hurst
+    exponent and autocorrelations. A null sequence is empty."""
+    fields = [f for f, n in zip(FIELDS.split(", "), NAMES, strict=True) if n in wanted]
+    wanted = tuple(n for n in NAMES if n in wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
-                out: dict[str, list] = {n: [] for n in NAMES}
+                out: dict[str, list] = {n: [] for n in wanted}
                 for text in part.column(seq).to_pylist():
                     s = CODES[np.frombuffer((text or "").encode(), np.uint8)]
                     n = len(s)
-                    packed = s
                     for size in (1, 2, 3, 4):
-                        if size > 1:
-                            packed = packed[: max(0, n - size + 1)] * 4 + s[size - 1 :]
-                        out[f"k{size}"].append(np.bincount(packed, minlength=4**size))
-                    c = s[: n // 3 * 3].reshape(-1, 3) @ np.array([16, 4, 1])
-                    out["codon"].append(np.bincount(c, minlength=64))
-                    values, counts = np.unique(c[:-1] * 64 + c[1:], return_counts=True)
-                    out["pair_value"].append(values)
-                    out["pair_n"].append(counts)
-                    x = s.astype(np.float64)
-                    out["hurst"].append(rescaled_range_slope(x))
-                    out["autocorrelation"].append(lagged_products(x))
-                types = [pa.float64() if n == "hurst" else pa.list_(pa.float64() if n == "autocorrelation" else pa.int64()) for n in NAMES]
-                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(out[n], t) for n, t in zip(NAMES, types, strict=True))], [*part.schema.names, *NAMES])
-
-    return segments.mapInArrow(run, f"{shape}, {FIELDS}")
+                        if f"k{size}" in out:
+                            out[f"k{size}"].append(np.bincount(packed_kmers(s, size), minlength=4**size))
+                    if "codon" in out or "pair_n" in out:
+                        c = s[: n // 3 * 3].reshape(-1, 3) @ np.array([16, 4, 1])
+                        if "codon" in out:
+                            out["codon"].append(np.bincount(c, minlength=64))
+                        if "pair_n" in out:
+                            values, counts = np.unique(c[:-1] * 64 + c[1:], return_counts=True)
+                            out["pair_n"].append(counts)
+                            if "pair_value" in out:
+                                out["pair_value"].append(values)
+                    if "hurst" in out:
+                        out["hurst"].append(rescaled_range_slope(s.astype(np.float64)))
+                    if "autocorrelation" in out:
+                        out["autocorrelation"].append(lagged_products(s.astype(np.float64)))
+                types = [pa.float64() if n == "hurst" else pa.list_(pa.float64() if n == "autocorrelation" else pa.int64()) for n in wanted]
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(out[n], t) for n, t in zip(wanted, types, strict=True))], [*part.schema.names, *wanted])
+
+    return segments.mapInArrow(run, T.StructType([*segments.schema.fields, *T.StructType.fromDDL(", ".join(fields)).fields]))

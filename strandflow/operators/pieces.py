@@ -6,9 +6,11 @@ first letter. Windows gather only the parts of pieces that they cover, so a cont
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandflow.plans.session import settled
+
 #: Ordinals that one window of the running sums covers; windows are stitched by a second sum over one row each.
 SPAN = 8192
 
@@ -27,15 +29,24 @@ def with_starts(pieces: DataFrame) -> DataFrame:
     return rows.join(spans, ["contig_id", "_span"]).withColumn("start", F.col("_before") + F.col("_inner")).drop("_span", "_len", "_before", "_inner")
 
 
-def contig_lengths(pieces: DataFrame) -> DataFrame:
-    return pieces.groupBy("contig_id").agg(F.sum(F.length("seq").cast("bigint")).alias("contig_length"))
+def running_sums(rows: DataFrame, keys: list[str], order: list[str], *values: str) -> DataFrame:
+    """rows with before_<value>: the sum of the value over the key's earlier rows (order must be unique within a key). Rows are dealt by ranges of
+    key and order; each range is summed by itself and ranges are stitched by sums of one row a key and range, so no key is one task."""
+    dealt = settled(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))  # ranges stay as they are drawn
+    sums = dealt.groupBy(*keys, "_range").agg(*[F.sum(v).alias(f"_{v}") for v in values])
+    over = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    named = [F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)]
+    earlier = sums.select(*named, F.col("_range").alias("_at"), *[F.coalesce(F.sum(f"_{v}").over(over), F.lit(0)).alias(f"_earlier_{v}") for v in values])
+    within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = dealt.withColumns({f"_inner_{v}": F.coalesce(F.sum(v).over(within), F.lit(0)) for v in values})
+    on = F.col("_range") == F.col("_at")
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return inner.join(earlier, on).select(*rows.columns, *[(F.col(f"_inner_{v}") + F.col(f"_earlier_{v}")).alias(f"before_{v}") for v in values])
 
 
-def gathered(pieces: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted (contig_id, window_no, start, end) with seq, for pieces already exploded to (contig_id, window_no, _at, _part)."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_part"))), lambda x: x["_part"])
-    seqs = pieces.groupBy("contig_id", "window_no").agg(F.array_join(parts, "").alias("seq"))
-    return wanted.join(seqs, ["contig_id", "window_no"])
+def contig_lengths(pieces: DataFrame) -> DataFrame:
+    return pieces.groupBy("contig_id").agg(F.sum(F.length("seq").cast("bigint")).alias("contig_length"))
 
 
 def windows(pieces: DataFrame, window: int, step: int, extra: int = 0, tail: bool = False) -> DataFrame:
@@ -66,7 +77,8 @@ def overlaps(left: DataFrame, right: DataFrame, tile: int, keys: list[str], how:
     Both sides are dealt to the tiles that they touch and joined on tiles; a pair is made in the first tile that both
     touch alone. left's columns keep their names, right's start and end become r_start and r_end. how: inner or left.
     """
-    named = left.withColumn("_id", F.monotonically_increasing_id()) if how == "left" else left
+    # both branches must see the same ids: they are fixed by a checkpoint
+    named = settled(left.withColumn("_id", F.monotonically_increasing_id())) if how == "left" else left
     tiles = lambda a, b: F.explode(F.sequence(F.floor(a / tile), F.floor((F.greatest(b, a + 1) - 1) / tile)))
     x = named.withColumn("_tile", tiles(F.col("start") - pad, F.col("end") + pad))
     y = right.withColumnsRenamed({"start": "r_start", "end": "r_end"}).withColumn("_tile", tiles(F.col("r_start"), F.col("r_end")))
@@ -90,7 +102,3 @@ def complement(rows: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
     """The gaps (keys, start, end) of least letters or more between a feature and the next by start."""
     w = Window.partitionBy(*keys).orderBy("start", "end")
     return rows.withColumn("_next", F.lead("start").over(w)).where(F.col("_next") - F.col("end") >= least).select(*keys, F.col("end").alias("start"), F.col("_next").alias("end"))
-
-
-def tumbling(value: Column, size: int) -> Column:
-    return F.floor(value / size)

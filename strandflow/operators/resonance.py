@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandflow.functions import sequence as S
-from strandflow.operators.measures import CODES
+from strandflow.operators.measures import CODES, packed_kmers
 from strandflow.plans.session import settled
 
 
@@ -116,24 +117,35 @@ def scored_pairs(counts: DataFrame, share: DataFrame, places: DataFrame, least:
     return rows.withColumn("r", r).select("b1", "b2", "k", "n", "a", "d", "mi", "p", "x", "g", "r")
 
 
-def conditional_entropies(grams: DataFrame, unit: list[str], context: str, target: str, name: str) -> DataFrame:
-    """unit, context, name: entropy of the target given each context."""
-    n = grams.groupBy(*unit, context, target).agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy(*unit, context).agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2(F.col("n").cast("double"))) / F.sum("n")).alias(name))
+def context_entropies(context: np.ndarray, symbol: np.ndarray, contexts: int) -> np.ndarray:
+    """Entropy of the symbol given each context that occurs, by context."""
+    n = np.bincount(context * 4 + symbol, minlength=contexts * 4).reshape(-1, 4).astype(np.float64)
+    whole = n.sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(whole > 0, np.log2(whole) - np.where(n > 0, n * np.log2(n), 0).sum(axis=1) / whole, 0.0)
 
 
-def entropy_contrast(rows: DataFrame, unit: str, k: int = 5) -> DataFrame:
-    """unit, pos, delta_h at the inner positions k .. n - k - 1 of each sequence: entropy of a symbol given the k before it
-    less that given the k after it, both estimated from the sequence itself. Sequences under 2 k + 2 have none."""
-    s = rows.where(F.length("seq") >= 2 * k + 2).withColumn("s", S.codes(F.col("seq")))
-    grams = s.select(unit, F.size("s").alias("n"), "s", F.posexplode(S.kmers(F.col("s"), k)).alias("i", "ctx"))
-    sym = lambda i: F.get("s", i)
-    before = grams.where(F.col("i") + k < F.col("n")).select(unit, "n", (F.col("i") + k).alias("pos"), F.col("ctx").alias("before"), sym(F.col("i") + k).alias("sym"))
-    after = grams.where(F.col("i") > 0).select(unit, (F.col("i") - 1).alias("pos"), F.col("ctx").alias("after"), sym(F.col("i") - 1).alias("sym"))
-    h_before = conditional_entropies(before, [unit], "before", "sym", "hb")
-    h_after = conditional_entropies(after, [unit], "after", "sym", "ha")
-    inner = before.where(F.col("pos") < F.col("n") - k).join(after.drop("sym"), [unit, "pos"])
-    return inner.join(h_before, [unit, "before"]).join(h_after, [unit, "after"]).select(unit, "pos", (F.col("hb") - F.col("ha")).alias("delta_h"))
+def entropy_contrasts(rows: DataFrame, k: int = 5, seq: str = "seq") -> DataFrame:
+    """rows, but for seq, with delta_h: at the inner positions k .. n - k - 1 of each sequence, entropy of a symbol given the k before it
+    less that given the k after it, both estimated from the sequence itself. Sequences under 2 k + 2 have no row. Work of a row alone."""
+    kept = [f for f in rows.schema.fields if f.name != seq]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(seq).to_pylist():
+                s = CODES[np.frombuffer((text or "").encode(), np.uint8)]
+                if len(s) < 2 * k + 2:
+                    out.append(None)
+                    continue
+                grams = packed_kmers(s, k)
+                before, after = context_entropies(grams[:-1], s[k:], 4**k), context_entropies(grams[1:], s[: len(s) - k], 4**k)
+                inner = np.arange(k, len(s) - k)
+                out.append(before[grams[inner - k]] - after[grams[inner + 1]])
+            whole = pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(out, pa.list_(pa.float64()))], [*(f.name for f in kept), "delta_h"])
+            yield whole.filter(whole.column("delta_h").is_valid())
+
+    return rows.mapInArrow(run, T.StructType([*kept, *T.StructType.fromDDL("delta_h array<double>").fields]))
 
 
 def inverted_repeats(windows: DataFrame, k: int = 8, gap: int = 500) -> DataFrame:
@@ -141,12 +153,26 @@ def inverted_repeats(windows: DataFrame, k: int = 8, gap: int = 500) -> DataFram
 
     windows were made with extra = gap + k - 1 letters, of which seq holds as many as there are; end - start is the window's own size.
     """
-    own = (F.col("end") - F.col("start")).cast("int")
-    last = F.length("seq") - k + 1
-    forward = F.array_distinct(S.kmers(S.codes(F.substring(F.col("seq"), F.lit(1), F.least(own, last) + k - 1)), k))
-    region = F.substring(F.col("seq"), F.lit(1), F.least(F.least(own, last) + gap, last) + k - 1)
-    back = F.array_distinct(S.kmers(S.codes(S.reverse_complement(region)), k))
-    return windows.select("contig_id", "window_no", F.when(last > 0, F.size(F.array_intersect(forward, back))).otherwise(0).alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, own in zip(batch.column("seq").to_pylist(), batch.column("own").to_pylist(), strict=True):
+                s = CODES[np.frombuffer(text.encode(), np.uint8)]
+                last = len(s) - k + 1
+                if last <= 0:
+                    out.append(0)
+                    continue
+                forward = packed_kmers(s, k)
+                back = packed_kmers((3 - s)[::-1], k)[::-1]  # back[i]: reverse complement of the k-mer at i
+                here = min(own, last)
+                seen = np.zeros(4**k, bool)
+                seen[forward[:here]] = True
+                out.append(int(seen[np.unique(back[: min(here + gap, last)])].sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("contig_id"), batch.column("window_no"), pa.array(out, pa.int32())], ["contig_id", "window_no", "n"])
+
+    rows = windows.select("contig_id", "window_no", (F.col("end") - F.col("start")).cast("int").alias("own"), "seq")
+    return rows.mapInArrow(run, T.StructType([rows.schema["contig_id"], rows.schema["window_no"], T.StructField("n", T.IntegerType())]))
 
 
 def information_half_life(rows: DataFrame, unit: str, most_lag: int = 12) -> DataFrame:
@@ -161,8 +187,3 @@ def tail_contrast(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, contrast: (max - median) / (inter-quartile range + 1e-9), by linear percentiles."""
     q = lambda x: F.percentile(value, F.lit(x))
     return rows.groupBy(*keys).agg(((F.max(value) - q(0.5)) / (q(0.75) - q(0.25) + 1e-9)).alias("contrast"))
-
-
-def smoothed_gradient(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """rows with gradient, the change of value since the row before."""
-    return rows.withColumn("gradient", F.coalesce(F.abs(F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(order))), F.lit(0.0)))

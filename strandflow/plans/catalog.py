@@ -9,6 +9,7 @@ from strandflow.functions import sequence as S
 from strandflow.operators import cluster, cohort, evaluate, fusion, merge, pieces, resonance, scan
 from strandflow.operators.measures import measured
 from strandflow.plans import oracle as O
+from strandflow.plans.session import settled
 from strandflow.sources import documents as D
 from strandflow.sources import reports
 
@@ -37,8 +38,9 @@ def contig_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.windows(D.contig_pieces(spark, sf_dir), W, STEP)
 
 
-def measured_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measured(contig_windows(spark, sf_dir))
+def measured_windows(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+    """The windows with the wanted counts and measures."""
+    return measured(contig_windows(spark, sf_dir), wanted=wanted)
 
 
 @query(
@@ -70,7 +72,7 @@ def symbol_entropy(spark, sf_dir):
 SELECT contig_id, start, round(h3.h / 6, 6) AS h3, round(h4.h / 8, 6) AS h4 FROM wins JOIN h3 USING (contig_id, window_no) JOIN h4 USING (contig_id, window_no)"""
 )
 def kmer_entropy(spark, sf_dir):
-    m = measured_windows(spark, sf_dir)
+    m = measured_windows(spark, sf_dir, "k3", "k4")
     return m.select("contig_id", "start", r6(S.entropy(F.col("k3")) / 6).alias("h3"), r6(S.entropy(F.col("k4")) / 8).alias("h4"))
 
 
@@ -79,12 +81,12 @@ def kmer_entropy(spark, sf_dir):
 SELECT contig_id, start, round(greatest(2 * a.h - b.h, 0), 6) AS mi1 FROM wins JOIN a USING (contig_id, window_no) JOIN b USING (contig_id, window_no)"""
 )
 def mi_lag1(spark, sf_dir):
-    return measured_windows(spark, sf_dir).select("contig_id", "start", r6(S.information(F.col("k1"), F.col("k2"))).alias("mi1"))
+    return measured_windows(spark, sf_dir, "k1", "k2").select("contig_id", "start", r6(S.information(F.col("k1"), F.col("k2"))).alias("mi1"))
 
 
 @query(f"WITH {O.CONTIGS}, {O.windows()}, {O.SPINE2}, {O.rho('r')} SELECT contig_id, window_no * {STEP} AS start, g AS pair, round(rho, 6) AS rho FROM r")
 def rho_vector(spark, sf_dir):
-    m = measured_windows(spark, sf_dir).select("contig_id", "start", F.posexplode(S.rho_from_counts(F.col("k1"), F.col("k2"))).alias("i", "rho"))
+    m = measured_windows(spark, sf_dir, "k1", "k2").select("contig_id", "start", F.posexplode(S.rho_from_counts(F.col("k1"), F.col("k2"))).alias("i", "rho"))
     pair = F.concat(F.substring(F.lit("ACGT"), F.floor(F.col("i") / 4).cast("int") + 1, F.lit(1)), F.substring(F.lit("ACGT"), F.col("i") % 4 + 1, F.lit(1)))
     return m.select("contig_id", "start", pair.alias("pair"), r6("rho").alias("rho"))
 
@@ -124,17 +126,17 @@ def codon_counts(spark, sf_dir):
 
 @query(f"WITH {O.CONTIGS}, {O.windows()}, {O.hurst()} SELECT contig_id, window_no * {STEP} AS start, round(h, 6) AS hurst FROM hurst")
 def hurst(spark, sf_dir):
-    return measured_windows(spark, sf_dir).select("contig_id", "start", r6("hurst").alias("hurst"))
+    return measured_windows(spark, sf_dir, "hurst").select("contig_id", "start", r6("hurst").alias("hurst"))
 
 
 @query(f"WITH {O.CONTIGS}, {O.windows()}, {O.period3()} SELECT contig_id, window_no * {STEP} AS start, round(h, 6) AS ac3 FROM ac")
 def autocorr_period3(spark, sf_dir):
-    return measured_windows(spark, sf_dir).select("contig_id", "start", r6(S.period3_share(F.col("autocorrelation"))).alias("ac3"))
+    return measured_windows(spark, sf_dir, "autocorrelation").select("contig_id", "start", r6(S.period3_share(F.col("autocorrelation"))).alias("ac3"))
 
 
 @query(f"WITH {O.CONTIGS}, {O.windows()}, {O.SPINE3}, {O.rscu('r')} SELECT contig_id, window_no * {STEP} AS start, g AS codon, round(rscu, 6) AS rscu FROM r")
 def rscu(spark, sf_dir):
-    m = measured_windows(spark, sf_dir).select("contig_id", "start", F.posexplode(S.rscu_from_counts(F.col("codon"))).alias("i", "rscu"))
+    m = measured_windows(spark, sf_dir, "codon").select("contig_id", "start", F.posexplode(S.rscu_from_counts(F.col("codon"))).alias("i", "rscu"))
     letter = lambda x: F.substring(F.lit("ACGT"), (x % 4 + 1).cast("int"), F.lit(1))
     codon = F.concat(letter(F.floor(F.col("i") / 16)), letter(F.floor(F.col("i") / 4)), letter(F.col("i")))
     return m.select("contig_id", "start", codon.alias("codon"), r6("rscu").alias("rscu"))
@@ -145,7 +147,7 @@ def rscu(spark, sf_dir):
 SELECT contig_id, start, round(greatest(2 * a.h - b.h, 0), 6) AS codon_mi FROM wins JOIN a USING (contig_id, window_no) JOIN b USING (contig_id, window_no)"""
 )
 def codon_mi(spark, sf_dir):
-    return measured_windows(spark, sf_dir).select("contig_id", "start", r6(S.information(F.col("codon"), F.col("pair_n"))).alias("codon_mi"))
+    return measured_windows(spark, sf_dir, "codon", "pair_n").select("contig_id", "start", r6(S.information(F.col("codon"), F.col("pair_n"))).alias("codon_mi"))
 
 
 NO_WINDOW = ", ".join(f"round({s}, 6) AS {s}" for s in O.NAMES)
@@ -154,7 +156,7 @@ NO_WINDOW = ", ".join(f"round({s}, 6) AS {s}" for s in O.NAMES)
 @query(f"WITH {O.CONTIGS}, {O.SPINE2}, {O.SPINE3}, {O.profile()}, {O.windows()}, {O.signals('sig', 'wins')} SELECT contig_id, start, {NO_WINDOW} FROM sig")
 def window_signals(spark, sf_dir):
     """The ten signals of every window, distances against the profile of all contigs."""
-    p = D.contig_pieces(spark, sf_dir)
+    p = settled(D.contig_pieces(spark, sf_dir))
     found = scan.signals(pieces.windows(p, W, STEP), scan.host_profile(D.host_pieces(p)))
     return found.select("contig_id", "start", *[r6(s).alias(s) for s in O.NAMES])
 
@@ -166,9 +168,9 @@ def baseline_stats(spark, sf_dir):
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = D.contig_pieces(spark, sf_dir)
+    p = settled(D.contig_pieces(spark, sf_dir))  # read by the profile, the baseline and the windows
     host = D.host_pieces(p)
-    profile = scan.host_profile(host)
+    profile = settled(scan.host_profile(host))
     stats = scan.baseline_stats(host, W, W, profile=profile)
     found = scan.signals(pieces.windows(p, W, STEP).where(F.col("end") - F.col("start") == W), profile)
     return scan.composite(scan.z_scores(found, stats))
@@ -480,8 +482,9 @@ SELECT x.doc_id, count(*) AS n, round(avg(abs(hb.h - ha.h)), 6) AS mean_abs FROM
 )
 def delta_h(spark, sf_dir):
     """Mean absolute contrast of forward and backward conditional entropies of each document."""
-    found = resonance.entropy_contrast(D.document_sequences(spark, sf_dir).select("doc_id", "seq"), "doc_id")
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.abs("delta_h"))).alias("mean_abs"))
+    found = resonance.entropy_contrasts(D.document_sequences(spark, sf_dir).select("doc_id", "seq"))
+    size = F.aggregate("delta_h", F.lit(0.0), lambda a, x: a + F.abs(x))
+    return found.select("doc_id", F.size("delta_h").cast("bigint").alias("n"), r6(size / F.size("delta_h")).alias("mean_abs"))
 
 
 @query(
@@ -516,7 +519,7 @@ SELECT contig_id, window_no * {STEP} AS start, round(len(list_filter(c, lambda x
 )
 def sdr(spark, sf_dir):
     """Share of each window's distinct 4-mers that hold half of its mass."""
-    return measured_windows(spark, sf_dir).select("contig_id", "start", r6(S.structural_share(F.filter("k4", lambda n: n > 0))).alias("share"))
+    return measured_windows(spark, sf_dir, "k4").select("contig_id", "start", r6(S.structural_share(F.filter("k4", lambda n: n > 0))).alias("share"))
 
 
 @query(
@@ -525,7 +528,7 @@ h AS (SELECT c.contig_id, coalesce(stddev_pop(h3.h / 6) FILTER (WHERE w.start <
 SELECT contig_id, round(het, 6) AS heterogeneity, round(1 / (1 + exp(-(het - 0.00844) / 0.00445)), 6) AS weight FROM h"""
 )
 def heterogeneity(spark, sf_dir):
-    h3 = measured_windows(spark, sf_dir).select("contig_id", "start", (S.entropy(F.col("k3")) / 6).alias("h3"))
+    h3 = measured_windows(spark, sf_dir, "k3").select("contig_id", "start", (S.entropy(F.col("k3")) / 6).alias("h3"))
     found = fusion.heterogeneity(h3, D.contig_pieces(spark, sf_dir), W)
     return found.select("contig_id", r6("heterogeneity").alias("heterogeneity"), r6(fusion.fusion_weight(F.col("heterogeneity"))).alias("weight"))
 
@@ -537,7 +540,7 @@ SELECT contig_id, start, round(coalesce(0.6::DOUBLE * a / nullif(n, 0) + 0.4::DO
 )
 def soft_fusion(spark, sf_dir):
     """Soft fusion of two window channels, GC and 3-mer entropy, at weight 0.4."""
-    m = measured_windows(spark, sf_dir).select("contig_id", "start", F.round(S.gc_content(F.col("seq")), 9).alias("composite"), F.round(S.entropy(F.col("k3")), 9).alias("structural"), F.lit(0.4).alias("weight"))
+    m = measured_windows(spark, sf_dir, "k3").select("contig_id", "start", F.round(S.gc_content(F.col("seq")), 9).alias("composite"), F.round(S.entropy(F.col("k3")), 9).alias("structural"), F.lit(0.4).alias("weight"))
     return fusion.soft_fusion(m).select("contig_id", "start", r6("fused").alias("fused"))
 
 
@@ -547,7 +550,7 @@ def two_channel_scan(spark, sf_dir):
     found = scan.suppressed(scored(spark, sf_dir))
     text = contig_windows(spark, sf_dir).select("contig_id", "start", "seq")
     rows = fusion.structural_distance(found.join(text, ["contig_id", "start"])).withColumn("composite", F.col("composite").cast("double"))
-    h3 = measured_windows(spark, sf_dir).select("contig_id", "start", (S.entropy(F.col("k3")) / 6).alias("h3"))
+    h3 = measured_windows(spark, sf_dir, "k3").select("contig_id", "start", (S.entropy(F.col("k3")) / 6).alias("h3"))
     weight = fusion.heterogeneity(h3, D.contig_pieces(spark, sf_dir), W).select("contig_id", fusion.fusion_weight(F.col("heterogeneity")).alias("weight"))
     return fusion.soft_fusion(rows.join(weight, "contig_id")).select("contig_id", "start", "end", r6("fused").alias("fused"))
 

@@ -26,9 +26,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df checkpointed in the folder that spark.checkpoint.dir names (a temporary one where it is unset): rows that later jobs
+    """df checkpointed in the folder that spark.checkpoint.dir names (in the warehouse where it is unset): rows that later jobs
     read alike, with a cut lineage that outlives lost executors."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandflow-"))
+        conf = df.sparkSession.conf
+        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared")
     return df.checkpoint()

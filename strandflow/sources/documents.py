@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.functions.sequence import only_acgt
-from strandflow.operators.pieces import contig_lengths, with_starts
+from strandflow.operators.pieces import contig_lengths, running_sums, with_starts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +27,7 @@ def contig_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def host_pieces(pieces: DataFrame, name: str = "host") -> DataFrame:
     """All contigs one after the other, by contig_id, as the pieces of one."""
-    from pyspark.sql import Window
-
-    lengths = contig_lengths(pieces)
-    before = Window.partitionBy(F.lit(0)).orderBy("contig_id").rowsBetween(Window.unboundedPreceding, -1)  # one row a contig
-    offsets = lengths.select("contig_id", F.coalesce(F.sum("contig_length").over(before), F.lit(0)).alias("_offset"))
+    offsets = running_sums(contig_lengths(pieces), [], ["contig_id"], "contig_length").select("contig_id", F.col("before_contig_length").alias("_offset"))
     return pieces.join(offsets, "contig_id").select(F.lit(name).alias("contig_id"), "ordinal", "seq", (F.col("start") + F.col("_offset")).alias("start"))
 
 

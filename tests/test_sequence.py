@@ -199,7 +199,7 @@ def test_keyword_verdicts(spark):
 def test_half_life_and_contrast(spark):
     df = spark.createDataFrame([(1, "ACGTTGCA" * 20), (2, "ACG")], "u int, seq string")
     assert all(r.half_life is None or r.half_life > 0 for r in resonance.information_half_life(df, "u").collect())
-    assert {r.u for r in resonance.entropy_contrast(df, "u", 3).collect()} == {1}
+    assert {r.u for r in resonance.entropy_contrasts(df, 3).collect()} == {1}
     r = resonance.resonance(spark.createDataFrame([([0, 1, 2, 3],)] * 6, "symbols array<int>"), 4, last_k=2)
     row = {(x.b1, x.b2, x.k): x for x in r.collect()}[0, 1, 1]
     assert (row.n, row.d, row.p, row.g) == (6, 1.0, 1.0, 1.0) and 0 < row.r <= 1
