@@ -141,8 +141,8 @@ def period3_strength(symbols: Column, most_lag: int = 30) -> Column:
 
 
 def autocorrelation_peaks(symbols: Column, most_lag: int = 30, threshold: float = 0.005) -> Column:
-    """Lags from 2 on whose autocorrelation is a strict local maximum above the threshold; fewer than 4 lags have none."""
-    return let(autocorrelations(symbols, most_lag), lambda r: F.coalesce(F.filter(steps(2, F.size(r)), lambda k: (F.get(r, k - 1) > threshold) & (F.get(r, k - 1) > F.get(r, k - 2)) & (F.get(r, k - 1) > F.get(r, k))), F.array().cast("array<int>")))
+    """Lags of peaks_of the symbols' autocorrelations; fewer than 4 lags have none."""
+    return let(autocorrelations(symbols, most_lag), lambda r: F.transform(peaks_of(r, threshold), lambda x: x["lag"]))
 
 
 def hurst(symbols: Column) -> Column:
@@ -276,3 +276,40 @@ def divergence_from(hist: Column, size: Column, reference: Column, reference_siz
 
     plain = total(F.transform(reference, lambda n: divergence_part(F.lit(1.0 / bins), smoothed_share(n, reference_size, bins))))
     return F.when(size > 0, of_none + total(F.transform(hist, corrected))).otherwise(plain)
+
+
+def regime(h3: Column) -> Column:
+    """SPARSE, BIASED, CODING or BALANCED by the 3-mer entropy (of 1); fixed cuts."""
+    h = F.round(h3, 9)
+    return F.when(h < 0.5, "SPARSE").when(h < 0.85, "BIASED").when(h < 0.95, "CODING").otherwise("BALANCED")
+
+
+def regime_by_symbols(ratio: Column) -> Column:
+    """The same names by the symbol entropy over its maximum; the older, lower cuts."""
+    h = F.round(ratio, 9)
+    return F.when(h < 0.25, "SPARSE").when(h < 0.60, "BIASED").when(h < 0.85, "CODING").otherwise("BALANCED")
+
+
+def mean_of(values: Column) -> Column:
+    return F.when(F.size(values) > 0, total(values) / F.size(values))
+
+
+def periodicity_score(mi: Column, period: int = 3) -> Column:
+    """Mean information at the first four multiples of the period over that at the other lags up to there; null where the latter is 0, 0 without any."""
+    first = F.slice(mi, 1, 4 * period)
+    at = mean_of(F.filter(first, lambda _, i: (i + 1) % period == 0))
+    beside = mean_of(F.filter(first, lambda _, i: (i + 1) % period != 0))
+    return F.when(F.coalesce(F.array_max(first), F.lit(0.0)) <= 0, 0.0).otherwise(at / F.nullif(beside, F.lit(0.0)))
+
+
+def lag3_ratio(mi: Column) -> Column:
+    """Information at lag 3 over the mean of that at 1, 2, 4 and 5; null where the latter is 0, 0 with fewer than 6 lags."""
+    beside = (F.get(mi, F.lit(0)) + F.get(mi, F.lit(1)) + F.get(mi, F.lit(3)) + F.get(mi, F.lit(4))) / 4.0
+    return F.when(F.size(mi) < 6, 0.0).otherwise(F.get(mi, F.lit(2)) / F.nullif(beside, F.lit(0.0)))
+
+
+def peaks_of(r: Column, threshold: float = 0.005) -> Column:
+    """array<struct<lag, r>> of the strict local maxima above the threshold among autocorrelations r(1), r(2), ..., at lags from 2 on that have a lag behind them."""
+    at = lambda lag: F.get(r, (lag - 1).cast("int"))
+    lags = F.filter(steps(2, F.size(r)), lambda k: (at(k) > threshold) & (at(k) > at(k - 1)) & (at(k) > at(k + 1)))
+    return F.coalesce(F.transform(lags, lambda k: F.struct(k.alias("lag"), at(k).alias("r"))), F.array().cast("array<struct<lag:int,r:double>>"))

@@ -129,3 +129,46 @@ def within_lineages(genomes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     r, s = (F.avg(F.when(F.col("label") == x, F.col("n"))) for x in "RS")
     out = rows.groupBy("lineage").agg(F.count_if(F.col("label") == "R").alias("n_r"), F.count_if(F.col("label") == "S").alias("n_s"), r.alias("mean_r"), s.alias("mean_s"))
     return out.withColumn("separates", F.col("mean_r") > F.col("mean_s") * 1.5 + 1)
+
+
+def gene_presence(genes: DataFrame, genomes: DataFrame, scores: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """gene_id, n_r, n_s (genomes with any k-mer of the gene), n_strong, carrier_r, carrier_s: mean shares of R and S genomes that carry the gene's wanted k-mers.
+
+    Tells presence of a gene, which all may have, from an allele that one class has. scores: association() of all k-mers.
+    """
+    own = genome_kmers(genes.select(F.col("gene_id").alias("genome_id"), "seq"), k).withColumnRenamed("genome_id", "gene_id")
+    held = genome_kmers(genomes, k, keep=["label"]).join(own, "kmer").select("gene_id", "genome_id", "label").distinct()
+    counts = held.groupBy("gene_id").agg(F.count_if(F.col("label") == "R").alias("n_r"), F.count_if(F.col("label") == "S").alias("n_s"))
+    size = genomes.agg(F.count_if(F.col("label") == "R").alias("_r"), F.count_if(F.col("label") == "S").alias("_s"))
+    carried = own.join(wanted.select("kmer"), "kmer", "left_semi").join(scores, "kmer").crossJoin(F.broadcast(size))
+    carried = carried.groupBy("gene_id").agg(F.count(F.lit(1)).alias("n_strong"), F.avg(F.col("cnt_r") / F.col("_r")).alias("carrier_r"), F.avg(F.col("cnt_s") / F.col("_s")).alias("carrier_s"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return genes.select("gene_id").join(counts, "gene_id", "left").join(carried, "gene_id", "left").select("gene_id", zero("n_r"), zero("n_s"), zero("n_strong"), "carrier_r", "carrier_s")
+
+
+def explained(wanted: DataFrame, genes: DataFrame, k: int) -> DataFrame:
+    """One row: n wanted k-mers, summed (k-mers of each gene, double where genes share them) and distinct ones that genes explain, and both as shares of n."""
+    own = genome_kmers(genes.select(F.col("gene_id").alias("genome_id"), "seq"), k).groupBy("kmer").agg(F.count(F.lit(1)).alias("genes"))
+    sums = wanted.select("kmer").join(own, "kmer", "left").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("genes"), F.lit(0)).alias("summed"), F.count("genes").alias("distinct_kmers"))
+    n = F.nullif(F.col("n"), F.lit(0))
+    return sums.withColumns({"summed_share": F.col("summed") / n, "distinct_share": F.col("distinct_kmers") / n})
+
+
+def class_distances(similar: DataFrame, units: DataFrame) -> DataFrame:
+    """kind (within, between), n, mean: mean of 1 - jaccard over all pairs of units (unit, class) in the same and in different classes.
+
+    similar (a, b, jaccard) has the pairs that share anything; the others, at distance 1, are counted and never formed."""
+    a, b = (units.select(F.col("unit").alias(x), F.col("class").alias(f"class_{x}")) for x in "ab")
+    kind = F.when(F.col("class_a") == F.col("class_b"), "within").otherwise("between")
+    met = similar.join(a, "a").join(b, "b").groupBy(kind.alias("kind")).agg(F.sum("jaccard").alias("s"))
+    sizes = units.groupBy("class").agg(F.count(F.lit(1)).alias("c"))
+    whole = sizes.agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("w"))
+    rows = whole.select(F.inline(F.array(F.struct(F.lit("within").alias("kind"), F.col("w").alias("n")), F.struct(F.lit("between").alias("kind"), (F.col("n") * (F.col("n") - 1) / 2 - F.col("w")).alias("n")))))
+    return rows.join(met, "kind", "left").select("kind", F.col("n").cast("bigint").alias("n"), (1 - F.coalesce("s", F.lit(0.0)) / F.nullif(F.col("n"), F.lit(0.0))).alias("mean"))
+
+
+def densest(found: DataFrame, genomes: DataFrame, first: int = 5) -> DataFrame:
+    """genome_id, n: of the first genomes by id, the one with most hits, the earliest of equal ones."""
+    some = genomes.select("genome_id").distinct().orderBy("genome_id").limit(first)
+    counts = some.join(found, "genome_id", "left").groupBy("genome_id").agg(F.count("pos").alias("n"))
+    return counts.orderBy(F.desc("n"), "genome_id").limit(1)

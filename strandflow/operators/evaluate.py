@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,17 +109,32 @@ def otsu(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return best.select(*keys, F.when(few, 0.0).otherwise((F.col("m.v") + F.col("m.after")) / 2).alias("threshold"), F.when(few, 0.0).otherwise(-F.col("m.b")).alias("between"))
 
 
+#: Modulus of the bootstrap's hash, and the distribution function of Poisson(1) at 0 to 7: fixed values.
+PRIME = (1 << 31) - 1
+POISSON_ONE = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+
+
 def bootstrap_means(rows: DataFrame, value: str, key: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
     """mean, low, high: the mean and the 2.5 and 97.5 percentiles of the means of Poisson bootstraps.
 
-    Each round weighs each row by a Poisson(1) count that its hash decides, so no resampled table is formed and sums
-    are partial before the shuffle.
+    Each round weighs each row by a Poisson(1) count that a hash of its key (bigint) and the round decides, so no resampled table is formed; a task
+    sends one partial sum a round.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col("round"), F.col(key)), F.lit(1 << 40)) / float(1 << 40)
-    cut = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
-    weight = sum((u >= c).cast("int") for c in cut)
-    each = rows.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("w", weight)
-    means = each.groupBy("round").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    slim = rows.where(F.col(value).isNotNull()).select(F.pmod(F.col(key), F.lit(PRIME)).cast("bigint").alias("key"), F.col(value).cast("double").alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each, sums, sizes = np.arange(1, rounds + 1, dtype=np.int64), np.zeros(rounds), np.zeros(rounds)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                key, v = (batch.column(c).slice(k, 256).to_numpy() for c in ("key", "v"))
+                h = (key[:, None] * 48271 + each * 69621 + seed) % PRIME
+                for a in (39373, 16807, 40692):
+                    h = (h * a + (h >> 9)) % PRIME
+                w = np.searchsorted(POISSON_ONE, h / float(PRIME), side="right")
+                sums, sizes = sums + v @ w, sizes + w.sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(sums), pa.array(sizes)], ["round", "s", "w"])
+
+    means = slim.mapInArrow(run, "round bigint, s double, w double").groupBy("round").agg((F.sum("s") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m"))
     whole = rows.agg(F.avg(value).alias("mean"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")).crossJoin(F.broadcast(whole)).select("mean", "low", "high")
 

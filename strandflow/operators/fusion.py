@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandflow.functions import sequence as S
 from strandflow.operators.evaluate import percentile_rank
@@ -36,11 +38,6 @@ def soft_fusion(rows: DataFrame, order: str = "start") -> DataFrame:
     return rows.withColumn("fused", ((1.0 - F.col("weight")) * pct("composite") + F.col("weight") * pct("structural")) * 3.0)
 
 
-def mean_fusion(rows: DataFrame, order: str = "start") -> DataFrame:
-    pct = lambda c: percentile_rank(["contig_id"], c, order)
-    return rows.withColumn("fused", (pct("composite") + pct("structural")) / 2.0)
-
-
 def structural_distance(windows: DataFrame, level: int = 6) -> DataFrame:
     """windows with structural: how much worse than its contig's mean a window compresses, plus the same of its permutation entropy.
 
@@ -79,6 +76,36 @@ def classify_hits(hits: DataFrame, keys: list[str], order: str, description: str
     return rows.withColumn("verdict", verdict)
 
 
+def structural_verdict(failed: Column, confidence: Column, hits: Column, differential: Column, wanted: Column) -> Column:
+    """The verdict of a fold: failed, disordered (confidence under 0.5), without hits, then by its hits as classify_hits."""
+    d = F.round(differential, 9)
+    by_hits = F.when(d > 0.1, "LIKELY").when(d < -0.1, "UNLIKELY").when(wanted, "POSSIBLE").otherwise("UNKNOWN")
+    return F.when(failed, "FAILED").when(confidence < 0.5, "DISORDERED").when(F.coalesce(hits, F.lit(0)) == 0, "NO_MATCHES").otherwise(by_hits)
+
+
+def verified(regions: DataFrame, provider: Callable[[list[str]], list[tuple[str | None, list[dict]]]] | None = None, seq: str = "seq") -> DataFrame:
+    """regions with pdb and hits (array of description, evalue) from a provider of folds and searches, which gets a batch of sequences in a worker; without one both are null.
+    folding_confidence, classify_hits and structural_verdict judge them."""
+    new = T.StructType.fromDDL("pdb string, hits array<struct<description:string,evalue:double>>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(new)
+        for batch in batches:
+            told = provider(batch.column(seq).to_pylist()) if provider else [(None, None)] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([t[i] for t in told], kinds.field(i).type) for i in range(2))], [*batch.schema.names, *new.names])
+
+    return regions.mapInArrow(run, T.StructType([*regions.schema.fields, *new.fields]))
+
+
+def selected_fusion(rows: DataFrame, cut: DataFrame, order: str = "start") -> DataFrame:
+    """rows (contig_id, composite, structural, heterogeneity) with mean (of both percentiles), selected (composite's in contigs whose heterogeneity reaches the
+    cut, one row of threshold, else structural's) and best (the larger, which an oracle would choose)."""
+    pct = lambda c: percentile_rank(["contig_id"], c, order)
+    ranked = rows.withColumns({"_c": pct("composite"), "_s": pct("structural")}).crossJoin(F.broadcast(cut))
+    chosen = F.when(F.round("heterogeneity", 9) >= F.round("threshold", 9), F.col("_c")).otherwise(F.col("_s"))
+    return ranked.withColumns({"mean": (F.col("_c") + F.col("_s")) / 2.0, "selected": chosen, "best": F.greatest("_c", "_s")}).drop("_c", "_s", "threshold")
+
+
 def folding_confidence(pdb: Column) -> Column:
     """Mean of columns 61 to 66 over the alpha-carbon ATOM lines of a structure file; null without any."""
     lines = F.filter(F.split(pdb, "\n"), lambda x: x.startswith("ATOM") & (F.trim(F.substring(x, 13, 4)) == "CA"))

@@ -97,3 +97,29 @@ def measured(segments: DataFrame, seq: str = "seq", wanted: tuple[str, ...] = tu
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(out[n], t) for n, t in zip(wanted, types, strict=True))], [*part.schema.names, *wanted])
 
     return segments.mapInArrow(run, T.StructType([*segments.schema.fields, *T.StructType.fromDDL(", ".join(fields)).fields]))
+
+
+def plain_entropy(n: np.ndarray) -> float:
+    n = n[n > 0].astype(np.float64)
+    whole = n.sum()
+    return float(np.log2(whole) - (n * np.log2(n)).sum() / whole) if whole > 1 else 0.0
+
+
+def informations(segments: DataFrame, most_lag: int, codons: bool = False, seq: str = "seq") -> DataFrame:
+    """segments with mi: mutual information of symbols (or frame-0 codons, at lags up to a quarter of their number) at lags 1, 2, ... most_lag;
+    0 where a sequence has lag + 1 symbols or fewer, and no lags under 10 codons."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in batch.column(seq).to_pylist():
+                s = CODES[np.frombuffer((text or "").encode(), np.uint8)]
+                width, last = 4, most_lag
+                if codons:
+                    s = s[: len(s) // 3 * 3].reshape(-1, 3) @ np.array([16, 4, 1])
+                    width, last = 64, min(most_lag, len(s) // 4) if len(s) >= 10 else 0
+                one = plain_entropy(np.bincount(s, minlength=width))
+                out.append([max(2 * one - plain_entropy(np.bincount(s[:-lag] * width + s[lag:])), 0.0) if len(s) > lag + 1 else 0.0 for lag in range(1, last + 1)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names, "mi"])
+
+    return segments.mapInArrow(run, T.StructType([*segments.schema.fields, *T.StructType.fromDDL("mi array<double>").fields]))

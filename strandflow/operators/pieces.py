@@ -102,3 +102,14 @@ def complement(rows: DataFrame, keys: list[str], least: int = 1) -> DataFrame:
     """The gaps (keys, start, end) of least letters or more between a feature and the next by start."""
     w = Window.partitionBy(*keys).orderBy("start", "end")
     return rows.withColumn("_next", F.lead("start").over(w)).where(F.col("_next") - F.col("end") >= least).select(*keys, F.col("end").alias("start"), F.col("_next").alias("end"))
+
+
+def near(regions: DataFrame, points: DataFrame, keys: list[str], unit: str, distance: int) -> DataFrame:
+    """regions (start, end, and unit, their key) with near: whether a point (at) of the same keys lies less than distance from either end.
+    Ends are dealt to tiles of that size, so a region meets the points around its ends alone."""
+    ends = regions.select(*keys, unit, F.explode(F.array(F.col("start"), F.col("end"))).alias("_end"))
+    tile = lambda x: F.floor(x / distance)
+    ends = ends.withColumn("_tile", F.explode(F.sequence(tile(F.col("_end") - distance), tile(F.col("_end") + distance))))
+    hit = ends.join(points.select(*keys, "at", tile(F.col("at")).alias("_tile")), [*keys, "_tile"]).where(F.abs(F.col("at") - F.col("_end")) < distance)
+    found = hit.select(*keys, unit).distinct().withColumn("near", F.lit(True))
+    return regions.join(found, [*keys, unit], "left").withColumn("near", F.coalesce("near", F.lit(False)))

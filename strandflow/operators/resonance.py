@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandflow.functions import sequence as S
-from strandflow.operators.measures import CODES, packed_kmers
+from strandflow.operators.measures import CODES, informations, packed_kmers
 from strandflow.plans.session import settled
 
 
@@ -177,8 +177,7 @@ def inverted_repeats(windows: DataFrame, k: int = 8, gap: int = 500) -> DataFram
 
 def information_half_life(rows: DataFrame, unit: str, most_lag: int = 12) -> DataFrame:
     """unit, slope, half_life: least squares of ln MI on the lag over lags of positive MI; half-life ln 2 / -slope, null for slopes of -1e-6 or more."""
-    s = rows.withColumn("s", S.codes(F.col("seq")))
-    each = s.select(unit, F.inline(F.array(*[F.struct(F.lit(float(lag)).alias("lag"), S.mutual_information(F.col("s"), lag).alias("mi")) for lag in range(1, most_lag + 1)])))
+    each = informations(rows, most_lag).select(unit, F.posexplode("mi").alias("lag", "mi")).withColumn("lag", F.col("lag") + 1.0)
     fit = each.where("mi > 1e-12").groupBy(unit).agg(F.regr_slope(F.log("mi"), F.col("lag")).alias("slope"))
     return fit.withColumn("half_life", F.when(F.col("slope") < -1e-6, -F.log(F.lit(2.0)) / F.col("slope")))
 
@@ -187,3 +186,29 @@ def tail_contrast(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, contrast: (max - median) / (inter-quartile range + 1e-9), by linear percentiles."""
     q = lambda x: F.percentile(value, F.lit(x))
     return rows.groupBy(*keys).agg(((F.max(value) - q(0.5)) / (q(0.75) - q(0.25) + 1e-9)).alias("contrast"))
+
+
+def codon_half_life(rows: DataFrame, unit: list[str], most_lag: int = 32) -> DataFrame:
+    """unit, half_life: as information_half_life, of codons, over all lags with information cut at 1e-10; 0 with fewer than 3 lags or none at lag 1, null for slopes of -1e-6 or more."""
+    each = informations(rows, most_lag, codons=True).select(*unit, "mi", F.posexplode_outer("mi").alias("lag", "x"))
+    fit = each.groupBy(*unit).agg(F.regr_slope(F.log(F.greatest("x", F.lit(1e-10))), F.col("lag") + 1.0).alias("slope"), F.first("mi").alias("mi"))
+    few = (F.size("mi") < 3) | (F.coalesce(F.get("mi", F.lit(0)), F.lit(0.0)) <= 0)
+    return fit.select(*unit, F.when(few, 0.0).when(F.col("slope") < -1e-6, -F.log(F.lit(2.0)) / F.col("slope")).alias("half_life"))
+
+
+def ranked_pairs(found: DataFrame) -> DataFrame:
+    """found with place: by r, then distance and symbols. The pairs of an alphabet are few."""
+    return found.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("r"), "k", "b1", "b2")))
+
+
+def best_distances(found: DataFrame) -> DataFrame:
+    """b1, b2, k, r: the distance of the largest r of each pair, the least of equal ones."""
+    best = found.groupBy("b1", "b2").agg(F.min(F.struct((-F.col("r")).alias("r"), "k")).alias("m"))
+    return best.select("b1", "b2", F.col("m.k").alias("k"), (-F.col("m.r")).alias("r"))
+
+
+def aligned_average(contrasts: DataFrame, anchor: str, reach: int = 100, first: int = 5) -> DataFrame:
+    """offset, n, mean: mean delta_h (arrays from position first on) at each offset up to reach around the anchor's position; rows without an anchor take no part."""
+    each = contrasts.where(F.col(anchor).isNotNull()).select(anchor, F.posexplode("delta_h").alias("i", "d"))
+    offset = F.col("i") + first - F.col(anchor)
+    return each.select(offset.cast("int").alias("offset"), "d").where(F.abs("offset") <= reach).groupBy("offset").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean"))

@@ -155,6 +155,25 @@ def transitions(rows: DataFrame, keys: list[str], order: str, state: str) -> Dat
     return moved.groupBy("from_state", "to_state").agg(F.count(F.lit(1)).alias("n"))
 
 
+def state_summary(rows: DataFrame) -> DataFrame:
+    """kind, name, n: windows by class, moves between classes, and windows by class that neighbours raise though they aren't mobile or structural."""
+    classes = rows.groupBy(F.col("context_class").alias("name")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("class").alias("kind"), "name", "n")
+    moves = transitions(rows, ["contig_id"], "start", "context_class").select(F.lit("move").alias("kind"), F.concat_ws(" > ", "from_state", "to_state").alias("name"), "n")
+    raised = rows.where(F.col("context_class").isin("ANOMALOUS", "NORMAL") & (F.col("context_boost") > 1.0)).groupBy(F.col("context_class").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return classes.union(moves).union(raised.select(F.lit("boosted").alias("kind"), "name", "n"))
+
+
+#: Signals of the earlier scan, whose rho is the distance itself.
+EARLIER = ("gc", "h3", "hurst", "ac3", "mi1", "gradient")
+
+
+def earlier_scan(z: DataFrame, found: DataFrame) -> DataFrame:
+    """contig_id, start, end, composite of the scan before ranks were fused: the geometric mean of seven signals of every window, each at least 0.01; nothing is suppressed."""
+    rows = z.select("contig_id", "window_no", "start", "end", *EARLIER).join(found.select("contig_id", "window_no", F.col("rho").alias("raw")), ["contig_id", "window_no"])
+    logs = sum(F.log(F.greatest(F.col(s), F.lit(0.01))) for s in (*EARLIER, "raw"))
+    return rows.select("contig_id", "start", "end", F.exp(logs / (len(EARLIER) + 1)).alias("composite"))
+
+
 def candidates(rows: DataFrame, top: int = 20, least_z: float = 1.5, order: str = "confidence") -> DataFrame:
     """The top windows of each contig, then of all: rank, contig_id, start, end, confidence, evidence, composite.
 

@@ -167,13 +167,18 @@ def baseline_stats(spark, sf_dir):
     return stats.select(*[r6(c).alias(c) for c in stats.columns])
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def zscored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The signals of the whole windows, and their z-scores."""
     p = settled(D.contig_pieces(spark, sf_dir))  # read by the profile, the baseline and the windows
     host = D.host_pieces(p)
     profile = settled(scan.host_profile(host))
     stats = scan.baseline_stats(host, W, W, profile=profile)
     found = scan.signals(pieces.windows(p, W, STEP).where(F.col("end") - F.col("start") == W), profile)
-    return scan.composite(scan.z_scores(found, stats))
+    return found, scan.z_scores(found, stats)
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.composite(zscored(spark, sf_dir)[1])
 
 
 @query(f"{O.SCAN} SELECT contig_id, start, {', '.join(f'round({s}, 6) AS {s}' for s in scan.FUSED)} FROM z")
@@ -408,7 +413,7 @@ def fragment_z(spark, sf_dir):
 @query()
 def kmeans_fragments(spark, sf_dir):
     """Agreement of k-means clusters of the fragments with their contigs."""
-    found = cluster.k_means(fragment_z(spark, sf_dir), 4, runs=2)
+    found = cluster.k_means(fragment_z(spark, sf_dir), 4, runs=20)
     return evaluate.agreement(found, "contig_id", "cluster")
 
 
@@ -575,10 +580,16 @@ def hit_classification(spark, sf_dir):
     return found.select("host", "n", r6("wanted_share").alias("wanted_share"), r6("unwanted_share").alias("unwanted_share"), "first_wanted", "verdict")
 
 
-@query()
+@query(
+    f"""WITH r AS (SELECT unnest(range(1, 3001)) AS round), h0 AS (SELECT round, value AS v, (event_id % {evaluate.PRIME} * 48271 + round * 69621) % {evaluate.PRIME} AS h FROM events, r WHERE value IS NOT NULL),
+h1 AS (SELECT round, v, (h * 39373 + (h >> 9)) % {evaluate.PRIME} AS h FROM h0), h2 AS (SELECT round, v, (h * 16807 + (h >> 9)) % {evaluate.PRIME} AS h FROM h1), h3 AS (SELECT round, v, (h * 40692 + (h >> 9)) % {evaluate.PRIME} / {evaluate.PRIME}::DOUBLE AS u FROM h2),
+w AS (SELECT round, v, {' + '.join(f'(u >= {c}::DOUBLE)::INT' for c in evaluate.POISSON_ONE)} AS w FROM h3), m AS (SELECT round, sum(w * v) / nullif(sum(w), 0) AS m FROM w GROUP BY round)
+SELECT (SELECT round(avg(value), 6) FROM events) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"""
+)
 def bootstrap_ci(spark, sf_dir):
-    """Bootstrap interval of the mean event value."""
-    return evaluate.bootstrap_means(D.table(spark, sf_dir, "events"), "value", "event_id", 200)
+    """Bootstrap interval of the mean event value, 3,000 rounds."""
+    found = evaluate.bootstrap_means(D.table(spark, sf_dir, "events"), "value", "event_id", 3000)
+    return found.select(r6("mean").alias("mean"), r6("low").alias("low"), r6("high").alias("high"))
 
 
 @query()
@@ -632,8 +643,11 @@ def report_tsv(spark, sf_dir):
 
 
 def queries() -> dict:
+    from strandflow.plans import studies  # noqa: F401  registers its queries beside these
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

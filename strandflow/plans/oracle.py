@@ -178,14 +178,25 @@ dev AS (SELECT contig_id, start, "end", round(abs(gc - avg(gc) OVER (PARTITION B
 gene_scores AS (SELECT g.contig_id, g.gene_id, g.start, g."end", g.is_pos, coalesce(max(d.dev), 0.0) AS score FROM genes g LEFT JOIN dev d ON d.contig_id = g.contig_id AND d."end" > g.start AND d.start < g."end" GROUP BY ALL)"""
 
 K = 5
-ISOLATES = f"""{DOCS},
+
+
+def packed(letters: str, k: int) -> str:
+    """A k-mer's letters as a number, base 4."""
+    return f"CAST(list_reduce(list_transform(range(1, {k + 1}), lambda j: CAST(instr('ACGT', substr({letters}, j, 1)) - 1 AS BIGINT)), lambda a, b: a * 4 + b) AS BIGINT)"
+
+
+def isolates(k: int, strong: float) -> str:
+    return f"""{DOCS},
 isolates AS (SELECT d.doc_id AS genome_id, CASE WHEN l.quality = 1 THEN 'R' ELSE 'S' END AS label, d.lang AS lineage, d.seq FROM doc_seq d JOIN labels l USING (doc_id) WHERE l.quality IS NOT NULL),
 strands AS (SELECT genome_id, label, lineage, seq FROM isolates UNION ALL SELECT genome_id, label, lineage, reverse(translate(seq, 'ACGT', 'TGCA')) FROM isolates),
-gkmers AS (SELECT DISTINCT genome_id, label, lineage, CAST(list_reduce(list_transform(range(1, {K + 1}), lambda j: CAST(instr('ACGT', substr(g, j, 1)) - 1 AS BIGINT)), lambda a, b: a * 4 + b) AS BIGINT) AS kmer
-  FROM (SELECT genome_id, label, lineage, substr(seq, i, {K}) AS g FROM (SELECT *, unnest(range(1, length(seq) - {K} + 2)) AS i FROM strands))),
+gkmers AS (SELECT DISTINCT genome_id, label, lineage, {packed('g', k)} AS kmer
+  FROM (SELECT genome_id, label, lineage, substr(seq, i, {k}) AS g FROM (SELECT *, unnest(range(1, length(seq) - {k} + 2)) AS i FROM strands))),
 sizes AS (SELECT count(*) FILTER (WHERE label = 'R') AS n_r, count(*) FILTER (WHERE label = 'S') AS n_s FROM isolates),
 assoc0 AS (SELECT kmer, count(*) FILTER (WHERE label = 'R') AS cnt_r, count(*) FILTER (WHERE label = 'S') AS cnt_s FROM gkmers GROUP BY kmer),
 assoc AS (SELECT kmer, cnt_r, cnt_s, cnt_r / n_r - cnt_s / n_s AS score FROM assoc0, sizes WHERE cnt_r + cnt_s BETWEEN 3 AND n_r + n_s - 1),
-strong AS (SELECT kmer FROM assoc WHERE round(score, 9) >= 0.35),
-doc_hits AS (SELECT genome_id, i - 1 AS pos FROM (SELECT genome_id, seq, unnest(range(1, length(seq) - {K} + 2)) AS i FROM isolates)
-  WHERE list_reduce(list_transform(range(1, {K + 1}), lambda j: CAST(instr('ACGT', substr(substr(seq, i, {K}), j, 1)) - 1 AS BIGINT)), lambda a, b: a * 4 + b) IN (SELECT kmer FROM strong))"""
+strong AS (SELECT kmer FROM assoc WHERE round(score, 9) >= {strong}),
+doc_hits AS (SELECT genome_id, i - 1 AS pos FROM (SELECT genome_id, seq, unnest(range(1, length(seq) - {k} + 2)) AS i FROM isolates)
+  WHERE {packed(f'substr(seq, i, {k})', k)} IN (SELECT kmer FROM strong))"""
+
+
+ISOLATES = isolates(K, 0.35)
