@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.operators import cluster, cohort, scan
+from strandflow.operators import cluster, cohort, fusion, scan
 from strandflow.operators.pieces import contig_lengths, with_starts
 from strandflow.plans.session import ship_package
 from strandflow.sources.documents import host_pieces
@@ -21,6 +21,7 @@ def main(argv: list[str] | None = None) -> None:
     one = commands.add_parser("scan", help="windows of a sample that stand out against a baseline")
     one.add_argument("fasta")
     one.add_argument("--host", help="FASTA of the baseline; the sample itself without it")
+    one.add_argument("--two-channel", action="store_true", help="rank windows by soft fusion with the compression channel")
     many = commands.add_parser("metagenome", help="clusters of contigs, each scanned against itself")
     many.add_argument("fasta")
     many.add_argument("--clusters", type=int)
@@ -44,7 +45,11 @@ def main(argv: list[str] | None = None) -> None:
     pieces = with_starts(read_fasta(spark, args.fasta).select("contig_id", "ordinal", "seq"))
     if args.command == "scan":
         host = with_starts(read_fasta(spark, args.host).select("contig_id", "ordinal", "seq")) if args.host else pieces
-        write_report(scan.scan_single(pieces, host_pieces(host), args.window, args.step, args.top), args.out, args.format)
+        found = scan.scan(pieces, host_pieces(host), args.window, args.step)
+        if args.two_channel:
+            fused = fusion.two_channels(found, pieces, args.window, args.step)
+            found = found.join(fused.select("contig_id", "start", "fused"), ["contig_id", "start"]).withColumn("composite", F.col("fused")).drop("fused")
+        write_report(scan.candidates(scan.with_context(found), args.top), args.out, args.format)
         return
     long = contig_lengths(pieces).where(F.col("contig_length") >= args.min_len)
     pieces = pieces.join(long.select("contig_id"), "contig_id")

@@ -13,7 +13,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandflow.functions import sequence as S
 from strandflow.operators.evaluate import percentile_rank
-from strandflow.operators.pieces import contig_lengths
+from strandflow.operators.measures import measured
+from strandflow.operators.pieces import contig_lengths, windows
+from strandflow.plans.session import settled
 
 #: Median and scale of the reference distribution of heterogeneity.
 HETEROGENEITY_MEDIAN, HETEROGENEITY_SCALE = 0.00844, 0.00445
@@ -38,12 +40,11 @@ def soft_fusion(rows: DataFrame, order: str = "start") -> DataFrame:
     return rows.withColumn("fused", ((1.0 - F.col("weight")) * pct("composite") + F.col("weight") * pct("structural")) * 3.0)
 
 
-def structural_distance(windows: DataFrame, level: int = 6) -> DataFrame:
-    """windows with structural: how much worse than its contig's mean a window compresses, plus the same of its permutation entropy.
+def structural_distance(rows: DataFrame, level: int = 6) -> DataFrame:
+    """rows (seq) with structural: how much worse than its contig's mean a window compresses, plus the same of its permutation entropy.
 
     An own default of the structural channel, not comparable with that of other tools; any column named structural can take its place.
     """
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in windows.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,11 +53,21 @@ def structural_distance(windows: DataFrame, level: int = 6) -> DataFrame:
 
     s = S.codes(F.col("seq"))
     order = lambda c: F.transform(S.steps(0, F.size(c) - 2), lambda i: (F.get(c, i) > F.get(c, i + 1)).cast("int") * 4 + (F.get(c, i + 1) > F.get(c, i + 2)).cast("int") * 2 + (F.get(c, i) > F.get(c, i + 2)).cast("int"))
-    rows = windows.mapInArrow(run, f"{shape}, _ratio double").withColumn("_perm", S.entropy(S.counts(S.let(s, order))))
+    rows = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_ratio", T.DoubleType())])).withColumn("_perm", S.entropy(S.counts(S.let(s, order))))
     mean = lambda c: F.avg(c).over(Window.partitionBy("contig_id"))
     return rows.withColumn("structural", F.abs(F.col("_ratio") - mean("_ratio")) + F.abs(F.col("_perm") - mean("_perm"))).drop("_ratio", "_perm")
 
 
+def two_channels(found: DataFrame, pieces: DataFrame, window: int = 2000, step: int = 500) -> DataFrame:
+    """found (contig_id, start, end, composite; scanned windows of the pieces) with structural, weight and fused: soft fusion of the scan with the
+    structural channel, weighed by each contig's heterogeneity."""
+    cut = settled(windows(pieces, window, step))
+    rows = structural_distance(found.join(cut.select("contig_id", "start", "seq"), ["contig_id", "start"])).withColumn("composite", F.col("composite").cast("double"))
+    h3 = measured(cut, wanted=("k3",)).select("contig_id", "start", (S.entropy(F.col("k3")) / 6).alias("h3"))
+    weight = heterogeneity(h3, pieces, window).select("contig_id", fusion_weight(F.col("heterogeneity")).alias("weight"))
+    return soft_fusion(rows.join(weight, "contig_id"))
+
+
 def has_keyword(text: Column, keywords: list[str]) -> Column:
     lowered = F.lower(text)
     return F.coalesce(F.exists(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(lowered, k)), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,33 +49,71 @@ def replaced(rows: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
     return slim.mapInArrow(run, slim.schema)
 
 
-def disjoint(found: list, most: int) -> list[tuple[str, str]]:
-    """The most frequent pairs of which no two share a symbol."""
+def disjoint(found: Iterable, most: int) -> list:
+    """The first pairs, in their order, of which no two share a symbol."""
     used: set[str] = set()
     out = []
     for r in found:
-        if len(out) < most and not {r["a"], r["b"]} & used:
+        if not {r["a"], r["b"]} & used:
             used |= {r["a"], r["b"]}
-            out.append((r["a"], r["b"]))
+            out.append(r)
+            if len(out) == most:
+                break
     return out
 
 
-def byte_pair_merges(rows: DataFrame, rounds: int = 300, least: int = 5, width: int = 1, pool: int = 256) -> tuple[DataFrame, list[dict]]:
+def byte_pair_merges(rows: DataFrame, rounds: int = 300, least: int = 5, width: int = 1) -> tuple[DataFrame, list[dict]]:
     """The rows after up to rounds rounds, and the merges (step, level, a, b, n).
 
     A round merges the most frequent pair, ties by the first place, while it is met at least `least` times; width over 1
-    merges that many pairs of disjoint symbols a round, counted once. The driver sees the pool most frequent pairs of a
-    round alone. A checkpoint every 10 rounds cuts the lineage.
+    merges that many pairs of disjoint symbols a round, counted once. The driver takes the sorted pairs as a stream, a partition at a
+    time, until it has the round's. A checkpoint every 10 rounds cuts the lineage.
     """
     history: list[dict] = []
     for level in range(rounds):
-        best = pair_counts(rows).where(F.col("n") >= least).orderBy(F.desc("n"), "first").limit(1 if width == 1 else pool).collect()
-        chosen = disjoint(best, width)
+        best = pair_counts(rows).where(F.col("n") >= least).orderBy(F.desc("n"), "first")
+        chosen = best.limit(1).collect() if width == 1 else disjoint(best.toLocalIterator(), width)
         if not chosen:
             break
-        n = {(r["a"], r["b"]): r["n"] for r in best}
-        history += [{"step": len(history) + i, "level": level, "a": a, "b": b, "n": n[a, b]} for i, (a, b) in enumerate(chosen)]
-        rows = replaced(rows, chosen)
+        history += [{"step": len(history) + i, "level": level, "a": r["a"], "b": r["b"], "n": r["n"]} for i, r in enumerate(chosen)]
+        rows = replaced(rows, [(r["a"], r["b"]) for r in chosen])
+        if level % 10 == 9:
+            rows = settled(rows)
+    return rows, history
+
+
+def informative_merges(rows: DataFrame, rounds: int = 300, least: int = 5) -> tuple[DataFrame, list[dict]]:
+    """As byte_pair_merges, by positive pointwise information times log2(1 + n) instead of the count; ends when no pair has any."""
+    history: list[dict] = []
+    for level in range(rounds):
+        pairs = settled(pair_counts(rows))
+        whole = pairs.agg(F.sum("n").alias("_all"))
+        left, right = (pairs.groupBy(c).agg(F.sum("n").alias(f"_n{c}")) for c in "ab")
+        pmi = F.log2(F.col("n") * F.col("_all") / (F.col("_na") * F.col("_nb").cast("double")))
+        scored = pairs.where(F.col("n") >= least).join(left, "a").join(right, "b").crossJoin(F.broadcast(whole)).withColumn("score", F.round(F.greatest(pmi, F.lit(0.0)) * F.log2(F.col("n") + 1.0), 9))
+        best = scored.where("score > 0").orderBy(F.desc("score"), "first").limit(1).collect()
+        if not best:
+            break
+        history.append({"step": level, "level": level, "a": best[0]["a"], "b": best[0]["b"], "n": best[0]["n"]})
+        rows = replaced(rows, [(best[0]["a"], best[0]["b"])])
+        if level % 10 == 9:
+            rows = settled(rows)
+    return rows, history
+
+
+def diverse_merges(rows: DataFrame, rounds: int = 300, least: int = 5, most: int = 50) -> tuple[DataFrame, list[dict]]:
+    """As byte_pair_merges, with at most `most` merges whose piece begins with the same letter."""
+    history: list[dict] = []
+    begun: dict[str, int] = {}
+    for level in range(rounds):
+        full = [x for x, n in begun.items() if n >= most]
+        best = pair_counts(rows).where((F.col("n") >= least) & ~F.substring("a", 1, 1).isin(full)).orderBy(F.desc("n"), "first").limit(1).collect()
+        if not best:
+            break
+        a, b = best[0]["a"], best[0]["b"]
+        begun[a[0]] = begun.get(a[0], 0) + 1
+        history.append({"step": level, "level": level, "a": a, "b": b, "n": best[0]["n"]})
+        rows = replaced(rows, [(a, b)])
         if level % 10 == 9:
             rows = settled(rows)
     return rows, history

@@ -553,11 +553,7 @@ def soft_fusion(spark, sf_dir):
 def two_channel_scan(spark, sf_dir):
     """The scan's windows re-ranked by soft fusion with the compression channel."""
     found = scan.suppressed(scored(spark, sf_dir))
-    text = contig_windows(spark, sf_dir).select("contig_id", "start", "seq")
-    rows = fusion.structural_distance(found.join(text, ["contig_id", "start"])).withColumn("composite", F.col("composite").cast("double"))
-    h3 = measured_windows(spark, sf_dir, "k3").select("contig_id", "start", (S.entropy(F.col("k3")) / 6).alias("h3"))
-    weight = fusion.heterogeneity(h3, D.contig_pieces(spark, sf_dir), W).select("contig_id", fusion.fusion_weight(F.col("heterogeneity")).alias("weight"))
-    return fusion.soft_fusion(rows.join(weight, "contig_id")).select("contig_id", "start", "end", r6("fused").alias("fused"))
+    return fusion.two_channels(found, D.contig_pieces(spark, sf_dir), W, STEP).select("contig_id", "start", "end", r6("fused").alias("fused"))
 
 
 KEYWORDS, OTHERS = ["tion", "ment", "lich"], ["the", "que", "ein"]

@@ -2,38 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandflow.plans.session import settled
 
-def _records(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """value, file, record: the parts of the files between separators, numbered in the order of the files."""
-    rows = spark.read.option("lineSep", separator).text(path)
-    return rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("record"))
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, block, line, value: the lines of text files; block is where the part of the file begins that a task reads, line numbers a block's lines.
+    Spark reads a file in ranges, so its lines are ordered by block and line and no task has a whole file."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("_id"))
+    return settled(rows).withColumn("line", F.row_number().over(Window.partitionBy("file", "block").orderBy("_id")) - 1).drop("_id")
 
 
 def read_fasta(spark: SparkSession, path: str, source: str = "", piece: int = 1 << 16) -> DataFrame:
     """contig_id, source, record, ordinal, seq: records in pieces of at most piece letters, upper case; id is the header's first word.
 
-    source: a label of the sample, the id where it is empty. record follows the order of the file.
+    source: a label of the sample, the id where it is empty. record and ordinal follow the order of the file, with gaps. A record of many lines is never one
+    string: a line belongs to the last header before it, which for the lines that open a block is that of an earlier block, one row a block. A line is
+    a string, and long ones are cut in one pass. A record without letters is one empty piece.
     """
-    rows = _records(spark, path, "\n>").where(F.trim("value") != "")
-    text = F.regexp_replace("value", "^>", "")
-    header = F.regexp_extract(text, r"^([^\r\n]*)", 1)
-    seq = F.upper(F.regexp_replace(F.regexp_replace(text, r"^[^\r\n]*", ""), r"\s+", ""))
-    whole = rows.select(F.split(F.trim(header), r"\s+")[0].alias("contig_id"), "record", seq.alias("whole"))
-    starts = F.sequence(F.lit(0), F.greatest(F.length("whole") - 1, F.lit(0)), F.lit(piece))
-    each = whole.select("contig_id", "record", "whole", F.posexplode(starts).alias("ordinal", "at"))
-    return each.select("contig_id", (F.lit(source) if source else F.col("contig_id")).alias("source"), "record", F.col("ordinal").cast("bigint").alias("ordinal"), F.substring(F.col("whole"), F.col("at") + 1, F.lit(piece)).alias("seq"))
+    rows = numbered_lines(spark, path).where(F.trim("value") != "")
+    here = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    header = F.when(F.col("value").startswith(">"), F.struct(F.col("line").alias("at"), F.split(F.trim(F.substring("value", 2, 1 << 30)), r"\s+")[0].alias("id")))
+    rows = rows.withColumn("_own", F.last(header, ignorenulls=True).over(here))
+    lasts = rows.groupBy("file", "block").agg(F.max(F.struct("line", "_own"))["_own"].alias("_last"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = lasts.select("file", "block", F.last(F.when(F.col("_last").isNotNull(), F.struct("block", "_last")), ignorenulls=True).over(earlier).alias("_before"))
+    rows = rows.join(carried, ["file", "block"])
+    owner = F.when(F.col("_own").isNotNull(), F.struct("block", F.col("_own").alias("_last"))).otherwise(F.col("_before"))
+    rows = rows.withColumn("_owner", owner).where(F.col("_owner").isNotNull())
+    # lines, cut where they are long, are put together to pieces by the letters before them in their block: runs in the order of the file
+    half = max(1, piece // 2)
+    cut = F.regexp_extract_all(F.upper(F.regexp_replace("value", r"\s+", "")), F.lit(f".{{1,{half}}}"), 0)
+    own = rows.withColumn("_cut", F.when(F.col("value").startswith(">"), F.array(F.lit(""))).otherwise(cut))  # a header is a part without letters
+    each = own.select("file", "block", "_owner", F.posexplode("_cut").alias("part", "seq"), "line").withColumn("at", F.struct("line", "part"))
+    before = Window.partitionBy("file", "block", "_owner").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("run", F.floor(F.coalesce(F.sum(F.length("seq")).over(before), F.lit(0)) / half))
+    seqs = each.groupBy("file", "_owner", "block", "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+    contig = F.col("_owner._last.id")
+    record = F.col("_owner.block") + F.col("_owner._last.at")
+    wide = seqs.select(contig.alias("contig_id"), (F.lit(source) if source else contig).alias("source"), "file", record.alias("record"), F.struct("block", "run").alias("_place"), "seq")
+    # ordinals: the pieces of a record counted in order, whatever the ranges
+    return wide.withColumn("ordinal", F.row_number().over(Window.partitionBy("file", "record", "contig_id").orderBy("_place")).cast("bigint") - 1).select("contig_id", "source", "record", "ordinal", "seq")
 
 
 def read_fastq(spark: SparkSession, path: str, source: str = "") -> DataFrame:
-    """contig_id, source, seq, quality (array of Phred scores, null if empty) of records of four lines."""
-    rows = spark.read.text(path, wholetext=False).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
-    from pyspark.sql import Window
-
-    # lines of a file are numbered within it, so that every fourth one opens a record
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1)
+    """contig_id, source, seq, quality (array of Phred scores, null if empty) of records of four lines. Lines are numbered by block, and blocks stitched by their counts, so no task has a whole file."""
+    lines = numbered_lines(spark, path)
+    counts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    rows = lines.join(counts.select("file", "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first")), ["file", "block"]).withColumn("n", F.col("_first") + F.col("line"))
     parts = rows.groupBy("file", F.floor(F.col("n") / 4).alias("record")).agg(*[F.max(F.when(F.col("n") % 4 == i, F.col("value"))).alias(f"l{i}") for i in (0, 1, 3)])
     phred = F.when(F.length("l3") > 0, F.transform(F.filter(F.split("l3", ""), lambda c: c != ""), lambda c: F.ascii(c) - 33))
     name = F.split(F.regexp_replace("l0", "^@", ""), r"\s+")[0]

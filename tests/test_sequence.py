@@ -168,7 +168,58 @@ def test_merging_round_trip(spark):
     out, history = merge.byte_pair_merges(rows, rounds=12, least=2)
     assert history[0]["a"] + history[0]["b"] == "AA"
     assert {r.seq_id: r.seq for r in merge.decoded(out).collect()} == {1: "AAAA", 2: "ACACACGT", 3: "", 4: "AAAAA"}
-    assert merge.disjoint([{"a": "A", "b": "C"}, {"a": "C", "b": "G"}, {"a": "G", "b": "T"}], 3) == [("A", "C"), ("G", "T")]
+    assert merge.disjoint([{"a": "A", "b": "C"}, {"a": "C", "b": "G"}, {"a": "G", "b": "T"}], 3) == [{"a": "A", "b": "C"}, {"a": "G", "b": "T"}]
+    for grow in (merge.informative_merges, merge.diverse_merges):
+        out, history = grow(rows, rounds=6, least=2)
+        assert {r.seq_id: r.seq for r in merge.decoded(out).collect()} == {1: "AAAA", 2: "ACACACGT", 3: "", 4: "AAAAA"} and history
+    assert [h["a"][0] for h in merge.diverse_merges(rows, rounds=6, least=1, most=1)[1]].count("A") == 1
+
+
+def test_sequence_files_in_ranges(spark, tmp_path):
+    rng = random.Random(9)
+    records = {f"c{i}": "".join(rng.choice("ACGT") for _ in range(rng.choice((0, 5, 700, 9000)))) for i in range(40)}
+    cut = lambda x, n: "\n".join(x[i : i + n] for i in range(0, len(x), n))
+    (tmp_path / "many.fasta").write_text("".join(f">{k} text\n{cut(v, rng.choice((60, 61, 100_000)))}\n" for k, v in records.items()))
+    (tmp_path / "reads.fastq").write_text("".join(f"@r{i}\n{'ACGT' * (i % 7 + 1)}\n+\n{'I' * (4 * (i % 7 + 1))}\n" for i in range(2000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        found = genomic.read_fasta(spark, str(tmp_path / "many.fasta"), piece=1000).collect()
+        reads = {r.contig_id: (r.seq, r.quality) for r in genomic.read_fastq(spark, str(tmp_path / "reads.fastq")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    joined = {}
+    for r in sorted(found, key=lambda r: (r.contig_id, r.ordinal)):
+        assert len(r.seq) <= 1000
+        joined[r.contig_id] = joined.get(r.contig_id, "") + r.seq
+    assert joined == records
+    assert [r.contig_id for r in sorted(found, key=lambda r: (r.record, r.ordinal)) if r.ordinal == 0] == list(records)
+    assert reads == {f"r{i}": ("ACGT" * (i % 7 + 1), [40] * (4 * (i % 7 + 1))) for i in range(2000)}
+
+
+def test_ranks_by_ranges(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.integers(0, 30, 400), rng.normal(size=400).round(1)
+    df = spark.createDataFrame([(int(a), float(b), bool(a % 3 == 0), "hot" if i % 3 else None) for i, (a, b) in enumerate(zip(x, y, strict=True))], "x int, y double, p boolean, k string").repartition(5)
+    rank = lambda v: np.array([(v < u).sum() + ((v == u).sum() + 1) / 2 for u in v])
+    assert abs(evaluate.spearman(df, "x", "y").first().rho - np.corrcoef(rank(x), rank(y))[0, 1]) < 1e-9
+    for r in evaluate.auc(df, ["k"], "y", "p").collect():
+        own = np.array([(i % 3 != 0) == (r.k == "hot") for i in range(400)])
+        a, b = y[own & (x % 3 == 0)], y[own & (x % 3 != 0)]
+        assert abs(r.auc - ((a[:, None] > b).mean() + (a[:, None] == b).mean() / 2)) < 1e-9
+
+
+def test_near_points_and_verdicts(spark):
+    regions = spark.createDataFrame([("a", 1, 1000, 9000), ("a", 2, 20_000, 20_500), ("b", 1, 0, 10)], "key string, unit int, start bigint, end bigint")
+    points = spark.createDataFrame([("a", 5000), ("a", 11_999), ("a", 23_500), ("b", 3010)], "key string, at bigint")
+    assert {(r.key, r.unit): r.near for r in pieces.near(regions, points, ["key"], "unit", 3000).collect()} == {("a", 1): True, ("a", 2): False, ("b", 1): False}
+    rows = [(True, 0.9, 3, 0.5, True), (False, 0.4, 3, 0.5, True), (False, 0.9, 0, None, None), (False, None, 3, 0.5, True), (False, 0.9, 3, -0.5, True), (False, 0.9, 3, 0.0, True), (False, 0.9, 3, 0.1, False)]
+    df = spark.createDataFrame(rows, "failed boolean, c double, n int, d double, w boolean")
+    got = [r.v for r in df.select(fusion.structural_verdict(*map(F.col, ("failed", "c", "n", "d", "w"))).alias("v")).collect()]
+    assert got == ["FAILED", "DISORDERED", "NO_MATCHES", "LIKELY", "UNLIKELY", "POSSIBLE", "UNKNOWN"]
+    told = fusion.verified(spark.createDataFrame([("ACGT",)], "seq string"), lambda seqs: [("HEADER", [{"description": "x", "evalue": 0.1}]) for _ in seqs]).first()
+    assert told.pdb == "HEADER" and told.hits[0].description == "x"
+    assert fusion.verified(spark.createDataFrame([("ACGT",)], "seq string")).first().pdb is None
 
 
 def test_linkage():
