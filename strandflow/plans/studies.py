@@ -377,12 +377,12 @@ h AS (SELECT contig_id, window_no, lag, greatest(2 * o.h - e, 0) AS mi FROM (SEL
 
 
 @query(
-    f"""WITH {O.CONTIGS}, {O.windows()}, {O.entropies('one', 1)}, {LAGS}
-SELECT contig_id, window_no * {STEP} AS start, round(avg(mi) FILTER (WHERE lag % 3 = 0) / nullif(avg(mi) FILTER (WHERE lag % 3 <> 0), 0), 4) AS score, round(max(mi) FILTER (WHERE lag = 3) / nullif(avg(mi) FILTER (WHERE lag IN (1, 2, 4, 5)), 0), 4) AS lag3 FROM h GROUP BY contig_id, window_no"""
+    f"""WITH {O.CONTIGS}, {O.windows('wins', step=W)}, {O.entropies('one', 1)}, {LAGS}
+SELECT contig_id, window_no * {W} AS start, round(avg(mi) FILTER (WHERE lag % 3 = 0) / nullif(avg(mi) FILTER (WHERE lag % 3 <> 0), 0), 4) AS score, round(max(mi) FILTER (WHERE lag = 3) / nullif(avg(mi) FILTER (WHERE lag IN (1, 2, 4, 5)), 0), 4) AS lag3 FROM h GROUP BY contig_id, window_no"""
 )
 def information_period(spark, sf_dir):
     """Information at multiples of 3 over that at other lags, and at lag 3 over its neighbours."""
-    m = informations(contig_windows(spark, sf_dir), 12)
+    m = informations(pieces.windows(D.contig_pieces(spark, sf_dir), W, W), 12)
     return m.select("contig_id", "start", F.round(S.periodicity_score(F.col("mi")), 4).alias("score"), F.round(S.lag3_ratio(F.col("mi")), 4).alias("lag3"))
 
 
