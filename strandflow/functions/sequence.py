@@ -259,7 +259,8 @@ def smoothed_share(n: Column, size: Column, bins: int = 4096, tiny: float = 1e-1
 def divergence_of_none(reference: Column, reference_size: Column, bins: int = 4096) -> Column:
     """The sum of divergence_part over the reference's bins, for a histogram that has none of them."""
     none = smoothed_share(F.lit(0.0), F.lit(1), bins)
-    return total(F.transform(reference, lambda n: F.when(n > 0, divergence_part(none, smoothed_share(n, reference_size, bins))).otherwise(0.0)))
+    # sizes are often sums themselves: let keeps them from being summed anew for each bin
+    return let(reference_size, lambda size: total(F.transform(reference, lambda n: F.when(n > 0, divergence_part(none, smoothed_share(n, size, bins))).otherwise(0.0))))
 
 
 def divergence_from(hist: Column, size: Column, reference: Column, reference_size: Column, of_none: Column, bins: int = 4096) -> Column:
@@ -270,12 +271,17 @@ def divergence_from(hist: Column, size: Column, reference: Column, reference_siz
     """
     none = smoothed_share(F.lit(0.0), F.lit(1), bins)
 
-    def corrected(x: Column) -> Column:
-        n = F.get(reference, x["value"].cast("int"))
-        return let(smoothed_share(n, reference_size, bins), lambda q: divergence_part(smoothed_share(x["n"], size, bins), q) - F.when(n > 0, divergence_part(none, q)).otherwise(0.0))
+    def of(sizes: Column) -> Column:
+        own, other = sizes["own"], sizes["other"]
 
-    plain = total(F.transform(reference, lambda n: divergence_part(F.lit(1.0 / bins), smoothed_share(n, reference_size, bins))))
-    return F.when(size > 0, of_none + total(F.transform(hist, corrected))).otherwise(plain)
+        def corrected(x: Column) -> Column:
+            n = F.get(reference, x["value"].cast("int"))
+            return let(smoothed_share(n, other, bins), lambda q: divergence_part(smoothed_share(x["n"], own, bins), q) - F.when(n > 0, divergence_part(none, q)).otherwise(0.0))
+
+        plain = total(F.transform(reference, lambda n: divergence_part(F.lit(1.0 / bins), smoothed_share(n, other, bins))))
+        return F.when(own > 0, of_none + total(F.transform(hist, corrected))).otherwise(plain)
+
+    return let(F.struct(size.alias("own"), reference_size.alias("other")), of)
 
 
 def regime(h3: Column) -> Column:

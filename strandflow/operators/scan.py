@@ -29,15 +29,17 @@ def host_profile(host: DataFrame, tile: int = 30_000) -> DataFrame:
         F.struct(F.lit(2).alias("kind"), F.substring("seq", 1, tile).alias("part")),
         F.struct(F.lit(3).alias("kind"), F.substring("seq", 1, tile + 3).alias("part")),
     )
-    cut = measured(tiles.select(own.alias("own"), F.inline(parts)).select("kind", F.col("part").alias("seq")))
+    cut = measured(tiles.select(own.alias("own"), F.inline(parts)).select("kind", F.col("part").alias("seq")), wanted=("k1", "k2", "codon", "pair_value", "pair_n"))
     entries = lambda values: F.filter(F.transform(values, lambda n, i: F.struct(i.alias("value"), n.alias("n"))), lambda x: x["n"] > 0)
     pair = F.zip_with("pair_value", "pair_n", lambda v, n: F.struct(v.cast("int").alias("value"), n.alias("n")))
     counts = F.when(F.col("kind") == 0, entries(F.col("k1"))).when(F.col("kind") == 1, entries(F.col("k2"))).when(F.col("kind") == 2, entries(F.col("codon"))).otherwise(pair)
-    counted = cut.select("kind", F.inline(counts)).groupBy("kind", "value").agg(F.sum("n").alias("n"))
     bins = {0: 4, 1: 16, 2: 64, 3: 4096}
-    gathered = counted.groupBy().agg(*[F.map_from_entries(F.collect_list(F.when(F.col("kind") == k, F.struct("value", "n")))).alias(f"m{k}") for k in bins])  # at most 4,180 counts
-    found = lambda k: lambda i: F.coalesce(F.try_element_at(F.col(f"m{k}"), i), F.lit(0).cast("bigint"))
-    row = gathered.select(*[F.transform(F.sequence(F.lit(0), F.lit(b - 1)), found(k)).alias(f"d{k}") for k, b in bins.items()])
+    # every bin once with nothing, so that the sorted counts are dense
+    none = lambda k: lambda i: F.struct(F.lit(k).alias("kind"), i.alias("value"), F.lit(0).cast("bigint").alias("n"))
+    spine = host.sparkSession.range(1).select(F.inline(F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), F.lit(b - 1)), none(k)) for k, b in bins.items()]))))
+    counted = cut.select("kind", F.inline(counts)).union(spine).groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    dense = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("value", "n")))), lambda x: x["n"])
+    row = counted.groupBy().agg(*[dense(k).alias(f"d{k}") for k in bins])  # 4,180 counts
     size = S.total(F.col("d3"), 0)
     row = row.select("*", S.rho_from_counts(F.col("d0"), F.col("d1")).alias("host_rho"), S.rscu_from_counts(F.col("d2")).alias("host_rscu"), size.alias("host_size"))
     return row.select("host_rho", "host_rscu", F.col("d3").alias("host_pairs"), "host_size", S.divergence_of_none(F.col("d3"), F.col("host_size")).alias("host_none"))
