@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from strandflow.functions import sequence as S
 from strandflow.operators.measures import measured
 from strandflow.operators.pieces import windows
-from strandflow.plans.session import settled
+from strandflow.plans.session import settled, stored
 
 #: Names of the 22 features, in order.
 FEATURES = ("gc", "h3", "h4", "hurst", "mi1", "ac3", *[f"rho_{i:02d}" for i in range(16)])
@@ -80,20 +82,16 @@ def k_means(rows: DataFrame, k: int, runs: int = 5, seed: int = 42, column: str
     return best.transform(data).drop("_v")
 
 
-def linkage_labels(points: np.ndarray, weights: np.ndarray, k: int, method: str) -> np.ndarray:
-    """Labels 0.. in order of first members, of the k clusters of agglomeration by Lance-Williams updates. method: ward or average; a point counts weights rows."""
-    n = len(points)
-    size = weights.astype(np.float64).copy()
-    d = ((points[:, None] - points[None]) ** 2).sum(axis=2)
-    if method == "ward":
-        d = d * 2 * size[:, None] * size[None] / (size[:, None] + size[None])
-    else:
-        d = np.sqrt(d)
+def agglomerated(d: np.ndarray, weights: np.ndarray, method: str, k: int = 1) -> list[tuple[int, int, float]]:
+    """Merges (i, j, height; i < j, i stays) down to k clusters by Lance-Williams updates of the clusters' distances."""
+    n = len(d)
+    d, size = d.astype(np.float64), weights.astype(np.float64)
     np.fill_diagonal(d, np.inf)
-    label = np.arange(n)
+    out = []
     for _ in range(n - max(1, min(k, n))):
         i, j = sorted(divmod(int(np.argmin(d)), n))
         a, b, dij = size[i], size[j], d[i, j]
+        out.append((i, j, float(dij)))
         if method == "ward":
             new = ((a + size) * d[i] + (b + size) * d[j] - size * dij) / (a + b + size)
         else:
@@ -103,33 +101,100 @@ def linkage_labels(points: np.ndarray, weights: np.ndarray, k: int, method: str)
         d[i, i] = np.inf
         d[j] = d[:, j] = np.inf
         size[i] = a + b
+    return out
+
+
+def linkage_labels(points: np.ndarray, weights: np.ndarray, k: int, method: str) -> np.ndarray:
+    """Labels 0.. in order of first members, of the k clusters of agglomeration. method: ward or average; a point counts weights rows."""
+    d = ((points[:, None] - points[None]) ** 2).sum(axis=2)
+    w = weights.astype(np.float64)
+    d = d * 2 * w[:, None] * w[None] / (w[:, None] + w[None]) if method == "ward" else np.sqrt(d)
+    label = np.arange(len(points))
+    for i, j, _ in agglomerated(d, weights, method, k):
         label[label == j] = i
     first = {x: r for r, x in enumerate(dict.fromkeys(label.tolist()))}
     return np.array([first[x] for x in label.tolist()])
 
 
+def pair_sums(points: DataFrame, column: str, method: str, blocks: int) -> DataFrame:
+    """a, b, s of all pairs a < b of points (_id, _w, column): distance (squared for ward) times both weights. Points meet by pairs of blocks."""
+    dealt = points.withColumn("_block", F.pmod(F.hash("_id"), F.lit(blocks)))
+    one = dealt.select(F.col("_id").alias("p"), F.col("_w").alias("u"), F.col(column).alias("x"), F.col("_block").alias("i"), F.explode(F.sequence("_block", F.lit(blocks - 1))).alias("j"))
+    two = dealt.select(F.col("_id").alias("q"), F.col("_w").alias("v"), F.col(column).alias("y"), F.explode(F.sequence(F.lit(0), "_block")).alias("i"), F.col("_block").alias("j"))
+    squares = S.total(F.zip_with("x", "y", lambda x, y: (x - y) * (x - y)))
+    s = (squares if method == "ward" else F.sqrt(squares)) * F.col("u") * F.col("v")
+    return one.join(two, ["i", "j"]).where("i < j or p < q").select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), s.alias("s"))
+
+
+def heights(sums: DataFrame, own: DataFrame, method: str) -> DataFrame:
+    """a, b, h: the linkage distance of the clusters, from the sums over their members' pairs. own: c, w, s, a cluster's rows and the sum over its ordered pairs."""
+    sides = [own.select(F.col("c").alias(x), F.col("w").alias(f"w{x}"), F.col("s").alias(f"s{x}")) for x in "ab"]
+    wa, wb = F.col("wa"), F.col("wb")
+    mean = F.col("s") / (wa * wb)
+    if method == "ward":  # the squared distance of the centres is the mean square over pairs less half of each own one
+        mean = (mean - F.col("sa") / (wa * wa * 2) - F.col("sb") / (wb * wb * 2)) * 2 * wa * wb / (wa + wb)
+    return sums.join(sides[0], "a").join(sides[1], "b").select("a", "b", F.round(mean, 9).alias("h"))
+
+
+def merged_round(sums: DataFrame, own: DataFrame, method: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The merges (a, b, h) of all pairs that are each other's nearest, ties by a and b, and sums and own after them."""
+    best = heights(sums, own, method).select(F.struct("h", "a", "b").alias("pair"), F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.min("pair").alias("pair"))
+    merges = stored(best.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("pair.a", "pair.b", "pair.h"))
+    into = lambda c: merges.select(F.col("b").alias(c), F.col("a").alias(f"_{c}"))
+    moved = sums.join(into("a"), "a", "left").join(into("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "s")
+    inside = moved.where("a = b").select(F.col("a").alias("c"), F.lit(0.0).alias("w"), (F.col("s") * 2).alias("s"))
+    kept = own.join(into("c"), "c", "left").select(F.coalesce("_c", "c").alias("c"), "w", "s")
+    sums = moved.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s"))
+    return merges, stored(sums), stored(kept.union(inside).groupBy("c").agg(F.sum("w").alias("w"), F.sum("s").alias("s")))
+
+
 def hierarchical(rows: DataFrame, k: int, method: str = "ward", most: int = 512, column: str = "z", label: str = "cluster") -> DataFrame:
-    """rows with the cluster of a hierarchical clustering.
+    """rows with the cluster of a hierarchical clustering, labels in the order of the clusters' least vectors.
 
-    The tree is built over at most `most` points: distinct vectors where they are that few, else the centres of as many
-    k-means cells weighed by their rows. So the driver's work is bounded at any size; the second form is approximate.
+    The tree is that of exact linkage at any size. Distinct vectors are points weighed by their rows. While there are more than `most`
+    clusters, a round merges all pairs that are each other's nearest (for ward and average linkage these are merges of the greedy tree
+    too), over a table of sums over pairs; the last `most` are merged by the driver. Then the k - 1 highest merges
+    are undone. Exact linkage looks at every pair of points: the table has n^2 / 2 rows at first.
     """
     rows = settled(rows)  # vectors are join keys below, so they must not be computed again
-    distinct = rows.groupBy(column).agg(F.count(F.lit(1)).alias("_w"))
+    distinct = rows.groupBy(column).agg(F.count(F.lit(1)).cast("double").alias("_w"))
     found = distinct.limit(most + 1).collect()
+    spark = rows.sparkSession
     if len(found) <= most:
         found = sorted(found, key=lambda r: r[column])
         if not found:
             return rows.withColumn(label, F.lit(0))
         labels = linkage_labels(np.array([r[column] for r in found]), np.array([r["_w"] for r in found]), k, method)
-        map_rows = rows.sparkSession.createDataFrame([(r[column], int(x)) for r, x in zip(found, labels, strict=True)], f"{column} array<double>, {label} int")
+        map_rows = spark.createDataFrame([(r[column], int(x)) for r, x in zip(found, labels, strict=True)], f"{column} array<double>, {label} int")
         return rows.join(F.broadcast(map_rows), column)  # at most `most` rows
-    cells = settled(k_means(rows, most, runs=1, column=column, label="_cell"))
-    size = len(found[0][column])
-    centres = cells.groupBy("_cell").agg(F.count(F.lit(1)).alias("_w"), F.array(*[F.avg(F.get(column, F.lit(i))) for i in range(size)]).alias("_c")).orderBy("_cell").collect()
-    labels = linkage_labels(np.array([r["_c"] for r in centres]), np.array([r["_w"] for r in centres]), k, method)
-    map_rows = rows.sparkSession.createDataFrame([(r["_cell"], int(x)) for r, x in zip(centres, labels, strict=True)], f"_cell int, {label} int")
-    return cells.join(F.broadcast(map_rows), "_cell").drop("_cell")
+    points = stored(distinct.orderBy(column).withColumn("_id", F.monotonically_increasing_id()))
+    own = stored(points.select(F.col("_id").alias("c"), F.col("_w").alias("w"), F.lit(0.0).alias("s")))
+    sums = stored(pair_sums(points, column, method, -(-own.count() // 1024)))
+    merges, level = [], 0
+    while own.count() > most:
+        done, sums, own = merged_round(sums, own, method)
+        merges.append(done.withColumn("level", F.lit(level)))
+        level += 1
+    left = own.orderBy("c").collect()
+    at = {r.c: i for i, r in enumerate(left)}
+    d = np.full((len(left), len(left)), np.inf)
+    for r in heights(sums, own, method).collect():  # pairs of `most` clusters
+        d[at[r.a], at[r.b]] = d[at[r.b], at[r.a]] = r.h
+    last = [(left[i].c, left[j].c, h, level + x) for x, (i, j, h) in enumerate(agglomerated(d, np.array([r.w for r in left]), method))]
+    tree = reduce(DataFrame.unionByName, merges, spark.createDataFrame(last, "a bigint, b bigint, h double, level int"))
+    undone = tree.orderBy(F.round("h", 9).desc(), F.desc("level"), F.desc("a"), F.desc("b")).limit(max(k, 1) - 1).select("b")
+    kept = tree.join(F.broadcast(undone), "b", "left_anti").select(F.col("b").alias("_id"), F.col("a").alias("_up"))
+    up = stored(points.select("_id").join(kept, "_id", "left").select("_id", F.coalesce("_up", "_id").alias("_up")))
+    while True:  # each round halves the way to the root
+        over = up.select(F.col("_id").alias("_up"), F.col("_up").alias("_top"))
+        further = stored(up.join(over, "_up").select("_id", "_up", "_top"))
+        up = further.select("_id", F.col("_top").alias("_up"))
+        if further.where("_up <> _top").isEmpty():
+            break
+    roots = [r[0] for r in up.select("_up").distinct().orderBy("_up").collect()]  # k
+    numbered = spark.createDataFrame([(x, i) for i, x in enumerate(roots)], f"_up bigint, {label} int")
+    of = points.join(up, "_id").join(F.broadcast(numbered), "_up").select(column, label)
+    return rows.join(of, column)
 
 
 def scan_clusters(pieces: DataFrame, labels: DataFrame, window: int = 2000, step: int = 500, top: int = 10) -> DataFrame:
@@ -137,8 +202,6 @@ def scan_clusters(pieces: DataFrame, labels: DataFrame, window: int = 2000, step
 
     labels: contig_id, cluster. Clusters are few (automatic_k has 10 at most), so they are scanned one job after the other.
     """
-    from functools import reduce
-
     from strandflow.operators.scan import scan_single
     from strandflow.sources.documents import host_pieces
 

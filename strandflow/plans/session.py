@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,8 +29,20 @@ def ship_package(spark: SparkSession) -> None:
 def settled(df: DataFrame) -> DataFrame:
     """df checkpointed in the folder that spark.checkpoint.dir names (in the warehouse where it is unset): rows that later jobs
     read alike, with a cut lineage that outlives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        conf = df.sparkSession.conf
-        context.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or f"{conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared")
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """As settled, by a Parquet table in the same folder. For loops: a checkpoint keeps what the optimizer inferred about its
+    columns, which grows with every round of joins, and a table doesn't."""
+    path = f"{_checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared")
+    return context.getCheckpointDir()

@@ -238,6 +238,18 @@ def test_large_tree_goes_by_cells(spark):
     assert found.count() == 120 and evaluate.agreement(found, "t", "cluster").first().ari == 1.0
 
 
+@pytest.mark.parametrize("method", ["ward", "average"])
+def test_large_tree_is_exact(spark, method):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(90, 3)) * rng.choice([0.3, 2.0], (90, 1))
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(np.r_[points, points[:25], points[:5]])]
+    weights = np.ones(90) + (np.arange(90) < 25) + (np.arange(90) < 5)
+    order = np.lexsort(points.T[::-1])
+    found = {r.t: r.cluster for r in cluster.hierarchical(spark.createDataFrame(rows, "t int, z array<double>"), 7, method, most=40).collect()}
+    assert len(found) == 120 and [found[int(i)] for i in order] == cluster.linkage_labels(points[order], weights[order], 7, method).tolist()
+    assert all(found[90 + i] == found[i] for i in range(25)) and all(found[115 + i] == found[i] for i in range(5))
+
+
 def test_keyword_verdicts(spark):
     rows = [("a", 1, "Beta-LACTAM enzyme"), ("a", 2, "kinase"), ("b", 1, "kinase"), ("c", 1, "nothing"), ("d", 1, "lactam kinase"), ("e", 1, None)]
     got = {r.t: (r.verdict, r.first_wanted) for r in fusion.classify_hits(spark.createDataFrame(rows, "t string, e int, d string"), ["t"], "e", "d", ["lactam"], ["kinase"]).collect()}
