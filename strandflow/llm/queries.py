@@ -105,6 +105,17 @@ def op5_language_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "lang_found", F.round("lang_posterior", 6).alias("lang_posterior"), "lang_rejected")
 
 
+#: The polynomial of CRC-32 and the multiplier of the jump hash are fixed values; the byte table is made by the polynomial's rule. Jumps are rows of a
+#: recursion, slots the order of a shard's rows by md5 bucket, doc_id, size and checksum.
+OP8_SQL = """WITH RECURSIVE crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+docs AS (SELECT doc_id, encode(coalesce(text, '')) AS raw FROM documents),
+measured AS (SELECT doc_id, octet_length(raw) + 1 AS size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(raw), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS text_crc32 FROM docs, crc_table),
+jumps AS (SELECT DISTINCT doc_id, n, CASE WHEN doc_id < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END AS key, -1::BIGINT AS b, 0::BIGINT AS j FROM documents, (VALUES (8), (9)) s(n)
+  UNION ALL SELECT doc_id, n, drawn, j, floor((j + 1)::DOUBLE * (2147483648::DOUBLE / (drawn // 8589934592 + 1)::DOUBLE))::BIGINT FROM (SELECT *, (key * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS drawn FROM jumps WHERE j < n)),
+landed AS (SELECT doc_id, max(b) FILTER (WHERE n = 8) AS shard, max(b) FILTER (WHERE n = 9) AS grown_shard FROM jumps WHERE j >= n GROUP BY doc_id)
+SELECT m.doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard, row_number() OVER (PARTITION BY shard ORDER BY ('0x' || left(md5(coalesce(m.doc_id, 0)::VARCHAR), 8))::BIGINT % 4096, m.doc_id, size, text_crc32) - 1 AS slot, grown_shard::INT AS grown_shard FROM measured m JOIN landed l ON l.doc_id IS NOT DISTINCT FROM m.doc_id"""
+
+
 def op8_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents in shards 0 to 7 by jump consistent hashing of doc_id; texts are measured before any row moves."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -167,4 +178,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_duplicates": OP3_SQL, "op4_poisson_mix": OP4_SQL}
+    return {"op3_minhash_near_duplicates": OP3_SQL, "op4_poisson_mix": OP4_SQL, "op8_jump_hash_shards": OP8_SQL}
