@@ -45,6 +45,20 @@ def running_sums(rows: DataFrame, keys: list[str], order: list[str], *values: st
     return inner.join(earlier, on).select(*rows.columns, *[(F.col(f"_inner_{v}") + F.col(f"_earlier_{v}")).alias(f"before_{v}") for v in values])
 
 
+def with_next(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str = "next") -> DataFrame:
+    """rows with the value of the key's next row (order must be unique within a key, values not null); null for a key's last row. Rows are dealt by
+    ranges of key and order, as for running sums: each range is looked at by itself and the last of one meets the first of the key's next range."""
+    dealt = settled(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))  # ranges stay as they are drawn
+    firsts = dealt.groupBy(*keys, "_range").agg(F.min(F.struct(*order, value)).alias("_first"))
+    after = F.lead("_first").over(Window.partitionBy(*keys).orderBy("_range"))[value]
+    later = firsts.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], F.col("_range").alias("_at"), after.alias("_after"))
+    inner = dealt.withColumn("_inner", F.lead(value).over(Window.partitionBy(*keys, "_range").orderBy(*order)))
+    on = F.col("_range") == F.col("_at")
+    for i, k in enumerate(keys):
+        on &= F.col(k).eqNullSafe(F.col(f"_key_{i}"))
+    return inner.join(later, on).select(*rows.columns, F.coalesce("_inner", "_after").alias(name))
+
+
 def contig_lengths(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("contig_id").agg(F.sum(F.length("seq").cast("bigint")).alias("contig_length"))
 

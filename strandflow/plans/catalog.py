@@ -603,8 +603,10 @@ SELECT s.user_id, CAST(len(s) AS INT) AS n, round(CASE WHEN len(s) < 2 THEN 0 EL
 )
 def event_pair_entropy(spark, sf_dir):
     """The same functions on another alphabet: entropy of each user's consecutive event types."""
-    users = D.user_symbols(spark, sf_dir)
-    return users.select("user_id", F.size("symbols").alias("n"), r6(S.kmer_entropy(F.col("symbols"), 2, 5)).alias("h2"))
+    steps = pieces.with_next(D.event_symbols(spark, sf_dir), ["user_id"], ["ts", "event_id"], "sym")
+    counts = steps.groupBy("user_id", "sym", "next").agg(F.count(F.lit(1)).alias("n"))
+    users = counts.groupBy("user_id").agg(F.sum("n").cast("int").alias("n"), F.collect_list(F.when(F.col("next").isNotNull(), F.col("n"))).alias("pairs"))  # 25 pairs at most
+    return users.select("user_id", "n", r6(S.entropy(F.col("pairs")) / F.log2(F.lit(25.0))).alias("h2"))
 
 
 @query(

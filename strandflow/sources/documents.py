@@ -44,10 +44,9 @@ def isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_sequences(spark, sf_dir).join(labels, "doc_id").select(F.col("doc_id").alias("genome_id"), "label", F.col("lang").alias("lineage"), "seq")
 
 
-def user_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """user_id, symbols: each user's event types, numbered in their order of names, by (ts, event_id)."""
+def event_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """user_id, ts, event_id, sym: the events' types, numbered in their order of names (0 for none)."""
     events = table(spark, sf_dir, "events")
     names = events.select("event_type").distinct().agg(F.sort_array(F.collect_list("event_type")).alias("names"))  # a few event types
-    rows = events.crossJoin(F.broadcast(names)).select("user_id", "ts", "event_id", (F.array_position("names", F.col("event_type")) - 1).cast("int").alias("sym"))
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "sym")))
-    return rows.groupBy("user_id").agg(F.transform(ordered, lambda x: x["sym"]).alias("symbols"))
+    sym = F.coalesce(F.array_position("names", F.col("event_type")) - 1, F.lit(0)).cast("int")
+    return events.crossJoin(F.broadcast(names)).select("user_id", "ts", "event_id", sym.alias("sym"))

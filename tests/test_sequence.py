@@ -339,3 +339,12 @@ def test_command_line_and_stream(spark, tmp_path):
 
 def test_fusion_weight(spark):
     assert math.isclose(value(spark, fusion.fusion_weight(F.lit(0.00844))), 0.5)
+
+
+def test_next_over_ranges(spark):
+    rows = [(k, t, (t * 7 + len(k or "")) % 5) for k, n in (("hot", 400), ("one", 1), (None, 30), ("few", 3)) for t in range(n)]
+    df = spark.createDataFrame(rows, "k string, t int, v int").repartition(3)
+    out = {(r.k, r.t): r.next for r in pieces.with_next(df, ["k"], ["t"], "v").collect()}
+    value = {(k, t): v for k, t, v in rows}
+    assert out == {(k, t): value.get((k, t + 1)) for k, t, _ in rows}
+    assert pieces.with_next(df.limit(0), ["k"], ["t"], "v").count() == 0
