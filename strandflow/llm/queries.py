@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandflow.llm import audio, bpe, chat, langid, mixing, neardup, quality, sharding, tokencount, vectors
+from strandflow.llm import audio, bpe, centroids, chat, decontaminate, langid, lexical, mixing, neardup, quality, sharding, tokencount, vectors
 from strandflow.llm.shared import fresh_path, table, written
 
 
@@ -161,6 +161,74 @@ def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_term_pipeline_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all documents for each benchmark item."""
+    return lexical.ranked(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH doc_words AS (SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+held AS MATERIALIZED (SELECT place, doc_id, len(w)::BIGINT AS n, w FROM doc_words WHERE len(w) > 0),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM held),
+item_words AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+asked AS MATERIALIZED (SELECT item_id, term, count(*)::BIGINT AS times FROM (SELECT item_id, unnest(w) AS term FROM item_words) GROUP BY item_id, term),
+postings AS MATERIALIZED (SELECT place, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT place, doc_id, n, unnest(w) AS term FROM held) WHERE term IN (SELECT term FROM asked) GROUP BY place, doc_id, n, term),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM (SELECT term, count(*)::BIGINT AS df FROM postings GROUP BY term), whole),
+scored AS (
+  SELECT item_id, place, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term), whole GROUP BY item_id, place, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+QUALIFY rank <= 20
+"""
+
+
+def op12_sorted_mean_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings in 40 clusters after 5 rounds, in integers."""
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    """Five rounds written out. Products of integers below 2^53 are exact in doubles."""
+    given = """
+given{r} AS MATERIALIZED (
+  SELECT v.rid, v.v, min((v.square + c.square - 2 * list_inner_product(v.v, c.v))::HUGEINT * 64 + c.c) AS code FROM kept v, cents{r} c GROUP BY v.rid, v.v),"""
+    moved = """
+sums{r} AS (SELECT c, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT code % 64 AS c, unnest(range(1, 65)) AS i, unnest(v)::HUGEINT AS x FROM given{p}) GROUP BY c, i),
+means{r} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS v FROM sums{r} GROUP BY c),
+cents{r} AS MATERIALIZED (SELECT c, v, list_inner_product(v, v) AS square FROM (SELECT o.c, coalesce(m.v, o.v) AS v FROM cents{p} o LEFT JOIN means{r} m USING (c))),"""
+    start = """WITH usable AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, v, list_inner_product(v, v) AS square FROM usable),
+cents0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS c, v, square FROM kept QUALIFY c < 40),"""
+    end = """
+told AS (SELECT vec_id, (code % 64)::INT AS cluster, (code // 64)::BIGINT AS distance FROM given5 JOIN kept USING (rid))
+SELECT vec_id, cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(c.v, lambda x: x::BIGINT), ',')) AS centroid_sha256 FROM told JOIN cents5 c ON c.c = cluster"""
+    return start + given.format(r=0) + "".join(moved.format(r=r, p=r - 1) + given.format(r=r) for r in range(1, 6)) + end
+
+
+def op13_automaton_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents with the benchmark items of which a window of 10 words occurs in them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
+    digest = F.sha2(F.concat_ws(",", "items").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP13_SQL = r"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS place, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS MATERIALIZED (SELECT DISTINCT item_id, least(10, len(w)) AS width, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS passage FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+widths AS (SELECT DISTINCT width FROM windows),
+places AS (SELECT place, w, width, unnest(range(1, len(w) - width + 2)) AS i FROM docs, widths WHERE len(w) >= width),
+found AS MATERIALIZED (SELECT place, i, p.width, item_id FROM places p JOIN windows x ON x.width = p.width AND x.passage = array_to_string(w[i : i + p.width - 1], ' ')),
+hits AS (SELECT place, count(DISTINCT word_place) AS n_hit FROM (SELECT place, unnest(range(i, i + width)) AS word_place FROM found) GROUP BY place),
+named AS (SELECT place, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT place, item_id::VARCHAR AS item FROM found WHERE item_id IS NOT NULL) GROUP BY place)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (place) LEFT JOIN named USING (place)
+"""
+
+
 def queries() -> dict:
     found = (
         op1_pu_quality,
@@ -173,9 +241,12 @@ def queries() -> dict:
         op8_jump_hash_shards,
         op9_separator_scan,
         op10_audio_features,
+        op11_term_pipeline_search,
+        op12_sorted_mean_centroids,
+        op13_automaton_decontamination,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_near_duplicates": OP3_SQL, "op4_poisson_mix": OP4_SQL, "op8_jump_hash_shards": OP8_SQL}
+    return {"op3_minhash_near_duplicates": OP3_SQL, "op4_poisson_mix": OP4_SQL, "op8_jump_hash_shards": OP8_SQL, "op11_term_pipeline_search": OP11_SQL, "op12_sorted_mean_centroids": _op12_sql(), "op13_automaton_decontamination": OP13_SQL}
