@@ -299,17 +299,19 @@ def judged(
     block_shingles: int = 2_000_000,
     block_members: int = 1024,
 ) -> DataFrame:
-    """As near_duplicates, with text_a and text_b (text_keys) and digest_a and digest_b (of the set) besides."""
+    """As near_duplicates, with text_a and text_b (text_keys) and is_head besides: of the rows of a component those of one doc_id and text that stand
+    for it, the least doc_id's. Repeated rows stand together; rows without shingles each for themselves."""
     hashes = bands * rows
     check = Verifier(hashes, batch, percent, miss)
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *[c.alias(k) for k, c in text_keys(text).items()])
     scratch: list[str] = []
     base = written(features(docs, words, hashes), "features", scratch)
-    usable = base.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("digest_a", "digest_b").agg(F.min("doc_id").alias("first_id"))
-    firsts = met(usable, classes, ["digest_a", "digest_b"]).where("doc_id = first_id").dropDuplicates(["digest_a", "digest_b"])
-    # a node is a class: one doc_id can have texts of several. Numbers are fixed by writing them
-    signatures = written(firsts.select(F.monotonically_increasing_id().alias("node"), "doc_id", "text_a", "text_b", "digest_a", "digest_b", "n_shingles", "signature"), "signatures", scratch)
+    usable = base.where("n_shingles > 0")
+    # a node is a class: one doc_id can have texts of several. A row of its least doc_id stands for it, of these that of the least text keys
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_a", "text_b")
+    classes = usable.groupBy("digest_a", "digest_b").agg(F.min(own).alias("own"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    # numbers are fixed by writing them
+    signatures = written(classes.select(F.monotonically_increasing_id().alias("node"), "own", "digest_a", "digest_b", "n_shingles", "signature"), "signatures", scratch)
 
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.xxhash64(k, F.substring(F.col("signature"), k * (2 * rows) + 1, F.lit(2 * rows)))))
     placed = signatures.select("node", "n_shingles", band.alias("bucket"))
@@ -329,10 +331,10 @@ def judged(
     # the leader is a row of every block of its group
     block = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks"))))
     dealt = sized.select("leader", "blocks", "node", F.explode(block).alias("block"))
-    wanted = met(dealt, signatures.select("node", "doc_id", "text_a", "text_b", "signature"), "node")
-    # repeated rows fall together before the join, so a class meets one text
-    once = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text_a", "text_b"])
-    profiles = met(once, wanted, ["doc_id", "text_a", "text_b"]).select("leader", "blocks", "block", "node", "signature", "text")
+    wanted = met(dealt, signatures.select("node", "own.text_a", "own.text_b", "signature"), "node")
+    # copies fall together before the join, so a class meets one text
+    once = docs.select("text", "text_a", "text_b").dropDuplicates(["text_a", "text_b"])
+    profiles = met(once, wanted, ["text_a", "text_b"]).select("leader", "blocks", "block", "node", "signature", "text")
     profiles = written(with_shingles(profiles, words, hashes), "profiles", scratch)
     found = written(links_in_groups(profiles, check), "links", scratch)
     links = found.where("b is not null").select("a", "b")
@@ -340,14 +342,16 @@ def judged(
     if not strays.isEmpty():
         links = links.union(links_across_blocks(profiles.where("blocks > 1"), strays, check).select("a", "b"))
 
-    linked = met(components(links), signatures.select("node", F.struct("doc_id", "digest_a", "digest_b").alias("own")), "node")
+    linked = met(components(links), signatures.select("node", "own"), "node")
     heads = linked.groupBy("component").agg(F.min("own").alias("head"))
-    linked = met(linked, heads, "component").select("own.digest_a", "own.digest_b", F.col("head.doc_id").alias("component"), (F.col("own") == F.col("head")).alias("heads"))
-    stands = met(classes, linked, ["digest_a", "digest_b"], "left").select("digest_a", "digest_b", F.coalesce("component", "first_id").alias("component"), F.coalesce("heads", F.lit(True)).alias("heads"))
-    result = met(base.drop("signature"), stands, ["digest_a", "digest_b"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    kept = F.col("doc_id").eqNullSafe(component) & (F.col("doc_id").isNull() | F.coalesce("heads", F.lit(True)))
-    done = written(result.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "text_a", "text_b", "digest_a", "digest_b"), "judged")
+    linked = met(linked, heads, "component").select("node", "head")
+    stands = met(signatures.select("node", "own", "digest_a", "digest_b"), linked, "node", "left").select("digest_a", "digest_b", F.coalesce("head", "own").alias("head"))
+    mine = base.drop("signature")
+    found = met(mine.where("n_shingles > 0"), stands, ["digest_a", "digest_b"]).withColumn("is_head", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_a", "text_b").eqNullSafe(F.col("head")))
+    found = found.select("doc_id", "n_shingles", F.col("head.doc_id").alias("component_id"), "is_head", "text_a", "text_b")
+    # what has no shingles stands alone, and isn't joined: its digests are null
+    alone = mine.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("is_head"), "text_a", "text_b")
+    done = written(found.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "judged")
     deleted(df.sparkSession, scratch)
     return done
 
@@ -359,9 +363,9 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     one. Texts are linked from percent on. component_id is the least doc_id that links reach; kept marks the row
     that has it. Chance of missing a pair at the threshold: (1 - 0.8^rows)^bands, 3e-6 as set, besides miss. options: those of judged.
 
-    Null, empty and blank texts have 0 shingles and no links. A null doc_id has no links, its component is null and it is kept.
-    Repeated rows fall in one class and are all marked alike; texts under one doc_id are judged each by its own set, so
-    unrelated ones can each be kept with the same component_id, and of linked ones with the least doc_id one set is kept.
+    Null, empty and blank texts have 0 shingles and no links. Rows without a doc_id are linked as others are, but name no component: one of
+    them alone has a null component_id. kept is doc_id = component_id, null equalling null. Repeated rows fall in one class and are all
+    marked alike; texts under one doc_id are judged each by its own set, so several of them can be kept (judged tells which row stands for a component).
     An empty table gives no rows. Other columns are ignored.
     """
     return judged(df, doc_id, text, words, percent, **options).select("doc_id", "n_shingles", "component_id", "kept")

@@ -144,7 +144,9 @@ def op9_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     order = written(tokencount.write_token_files(docs, "doc_id", "text", vocabulary(), folder), "order")
     counts = tokencount.document_lengths(tokencount.read_token_files(spark, folder), tokencount.separator_of(vocabulary()))
-    return order.join(counts.select(F.substring_index("file", "/", -1).alias("file"), "doc_no", "n_tokens"), ["file", "doc_no"]).select("doc_id", "n_tokens")
+    found = order.join(counts.select(F.substring_index("file", "/", -1).alias("file"), "doc_no", "n_tokens"), ["file", "doc_no"], "left")
+    lost = F.raise_error(F.concat(F.lit("no count of a document in "), F.col("file"))).cast("bigint")
+    return found.select("doc_id", F.coalesce("n_tokens", lost).alias("n_tokens"))
 
 
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:

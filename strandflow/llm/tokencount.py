@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandflow.llm import bpe
-from strandflow.llm.shared import slices, written
+from strandflow.llm.shared import on_disk, slices, written
 
 BLOCK_TOKENS = 1 << 18
 #: Blocks of a file that one window of the prefix scan covers; windows are stitched by a second scan.
@@ -26,6 +26,11 @@ SPAN = 1024
 BLOCK_SCHEMA = "file string, block_no bigint, first_token bigint, tokens binary"
 
 
+def full_uri(path: str) -> str:
+    """Hadoop's file:/x as pyarrow wants it."""
+    return re.sub("^file:/+", "file:///", path)
+
+
 def separator_of(vocabulary: str) -> int:
     """The end-of-document id: the first that the vocabulary leaves free."""
     return bpe.loaded(vocabulary).size
@@ -35,16 +40,19 @@ def write_token_files(docs: DataFrame, doc_id: str, text: str, vocabulary: str,
     """Write the documents' token ids as flat files under a folder that all workers share, one a partition, a separator behind each document;
     file, doc_no, doc_id tell which document comes where. Files come to be as these rows do: write the rows once.
 
-    A file appears under its name when it is whole, so a task that runs again replaces it. Null and empty texts are
+    The folder is qualified as Spark resolves it, so a path without a scheme means the same file system here and where it is read. It is to be new or
+    empty: files of an earlier run with more partitions would stay. A file appears under its name when it is whole, so a task that runs again replaces it. Null and empty texts are
     documents of no tokens; repeated rows are documents of their own; an empty df gives no rows. Other columns are ignored.
     """
     named = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    path, hadoop = on_disk(docs.sparkSession, folder)
+    uri = full_uri(hadoop.makeQualified(path).toString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task, at = bpe.loaded(vocabulary), TaskContext.get(), 0
         if own.size > np.iinfo(dtype).max:
             raise ValueError(f"{own.size} ids don't fit {dtype}")
-        files, base = pa.fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pa.fs.LocalFileSystem(), folder)
+        files, base = pa.fs.FileSystem.from_uri(uri)
         files.create_dir(base, recursive=True)
         name = f"part-{task.partitionId():06d}.bin"
         draft = f"{base}/.{name}-{task.taskAttemptId()}"
@@ -74,7 +82,7 @@ def read_token_files(spark: SparkSession, path: str, dtype: str = "<u2", block_t
             for file, length, first in zip(*(part.column(c).to_pylist() for c in ("path", "length", "first")), strict=True):
                 if length % width:
                     raise ValueError(f"{file} is not a whole number of {width}-byte tokens")
-                files, at = pa.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", file))
+                files, at = pa.fs.FileSystem.from_uri(full_uri(file))
                 with files.open_input_file(at) as source:
                     source.seek(first)
                     for k in range(first, min(first + step, length), block_tokens * width):

@@ -1,9 +1,12 @@
 import hashlib
+import math
 import os
 import random
+import statistics
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,7 +175,9 @@ def test_near_duplicates(spark, words):
 def test_near_duplicate_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (3, "A  b c\td e f")], "doc_id bigint, text string")
     got = rows_of(neardup.near_duplicates(df), "doc_id", "component_id", "kept")
-    assert got == sorted([(None, None, True), (7, 3, False), (7, 3, False), (3, 3, True)], key=repr)
+    assert got == sorted([(None, 3, False), (7, 3, False), (7, 3, False), (3, 3, True)], key=repr)
+    alone = spark.createDataFrame([(None, "a b c d e f"), (None, "a b c d e f"), (None, ""), (4, None)], "doc_id bigint, text string")
+    assert rows_of(neardup.near_duplicates(alone), "doc_id", "component_id", "kept") == sorted([(None, None, True)] * 3 + [(4, 4, True)], key=repr)
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -185,12 +190,15 @@ def test_texts_under_one_doc_id(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = neardup.near_duplicates(df).collect()
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id != 9) == sorted(
-        [(7, 3, 3, False), (7, 2, 7, True), (7, 2, 7, True), (3, 3, 3, True), (8, 2, 8, True), (8, 9, 8, True), (0, 3, None, True), (0, 3, None, True)], key=lambda r: (r[0], r[1], r[2] or 0)
+        [(7, 3, 3, False), (7, 2, 7, True), (7, 2, 7, True), (3, 3, 3, True), (8, 2, 8, True), (8, 9, 8, True), (0, 3, 3, False), (0, 3, 3, False)]
     )
-    assert sorted(r.kept for r in got if r.doc_id == 9) == [False, True]  # linked: one of the two
+    assert [r.kept for r in got if r.doc_id == 9] == [True, True]  # linked; both have the component's doc_id
     left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, df, "").collect()), key=repr)
-    assert [r for r in left if r[0] != 9] == sorted([(7, b), (3, a.upper()), (8, rows[4][1]), (8, rows[5][1]), (None, a), (None, a)], key=repr)
+    assert [r for r in left if r[0] != 9] == sorted([(7, b), (3, a.upper()), (8, rows[4][1]), (8, rows[5][1])], key=repr)
     assert sum(r[0] == 9 for r in left) == 1
+    odd = spark.createDataFrame([(None, a), (None, a), (None, a + " eight"), (None, ""), (None, None), (None, None), (5, ""), (5, "")], "doc_id bigint, text string")
+    kept = sorted(str((r.doc_id, r.text)) for r in corpus_pipeline.one_of_each_group(spark, odd, "").collect())
+    assert kept == sorted(str(x) for x in [(None, a), (None, a + " eight"), (None, ""), (None, None), (None, None), (5, "")])
 
 
 def test_least_agreements():
@@ -215,6 +223,19 @@ def test_poisson_counts(spark):
         assert abs(r[f"var_samp{i}"] - m) < 0.06 * m
 
 
+def test_large_quantiles(spark):
+    z = np.array([statistics.NormalDist().inv_cdf((i + 0.5) / 10_000) for i in range(10_000)])
+    df = spark.createDataFrame(pd.DataFrame({"z": z}))
+    for mean in (2049, 10_000, 100_000):
+        k = np.arange(max(0, int(mean - 12 * mean**0.5)), int(mean + 12 * mean**0.5) + 1)
+        log_factorial = np.r_[0.0, np.cumsum(np.log(np.arange(1, k[-1] + 1)))]
+        cdf = np.cumsum(np.exp(k * np.log(mean) - mean - log_factorial[k]))
+        exact = k[np.searchsorted(cdf, [0.5 * math.erfc(-x / math.sqrt(2)) for x in z])]
+        got = df.select("z", mixing.large_quantile(F.lit(float(mean)), F.col("z")).alias("k")).toPandas().sort_values("z").k.to_numpy()
+        off = got - exact
+        assert np.abs(off).max() <= 1 and (off != 0).sum() <= (1 if mean == 2049 else 0), (mean, (off != 0).sum())
+
+
 def test_large_rates(spark):
     big = spark.range(2000).select("id", *[mixing.poisson_count(F.lit(m), 5, F.col("id").cast("string")).alias(f"m{i}") for i, m in enumerate((5e3, 1e6, 1e12))])
     r = big.agg(*[f(f"m{i}").alias(f"{f.__name__}{i}") for i in range(3) for f in (F.avg, F.var_samp)]).first()
