@@ -40,23 +40,22 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose 5-word shingle sets have a Jaccard similarity of 0.8 or more, that of the least doc_id.
-    Of rows that repeat a doc_id with the same set one stays, other texts under the doc_id are judged for themselves; rows without a doc_id stay."""
+    """One document of each group of texts whose 5-word shingle sets have a Jaccard similarity of 0.8 or more, that of the least doc_id; texts without
+    a doc_id are grouped as others are. Repeated rows stay once, but for rows without doc_id and without words, which all stay."""
     ship_package(spark)
-    groups = neardup.judged(docs, words=5, percent=80).where("kept")
-    # a row of each doc_id and set, that of the least text keys; without a doc_id of each text
-    one = [F.when(F.col("doc_id").isNull(), F.col(f"text_{x}")).otherwise(F.col(f"digest_{x}")).alias(f"one_{x}") for x in "ab"]
-    ids = groups.groupBy(F.col("doc_id").alias("kept_id"), *one).agg(F.min(F.struct("text_a", "text_b")).alias("keys"), F.count(F.lit(1)).alias("times"))
-    ids = written(ids.select("kept_id", F.col("keys.text_a").alias("kept_a"), F.col("keys.text_b").alias("kept_b"), "times"), "kept")
-    rows, own = set_aside(docs, "_text_a", "_text_b", "kept_id", "kept_a", "kept_b", "times")
+    heads = neardup.judged(docs, words=5, percent=80).where("is_head")
+    keys = [F.col(c).alias(f"kept_{c[-1]}" if c != "doc_id" else "kept_id") for c in ("doc_id", "text_a", "text_b")]
+    single = (F.col("doc_id").isNotNull() | (F.col("n_shingles") > 0)).alias("single")
+    ids = written(heads.groupBy(*keys, single).agg(F.count(F.lit(1)).alias("times")), "kept")
+    rows, own = set_aside(docs, "_text_a", "_text_b", "kept_id", "kept_a", "kept_b", "times", "single")
     keyed = rows.withColumns({f"_{k}": c for k, c in neardup.text_keys("text").items()})
     same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_text_a") == F.col("kept_a")) & (F.col("_text_b") == F.col("kept_b"))
-    stay = neardup.met(keyed, ids, same, "left_semi")
-    if ids.where("times > 1 and kept_id is not null").isEmpty():
+    stay = neardup.met(keyed, ids, same)
+    if ids.where("times > 1 and single").isEmpty():
         return stay.select(*own)
     stay = written(stay, "stay")
-    once = stay.where("doc_id is not null").dropDuplicates(["doc_id", "_text_a", "_text_b"])
-    return once.union(stay.where("doc_id is null")).select(*own)
+    once = stay.where("single").dropDuplicates(["doc_id", "_text_a", "_text_b"])
+    return once.union(stay.where("not single")).select(*own)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
