@@ -55,9 +55,7 @@ def main(argv: list[str] | None = None) -> None:
     pieces = pieces.join(long.select("contig_id"), "contig_id")
     z = cluster.standardised(cluster.contig_features(pieces))
     labels = cluster.hierarchical(z, args.clusters or cluster.automatic_k(long.count())).select("contig_id", "cluster")
-    for row in labels.select("cluster").distinct().orderBy("cluster").collect():
-        own = pieces.join(labels.where(F.col("cluster") == row["cluster"]).select("contig_id"), "contig_id")
-        write_report(scan.scan_single(own, host_pieces(own), args.window, args.step, args.top), f"{args.out}/cluster={row['cluster']}", args.format)
+    write_report(scan.scan_clusters(pieces, labels, args.window, args.step, args.top), args.out, args.format, by="cluster")
 
 
 if __name__ == "__main__":

@@ -195,18 +195,3 @@ def hierarchical(rows: DataFrame, k: int, method: str = "ward", most: int = 512,
     numbered = spark.createDataFrame([(x, i) for i, x in enumerate(roots)], f"_up bigint, {label} int")
     of = points.join(up, "_id").join(F.broadcast(numbered), "_up").select(column, label)
     return rows.join(of, column)
-
-
-def scan_clusters(pieces: DataFrame, labels: DataFrame, window: int = 2000, step: int = 500, top: int = 10) -> DataFrame:
-    """Candidates of each cluster's contigs against the cluster's own baseline: cluster and the columns of candidates.
-
-    labels: contig_id, cluster. Clusters are few (automatic_k has 10 at most), so they are scanned one job after the other.
-    """
-    from strandflow.operators.scan import scan_single
-    from strandflow.sources.documents import host_pieces
-
-    out = []
-    for (c,) in labels.select("cluster").distinct().orderBy("cluster").collect():
-        own = pieces.join(labels.where(F.col("cluster") == c).select("contig_id"), "contig_id")
-        out.append(scan_single(own, host_pieces(own), window, step, top).withColumn("cluster", F.lit(c)))
-    return reduce(DataFrame.unionByName, out)

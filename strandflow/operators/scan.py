@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from strandflow.functions import sequence as S
 from strandflow.operators.measures import measured
 from strandflow.operators.pieces import contig_lengths, windows
+from strandflow.plans.session import settled
+from strandflow.sources.documents import host_pieces
 
 #: Signals of a window that need no reference.
 PLAIN = ("gc", "h3", "hurst", "ac3", "mi1", "c2")
@@ -18,7 +20,7 @@ FUSED = ("gc", "h3", "hurst", "ac3", "mi1", "c2", "rho", "gradient", "cpd", "rsc
 
 
 def host_profile(host: DataFrame, tile: int = 30_000) -> DataFrame:
-    """One row of a host's profile from pieces of one contig: rho, rscu, codon-pair counts. Tiles are counted apart and
+    """A row of each host's profile, hosts being the contigs of the pieces: host, rho, rscu, codon-pair counts. Tiles are counted apart and
     overlap by the letters that a pair reaches over, so frames and neighbours are those of the whole."""
     tiles = windows(host, tile, tile, extra=5, tail=True)
     own = F.least(F.length("seq"), F.lit(tile))
@@ -29,25 +31,38 @@ def host_profile(host: DataFrame, tile: int = 30_000) -> DataFrame:
         F.struct(F.lit(2).alias("kind"), F.substring("seq", 1, tile).alias("part")),
         F.struct(F.lit(3).alias("kind"), F.substring("seq", 1, tile + 3).alias("part")),
     )
-    cut = measured(tiles.select(own.alias("own"), F.inline(parts)).select("kind", F.col("part").alias("seq")), wanted=("k1", "k2", "codon", "pair_value", "pair_n"))
+    cut = measured(tiles.select("contig_id", own.alias("own"), F.inline(parts)).select("contig_id", "kind", F.col("part").alias("seq")), wanted=("k1", "k2", "codon", "pair_value", "pair_n"))
     entries = lambda values: F.filter(F.transform(values, lambda n, i: F.struct(i.alias("value"), n.alias("n"))), lambda x: x["n"] > 0)
     pair = F.zip_with("pair_value", "pair_n", lambda v, n: F.struct(v.cast("int").alias("value"), n.alias("n")))
     counts = F.when(F.col("kind") == 0, entries(F.col("k1"))).when(F.col("kind") == 1, entries(F.col("k2"))).when(F.col("kind") == 2, entries(F.col("codon"))).otherwise(pair)
     bins = {0: 4, 1: 16, 2: 64, 3: 4096}
     # every bin once with nothing, so that the sorted counts are dense
     none = lambda k: lambda i: F.struct(F.lit(k).alias("kind"), i.alias("value"), F.lit(0).cast("bigint").alias("n"))
-    spine = host.sparkSession.range(1).select(F.inline(F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), F.lit(b - 1)), none(k)) for k, b in bins.items()]))))
-    counted = cut.select("kind", F.inline(counts)).union(spine).groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    spine = host.select("contig_id").distinct().select("contig_id", F.inline(F.flatten(F.array(*[F.transform(F.sequence(F.lit(0), F.lit(b - 1)), none(k)) for k, b in bins.items()]))))
+    counted = cut.select("contig_id", "kind", F.inline(counts)).union(spine).groupBy("contig_id", "kind", "value").agg(F.sum("n").alias("n"))
     dense = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct("value", "n")))), lambda x: x["n"])
-    row = counted.groupBy().agg(*[dense(k).alias(f"d{k}") for k in bins])  # 4,180 counts
+    row = counted.groupBy(F.col("contig_id").alias("host")).agg(*[dense(k).alias(f"d{k}") for k in bins])  # 4,180 counts a host
     size = S.total(F.col("d3"), 0)
     row = row.select("*", S.rho_from_counts(F.col("d0"), F.col("d1")).alias("host_rho"), S.rscu_from_counts(F.col("d2")).alias("host_rscu"), size.alias("host_size"))
-    return row.select("host_rho", "host_rscu", F.col("d3").alias("host_pairs"), "host_size", S.divergence_of_none(F.col("d3"), F.col("host_size")).alias("host_none"))
+    return row.select("host", "host_rho", "host_rscu", F.col("d3").alias("host_pairs"), "host_size", S.divergence_of_none(F.col("d3"), F.col("host_size")).alias("host_none"))
 
 
-def signals(segments: DataFrame, profile: DataFrame) -> DataFrame:
-    """segments (.., seq) with the ten signals against the host's profile (one row, broadcast). Work of a row alone: no shuffle."""
-    rows = measured(segments).crossJoin(F.broadcast(profile)).withColumn("_codons", S.total(F.col("codon"), 0)).withColumn("_pairs", S.total(F.col("pair_n"), 0))
+#: Rows of profiles or baselines (33 KB a profile) that are broadcast; more are met by a shuffle.
+MOST_HOSTS = 1000
+
+
+def with_host(rows: DataFrame, table: DataFrame, by: str | None) -> DataFrame:
+    """rows with the columns of table (a row a host) of the host that the column by names; by None: of the only one."""
+    if by is None:
+        return rows.crossJoin(F.broadcast(table.drop("host")))  # one row
+    hosts = settled(table).withColumnRenamed("host", "_host")
+    hosts = F.broadcast(hosts) if hosts.count() <= MOST_HOSTS else hosts
+    return rows.join(hosts, F.col(by).cast("string") == F.col("_host")).drop("_host")
+
+
+def signals(segments: DataFrame, profile: DataFrame, by: str | None = None) -> DataFrame:
+    """segments (.., seq) with the ten signals against the profile of the host that by names, or the only one. Work of a row alone: no shuffle."""
+    rows = with_host(measured(segments), profile, by).withColumn("_codons", S.total(F.col("codon"), 0)).withColumn("_pairs", S.total(F.col("pair_n"), 0))
     n = F.length("seq")
     pairs = F.zip_with("pair_value", "pair_n", lambda v, n: F.struct(v.alias("value"), n.alias("n")))
     values = {
@@ -78,20 +93,21 @@ def baseline_windows(host: DataFrame, window: int, step: int, most: int | None =
     return found.drop("_n").join(F.broadcast(picked), "window_no")  # at most `most` numbers
 
 
-def baseline_stats(host: DataFrame, window: int = 2000, step: int = 2000, most: int | None = None, profile: DataFrame | None = None) -> DataFrame:
-    """One row: mean and population deviation (at least 1e-6) of each signal over all windows of the host, or a grid of most (the reference's 500). A host shorter than a window gives nulls."""
-    found = signals(baseline_windows(host, window, step, most), host_profile(host) if profile is None else profile)
+def baseline_stats(host: DataFrame, window: int = 2000, step: int = 2000, most: int | None = None, profile: DataFrame | None = None, keyed: bool = False) -> DataFrame:
+    """One row: mean and population deviation (at least 1e-6) of each signal over all windows of the host, or a grid of most (the reference's 500). A host shorter than a window gives nulls.
+    keyed: a row a host, hosts being the contigs; those shorter than a window have none."""
+    found = signals(baseline_windows(host, window, step, most), host_profile(host) if profile is None else profile, "contig_id" if keyed else None)
     columns = []
     for name in (*PLAIN, *PROFILE):
         columns += [F.avg(name).alias(f"{name}_mean"), F.greatest(F.stddev_pop(name), F.lit(1e-6)).alias(f"{name}_std")]
-    return found.agg(*columns)
+    return found.groupBy(*[F.col("contig_id").alias("host")] if keyed else []).agg(*columns)
 
 
-def z_scores(found: DataFrame, stats: DataFrame) -> DataFrame:
-    """The windows' signals as absolute z-scores, and gradient: what gc and h3 moved since the window before, 0 for the first."""
-    rows = found.crossJoin(F.broadcast(stats))
+def z_scores(found: DataFrame, stats: DataFrame, by: str | None = None) -> DataFrame:
+    """The windows' signals as absolute z-scores against the baseline of the host that by names (or the only one), and gradient: what gc and h3 moved since the window before, 0 for the first."""
+    rows = with_host(found, stats, by)
     z = {name: F.abs(F.col(name) - F.col(f"{name}_mean")) / F.col(f"{name}_std") for name in (*PLAIN, *PROFILE)}
-    rows = rows.select("contig_id", "window_no", "start", "end", *[c.alias(k) for k, c in z.items()])
+    rows = rows.select(*[by] if by else [], "contig_id", "window_no", "start", "end", *[c.alias(k) for k, c in z.items()])
     w = Window.partitionBy("contig_id").orderBy("start")
     moved = F.abs(F.col("gc") - F.lag("gc").over(w)) + F.abs(F.col("h3") - F.lag("h3").over(w))
     return rows.withColumn("gradient", F.coalesce(moved, F.lit(0.0)))
@@ -176,8 +192,8 @@ def earlier_scan(z: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("contig_id", "start", "end", F.exp(logs / (len(EARLIER) + 1)).alias("composite"))
 
 
-def candidates(rows: DataFrame, top: int = 20, least_z: float = 1.5, order: str = "confidence") -> DataFrame:
-    """The top windows of each contig, then of all: rank, contig_id, start, end, confidence, evidence, composite.
+def candidates(rows: DataFrame, top: int = 20, least_z: float = 1.5, order: str = "confidence", by: str | None = None) -> DataFrame:
+    """The top windows of each contig, then of all: rank, contig_id, start, end, confidence, evidence, composite. by: the top of each value of that column, which comes first.
 
     confidence = composite / 3, at most 1. evidence: signals over least_z, largest first, as "name: z=0.0". order:
     confidence (ties by contig_id and rank in the contig, so it saturates in the first contigs) or composite.
@@ -185,12 +201,12 @@ def candidates(rows: DataFrame, top: int = 20, least_z: float = 1.5, order: str
     place = F.row_number().over(Window.partitionBy("contig_id").orderBy(F.desc("boosted"), "start"))
     found = F.filter(F.array(*[F.struct((-F.round(F.col(s), 9)).alias("z"), F.lit(i).alias("i"), F.lit(s).alias("name")) for i, s in enumerate(FUSED)]), lambda x: -x["z"] > least_z)
     evidence = F.transform(F.array_sort(found), lambda x: F.format_string("%s: z=%.1f", x["name"], F.round(-x["z"], 1)))
+    keys = [by] if by else []
     rows = rows.withColumn("place", place).where(F.col("place") <= top)
-    rows = rows.select("contig_id", "place", "start", "end", F.least(F.col("boosted") / 3.0, F.lit(1.0)).alias("confidence"), F.col("boosted").alias("composite"), evidence.alias("evidence"))
-    by = [F.desc("confidence"), "contig_id", "place"] if order == "confidence" else [F.desc("composite"), "contig_id", "place"]
-    best = rows.orderBy(*by).limit(top)
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by))  # over top rows
-    return best.withColumn("rank", rank).select("rank", "contig_id", "start", "end", "confidence", "composite", "evidence")
+    rows = rows.select(*keys, "contig_id", "place", "start", "end", F.least(F.col("boosted") / 3.0, F.lit(1.0)).alias("confidence"), F.col("boosted").alias("composite"), evidence.alias("evidence"))
+    best = [F.desc("confidence" if order == "confidence" else "composite"), "contig_id", "place"]
+    rank = F.row_number().over(Window.partitionBy(*keys or [F.lit(0)]).orderBy(*best))  # a key's top windows alone leave their tasks
+    return rows.withColumn("rank", rank).where(F.col("rank") <= top).select(*keys, "rank", "contig_id", "start", "end", "confidence", "composite", "evidence")
 
 
 def scan(target: DataFrame, host: DataFrame, window: int = 2000, step: int = 500) -> DataFrame:
@@ -204,3 +220,18 @@ def scan(target: DataFrame, host: DataFrame, window: int = 2000, step: int = 500
 def scan_single(target: DataFrame, host: DataFrame, window: int = 2000, step: int = 500, top: int = 20) -> DataFrame:
     """Candidates of a single isolate: scan, context and top windows."""
     return candidates(with_context(scan(target, host, window, step)), top)
+
+
+def scan_clusters(pieces: DataFrame, labels: DataFrame, window: int = 2000, step: int = 500, top: int = 10, cluster: str = "cluster") -> DataFrame:
+    """The candidates of each cluster: cluster and the columns of candidates. Contigs are scored against profile and baseline of their own cluster.
+
+    labels: contig_id, cluster. One plan for all clusters: profiles and baselines are tables of a row a cluster, so the number of jobs doesn't depend on
+    how many there are. Clusters without a window's letters in one piece after the other have no baseline and no candidates.
+    """
+    own = settled(pieces.join(labels.select("contig_id", cluster), "contig_id"))  # read by the profiles, the baselines and the windows
+    host = host_pieces(own, by=cluster)
+    profile = settled(host_profile(host))
+    stats = baseline_stats(host, window, window, profile=profile, keyed=True)
+    whole = windows(own, window, step).where(F.col("end") - F.col("start") == window).join(labels.select("contig_id", cluster), "contig_id")
+    z = z_scores(signals(whole, profile, cluster), stats, cluster)
+    return candidates(with_context(suppressed(composite(z))), top, by=cluster)

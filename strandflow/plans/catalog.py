@@ -388,22 +388,22 @@ def label_agreement(spark, sf_dir):
 FRAGMENT = 5000
 
 
-@query(
-    f"""WITH {O.CONTIGS}, {O.SPINE2}, {O.windows('w0', window=FRAGMENT, step=FRAGMENT)}, wins AS (SELECT * FROM w0 WHERE length(seq) = {FRAGMENT}), {O.letters()}, {O.entropies('h3', 3)}, {O.entropies('h4', 4)}, {O.entropies('k1', 1)}, {O.entropies('k2', 2)}, {O.hurst()}, {O.period3()}, {O.rho('rr')},
-f AS (SELECT contig_id, window_no, unnest([{{'name': 'gc', 'value': l.c + l.g}}, {{'name': 'h3', 'value': h3.h / 6}}, {{'name': 'h4', 'value': h4.h / 8}}, {{'name': 'hurst', 'value': hurst.h}}, {{'name': 'mi1', 'value': greatest(2 * k1.h - k2.h, 0)}}, {{'name': 'ac3', 'value': ac.h}}]) AS x
-  FROM wins JOIN letters_wins l USING (contig_id, window_no) JOIN h3 USING (contig_id, window_no) JOIN h4 USING (contig_id, window_no) JOIN k1 USING (contig_id, window_no) JOIN k2 USING (contig_id, window_no) JOIN hurst USING (contig_id, window_no) JOIN ac USING (contig_id, window_no))
-SELECT contig_id, window_no, x.name AS feature, round(x.value, 6) AS value FROM f
-UNION ALL SELECT contig_id, window_no, printf('rho_%02d', (row_number() OVER (PARTITION BY contig_id, window_no ORDER BY g)) - 1), round(rho, 6) FROM rr"""
-)
+FRAGMENTS = f"""wins AS MATERIALIZED (SELECT contig_id, k AS window_no, k * {FRAGMENT} AS start, substr(seq, k * {FRAGMENT} + 1, {FRAGMENT}) AS seq
+  FROM (SELECT contig_id, seq, unnest(range(0, (length(seq) + {FRAGMENT - 1}) // {FRAGMENT})) AS k FROM contigs WHERE length(seq) > 0)), {O.features('f', 'wins')}"""
+FRAGMENT_Z = f"WITH RECURSIVE {O.CONTIGS}, {O.SPINE2}, {FRAGMENTS}, {O.vectors('v', 'f')}"
+NAME_OF = "[" + ", ".join(f"'{x}'" for x in cluster.FEATURES) + "][i + 1]"
+
+
+@query(f"WITH {O.CONTIGS}, {O.SPINE2}, {FRAGMENTS} SELECT contig_id, window_no, {NAME_OF} AS feature, round(value, 6) AS value FROM f")
 def features22(spark, sf_dir):
-    """The 22 features of whole fragments of 5000 letters."""
+    """The 22 features of fragments of 5000 letters; a contig's last one is as long as what is left."""
     found = cluster.features(fragments5000(spark, sf_dir)).select("contig_id", "window_no", F.posexplode("features").alias("i", "value"))
     name = F.get(F.array(*[F.lit(x) for x in cluster.FEATURES]), F.col("i"))
     return found.select("contig_id", "window_no", name.alias("feature"), r6("value").alias("value"))
 
 
 def fragments5000(spark, sf_dir):
-    return pieces.windows(D.contig_pieces(spark, sf_dir), FRAGMENT, FRAGMENT).where(F.length("seq") == FRAGMENT)
+    return pieces.windows(D.contig_pieces(spark, sf_dir), FRAGMENT, FRAGMENT, tail=True)
 
 
 def fragment_z(spark, sf_dir):
@@ -417,42 +417,54 @@ def kmeans_fragments(spark, sf_dir):
     return evaluate.agreement(found, "contig_id", "cluster")
 
 
-@query()
+@query(f"{FRAGMENT_Z}, {O.linkage('w', 'v', '4', 'ward')} SELECT contig_id, window_no, cluster FROM w")
 def ward_fragments(spark, sf_dir):
     """Cluster of each fragment by Ward linkage."""
     return cluster.hierarchical(fragment_z(spark, sf_dir), 4).select("contig_id", "window_no", "cluster")
 
 
-@query()
+@query(f"{FRAGMENT_Z}, {O.linkage('w', 'v', '6', 'average')} SELECT contig_id, window_no, cluster FROM w")
 def average_linkage_fragments(spark, sf_dir):
     return cluster.hierarchical(fragment_z(spark, sf_dir), 6, "average").select("contig_id", "window_no", "cluster")
 
 
-def first_letters(n: int) -> str:
-    return f"{O.DOCS}, m AS (SELECT doc_id, list_transform(range(1, {n + 1}), lambda i: instr('ACGT', substr(seq, i, 1)) - 1) AS s FROM doc_seq WHERE length(seq) >= {n})"
+#: Contigs of 2,000 letters or more, a source and language each; a cluster's contigs one after the other are its host.
+MAGS = f"""{O.DOCS}, contigs AS MATERIALIZED (SELECT * FROM (SELECT concat_ws('-', source, lang) AS contig_id, string_agg(seq, '' ORDER BY doc_id) AS seq FROM doc_seq GROUP BY 1) WHERE length(seq) >= {W})"""
+MAG_K = "(SELECT CASE WHEN count(*) < 4 THEN 2 ELSE greatest(2, least(10, floor(sqrt(count(*) / 10.0)))) END FROM contigs)"
+CLUSTER_HOST = """host AS (SELECT CAST(cluster AS VARCHAR) AS contig_id, string_agg(seq, '' ORDER BY c.contig_id) AS seq FROM contigs c JOIN mags USING (contig_id) GROUP BY cluster),
+host_of AS (SELECT contig_id, CAST(cluster AS VARCHAR) AS host FROM mags UNION ALL SELECT contig_id, contig_id FROM host)"""
+MAG_SCAN = f"""WITH RECURSIVE {MAGS}, {O.SPINE2}, {O.SPINE3}, whole AS MATERIALIZED (SELECT contig_id, 0 AS window_no, seq FROM contigs), {O.features('f', 'whole')}, {O.vectors('v', 'f')}, {O.linkage('mags', 'v', MAG_K, 'ward')},
+{O.profile(CLUSTER_HOST)}, {O.baseline()}, {O.scan()}, {O.SUPPRESSED}, {O.CONTEXT}"""
 
 
-STABLE = "CASE WHEN sum(n) <= 1 THEN 0.0 WHEN count(*) < 2 THEN 1.0 ELSE 1.0 - (log2(sum(n)) - sum(n * log2(n)) / sum(n)) / log2(count(*)) END"
+def clustered_contigs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Pieces of the contigs of 2,000 letters or more, and their clusters (contig_id, cluster) by the features of whole contigs."""
+    p = D.contig_pieces(spark, sf_dir, "source", "lang")
+    long = settled(pieces.contig_lengths(p).where(F.col("contig_length") >= W).select("contig_id"))
+    p = settled(p.join(long, "contig_id"))
+    z = cluster.standardised(cluster.contig_features(p))
+    return p, settled(cluster.hierarchical(z, cluster.automatic_k(long.count())).select("contig_id", "cluster"))
 
 
 @query(
-    f"""WITH {first_letters(60)}, n AS (SELECT count(*) AS rows FROM m), f AS (SELECT v, count(*) / (SELECT rows * 60 FROM n) AS f FROM (SELECT unnest(s) AS v FROM m) GROUP BY v),
-occ AS (SELECT s, k, c, s[c + 1] AS b1, s[c + k + 1] AS b2 FROM (SELECT s, k, unnest(range(0, 60 - k)) AS c FROM (SELECT s, unnest(range(1, 7)) AS k FROM m))),
-p AS (SELECT k, b1, b2, 'p' AS kind, c AS v FROM occ UNION ALL SELECT k, b1, b2, 'l', s[c] FROM occ WHERE c > 0 UNION ALL SELECT k, b1, b2, 'r', s[c + k + 1] FROM occ WHERE c + k + 1 < 60
-  UNION ALL SELECT k, b1, b2, 'g', s[c + g + 1] FROM (SELECT *, unnest(range(1, least(k, 4))) AS g FROM occ WHERE k > 1)),
-h AS (SELECT k, b1, b2, kind, v, count(*) AS n FROM p GROUP BY ALL), st AS (SELECT k, b1, b2, kind, {STABLE} AS s FROM h GROUP BY k, b1, b2, kind),
-t AS (SELECT k, b1, b2, count(*) AS n FROM occ GROUP BY ALL), w AS (SELECT k, b1, b2, max(s) FILTER (WHERE kind = 'p') AS p, max(s) FILTER (WHERE kind = 'l') AS l, max(s) FILTER (WHERE kind = 'r') AS r, max(s) FILTER (WHERE kind = 'g') AS g FROM st GROUP BY ALL),
-v AS (SELECT t.b1, t.b2, t.k, t.n, least(1, ln(1 + 10.0 * t.n) / ln(1 + (SELECT rows FROM n) * (60 - t.k))) AS a, abs(t.n - coalesce(u.n, 0)) / (t.n + coalesce(u.n, 0)) AS d,
-  1 - exp(-greatest(log2(t.n / ((SELECT rows FROM n) * (60 - t.k)) / (f1.f * f2.f)), 0) / 4) AS mi, w.p, (coalesce(w.l, 0) + coalesce(w.r, 0)) / 2 AS x, CASE WHEN t.k > 1 THEN coalesce(w.g, 0) ELSE 1.0 END AS g
-  FROM t LEFT JOIN t u ON u.k = t.k AND u.b1 = t.b2 AND u.b2 = t.b1 JOIN w ON w.k = t.k AND w.b1 = t.b1 AND w.b2 = t.b2 JOIN f f1 ON f1.v = t.b1 JOIN f f2 ON f2.v = t.b2 WHERE t.n >= 5)
-SELECT CAST(b1 AS INT) AS b1, CAST(b2 AS INT) AS b2, CAST(k AS INT) AS k, n, round(a, 6) AS a, round(d, 6) AS d, round(mi, 6) AS mi, round(p, 6) AS p, round(x, 6) AS x, round(g, 6) AS g,
-  round(CASE WHEN least(a, d, mi, p, x, g) > 0 THEN exp((ln(a) + ln(d) + ln(mi) + ln(p) + ln(x) + ln(g)) / 6) ELSE 0 END, 6) AS r FROM v"""
+    f"""{MAG_SCAN},
+placed AS (SELECT b.*, cluster, row_number() OVER (PARTITION BY contig_id ORDER BY boosted DESC, start) AS place FROM boosted b JOIN mags USING (contig_id)),
+best AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY least(boosted / 3.0::DOUBLE, 1.0::DOUBLE) DESC, contig_id, place) AS rank FROM placed WHERE place <= 10)
+SELECT cluster, CAST(rank AS INT) AS rank, contig_id, start, "end", round(least(boosted / 3.0::DOUBLE, 1.0::DOUBLE), 6) AS confidence, round(boosted, 6) AS composite FROM best WHERE rank <= 10"""
 )
-def resonance_pairs(spark, sf_dir):
-    """Pair resonance over the first 60 letters of the documents that have them, as an aligned matrix: a cut that its SQL fixes. resonance_tiles reads all letters."""
-    docs = D.document_sequences(spark, sf_dir).where(F.length("seq") >= 60).select(S.codes(F.substring("seq", 1, 60)).alias("symbols"))
-    found = resonance.resonance(docs, 60)
-    return found.select("b1", "b2", "k", "n", *[r6(c).alias(c) for c in ("a", "d", "mi", "p", "x", "g", "r")])
+def metagenome_candidates(spark, sf_dir):
+    """The top 10 windows of each cluster of contigs against the cluster's own profile and baseline (a top-k report)."""
+    p, labels = clustered_contigs(spark, sf_dir)
+    found = scan.scan_clusters(p, labels, W, STEP, 10)
+    return found.select("cluster", "rank", "contig_id", "start", "end", r6("confidence").alias("confidence"), r6("composite").alias("composite"))
+
+
+@query(f"{MAG_SCAN} SELECT contig_id, cluster FROM mags")
+def metagenome_clusters(spark, sf_dir):
+    return clustered_contigs(spark, sf_dir)[1]
+
+
+STABLE = "CASE WHEN sum(n) <= 1 THEN 0.0 WHEN count(*) < 2 THEN 1.0 ELSE 1.0 - (log2(sum(n)) - sum(n * log2(n)) / sum(n)) / log2(count(*)) END"
 
 
 TILE = 300

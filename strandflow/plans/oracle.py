@@ -9,7 +9,8 @@ W, STEP = 2000, 500
 
 DOCS = "doc_seq AS MATERIALIZED (SELECT doc_id, source, lang, upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS seq FROM documents)"
 CONTIGS = f"{DOCS}, contigs AS MATERIALIZED (SELECT source AS contig_id, string_agg(seq, '' ORDER BY doc_id) AS seq FROM doc_seq GROUP BY source)"
-HOST = "host AS (SELECT 'host' AS contig_id, string_agg(seq, '' ORDER BY contig_id) AS seq FROM contigs)"
+#: The host of all contigs: all of them one after the other. host_of tells each segment's host; a host is its own.
+HOST = """host AS (SELECT 'host' AS contig_id, string_agg(seq, '' ORDER BY contig_id) AS seq FROM contigs), host_of AS (SELECT contig_id, 'host' AS host FROM contigs UNION ALL SELECT 'host', 'host')"""
 
 
 def windows(name: str = "wins", of: str = "contigs", window: int = W, step: int = STEP) -> str:
@@ -87,17 +88,17 @@ def rscu(name: str, of: str = "wins", three: str = "") -> str:
 
 
 def host_grams(k: int, every: int = 1) -> str:
-    """As grams, of the host's letters: substr on a string this long would start over for each k-mer."""
+    """As grams, of the hosts' letters: substr on a string this long would start over for each k-mer."""
     g = " || ".join(f"c{x}" for x in range(k))
-    return f"(SELECT 'host' AS contig_id, 0 AS window_no, {g} AS g, count(*) AS n FROM hostc WHERE c{k - 1} IS NOT NULL AND (i - 1) % {every} = 0 GROUP BY {g})"
+    return f"(SELECT contig_id, 0 AS window_no, {g} AS g, count(*) AS n FROM hostc WHERE c{k - 1} IS NOT NULL AND (i - 1) % {every} = 0 GROUP BY contig_id, {g})"
 
 
-def profile() -> str:
+def profile(host: str = HOST) -> str:
     whole = "hostw AS MATERIALIZED (SELECT contig_id, 0 AS window_no, seq FROM host)"
-    split = "hostl AS (SELECT unnest(string_split(seq, '')) AS c0, generate_subscripts(string_split(seq, ''), 1) AS i FROM host)"
-    ahead = ", ".join(f"lead(c0, {x}) OVER (ORDER BY i) AS c{x}" for x in range(1, 6))
-    letters_ = f"{split}, hostc AS MATERIALIZED (SELECT i, c0, {ahead} FROM hostl)"
-    return f"{HOST}, {whole}, {letters_}, {rho('host_rho', 'hostw', host_grams(1), host_grams(2))}, {rscu('host_rscu', 'hostw', host_grams(3, 3))}, host_pairs AS MATERIALIZED {host_grams(6, 3)}, host_size AS (SELECT sum(n) AS size FROM host_pairs)"
+    split = "hostl AS (SELECT contig_id, unnest(string_split(seq, '')) AS c0, generate_subscripts(string_split(seq, ''), 1) AS i FROM host)"
+    ahead = ", ".join(f"lead(c0, {x}) OVER (PARTITION BY contig_id ORDER BY i) AS c{x}" for x in range(1, 6))
+    letters_ = f"{split}, hostc AS MATERIALIZED (SELECT contig_id, i, c0, {ahead} FROM hostl)"
+    return f"{host}, {whole}, {letters_}, {rho('host_rho', 'hostw', host_grams(1), host_grams(2))}, {rscu('host_rscu', 'hostw', host_grams(3, 3))}, host_pairs AS MATERIALIZED {host_grams(6, 3)}, host_size AS (SELECT contig_id, sum(n) AS size FROM host_pairs GROUP BY contig_id)"
 
 
 def signals(name: str, of: str) -> str:
@@ -106,12 +107,12 @@ def signals(name: str, of: str) -> str:
     return f"""
 {entropies(p + 'h3', 3, of=of)}, {entropies(p + 'k1', 1, of=of)}, {entropies(p + 'k2', 2, of=of)}, {entropies(p + 'cod', 3, 3, of)}, {entropies(p + 'cp', 6, 3, of)},
 {hurst(p + 'hurst', of)}, {period3(p + 'ac', of)}, {letters(of)}, {rho(p + 'rho', of)}, {rscu(p + 'rscu', of)},
-{p}rhod AS (SELECT w.contig_id, w.window_no, sqrt(sum((w.rho - h.rho) ** 2)) AS d FROM {p}rho w JOIN host_rho h USING (g) GROUP BY w.contig_id, w.window_no),
-{p}rscud AS (SELECT w.contig_id, w.window_no, sqrt(sum((w.rscu - h.rscu) ** 2)) AS d FROM {p}rscu w JOIN host_rscu h USING (g) GROUP BY w.contig_id, w.window_no),
+{p}rhod AS (SELECT w.contig_id, w.window_no, sqrt(sum((w.rho - h.rho) ** 2)) AS d FROM {p}rho w JOIN host_of o USING (contig_id) JOIN host_rho h ON h.g = w.g AND h.contig_id = o.host GROUP BY w.contig_id, w.window_no),
+{p}rscud AS (SELECT w.contig_id, w.window_no, sqrt(sum((w.rscu - h.rscu) ** 2)) AS d FROM {p}rscu w JOIN host_of o USING (contig_id) JOIN host_rscu h ON h.g = w.g AND h.contig_id = o.host GROUP BY w.contig_id, w.window_no),
 {p}pn AS MATERIALIZED {codon_pairs(of)},
 {p}pt AS (SELECT contig_id, window_no, sum(n) AS size FROM {p}pn GROUP BY contig_id, window_no),
-{p}bins AS (SELECT t.contig_id, t.window_no, (coalesce(n.n, 0) / t.size + 1e-10) / (1 + 4096e-10) AS p, (coalesce(h.n, 0) / (SELECT size FROM host_size) + 1e-10) / (1 + 4096e-10) AS q
-  FROM {p}pt t CROSS JOIN (SELECT a.g || b.g AS g FROM spine3 a, spine3 b) s LEFT JOIN {p}pn n ON n.contig_id = t.contig_id AND n.window_no = t.window_no AND n.g = s.g LEFT JOIN host_pairs h ON h.g = s.g),
+{p}bins AS (SELECT t.contig_id, t.window_no, (coalesce(n.n, 0) / t.size + 1e-10) / (1 + 4096e-10) AS p, (coalesce(h.n, 0) / z.size + 1e-10) / (1 + 4096e-10) AS q
+  FROM {p}pt t JOIN host_of o USING (contig_id) JOIN host_size z ON z.contig_id = o.host CROSS JOIN (SELECT a.g || b.g AS g FROM spine3 a, spine3 b) s LEFT JOIN {p}pn n ON n.contig_id = t.contig_id AND n.window_no = t.window_no AND n.g = s.g LEFT JOIN host_pairs h ON h.g = s.g AND h.contig_id = o.host),
 {p}jsd AS (SELECT contig_id, window_no, sum(p * log2(2 * p / (p + q)) + q * log2(2 * q / (p + q))) / 2 AS d FROM {p}bins GROUP BY contig_id, window_no),
 {name} AS MATERIALIZED (SELECT s.contig_id, s.window_no, s.start, s."end", l.c + l.g AS gc, h3.h / 6 AS h3, hu.h AS hurst, ac.h AS ac3, greatest(2 * k1.h - k2.h, 0) AS mi1, abs(l.a - l.t) + abs(l.c - l.g) AS c2,
     rd.d AS rho, j.d AS cpd, cd.d AS rscu_d, greatest(2 * co.h - cp.h, 0) AS codon_mi
@@ -124,13 +125,9 @@ NAMES = ("gc", "h3", "hurst", "ac3", "mi1", "c2", "rho", "cpd", "rscu_d", "codon
 
 
 def baseline() -> str:
-    grid = f"""
-{windows('hwin_all', 'host', W, W)},
-hwin_n AS (SELECT count(*) AS n FROM hwin_all WHERE "end" - start = {W}),
-hwin_i AS (SELECT DISTINCT CASE WHEN i = least(500, n) - 1 THEN n - 1 ELSE CAST(floor(i * ((n - 1) / CAST(greatest(least(500, n) - 1, 1) AS DOUBLE))) AS BIGINT) END AS window_no FROM (SELECT n, unnest(range(0, least(500, n))) AS i FROM hwin_n)),
-hwin AS MATERIALIZED (SELECT * FROM hwin_all WHERE window_no IN (SELECT window_no FROM hwin_i) AND "end" - start = {W})"""
+    """stats: a row a host, over all its whole windows."""
     stats = ", ".join(f"avg({s}) AS {s}_mean, greatest(stddev_pop({s}), 1e-6) AS {s}_std" for s in NAMES)
-    return f"{grid}, {signals('hsig', 'hwin')}, stats AS (SELECT {stats} FROM hsig)"
+    return f"""{windows('hwin_all', 'host', W, W)}, hwin AS MATERIALIZED (SELECT * FROM hwin_all WHERE "end" - start = {W}), {signals('hsig', 'hwin')}, stats AS (SELECT contig_id AS host, {stats} FROM hsig GROUP BY contig_id)"""
 
 
 def scan() -> str:
@@ -140,7 +137,7 @@ def scan() -> str:
     top = "list_sum(list_sort([" + ", ".join(f"r_{s}" for s in FUSED) + "])[1:3])"
     return f"""
 {windows()}, full_wins AS MATERIALIZED (SELECT * FROM wins WHERE "end" - start = {W}), {signals('sig', 'full_wins')},
-z0 AS (SELECT contig_id, window_no, start, "end", {z} FROM sig, stats),
+z0 AS (SELECT contig_id, window_no, start, "end", {z} FROM sig JOIN host_of USING (contig_id) JOIN stats USING (host)),
 z AS MATERIALIZED (SELECT *, coalesce(abs(gc - lag(gc) OVER w) + abs(h3 - lag(h3) OVER w), 0.0) AS gradient FROM z0 WINDOW w AS (PARTITION BY contig_id ORDER BY start)),
 ranked AS (SELECT *, {geo} AS geomean, count(*) OVER (PARTITION BY contig_id) AS nw, {ranks} FROM z),
 fused AS (SELECT *, round(nw * 3.0::DOUBLE / {top}, 9) AS rankfusion FROM ranked),
@@ -167,6 +164,38 @@ beside AS (SELECT *, coalesce(sum((context_class <> 'NORMAL')::INT) OVER (PARTIT
 context AS (SELECT *, CASE WHEN context_class IN ('MOBILE_LIKE', 'STRUCTURAL') THEN 1.0::DOUBLE WHEN l > 0 AND r > 0 THEN 1.0::DOUBLE + 0.04::DOUBLE * (l + r) ELSE 1.0::DOUBLE + 0.02::DOUBLE * (l + r) END AS context_boost FROM beside),
 boosted AS (SELECT *, composite * context_boost AS boosted FROM context)"""
 
+def features(name: str, of: str) -> str:
+    """name: contig_id, window_no, i, value of the 22 features of every segment."""
+    p = f"{name}_"
+    plain = ["coalesce(l.c + l.g, 0)", "coalesce(h3.h, 0) / 6", "coalesce(h4.h, 0) / 8", "hu.h", f"CASE WHEN length(s.seq) <= 2 THEN 0 ELSE greatest(2 * coalesce(k1.h, 0) - coalesce(k2.h, 0), 0) END", "ac.h"]
+    rows = ", ".join(f"{{'i': {i}, 'value': CAST({c} AS DOUBLE)}}" for i, c in enumerate(plain))
+    joins = " ".join(f"LEFT JOIN {p}{x} {x} USING (contig_id, window_no)" for x in ("h3", "h4", "k1", "k2"))
+    return f"""{letters(of)}, {entropies(p + 'h3', 3, of=of)}, {entropies(p + 'h4', 4, of=of)}, {entropies(p + 'k1', 1, of=of)}, {entropies(p + 'k2', 2, of=of)}, {hurst(p + 'hu', of)}, {period3(p + 'ac', of)}, {rho(p + 'rho', of)},
+{name} AS MATERIALIZED (SELECT contig_id, window_no, x.i AS i, x.value AS value FROM (SELECT contig_id, window_no, unnest([{rows}]) AS x FROM {of} s JOIN letters_{of} l USING (contig_id, window_no) {joins} JOIN {p}hu hu USING (contig_id, window_no) JOIN {p}ac ac USING (contig_id, window_no))
+  UNION ALL SELECT contig_id, window_no, 5 + row_number() OVER (PARTITION BY contig_id, window_no ORDER BY g), rho FROM {p}rho)"""
+
+
+def vectors(name: str, of: str) -> str:
+    """name: contig_id, window_no, z of the standardised features."""
+    z = f"SELECT contig_id, window_no, i, coalesce((value - avg(value) OVER (PARTITION BY i)) / nullif(stddev_pop(value) OVER (PARTITION BY i), 0), 0) AS z FROM {of}"
+    return f"{name} AS MATERIALIZED (SELECT contig_id, window_no, list(z ORDER BY i) AS z FROM ({z}) GROUP BY contig_id, window_no)"
+
+
+def linkage(name: str, of: str, k: str, method: str, size: int = 22) -> str:
+    """name: contig_id, window_no, cluster of plain agglomeration of the vectors of a table; labels in the order of the clusters' least vectors."""
+    if method == "ward":
+        centre = ", ".join(f"sum(w * z[{i}]) / sum(w)" for i in range(1, size + 1))
+        cents = f"(SELECT label, sum(w) AS w, [{centre}] AS c FROM {name}_tree GROUP BY label)"
+        best = f"SELECT a.label AS la, b.label AS lb FROM {cents} a JOIN {cents} b ON a.label < b.label ORDER BY 2 * a.w * b.w / (a.w + b.w) * list_distance(a.c, b.c) ** 2, la, lb LIMIT 1"
+    else:
+        best = f"SELECT a.label AS la, b.label AS lb FROM {name}_tree a JOIN {name}_tree b ON a.label < b.label GROUP BY a.label, b.label ORDER BY sum(a.w * b.w * list_distance(a.z, b.z)) / sum(a.w * b.w), la, lb LIMIT 1"
+    return f"""{name}_points AS MATERIALIZED (SELECT row_number() OVER (ORDER BY z) - 1 AS p, CAST(count(*) AS DOUBLE) AS w, z FROM {of} GROUP BY z),
+{name}_tree AS (SELECT 0 AS level, p, w, z, p AS label FROM {name}_points
+  UNION ALL SELECT level + 1, p, w, z, CASE WHEN label = lb THEN la ELSE label END FROM {name}_tree, ({best}) WHERE level < (SELECT count(*) FROM {name}_points) - {k}),
+{name}_last AS (SELECT z, dense_rank() OVER (ORDER BY label) - 1 AS cluster FROM {name}_tree WHERE level = (SELECT max(level) FROM {name}_tree)),
+{name} AS MATERIALIZED (SELECT contig_id, window_no, CAST(cluster AS INT) AS cluster FROM {of} JOIN {name}_last USING (z))"""
+
+
 SCAN = f"WITH RECURSIVE {CONTIGS}, {SPINE2}, {SPINE3}, {profile()}, {baseline()}, {scan()}"
 GENES = f"""{DOCS},
 placed AS (SELECT doc_id, source AS contig_id, length(seq) AS len, sum(length(seq)) OVER (PARTITION BY source ORDER BY doc_id) - length(seq) AS start FROM doc_seq),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandflow.functions.sequence import only_acgt
-from strandflow.operators.pieces import contig_lengths, running_sums, with_starts
+from strandflow.operators.pieces import running_sums, with_starts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,16 +19,20 @@ def document_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source", "lang", only_acgt(F.coalesce("text", F.lit(""))).alias("seq"))
 
 
-def contig_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of the contigs: one contig a source, its documents in the order of doc_id."""
+def contig_pieces(spark: SparkSession, sf_dir: str, *by: str) -> DataFrame:
+    """Pieces of the contigs: one contig a source (or a set of values of the named columns, joined by -), its documents in the order of doc_id."""
     docs = document_sequences(spark, sf_dir)
-    return with_starts(docs.select(F.col("source").alias("contig_id"), F.col("doc_id").alias("ordinal"), "seq"))
+    contig = F.concat_ws("-", *by) if by else F.col("source")
+    return with_starts(docs.select(contig.alias("contig_id"), F.col("doc_id").alias("ordinal"), "seq"))
 
 
-def host_pieces(pieces: DataFrame, name: str = "host") -> DataFrame:
-    """All contigs one after the other, by contig_id, as the pieces of one."""
-    offsets = running_sums(contig_lengths(pieces), [], ["contig_id"], "contig_length").select("contig_id", F.col("before_contig_length").alias("_offset"))
-    return pieces.join(offsets, "contig_id").select(F.lit(name).alias("contig_id"), "ordinal", "seq", (F.col("start") + F.col("_offset")).alias("start"))
+def host_pieces(pieces: DataFrame, name: str = "host", by: str | None = None) -> DataFrame:
+    """All contigs one after the other, by contig_id, as the pieces of one; by: as the pieces of one contig a value of that column, named by it."""
+    keys = [by] if by else []
+    lengths = pieces.groupBy(*keys, "contig_id").agg(F.sum(F.length("seq").cast("bigint")).alias("contig_length"))
+    offsets = running_sums(lengths, keys, ["contig_id"], "contig_length").select("contig_id", F.col("before_contig_length").alias("_offset"))
+    host = F.col(by).cast("string") if by else F.lit(name)
+    return pieces.join(offsets, "contig_id").select(host.alias("contig_id"), "ordinal", "seq", (F.col("start") + F.col("_offset")).alias("start"))
 
 
 def genes(spark: SparkSession, sf_dir: str, least: int = 150) -> DataFrame:
