@@ -1,122 +1,332 @@
-"""Pair merging over symbol sequences: byte-pair steps, batches of disjoint merges, decoding."""
+"""Pair merging over symbol sequences: byte-pair steps, batches of disjoint merges, informative and diverse merges, decoding.
+
+Sequences are packed into blocks of symbol numbers. A pass over the blocks counts all pairs once and then, for a plan of merges that the driver
+expects next, what each of them changes around its places; so a pass that counts 300 x 300 pairs settles several rounds. The driver holds the pair
+counts alone (symbols x symbols at most), takes a planned merge only if the exact counts say that it is the next one, and
+otherwise takes the one that is and makes a new plan. The merges are those of counting everything in every round.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from strandflow.plans.session import stored
+
+#: Symbols of a block, or those of one longer sequence.
+BLOCK = 1 << 18
+#: Numbers of merged symbols begin behind the code points; 0 stands behind each sequence.
+FIRST_MERGED = 0x110000
+#: Merges that blocks are behind before they are written anew.
+BEHIND = 16
+
+
+def packed(sequences: DataFrame, seq: str = "seq") -> DataFrame:
+    """ids (of a block's sequences, ascending) and flat (their symbols, 0 behind each sequence). Null and empty sequences have no symbols."""
+    kind = sequences.schema["seq_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        n = 0
+        for batch in batches:
+            for i, text in zip(batch.column("seq_id").to_pylist(), batch.column("seq").to_pylist(), strict=True):
+                held.append((i, np.frombuffer((text or "").encode("utf-32-le"), np.int32)))
+                n += len(held[-1][1]) + 1
+                if n >= BLOCK:
+                    yield block(held)
+                    held, n = [], 0
+        if held:
+            yield block(held)
+
+    def block(held: list[tuple]) -> pa.RecordBatch:
+        held.sort(key=lambda h: (h[0] is not None, h[0]))
+        flat = np.concatenate([x for h in held for x in (h[1], np.zeros(1, np.int32))])
+        return pa.RecordBatch.from_arrays([pa.array([[h[0] for h in held]]), pa.array([flat.tobytes()], pa.binary())], ["ids", "flat"])
+
+    return sequences.select("seq_id", F.col(seq).alias("seq")).mapInArrow(run, T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("flat", T.BinaryType())]))
+
+
+def places_of(flat: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Where a merge of a and b takes place, from the left: of a run of one symbol every second place."""
+    at = np.flatnonzero((flat[:-1] == a) & (flat[1:] == b))
+    if a == b and len(at):
+        run = np.r_[0, np.flatnonzero(np.diff(at) != 1) + 1]
+        at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0]
+    return at
 
-from strandflow.functions.sequence import steps
-from strandflow.plans.session import settled
 
+def merged(flat: np.ndarray, a: int, b: int, made: int) -> tuple[np.ndarray, np.ndarray]:
+    """flat with the pair merged, and where the new symbols stand."""
+    at = places_of(flat, a, b)
+    if not len(at):
+        return flat, at
+    out = flat.copy()
+    out[at] = made
+    return np.delete(out, at + 1), at - np.arange(len(at))
 
-def symbol_rows(sequences: DataFrame, seq: str = "seq") -> DataFrame:
-    """seq_id, symbols array<string> of single letters."""
-    return sequences.select("seq_id", F.filter(F.split(seq, ""), lambda c: c != "").alias("symbols"))
 
+def codes_of(flat: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Neighbours at the places as one number, without those of a sequence's end."""
+    a, b = flat[:-1][at].astype(np.int64), flat[1:][at].astype(np.int64)
+    return ((a << 32) | b)[(a > 0) & (b > 0)]
 
-def pair_counts(rows: DataFrame) -> DataFrame:
-    """a, b, n, first: overlapping neighbours, and where each is first met. Partial counts form in each row's task."""
-    s = F.col("symbols")
-    each = rows.select("seq_id", F.posexplode(F.transform(steps(0, F.size(s) - 1), lambda i: F.struct(F.get(s, i).alias("a"), F.get(s, i + 1).alias("b")))).alias("pos", "p"))
-    return each.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("seq_id", "pos")).alias("first"))
 
+def change_of(flat: np.ndarray, a: int, b: int, made: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """flat after the merge, and the pairs whose counts it changes, with by how much: only pairs at its places are looked at."""
+    at = places_of(flat, a, b)
+    new, stands = merged(flat, a, b, made)
+    beside = lambda x, width, n: np.unique(np.clip(np.concatenate([x + w for w in width]), 0, n - 2)) if len(x) else x
+    old_codes = codes_of(flat, beside(at, (-1, 0, 1), len(flat)))
+    new_codes = codes_of(new, beside(stands, (-1, 0), len(new)))
+    codes, where = np.unique(np.r_[old_codes, new_codes], return_inverse=True)
+    n = np.bincount(where[len(old_codes) :], minlength=len(codes)) - np.bincount(where[: len(old_codes)], minlength=len(codes))
+    return new, codes[n != 0], n[n != 0]
 
-def replaced(rows: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """rows with the pairs, one after the other, merged from the left wherever they stand."""
 
-    def merged(symbols: list[str], a: str, b: str) -> list[str]:
-        out: list[str] = []
-        joined = False  # a piece that was just made takes part in no further merge of the same pair
-        for x in symbols:
-            if x == b and out and out[-1] == a and not joined:
-                out[-1], joined = a + b, True
-            else:
-                out.append(x)
-                joined = False
-        return out
+class Counts:
+    """Pairs (their numbers joined) and how often each is met; for those of a pass the row of its first places too."""
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray):
+        order = np.argsort(codes)
+        self.codes, self.n = codes[order], n[order].astype(np.float64)
+
+    def changed(self, codes: np.ndarray, n: np.ndarray) -> Counts:
+        every, at = np.unique(np.r_[self.codes, codes], return_inverse=True)
+        return Counts(every, np.maximum(np.bincount(at, np.r_[self.n, n], len(every)), 0.0))
+
+    def of(self, code: int) -> int:
+        at = np.searchsorted(self.codes, code)
+        return int(self.n[at]) if at < len(self.codes) and self.codes[at] == code else 0
+
+    def expected(self, code: int, made: int) -> Counts:
+        """The counts after a merge as they would be if what stands before and behind a pair were independent: only guides the plan."""
+        a, b, n = code >> 32, code & LOW, max(self.of(code), 1)
+        left, right = self.codes >> 32, self.codes & LOW
+        codes, changes = [np.array([code])], [np.array([-float(n)])]
+        for side, make in ((right == a, lambda c: (c >> 32 << 32) | made), (left == b, lambda c: (made << 32) | (c & LOW))):
+            moved = n * self.n[side] / max(self.n[side].sum(), float(n))
+            codes += [self.codes[side], make(self.codes[side])]
+            changes += [-moved, moved]
+        return self.changed(np.concatenate(codes), np.concatenate(changes))
+
+    def best(self, score: Score) -> np.ndarray:
+        """The pairs of the largest score, if that is over 0."""
+        if not len(self.codes):
+            return self.codes
+        values = score(self.codes >> 32, self.codes & LOW, self.n)
+        return self.codes[values == values.max()] if values.max() > 0 else self.codes[:0]
+
+
+def pass_over(blocks: DataFrame, pending: list[tuple[int, int, int]], plan: list[tuple[int, int, int]], sizes: dict[int, int]) -> tuple[Counts, dict, list[tuple]]:
+    """Counts and first places (sequence, letter) of all pairs after the pending merges, and the changes of counts by each merge of the plan after these."""
+    kind = blocks.schema["ids"].dataType.elementType
+    shape = T.StructType([T.StructField("step", T.IntegerType()), T.StructField("pair", T.LongType()), T.StructField("n", T.LongType()), T.StructField("seq_id", kind), T.StructField("pos", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = batch.column("symbols").to_pylist()
-            for a, b in merges:
-                made = [merged(x, a, b) if a in x else x for x in made]
-            yield pa.RecordBatch.from_arrays([batch.column("seq_id"), pa.array(made, pa.list_(pa.string()))], ["seq_id", "symbols"])
+            for ids, raw in zip(batch.column("ids"), batch.column("flat"), strict=True):
+                flat = np.frombuffer(raw.as_buffer(), np.int32)
+                for m in pending:
+                    flat, _ = merged(flat, *m)
+                a, b = flat[:-1].astype(np.int64), flat[1:].astype(np.int64)
+                starts = np.flatnonzero((a > 0) & (b > 0))
+                codes, at, n = np.unique((a[starts] << 32) | b[starts], return_index=True, return_counts=True)
+                spot = starts[at]
+                which, size = np.unique(flat, return_inverse=True)
+                letters = np.r_[0, np.cumsum(np.array([0 if x == 0 else sizes.get(x, 1) for x in which.tolist()])[size])]
+                ends = np.flatnonzero(flat == 0)
+                of = np.searchsorted(ends, spot)
+                begin = np.r_[0, ends + 1][of]
+                rows = [(np.zeros(len(codes), np.int32), codes, n, ids.values.take(pa.array(of)), pa.array(letters[spot] - letters[begin]))]
+                for step, m in enumerate(plan, 1):
+                    flat, codes, n = change_of(flat, *m)
+                    rows.append((np.full(len(codes), step, np.int32), codes, n, pa.nulls(len(codes), ids.values.type), pa.nulls(len(codes), pa.int64())))
+                for row in rows:
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in row], shape.names)
+
+    first = F.min(F.when(F.col("pos").isNotNull(), F.struct("seq_id", "pos")))
+    found = blocks.mapInArrow(run, shape).groupBy("step", "pair").agg(F.sum("n").alias("n"), first.alias("first")).where("n <> 0").toArrow().combine_chunks()
+    step, pair, n = (found.column(c).to_numpy() for c in ("step", "pair", "n"))
+    base = np.flatnonzero(step == 0)
+    at = dict(zip(pair[base].tolist(), base.tolist(), strict=True))
+    firsts = found.column("first")
+    return Counts(pair[base], n[base]), lambda code: tuple(firsts[at[code]].as_py().values()), [(pair[step == k], n[step == k]) for k in range(1, len(plan) + 1)]
+
 
-    slim = rows.select("seq_id", "symbols")
-    return slim.mapInArrow(run, slim.schema)
+Score = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+LOW = 0xFFFFFFFF
 
 
-def disjoint(found: Iterable, most: int) -> list:
+def disjoint(ordered: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
     """The first pairs, in their order, of which no two share a symbol."""
-    used: set[str] = set()
+    used: set[int] = set()
     out = []
-    for r in found:
-        if not {r["a"], r["b"]} & used:
-            used |= {r["a"], r["b"]}
-            out.append(r)
+    for pair in ordered:
+        if not set(pair) & used:
+            used |= set(pair)
+            out.append(pair)
             if len(out) == most:
                 break
     return out
 
 
-def byte_pair_merges(rows: DataFrame, rounds: int = 300, least: int = 5, width: int = 1) -> tuple[DataFrame, list[dict]]:
-    """The rows after up to rounds rounds, and the merges (step, level, a, b, n).
+class Merging:
+    """The state of a run: blocks, the merges that they are behind, and the names of symbols."""
+
+    def __init__(self, sequences: DataFrame, ahead: int):
+        self.blocks, self.ahead = stored(packed(sequences)), ahead
+        self.pending: list[tuple[int, int, int]] = []
+        self.history: list[dict] = []
+        self.names: dict[int, str] = {}
+        self.made = FIRST_MERGED
+
+    def name(self, symbol: int) -> str:
+        return self.names[symbol] if symbol >= FIRST_MERGED else chr(symbol)
 
-    A round merges the most frequent pair, ties by the first place, while it is met at least `least` times; width over 1
-    merges that many pairs of disjoint symbols a round, counted once. The driver takes the sorted pairs as a stream, a partition at a
-    time, until it has the round's. A checkpoint every 10 rounds cuts the lineage.
+    def take(self, code: int, n: int, level: int) -> tuple[int, int, int]:
+        a, b = code >> 32, code & LOW
+        self.names[self.made] = self.name(a) + self.name(b)
+        self.history.append({"step": len(self.history), "level": level, "a": self.name(a), "b": self.name(b), "n": int(n)})
+        merge = (a, b, self.made)
+        self.pending.append(merge)
+        self.made += 1
+        return merge
+
+    def caught_up(self) -> None:
+        """Write the blocks with the pending merges done."""
+        pending = list(self.pending)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for raw in batch.column("flat"):
+                    flat = np.frombuffer(raw.as_buffer(), np.int32)
+                    for m in pending:
+                        flat, _ = merged(flat, *m)
+                    out.append(flat.tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("ids"), pa.array(out, pa.binary())], ["ids", "flat"])
+
+        self.blocks, self.pending = stored(self.blocks.mapInArrow(run, self.blocks.schema)), []
+
+    def counted(self, plan: list[tuple[int, int, int]]) -> tuple:
+        if len(self.pending) >= BEHIND:
+            self.caught_up()
+        return pass_over(self.blocks, self.pending, plan, {s: len(n) for s, n in self.names.items()})
+
+    def run(self, rounds: int, score: Callable[[Merging], Score]) -> None:
+        guess = Counts(np.zeros(0, np.int64), np.zeros(0))
+        while len(self.history) < rounds:
+            plan, made = [], self.made
+            for _ in range(min(self.ahead, rounds - len(self.history))):
+                top = guess.best(score(self)).tolist()
+                if not top:
+                    break
+                plan.append((top[0] >> 32, top[0] & LOW, made))
+                guess = guess.expected(top[0], made)
+                made += 1
+            counts, first_of, changes = self.counted(plan)
+            touched: set = set()
+            for k in range(len(plan) + 1):
+                tied = counts.best(score(self)).tolist()
+                if len(self.history) == rounds or not tied:
+                    return
+                if len(tied) > 1 and touched & set(tied):
+                    break  # their first places are to be found anew
+                code = tied[0] if len(tied) == 1 else min(tied, key=first_of)
+                merge = self.take(code, counts.of(code), len(self.history))
+                if k == len(plan) or plan[k] != merge:
+                    counts = counts.expected(code, merge[2])
+                    break
+                counts = counts.changed(*changes[k])
+                touched |= set(changes[k][0].tolist())
+            guess = counts
+
+    def run_levels(self, rounds: int, score: Callable[[Merging], Score], width: int) -> None:
+        for level in range(rounds):
+            counts, first_of, _ = self.counted([])
+            values = score(self)(counts.codes >> 32, counts.codes & LOW, counts.n) if len(counts.codes) else counts.n
+            ordered = sorted(((-v, first_of(c), c) for v, c in zip(values.tolist(), counts.codes.tolist(), strict=True) if v > 0), key=lambda x: x[:2])
+            chosen = disjoint([(c >> 32, c & LOW) for _, _, c in ordered], width)
+            if not chosen:
+                return
+            for a, b in chosen:
+                self.take(a << 32 | b, counts.of(a << 32 | b), level)
+
+    def rows(self) -> DataFrame:
+        """seq_id, symbols of every sequence after the merges."""
+        pending, names = list(self.pending), dict(self.names)
+        kind = self.blocks.schema["ids"].dataType.elementType
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for ids, raw in zip(batch.column("ids"), batch.column("flat"), strict=True):
+                    flat = np.frombuffer(raw.as_buffer(), np.int32)
+                    for m in pending:
+                        flat, _ = merged(flat, *m)
+                    ends = np.flatnonzero(flat == 0)
+                    which, at = np.unique(flat[flat > 0], return_inverse=True)
+                    words = pa.array([names[x] if x >= FIRST_MERGED else chr(x) for x in which.tolist()], pa.string()).take(pa.array(at))
+                    offsets = np.r_[0, ends - np.arange(len(ends))].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([ids.values, pa.ListArray.from_arrays(pa.array(offsets), words)], ["seq_id", "symbols"])
+
+        return self.blocks.mapInArrow(run, T.StructType([T.StructField("seq_id", kind), T.StructField("symbols", T.ArrayType(T.StringType()))]))
+
+
+def byte_pair_merges(sequences: DataFrame, rounds: int = 300, least: int = 5, width: int = 1, ahead: int = 16) -> tuple[DataFrame, list[dict]]:
+    """The sequences (seq_id, seq) as rows (seq_id, symbols) after up to rounds rounds, and the merges (step, level, a, b, n).
+
+    A round merges the most frequent pair of neighbours (overlapping ones count), ties by the least seq_id and place, while it is met at least
+    `least` times; width over 1 merges that many pairs of disjoint symbols a round, counted once. ahead: merges a pass tries to
+    foresee; it changes no result. Null and empty sequences have no symbols; an empty table gives no rows and no merges.
     """
-    history: list[dict] = []
-    for level in range(rounds):
-        best = pair_counts(rows).where(F.col("n") >= least).orderBy(F.desc("n"), "first")
-        chosen = best.limit(1).collect() if width == 1 else disjoint(best.toLocalIterator(), width)
-        if not chosen:
-            break
-        history += [{"step": len(history) + i, "level": level, "a": r["a"], "b": r["b"], "n": r["n"]} for i, r in enumerate(chosen)]
-        rows = replaced(rows, [(r["a"], r["b"]) for r in chosen])
-        if level % 10 == 9:
-            rows = settled(rows)
-    return rows, history
-
-
-def informative_merges(rows: DataFrame, rounds: int = 300, least: int = 5) -> tuple[DataFrame, list[dict]]:
+    state = Merging(sequences, ahead)
+    frequent = lambda _: lambda a, b, n: np.where(n >= least, n, 0.0)
+    state.run(rounds, frequent) if width == 1 else state.run_levels(rounds, frequent, width)
+    return state.rows(), state.history
+
+
+def informative_merges(sequences: DataFrame, rounds: int = 300, least: int = 5, ahead: int = 16) -> tuple[DataFrame, list[dict]]:
     """As byte_pair_merges, by positive pointwise information times log2(1 + n) instead of the count; ends when no pair has any."""
-    history: list[dict] = []
-    for level in range(rounds):
-        pairs = settled(pair_counts(rows))
-        whole = pairs.agg(F.sum("n").alias("_all"))
-        left, right = (pairs.groupBy(c).agg(F.sum("n").alias(f"_n{c}")) for c in "ab")
-        pmi = F.log2(F.col("n") * F.col("_all") / (F.col("_na") * F.col("_nb").cast("double")))
-        scored = pairs.where(F.col("n") >= least).join(left, "a").join(right, "b").crossJoin(F.broadcast(whole)).withColumn("score", F.round(F.greatest(pmi, F.lit(0.0)) * F.log2(F.col("n") + 1.0), 9))
-        best = scored.where("score > 0").orderBy(F.desc("score"), "first").limit(1).collect()
-        if not best:
-            break
-        history.append({"step": level, "level": level, "a": best[0]["a"], "b": best[0]["b"], "n": best[0]["n"]})
-        rows = replaced(rows, [(best[0]["a"], best[0]["b"])])
-        if level % 10 == 9:
-            rows = settled(rows)
-    return rows, history
-
-
-def diverse_merges(rows: DataFrame, rounds: int = 300, least: int = 5, most: int = 50) -> tuple[DataFrame, list[dict]]:
+
+    def score(_: Merging) -> Score:
+        def value(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+            sums = [np.bincount(at, n)[at] for at in (np.unique(side, return_inverse=True)[1] for side in (a, b))]
+            beside = sums[0] * sums[1]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                found = np.round(np.maximum(np.log2(n * n.sum() / beside), 0) * np.log2(n + 1), 9)
+            return np.where(n >= least, found, 0.0)
+
+        return value
+
+    state = Merging(sequences, ahead)
+    state.run(rounds, score)
+    return state.rows(), state.history
+
+
+def diverse_merges(sequences: DataFrame, rounds: int = 300, least: int = 5, most: int = 50, ahead: int = 16) -> tuple[DataFrame, list[dict]]:
     """As byte_pair_merges, with at most `most` merges whose piece begins with the same letter."""
-    history: list[dict] = []
-    begun: dict[str, int] = {}
-    for level in range(rounds):
-        full = [x for x, n in begun.items() if n >= most]
-        best = pair_counts(rows).where((F.col("n") >= least) & ~F.substring("a", 1, 1).isin(full)).orderBy(F.desc("n"), "first").limit(1).collect()
-        if not best:
-            break
-        a, b = best[0]["a"], best[0]["b"]
-        begun[a[0]] = begun.get(a[0], 0) + 1
-        history.append({"step": level, "level": level, "a": a, "b": b, "n": best[0]["n"]})
-        rows = replaced(rows, [(a, b)])
-        if level % 10 == 9:
-            rows = settled(rows)
-    return rows, history
+
+    def score(state: Merging) -> Score:
+        begun: dict[str, int] = defaultdict(int)
+        for h in state.history:
+            begun[h["a"][0]] += 1
+
+        def value(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+            # a symbol that is only planned has no name yet: any letter will do for a plan
+            kept = np.array([begun[state.names.get(x, " ")[0] if x >= FIRST_MERGED else chr(x)] < most for x in a.tolist()], bool)
+            return np.where((n >= least) & kept, n, 0.0)
+
+        return value
+
+    state = Merging(sequences, ahead)
+    state.run(rounds, score)
+    return state.rows(), state.history
 
 
 def decoded(rows: DataFrame) -> DataFrame:

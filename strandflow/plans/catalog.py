@@ -606,13 +606,18 @@ def bootstrap_ci(spark, sf_dir):
     SELECT level, doc_id, replace(s, pair, chr((57344 + list_position(more, name))::INT)) AS merged, more FROM (
       SELECT b.*, pair, names[unicode(pair[1]) - 57344] || names[unicode(pair[2]) - 57344] AS name, CASE WHEN list_contains(names, name) THEN names ELSE list_append(names, name) END AS more FROM b, (
         SELECT pair FROM (SELECT doc_id, i, x || y AS pair FROM (SELECT doc_id, unnest(c[:-2]) AS x, unnest(c[2:]) AS y, unnest(range(1, len(c))) AS i FROM (SELECT doc_id, string_split(s, '') AS c FROM b WHERE length(s) >= 2))) GROUP BY pair HAVING count(*) >= 5 ORDER BY count(*) DESC, min(doc_id::HUGEINT * 10000000000 + i) LIMIT 1)
-      WHERE level < 24)))
+      WHERE level < 300)))
 SELECT CAST(length(names[unicode(x) - 57344]) AS INT) AS length, count(*) AS n FROM (SELECT names, unnest(string_split(nullif(s, ''), '')) AS x FROM b WHERE level = (SELECT max(level) FROM b)) GROUP BY 1"""
 )
 def byte_pairs(spark, sf_dir):
-    """Symbols by length after 24 byte-pair merges of the documents' letters."""
-    rows = merge.symbol_rows(D.document_sequences(spark, sf_dir).withColumnRenamed("doc_id", "seq_id"))
-    return merge.lengths(merge.byte_pair_merges(rows, rounds=24)[0])
+    """Symbols by length after 300 byte-pair merges of the documents' letters, or as many as a pair is met 5 times."""
+    return merge.lengths(merge.byte_pair_merges(D.document_sequences(spark, sf_dir).withColumnRenamed("doc_id", "seq_id"))[0])
+
+
+@query()
+def byte_pair_batches(spark, sf_dir):
+    """Symbols by length after 20 rounds of up to 50 merges of pairs of disjoint symbols each, counted once a round."""
+    return merge.lengths(merge.byte_pair_merges(D.document_sequences(spark, sf_dir).withColumnRenamed("doc_id", "seq_id"), rounds=20, width=50)[0])
 
 
 @query(

@@ -161,18 +161,57 @@ def test_planted_kmer_is_associated(spark):
     assert near.jaccard == 1.0
 
 
+def plain_merges(docs, rounds, least, width=1):
+    """Everything counted anew in every round, by loops."""
+    rows, history = {i: list(t) for i, t in docs}, []
+    for level in range(rounds):
+        counts, firsts = {}, {}
+        for i in sorted(rows):
+            for place, pair in enumerate(zip(rows[i], rows[i][1:])):
+                counts[pair] = counts.get(pair, 0) + 1
+                firsts.setdefault(pair, (i, place))
+        used, chosen = set(), []
+        for pair in sorted((p for p in counts if counts[p] >= least), key=lambda p: (-counts[p], firsts[p])):
+            if not used & set(pair) and len(chosen) < width:
+                used |= set(pair)
+                chosen.append(pair)
+        if not chosen:
+            break
+        for a, b in chosen:
+            history.append((level, a, b, counts[a, b]))
+            for i, row in rows.items():
+                out, k = [], 0
+                while k < len(row):
+                    two = row[k : k + 2] == [a, b]
+                    out.append(a + b if two else row[k])
+                    k += 2 if two else 1
+                rows[i] = out
+    return rows, history
+
+
+@pytest.mark.parametrize("width", [1, 3])
+def test_merges_by_plain_loop(spark, monkeypatch, width):
+    rng = random.Random(width)
+    docs = [(i, "".join(rng.choice("AAACGT") if rng.random() < 0.7 else "ACGTTG"[k % 6] for k in range(rng.randrange(0, 90)))) for i in range(60)] + [(100, "A" * 31), (101, ""), (102, "é\U00010000é\U00010000é\U00010000")]
+    monkeypatch.setattr(merge, "BEHIND", 5)
+    df = spark.createDataFrame([*docs, (103, None)], "seq_id bigint, seq string").repartition(5)
+    for least, ahead in ((2, 16), (3, 0)):
+        rows, history = plain_merges([*docs, (103, "")], 40, least, width)
+        out, found = merge.byte_pair_merges(df, rounds=40, least=least, width=width, ahead=ahead)
+        assert [(h["level"], h["a"], h["b"], h["n"]) for h in found] == history
+        assert {r.seq_id: r.symbols for r in out.collect()} == rows
+
+
 def test_merging_round_trip(spark):
-    rows = merge.symbol_rows(spark.createDataFrame([(1, "AAAA"), (2, "ACACACGT"), (3, ""), (4, "AAAAA")], "seq_id bigint, seq string"))
-    once = {r.seq_id: r.symbols for r in merge.replaced(rows, [("A", "A")]).collect()}
-    assert once[1] == ["AA", "AA"] and once[4] == ["AA", "AA", "A"] and once[3] == []
-    out, history = merge.byte_pair_merges(rows, rounds=12, least=2)
-    assert history[0]["a"] + history[0]["b"] == "AA"
-    assert {r.seq_id: r.seq for r in merge.decoded(out).collect()} == {1: "AAAA", 2: "ACACACGT", 3: "", 4: "AAAAA"}
-    assert merge.disjoint([{"a": "A", "b": "C"}, {"a": "C", "b": "G"}, {"a": "G", "b": "T"}], 3) == [{"a": "A", "b": "C"}, {"a": "G", "b": "T"}]
-    for grow in (merge.informative_merges, merge.diverse_merges):
+    texts = {1: "AAAA", 2: "ACACACGT", 3: "", 4: "AAAAA"}
+    rows = spark.createDataFrame(list(texts.items()), "seq_id bigint, seq string")
+    assert merge.disjoint([("A", "C"), ("C", "G"), ("G", "T")], 3) == [("A", "C"), ("G", "T")]
+    for grow in (merge.byte_pair_merges, merge.informative_merges, merge.diverse_merges):
         out, history = grow(rows, rounds=6, least=2)
-        assert {r.seq_id: r.seq for r in merge.decoded(out).collect()} == {1: "AAAA", 2: "ACACACGT", 3: "", 4: "AAAAA"} and history
+        assert {r.seq_id: r.seq for r in merge.decoded(out).collect()} == texts and history
     assert [h["a"][0] for h in merge.diverse_merges(rows, rounds=6, least=1, most=1)[1]].count("A") == 1
+    out, history = merge.byte_pair_merges(rows.limit(0))
+    assert out.collect() == [] and history == []
 
 
 def test_sequence_files_in_ranges(spark, tmp_path):
