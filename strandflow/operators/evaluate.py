@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandflow.operators.pieces import running_sums
+from strandflow.operators.pieces import running_sums, with_next
 from strandflow.plans.session import settled
 
 
@@ -66,16 +66,18 @@ def rank_test(rows: DataFrame, keys: list[str], value: str, first: str) -> DataF
     return s.select(*keys, u.alias("u"), ((u - F.col("a") * F.col("b") / 2) / F.nullif(spread, F.lit(0.0))).alias("z"))
 
 
-def agreement(rows: DataFrame, truth: str, found: str) -> DataFrame:
-    """One row: n, ari, nmi (arithmetic mean), purity of two labelings."""
-    cells = rows.groupBy(F.col(truth).alias("t"), F.col(found).alias("f")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+def agreement(rows: DataFrame, truth: str, found: str, keys: list[str] | None = None, count: str | None = None) -> DataFrame:
+    """keys, n, ari, nmi (arithmetic mean), purity of two labelings; count: how many each row stands for. Without keys one row."""
+    keys = keys or []
+    size = F.sum(count) if count else F.count(F.lit(1))
+    cells = rows.groupBy(*keys, F.col(truth).alias("t"), F.col(found).alias("f")).agg(size.cast("double").alias("c"))
     # one row a pair of labels from here on
-    cells = cells.withColumns({"a": F.sum("c").over(Window.partitionBy("t")), "b": F.sum("c").over(Window.partitionBy("f")), "n": F.sum("c").over(Window.partitionBy(F.lit(0)))})
+    cells = cells.withColumns({"a": F.sum("c").over(Window.partitionBy(*keys, "t")), "b": F.sum("c").over(Window.partitionBy(*keys, "f")), "n": F.sum("c").over(Window.partitionBy(*keys or [F.lit(0)]))})
     two = lambda x: x * (x - 1) / 2
     c, a, b, n = (F.col(x) for x in "cabn")
-    top = F.row_number().over(Window.partitionBy("f").orderBy(F.desc("c"), "t"))
+    top = F.row_number().over(Window.partitionBy(*keys, "f").orderBy(F.desc("c"), "t"))
     cells = cells.withColumn("top", top)
-    s = cells.agg(
+    s = cells.groupBy(*keys).agg(
         F.max("n").alias("n"),
         F.sum(two(c)).alias("cc"),
         F.sum(two(a) * c / a).alias("aa"),
@@ -90,16 +92,18 @@ def agreement(rows: DataFrame, truth: str, found: str) -> DataFrame:
     ari = F.when(half == expected, 1.0).otherwise((F.col("cc") - expected) / F.nullif(half - expected, F.lit(0.0)))
     mean = (F.col("ha") + F.col("hb")) / 2
     nmi = F.when(mean == 0, 1.0).otherwise(F.col("mi") / F.nullif(mean, F.lit(0.0)))
-    return s.select(F.col("n").cast("bigint").alias("n"), ari.alias("ari"), nmi.alias("nmi"), (F.col("best") / F.col("n")).alias("purity"))
+    return s.select(*keys, F.col("n").cast("bigint").alias("n"), ari.alias("ari"), nmi.alias("nmi"), (F.col("best") / F.col("n")).alias("purity"))
 
 
 def otsu(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, threshold, between: midpoint of the sorted values at the largest between-class variance, the first of equal ones.
-    Fewer than 2 values: (0, 0); all equal: (the value, 0)."""
+    Fewer than 2 values: (0, 0); all equal: (the value, 0). Values are ordered by ranges, so no key is one task."""
     levels = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-    w = Window.partitionBy(*keys).orderBy("v")
-    everything = Window.partitionBy(*keys)
-    levels = levels.withColumns({"n0": F.sum("c").over(w), "s0": F.sum(F.col("c") * F.col("v")).over(w), "n": F.sum("c").over(everything), "s": F.sum(F.col("c") * F.col("v")).over(everything), "after": F.lead("v").over(w)})
+    levels = levels.withColumns({"m": F.col("c") * F.col("v"), "x": F.col("v")})
+    levels = with_next(running_sums(levels, keys, ["v"], "c", "m"), keys, ["v"], "x", "after")
+    whole = levels.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.sum("c").alias("n"), F.sum("m").alias("s"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    levels = (levels.join(whole, same) if keys else levels.crossJoin(F.broadcast(whole))).withColumns({"n0": F.col("before_c") + F.col("c"), "s0": F.col("before_m") + F.col("m")})
     n1 = F.col("n") - F.col("n0")
     apart = F.col("s0") / F.col("n0") - (F.col("s") - F.col("s0")) / F.nullif(n1, F.lit(0.0))
     variance = F.when(F.col("after").isNull(), 0.0).otherwise(F.round(F.col("n0") * n1 / (F.col("n") * F.col("n")) * apart * apart, 9))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions import sequence as S
-from strandflow.operators import cluster, cohort, evaluate, fusion, merge, pieces, resonance, scan
+from strandflow.operators import cluster, cohort, evaluate, fusion, lloyd, merge, pieces, resonance, scan
 from strandflow.operators.measures import measured
 from strandflow.plans import oracle as O
 from strandflow.plans.session import settled
@@ -410,11 +410,52 @@ def fragment_z(spark, sf_dir):
     return cluster.standardised(cluster.features(fragments5000(spark, sf_dir)))
 
 
-@query()
+def fragment_confusions(spark, sf_dir, models: list[lloyd.Model], starts: int) -> DataFrame:
+    return lloyd.confusions(settled(fragment_z(spark, sf_dir)), models, starts, 10, F.concat_ws(":", "contig_id", "window_no"), "contig_id")
+
+
+@query(
+    f"""{FRAGMENT_Z}, {O.k_means("SELECT 'all' AS model, 4 AS k, NULL::INT AS without, NULL::VARCHAR AS x, NULL::VARCHAR AS y", 20, 10)},
+nmi AS (SELECT sum(n / s * ln(n * s / (a * b))) AS mi, sum(-n / s * ln(a / s)) AS ha, sum(-n / s * ln(b / s)) AS hb FROM (SELECT n, sum(n) OVER () AS s, sum(n) OVER (PARTITION BY label) AS a, sum(n) OVER (PARTITION BY cluster) AS b FROM confusion))
+SELECT CAST(n AS BIGINT) AS n, round(ari, 6) AS ari, round(mi / ((ha + hb) / 2), 6) AS nmi, round((SELECT sum(m) FROM (SELECT max(n) AS m FROM confusion GROUP BY cluster)) / n, 6) AS purity FROM agreed, nmi"""
+)
 def kmeans_fragments(spark, sf_dir):
-    """Agreement of k-means clusters of the fragments with their contigs."""
-    found = cluster.k_means(fragment_z(spark, sf_dir), 4, runs=20)
-    return evaluate.agreement(found, "contig_id", "cluster")
+    """Agreement of k-means clusters of the fragments (the best of 20 starts) with their contigs."""
+    found = evaluate.agreement(fragment_confusions(spark, sf_dir, [lloyd.Model("all", 4)], 20), "label", "cluster", count="n")
+    return found.select("n", r6("ari").alias("ari"), r6("nmi").alias("nmi"), r6("purity").alias("purity"))
+
+
+WITHOUT = ", ".join(f"{{'f': '{x}', 'i': {i}}}" for i, x in enumerate(cluster.FEATURES, 1))
+
+
+@query(
+    f"""{FRAGMENT_Z}, {O.k_means(f"SELECT m.f AS model, (SELECT count(DISTINCT contig_id) FROM v) AS k, m.i AS without, NULL::VARCHAR AS x, NULL::VARCHAR AS y FROM (SELECT unnest([{{'f': 'all', 'i': NULL}}, {WITHOUT}]) AS m)", 10, 10)}
+SELECT model AS feature, round(ari, 6) AS ari, round((SELECT ari FROM agreed WHERE model = 'all') - ari, 6) AS ari_drop FROM agreed"""
+)
+def leave_one_feature_out(spark, sf_dir):
+    """ARI of k-means (as many clusters as contigs, the best of 10 starts) with their contigs without each feature, and what is lost against all features."""
+    rows = fragment_z(spark, sf_dir)
+    k = rows.select("contig_id").distinct().count()
+    models = [lloyd.Model("all", k), *(lloyd.Model(x, k, without=i) for i, x in enumerate(cluster.FEATURES))]
+    found = settled(evaluate.agreement(fragment_confusions(spark, sf_dir, models, 10), "label", "cluster", ["model"], "n").select("model", "ari"))
+    whole = found.where("model = 'all'").select(F.col("ari").alias("_all"))  # one row
+    return found.crossJoin(F.broadcast(whole)).select(F.col("model").alias("feature"), r6("ari").alias("ari"), r6(F.col("_all") - F.col("ari")).alias("ari_drop"))
+
+
+PAIRS = "SELECT a.contig_id || ' ' || b.contig_id AS model, 2 AS k, NULL::INT AS without, a.contig_id AS x, b.contig_id AS y FROM sizes a JOIN sizes b ON a.contig_id < b.contig_id AND a.n + b.n >= 10"
+
+
+@query(
+    f"""{FRAGMENT_Z}, sizes AS (SELECT contig_id, count(*) AS n FROM v GROUP BY contig_id), {O.k_means(PAIRS, 10, 10)}
+SELECT split_part(model, ' ', 1) AS a, split_part(model, ' ', 2) AS b, round(ari, 6) AS ari, ari < 0.5 AS hard FROM agreed"""
+)
+def pairwise_separability(spark, sf_dir):
+    """ARI of two clusters (the best of 10 starts) of the fragments of each two contigs that have 10 or more; hard: under 0.5."""
+    sizes = fragment_z(spark, sf_dir).groupBy("contig_id").agg(F.count(F.lit(1)).alias("n")).orderBy("contig_id").collect()  # a row a source
+    models = [lloyd.Model(f"{a.contig_id} {b.contig_id}", 2, labels=(a.contig_id, b.contig_id)) for i, a in enumerate(sizes) for b in sizes[i + 1 :] if a.n + b.n >= 10]
+    found = evaluate.agreement(fragment_confusions(spark, sf_dir, models, 10), "label", "cluster", ["model"], "n")
+    of = lambda i: F.split("model", " ")[i]
+    return found.select(of(0).alias("a"), of(1).alias("b"), r6("ari").alias("ari"), (F.col("ari") < 0.5).alias("hard"))
 
 
 @query(f"{FRAGMENT_Z}, {O.linkage('w', 'v', '4', 'ward')} SELECT contig_id, window_no, cluster FROM w")

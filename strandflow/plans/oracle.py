@@ -196,6 +196,25 @@ def linkage(name: str, of: str, k: str, method: str, size: int = 22) -> str:
 {name} AS MATERIALIZED (SELECT contig_id, window_no, CAST(cluster AS INT) AS cluster FROM {of} JOIN {name}_last USING (z))"""
 
 
+def k_means(models: str, starts: int, rounds: int, of: str = "v", size: int = 22) -> str:
+    """agreed and confusion (model, label, cluster, n) of plain k-means. models: SQL of model, k, without (a feature's number from 1 or null), x, y (labels or null) rows."""
+    mean = ", ".join(f"avg(z[{i}])" for i in range(1, size + 1))
+    given = """
+given{r} AS MATERIALIZED (SELECT d.model, d.start, d.label, d.rid, min(struct_pack(d := list_distance(d.z, c.z) ** 2, c := c.c)) AS best FROM data d JOIN cents{r} c USING (model, start) GROUP BY d.model, d.start, d.label, d.rid),"""
+    moved = """
+cents{r} AS MATERIALIZED (SELECT o.model, o.start, o.c, coalesce(m.z, o.z) AS z FROM cents{p} o LEFT JOIN (SELECT model, start, best.c AS c, [{mean}] AS z FROM given{p} JOIN data USING (model, start, label, rid) GROUP BY model, start, best.c) m USING (model, start, c)),"""
+    steps = given.format(r=0) + "".join(moved.format(r=r, p=r - 1, mean=mean) + given.format(r=r) for r in range(1, rounds + 1))
+    return f"""models AS ({models}),
+data AS MATERIALIZED (SELECT model, start, k, contig_id AS label, contig_id || ':' || window_no AS rid, CASE WHEN without IS NULL THEN z ELSE list_transform(range(1, {size + 1}), lambda i: CASE WHEN i = without THEN 0.0::DOUBLE ELSE z[i] END) END AS z
+  FROM {of}, models, (SELECT unnest(range(0, {starts})) AS start) WHERE x IS NULL OR contig_id IN (x, y)),
+cents0 AS MATERIALIZED (SELECT model, start, c, z FROM (SELECT model, start, k, row_number() OVER (PARTITION BY model, start ORDER BY md5(start || ':' || rid)) - 1 AS c, z FROM data) WHERE c < k),{steps}
+chosen AS (SELECT model, arg_min(start, (cost, start)) AS start FROM (SELECT model, start, round(sum(best.d), 6) AS cost FROM given{rounds} GROUP BY ALL) GROUP BY model),
+confusion AS MATERIALIZED (SELECT model, label, best.c AS cluster, CAST(count(*) AS DOUBLE) AS n FROM given{rounds} JOIN chosen USING (model, start) GROUP BY ALL),
+agreed AS (SELECT model, n_all AS n, (cc - aa * bb / (n_all * (n_all - 1) / 2)) / nullif((aa + bb) / 2 - aa * bb / (n_all * (n_all - 1) / 2), 0) AS ari FROM (SELECT model, sum(n) AS n_all, sum(n * (n - 1) / 2) AS cc FROM confusion GROUP BY model)
+  JOIN (SELECT model, sum(a * (a - 1) / 2) AS aa FROM (SELECT model, label, sum(n) AS a FROM confusion GROUP BY ALL) GROUP BY model) USING (model)
+  JOIN (SELECT model, sum(b * (b - 1) / 2) AS bb FROM (SELECT model, cluster, sum(n) AS b FROM confusion GROUP BY ALL) GROUP BY model) USING (model))"""
+
+
 SCAN = f"WITH RECURSIVE {CONTIGS}, {SPINE2}, {SPINE3}, {profile()}, {baseline()}, {scan()}"
 GENES = f"""{DOCS},
 placed AS (SELECT doc_id, source AS contig_id, length(seq) AS len, sum(length(seq)) OVER (PARTITION BY source ORDER BY doc_id) - length(seq) AS start FROM doc_seq),
