@@ -224,6 +224,9 @@ GENE_SCORES = f"""{GENES}, contigs AS (SELECT source AS contig_id, string_agg(se
 gcs AS (SELECT w.contig_id, w.start, w."end", l.c + l.g AS gc FROM wins w JOIN letters_wins l USING (contig_id, window_no)),
 dev AS (SELECT contig_id, start, "end", round(abs(gc - avg(gc) OVER (PARTITION BY contig_id)), 9) AS dev FROM gcs),
 gene_scores AS (SELECT g.contig_id, g.gene_id, g.start, g."end", g.is_pos, coalesce(max(d.dev), 0.0) AS score FROM genes g LEFT JOIN dev d ON d.contig_id = g.contig_id AND d."end" > g.start AND d.start < g."end" GROUP BY ALL)"""
+#: The same by the scan's composite, over all scored windows.
+COMPOSITE_SCORES = f"""{SCAN.removeprefix("WITH ")}, {GENES.removeprefix(DOCS + ",").lstrip()},
+gene_scores AS (SELECT g.contig_id, g.gene_id, g.start, g."end", g.is_pos, coalesce(max(round(d.composite, 9)), 0.0) AS score FROM genes g LEFT JOIN scored d ON d.contig_id = g.contig_id AND d."end" > g.start AND d.start < g."end" GROUP BY ALL)"""
 
 K = 5
 

@@ -488,3 +488,51 @@ def anchored_contrast(spark, sf_dir):
 def length_histogram(spark, sf_dir):
     """Documents by their letters, in steps of 100 up to 2,000."""
     return D.document_sequences(spark, sf_dir).groupBy((F.least(F.floor(F.length("seq") / 100), F.lit(20)) * 100).cast("int").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def composite_genes(spark, sf_dir) -> DataFrame:
+    """Genes with the largest composite of the scan's windows that overlap them, 0 without one: the benchmark's own score."""
+    windows = scored(spark, sf_dir).select("contig_id", "start", "end", F.round("composite", 9).alias("composite"))
+    hit = pieces.overlaps(D.genes(spark, sf_dir), windows, W, ["contig_id"], "left")
+    return hit.groupBy("contig_id", "gene_id", "start", "end", "is_pos").agg(F.coalesce(F.max("composite"), F.lit(0.0)).alias("score"))
+
+
+def on_composite(name: str):
+    """Register a measure of scored genes over the scan's composite, with the SQL of the query of that name over its scores."""
+
+    def add(measure):
+        def run(spark, sf_dir):
+            return measure(settled(composite_genes(spark, sf_dir)))
+
+        run.__name__ = f"{name}_composite"
+        return query(SQL[name].replace(f"WITH {O.GENE_SCORES}", f"WITH {O.COMPOSITE_SCORES}"))(run)
+
+    return add
+
+
+on_composite("gene_scores")(lambda genes: genes.withColumn("score", r6("score")))
+on_composite("auc_pooled")(lambda genes: evaluate.auc(genes, [], "score", "is_pos").withColumn("auc", r6("auc")))
+on_composite("auc_per_contig")(lambda genes: evaluate.auc(genes, ["contig_id"], "score", "is_pos").where("n_pos >= 1 and n_neg >= 3").withColumn("auc", r6("auc")))
+on_composite("recall_at_k")(lambda genes: evaluate.recall_at(genes, ["contig_id"], "score", "start", "is_pos").withColumn("recall", r6("recall")))
+on_composite("spearman")(lambda genes: evaluate.spearman(genes.withColumn("len", F.col("end") - F.col("start")), "len", "score").withColumn("rho", r6("rho")))
+on_composite("rank_test")(lambda genes: evaluate.rank_test(genes, ["contig_id"], "score", "is_pos").select("contig_id", r6("u").alias("u"), r6("z").alias("z")))
+
+
+def sketch_sql(genome: str, of: str, k: int, size: int) -> str:
+    """jac: a, b, jaccard of all pairs of genomes by the size least k-mers of each; those without a shared one have no row."""
+    return f"""own AS (SELECT DISTINCT {genome} AS g, kmer FROM {of}), sk AS MATERIALIZED (SELECT g, kmer, r FROM (SELECT g, kmer, row_number() OVER (PARTITION BY g ORDER BY kmer) AS r FROM own) WHERE r <= {size}),
+many AS (SELECT g, count(*) AS n FROM sk GROUP BY g), shared AS (SELECT x.g AS a, y.g AS b, x.kmer, x.r + y.r - row_number() OVER (PARTITION BY x.g, y.g ORDER BY x.kmer) AS place FROM sk x JOIN sk y ON x.kmer = y.kmer AND x.g < y.g),
+jac AS (SELECT a, b, count(*) FILTER (WHERE place <= {size}) / least({size}, max(p.n) + max(q.n) - count(*)) AS jaccard FROM shared JOIN many p ON p.g = a JOIN many q ON q.g = b GROUP BY a, b)"""
+
+
+@query(
+    f"""WITH {K31}, {sketch_sql("genome_id", "gkmers", 31, 3000)}, u AS (SELECT genome_id, lineage FROM isolates),
+near AS (SELECT genome_id, other, jaccard, row_number() OVER (PARTITION BY genome_id ORDER BY round(jaccard, 9) DESC, other) AS place FROM (SELECT a AS genome_id, b AS other, jaccard FROM jac UNION ALL SELECT b, a, jaccard FROM jac))
+SELECT genome_id, CAST(place AS INT) AS place, other, round(1 - jaccard, 6) AS distance FROM near WHERE place <= 5"""
+)
+def nearest_genomes31(spark, sf_dir):
+    """The five nearest genomes of every genome by bottom-3000 sketches of 31-mers, of those that share any (a top-k report)."""
+    found = cohort.sketch_similarity(cohort.sketches(D.isolates(spark, sf_dir), 31, 3000), 3000)
+    both = found.select(F.col("a").alias("genome_id"), F.col("b").alias("other"), "jaccard").union(found.select("b", "a", "jaccard"))
+    place = F.row_number().over(Window.partitionBy("genome_id").orderBy(F.round("jaccard", 9).desc(), "other"))
+    return both.withColumn("place", place).where("place <= 5").select("genome_id", "place", "other", r6(1 - F.col("jaccard")).alias("distance"))
