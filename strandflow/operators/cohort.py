@@ -105,21 +105,55 @@ def sketches(genomes: DataFrame, k: int, size: int = 3000, hashed: bool = False,
     return rows.withColumn("rank", rank).where(F.col("rank") <= size)
 
 
+#: Genomes of a block; a task compares two blocks of sketches.
+BLOCK_GENOMES = 64
+
+
 def sketch_similarity(sketch: DataFrame, size: int = 3000) -> DataFrame:
-    """a, b, jaccard of genomes that share a sketched k-mer: share of the size least k-mers of the union that both have.
+    """a, b, jaccard of genomes that share a sketched k-mer: share of the size least k-mers of the union that both have; a pair without any has no row.
 
-    Pairs come from shared k-mers; a pair without any has jaccard 0 and no row. The rank in the union of a k-mer that
-    both have is its rank in a plus its rank in b less the number of shared ones up to it.
+    Genomes are dealt to blocks, and a task holds two blocks' sketches (128 x size k-mers at most in the mean), so no k-mer's genomes are paired as rows, however
+    many have it. The rank in the union of a k-mer that both have is its rank in a plus its rank in b less the number of shared ones up to it.
     """
-    s = sketch.select("genome_id", "rank", "kmer")
-    n = s.groupBy("genome_id").agg(F.count(F.lit(1)).alias("n"))
-    x = s.join(n, "genome_id").select(F.col("genome_id").alias("a"), F.col("rank").alias("ra"), F.col("n").alias("na"), "kmer")
-    y = s.join(n, "genome_id").select(F.col("genome_id").alias("b"), F.col("rank").alias("rb"), F.col("n").alias("nb"), "kmer")
-    shared = x.join(y, "kmer").where("a < b")
-    upto = F.row_number().over(Window.partitionBy("a", "b").orderBy("kmer"))
-    shared = shared.withColumn("_shared", upto).withColumn("_place", F.col("ra") + F.col("rb") - F.col("_shared"))
-    sums = shared.groupBy("a", "b").agg(F.count_if(F.col("_place") <= size).alias("hit"), (F.max("na") + F.max("nb") - F.count(F.lit(1))).alias("union"))
-    return sums.select("a", "b", (F.col("hit") / F.least(F.lit(size), F.col("union"))).alias("jaccard"))
+    kind = sketch.schema["genome_id"].dataType
+    held = sketch.groupBy("genome_id").agg(F.array_sort(F.collect_list("kmer")).alias("kmers"))  # size k-mers at most
+    blocks = max(1, -(-sketch.select("genome_id").distinct().count() // BLOCK_GENOMES))
+    dealt = held.withColumn("block", F.pmod(F.xxhash64("genome_id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("genome_id", "kmers", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    shape = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("jaccard", T.DoubleType())])
+
+    def compared(group: pa.Table) -> pa.Table:
+        group = group.sort_by("genome_id").combine_chunks()
+        ids, lists = group.column("genome_id").combine_chunks(), group.column("kmers").combine_chunks()
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        lengths, block = np.diff(ends), group.column("block").to_numpy()
+        p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
+        out: tuple[list, list, list] = ([], [], [])
+        for x in np.flatnonzero(block == p):
+            others = np.flatnonzero(block == q)
+            others = others[others > x] if p == q else others
+            others = others[lengths[others] > 0]
+            own = flat[ends[x] : ends[x + 1]]
+            if not len(others) or not len(own):
+                continue
+            n = lengths[others]
+            begin = np.r_[0, np.cumsum(n)[:-1]]
+            theirs = np.concatenate([flat[ends[y] : ends[y + 1]] for y in others])
+            at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            hit = own[at] == theirs
+            upto = np.cumsum(hit)
+            shared = np.add.reduceat(hit.astype(np.int64), begin)
+            upto -= np.repeat(upto[begin] - hit[begin], n)
+            rank = np.arange(len(theirs)) - np.repeat(begin, n) + 1
+            kept = np.add.reduceat((hit & (at + 1 + rank - upto <= size)).astype(np.int64), begin)
+            some = np.flatnonzero(shared)
+            out[0].append(np.minimum(x, others[some]))
+            out[1].append(np.maximum(x, others[some]))
+            out[2].append(kept[some] / np.minimum(size, len(own) + n[some] - shared[some]))
+        a, b, value = (np.concatenate(o) if o else np.zeros(0) for o in out)
+        return pa.Table.from_arrays([ids.take(pa.array(a.astype(np.int64))), ids.take(pa.array(b.astype(np.int64))), pa.array(value.astype(np.float64))], ["a", "b", "jaccard"])
+
+    return dealt.groupBy("p", "q").applyInArrow(compared, shape)
 
 
 def within_lineages(genomes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:

@@ -103,7 +103,7 @@ def confusions(rows: DataFrame, models: list[Model], starts: int, rounds: int, k
     moves. A centre without rows stays. Models with fewer rows than k have as many centres as rows; those with none give no rows.
     """
     data = rows.select(F.col(column).alias("z"), F.col(label).alias("label"))
-    fit = Fit(models, first_centres(rows, models, starts, key, label, column))
+    fit = Fit(models, first_centres(rows, models, starts, key, label, column) if models else [])
     if not any(c.size for c in fit.centres):
         return rows.sparkSession.createDataFrame([], "model string, label string, cluster int, n bigint")
     for _ in range(rounds):

@@ -161,6 +161,51 @@ def test_planted_kmer_is_associated(spark):
     assert near.jaccard == 1.0
 
 
+def test_sketches_by_plain_sets(spark, monkeypatch):
+    rng = random.Random(3)
+    monkeypatch.setattr(cohort, "BLOCK_GENOMES", 4)
+    sets = {f"g{i}": set(rng.sample(range(60), rng.randrange(1, 40))) for i in range(14)} | {"alone": {1000}, "short": {1}}
+    size = 12
+    rows = [(g, r, k) for g, s in sets.items() for r, k in enumerate(sorted(s)[:size], 1)]
+    got = {(r.a, r.b): r.jaccard for r in cohort.sketch_similarity(spark.createDataFrame(rows, "genome_id string, rank int, kmer bigint").repartition(3), size).collect()}
+    want = {}
+    for a in sets:
+        for b in sets:
+            x, y = set(sorted(sets[a])[:size]), set(sorted(sets[b])[:size])
+            if a < b and x & y:
+                least = sorted(x | y)[:size]
+                want[a, b] = sum(k in x and k in y for k in least) / len(least)
+    assert got == want
+    assert cohort.sketch_similarity(spark.createDataFrame([], "genome_id string, rank int, kmer bigint")).count() == 0
+
+
+def test_metagenome_command(spark, tmp_path):
+    from strandflow import cli
+
+    rng = random.Random(11)
+    contigs = {f"c{i}": "".join(rng.choice("ACGT" if i % 2 else "AAATTTCG") for _ in range(2600 + 300 * i)) for i in range(6)}
+    (tmp_path / "m.fa").write_text("".join(f">{n}\n{s}\n" for n, s in contigs.items()) + ">short\nACGT\n")
+    argv = ["--window", "400", "--step", "100", "--top", "3", "--min-len", "2000", "--clusters", "2"]
+    cli.main(["metagenome", str(tmp_path / "m.fa"), *argv, "--format", "tsv", "--out", str(tmp_path / "out")])
+    found = spark.read.csv(str(tmp_path / "out"), sep="\t", header=True).toPandas()
+    assert sorted(found.groupby("cluster").size()) == [3, 3] and sorted(found["rank"].astype(int)) == [1, 1, 2, 2, 3, 3]
+    own = [set(part.contig) for _, part in found.groupby("cluster")]
+    assert not own[0] & own[1] and own[0] | own[1] <= set(contigs)
+
+
+def test_clusters_are_scanned_as_if_alone(spark):
+    rng = random.Random(12)
+    texts = {f"c{i}": "".join(rng.choice("ACGT" if i < 3 else "AACCGT") for _ in range(1500 + 100 * i)) for i in range(6)}
+    df = pieces.with_starts(spark.createDataFrame([(c, 0, s) for c, s in texts.items()], "contig_id string, ordinal bigint, seq string"))
+    labels = spark.createDataFrame([(c, int(c[1:]) // 3) for c in texts], "contig_id string, cluster int")
+    columns = ["rank", "contig_id", "start", "end", "evidence"]
+    got = scan.scan_clusters(df, labels, 300, 100, 4).orderBy("cluster", "rank").collect()
+    for c in (0, 1):
+        own = df.join(labels.where(F.col("cluster") == c).select("contig_id"), "contig_id")
+        alone = scan.scan_single(own, documents.host_pieces(own), 300, 100, 4).orderBy("rank").collect()
+        assert [[r[x] for x in columns] for r in got if r.cluster == c] == [[r[x] for x in columns] for r in alone]
+
+
 def plain_merges(docs, rounds, least, width=1):
     """Everything counted anew in every round, by loops."""
     rows, history = {i: list(t) for i, t in docs}, []
