@@ -5,8 +5,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,14 +72,6 @@ def automatic_k(n: int) -> int:
     return 2 if n < 4 else max(2, min(10, int((n / 10) ** 0.5)))
 
 
-def k_means(rows: DataFrame, k: int, runs: int = 5, seed: int = 42, column: str = "z", label: str = "cluster") -> DataFrame:
-    """rows with the cluster of the best of several runs."""
-    data = settled(rows).withColumn("_v", array_to_vector(column))
-    fits = [KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol=label).fit(data) for i in range(runs)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    return best.transform(data).drop("_v")
-
-
 def agglomerated(d: np.ndarray, weights: np.ndarray, method: str, k: int = 1) -> list[tuple[int, int, float]]:
     """Merges (i, j, height; i < j, i stays) down to k clusters by Lance-Williams updates of the clusters' distances."""
     n = len(d)

@@ -27,8 +27,3 @@ def scan_stream(spark: SparkSession, incoming: str, profile: DataFrame, stats: D
         scored.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def windowed_symbol_counts(events: DataFrame, time: str, symbol: str, late: str = "10 minutes", size: str = "1 hour") -> DataFrame:
-    """Counts of symbols by event-time windows of a stream, closed once the watermark passes them."""
-    return events.withWatermark(time, late).groupBy(F.window(time, size), symbol).agg(F.count(F.lit(1)).alias("n"))
