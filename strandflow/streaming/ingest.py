@@ -8,22 +8,24 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from strandflow.operators import scan
 from strandflow.operators.pieces import windows, with_starts
+from strandflow.plans.session import settled
+from strandflow.sources.fasta import fasta_stream
 
 
 def scan_stream(spark: SparkSession, incoming: str, profile: DataFrame, stats: DataFrame, out: str, checkpoint: str, window: int = 2000, step: int = 500) -> StreamingQuery:
-    """Write the suppressed, scored windows of every FASTA file that arrives in a folder to Parquet, one batch a trigger.
+    """Write the suppressed, scored windows of every FASTA file that arrives in a folder to Parquet, one batch a trigger, with file and record.
 
+    Records come in pieces, so none is one string, and those that share an id, in one file or several, stay apart.
     profile and stats are one row each and are broadcast to every batch. A batch that is run again after a failure
     overwrites its own folder, so results are exactly once.
     """
-    records = spark.readStream.option("lineSep", "\n>").text(incoming)
+    records = fasta_stream(spark, incoming, f"{checkpoint}/files")
 
     def batch(rows: DataFrame, number: int) -> None:
-        text = F.regexp_replace("value", "^>", "")
-        seq = F.upper(F.regexp_replace(F.regexp_replace(text, r"^[^\r\n]*", ""), r"\s+", ""))
-        contigs = rows.where(F.trim("value") != "").select(F.split(text, r"\s+")[0].alias("contig_id"), F.lit(0).cast("bigint").alias("ordinal"), seq.alias("seq"))
-        found = scan.signals(windows(with_starts(contigs), window, step).where(F.col("end") - F.col("start") == window), profile)
+        # one record is one contig: its key holds where it comes from
+        contigs = with_starts(settled(rows.select(F.struct("file", "record", "contig_id").alias("contig_id"), "ordinal", "seq")))
+        found = scan.signals(windows(contigs, window, step).where(F.col("end") - F.col("start") == window), profile)
         scored = scan.suppressed(scan.composite(scan.z_scores(found, stats)))
-        scored.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        scored.select("contig_id.*", *[c for c in scored.columns if c != "contig_id"]).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return records.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

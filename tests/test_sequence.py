@@ -419,6 +419,11 @@ def test_command_line_and_stream(spark, tmp_path):
     scan_stream(spark, str(tmp_path / "in"), profile, stats, str(tmp_path / "scored"), str(tmp_path / "state")).awaitTermination()
     batch = {(r.contig_id, r.start) for r in spark.read.parquet(str(tmp_path / "scored")).collect()}
     assert batch == {(r.contig_id, r.start) for r in scan.scan(df, host).collect()}
+    # a record of another file under an id that came before, after a restart, is a contig of its own
+    (tmp_path / "in" / "b.fasta").write_text(text[: text.index(">c1")])
+    scan_stream(spark, str(tmp_path / "in"), profile, stats, str(tmp_path / "scored"), str(tmp_path / "state")).awaitTermination()
+    rows = [(r.file[-7:], r.contig_id, r.start) for r in spark.read.parquet(str(tmp_path / "scored")).collect()]
+    assert sorted(s for f, c, s in rows if f == "b.fasta") == sorted(s for f, c, s in rows if f == "a.fasta" and c == "c0") and len(rows) == len(set(rows)) > len(batch)
 
 
 def test_fusion_weight(spark):
