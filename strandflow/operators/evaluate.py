@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandflow.functions.tails import correlation_t, normal_greater, normal_two_sided, student_two_sided
 from strandflow.operators.pieces import running_sums, with_next
 from strandflow.plans.session import settled
 
@@ -54,16 +55,29 @@ def weighed_correlation(cells: DataFrame, x: str, y: str, n: str) -> DataFrame:
     return sums.select(F.coalesce("n", F.lit(0.0)).cast("bigint").alias("n"), ((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(spread, F.lit(0.0))).alias("r"))
 
 
-def rank_test(rows: DataFrame, keys: list[str], value: str, first: str) -> DataFrame:
-    """keys, u, z: Mann-Whitney statistic of the rows where first holds, and its normal score with tie correction."""
+def rank_test(rows: DataFrame, keys: list[str], value: str, first: str, tails: bool = False) -> DataFrame:
+    """keys, u, z: Mann-Whitney statistic of the rows where first holds, and its normal score with tie correction.
+
+    tails: also p and p_greater, the two-sided chance and that of larger values in the first rows, by the normal score moved half a step to the middle
+    (no exact small-sample distribution); null where a class is empty or all values are equal.
+    """
     levels = rows.groupBy(*keys, value).agg(F.count_if(F.col(first)).alias("_p"), F.count(F.lit(1)).alias("_n"))
     ranked = mid_ranks(levels, keys, value, "_n")
     cubes = F.sum(F.pow(F.col("_n").cast("double"), 3) - F.col("_n"))
     s = ranked.groupBy(*keys).agg(F.sum("_p").cast("double").alias("a"), (F.sum("_n") - F.sum("_p")).cast("double").alias("b"), F.sum(F.col("_rank") * F.col("_p")).alias("r"), cubes.alias("t"))
     u = F.col("r") - F.col("a") * (F.col("a") + 1) / 2
     n = F.col("a") + F.col("b")
-    spread = F.sqrt(F.col("a") * F.col("b") / 12 * (n + 1 - F.col("t") / F.nullif(n * (n - 1), F.lit(0.0))))
-    return s.select(*keys, u.alias("u"), ((u - F.col("a") * F.col("b") / 2) / F.nullif(spread, F.lit(0.0))).alias("z"))
+    spread = F.nullif(F.sqrt(F.col("a") * F.col("b") / 12 * (n + 1 - F.col("t") / F.nullif(n * (n - 1), F.lit(0.0)))), F.lit(0.0))
+    away = u - F.col("a") * F.col("b") / 2
+    found = s.select(*keys, u.alias("u"), (away / spread).alias("z"), away.alias("_away"), spread.alias("_spread"))
+    if tails:
+        found = found.withColumn("p", normal_two_sided(F.greatest(F.abs("_away") - 0.5, F.lit(0.0)) / F.col("_spread"))).withColumn("p_greater", normal_greater((F.col("_away") - 0.5) / F.col("_spread")))
+    return found.drop("_away", "_spread")
+
+
+def with_tail(found: DataFrame, r: str, n: str = "n") -> DataFrame:
+    """found (a row a correlation over n rows) with t and p, the two-sided chance by Student's distribution of n - 2 degrees of freedom; null below three rows."""
+    return found.withColumn("t", correlation_t(F.col(r), F.col(n))).withColumn("p", student_two_sided(F.col("t"), F.col(n) - 2))
 
 
 def agreement(rows: DataFrame, truth: str, found: str, keys: list[str] | None = None, count: str | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandflow.functions import sequence as S
+from strandflow.operators.cohort import gene_carriage
 from strandflow.operators.evaluate import percentile_rank
 from strandflow.operators.measures import measured
 from strandflow.operators.pieces import contig_lengths, windows
@@ -68,6 +69,45 @@ def two_channels(found: DataFrame, pieces: DataFrame, window: int = 2000, step:
     return soft_fusion(rows.join(weight, "contig_id"))
 
 
+def triplet_profile(sequences: DataFrame) -> DataFrame:
+    """genome, profile (64 counts): the 3-mers of each genome's sequences (genome, seq). Counts are added up in tasks, so 64 rows a genome leave one; genomes without a 3-mer have no row."""
+    each = measured(sequences.select("genome", "seq"), wanted=("k3",)).select("genome", F.posexplode("k3").alias("i", "n"))
+    sums = each.groupBy("genome", "i").agg(F.sum("n").alias("n")).where("n > 0")
+    return sums.groupBy("genome").agg(S.dense(F.collect_list(F.struct(F.col("i").alias("value"), "n")), 64).alias("profile"))
+
+
+def jensen_shannon(a: Column, b: Column) -> Column:
+    """The Jensen-Shannon distance (root of the divergence in bits, 0 to 1) of two arrays of counts of one length; null where one has none."""
+    share = lambda c: S.let(S.total(c, 0), lambda n: F.transform(c, lambda x: x / F.nullif(n, F.lit(0))))
+    part = lambda p, m: F.when(p > 0, p * F.log2(p / m)).when(p == 0, 0.0)
+    bits = S.total(F.zip_with(share(a), share(b), lambda p, q: part(p, (p + q) / 2) + part(q, (p + q) / 2)), 0.0) / 2
+    return S.let(bits, lambda x: F.when(x > 0, F.sqrt(x)).when(x <= 0, 0.0))
+
+
+#: Shares of strong k-mers and structural distances beyond which a gene bears evidence.
+PHENOTYPE, STRUCTURE = 0.1, 0.3
+#: Profiles that are broadcast at most, about half a kilobyte each; more are joined by a shuffle.
+BROADCAST_GENOMES = 10_000
+
+
+def panel(genes: DataFrame, profiles: DataFrame, strong: DataFrame, k: int = 31) -> DataFrame:
+    """gene_id, genome, phenotype, structural, evidence of the genes (gene_id, unique; genome; seq) of k letters or more.
+
+    phenotype: the share of a gene's distinct k-mers (both strands) that are strong. structural: how far its 3-mers are from the profile of its genome, an own default of
+    the structural channel. DUAL: both are raised (acquired and causal), PHENOTYPE: the first alone (native), STRUCTURE: the second alone. Genes without a profile have a
+    null distance and no evidence of structure; shorter genes and null sequences have no row.
+    """
+    long = genes.where(F.length("seq") >= k)
+    table = settled(profiles)
+    few = table.count() <= BROADCAST_GENOMES
+    counted = measured(long.select("gene_id", "genome", "seq"), wanted=("k3",)).select("gene_id", "genome", "k3")
+    placed = counted.join(F.broadcast(table) if few else table, "genome", "left").select("gene_id", "genome", jensen_shannon(F.col("k3"), F.col("profile")).alias("structural"))
+    held = gene_carriage(long.select("gene_id", "seq"), strong, k).select("gene_id", F.col("share").alias("phenotype"))
+    causal, foreign = F.round("phenotype", 9) > PHENOTYPE, F.round("structural", 9) > STRUCTURE
+    evidence = F.when(causal & foreign, "DUAL").when(causal, "PHENOTYPE").when(foreign, "STRUCTURE").otherwise("NONE")
+    return placed.join(held, "gene_id").select("gene_id", "genome", "phenotype", "structural", evidence.alias("evidence"))
+
+
 def has_keyword(text: Column, keywords: list[str]) -> Column:
     lowered = F.lower(text)
     return F.coalesce(F.exists(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(lowered, k)), F.lit(False))

@@ -231,6 +231,21 @@ gene_scores AS (SELECT g.contig_id, g.gene_id, g.start, g."end", g.is_pos, coale
 K = 5
 
 
+def normal_two_sided(z: str) -> str:
+    """By the series of erf up to 4 and the continued fraction of erfc beyond: apart from the sums that Spark takes."""
+    x = f"(abs({z}) / sqrt(2))"
+    series = f"2 / sqrt(pi()) * exp(-{x} * {x}) * list_sum(list_transform(range(0, 90), lambda k: CASE WHEN {x} = 0 THEN 0 ELSE exp(2 * k * ln(2) + (2 * k + 1) * ln({x}) + lgamma(k + 1) - lgamma(2 * k + 2)) END))"
+    fraction = f"list_reduce(list_transform(range(40, 0, -1), lambda k: CAST(k AS DOUBLE)), lambda a, k: {x} + k / 2 / a, 40 / {x})"
+    return f"CASE WHEN {x} < 4 THEN greatest(1 - {series}, 0) ELSE exp(-{x} * {x}) / sqrt(pi()) / ({fraction}) END"
+
+
+def student_two_sided(t: str, freedom: str) -> str:
+    """By Simpson's rule over the angle, 2,000 steps, with the constant from gamma functions."""
+    end = f"atan2(sqrt({freedom}), abs({t}))"
+    f = f"list_sum(list_transform(range(0, 2001), lambda j: (CASE WHEN j IN (0, 2000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * pow(sin({end} * j / 2000), {freedom} - 1)))"
+    return f"{end} / 6000 * {f} * 2 * exp(lgamma(({freedom} + 1) / 2.0) - lgamma({freedom} / 2.0)) / sqrt(pi())"
+
+
 def packed(letters: str, k: int) -> str:
     """A k-mer's letters as a number, base 4."""
     return f"CAST(list_reduce(list_transform(range(1, {k + 1}), lambda j: CAST(instr('ACGT', substr({letters}, j, 1)) - 1 AS BIGINT)), lambda a, b: a * 4 + b) AS BIGINT)"

@@ -11,7 +11,7 @@ from strandflow.functions import sequence as S
 from strandflow.operators import cluster, cohort, evaluate, fusion, pieces, resonance, scan
 from strandflow.operators.measures import informations, measured
 from strandflow.plans import oracle as O
-from strandflow.plans.catalog import SQL, STEP, TILE, W, contig_windows, measured_windows, query, r6, scored, scored_genes, zscored
+from strandflow.plans.catalog import AUC_SQL, RANKS, SQL, STEP, TILE, W, contig_windows, measured_windows, query, r6, scored, scored_genes, zscored
 from strandflow.plans.session import settled
 from strandflow.sources import documents as D
 
@@ -536,3 +536,73 @@ def nearest_genomes31(spark, sf_dir):
     both = found.select(F.col("a").alias("genome_id"), F.col("b").alias("other"), "jaccard").union(found.select("b", "a", "jaccard"))
     place = F.row_number().over(Window.partitionBy("genome_id").orderBy(F.round("jaccard", 9).desc(), "other"))
     return both.withColumn("place", place).where("place <= 5").select("genome_id", "place", "other", r6(1 - F.col("jaccard")).alias("distance"))
+
+
+@query(
+    f"""WITH {O.GENE_SCORES}, r AS (SELECT contig_id, is_pos, {RANKS.format(k='contig_id')} FROM gene_scores),
+t AS (SELECT contig_id, sum(c ** 3 - c) AS t FROM (SELECT contig_id, score, count(*) AS c FROM gene_scores GROUP BY ALL) GROUP BY contig_id),
+c AS (SELECT contig_id, {AUC_SQL}, coalesce(sum(rk) FILTER (WHERE is_pos), 0) AS s FROM r GROUP BY contig_id),
+u AS (SELECT *, s - n_pos * (n_pos + 1) / 2.0 - n_pos * n_neg / 2.0 AS away, n_pos + n_neg AS n FROM c JOIN t USING (contig_id)),
+z AS (SELECT contig_id, away, nullif(sqrt(n_pos * n_neg / 12.0 * (n + 1 - t / nullif(n * (n - 1), 0))), 0) AS spread, away + n_pos * n_neg / 2.0 AS u FROM u),
+p AS (SELECT contig_id, u, away / spread AS z, greatest(abs(away) - 0.5, 0) / spread AS near, (away - 0.5) / spread AS up FROM z)
+SELECT contig_id, round(u, 6) AS u, round(z, 6) AS z, round({O.normal_two_sided('near')}, 6) AS p, round(CASE WHEN up >= 0 THEN ({O.normal_two_sided('up')}) / 2 ELSE 1 - ({O.normal_two_sided('up')}) / 2 END, 6) AS p_greater FROM p"""
+)
+def rank_test_tails(spark, sf_dir):
+    """Mann-Whitney test of positive against other genes, contig by contig, with its two-sided and one-sided chance."""
+    found = evaluate.rank_test(scored_genes(spark, sf_dir), ["contig_id"], "score", "is_pos", tails=True)
+    return found.select("contig_id", *[r6(c).alias(c) for c in ("u", "z", "p", "p_greater")])
+
+
+@query(
+    f"""WITH {O.GENE_SCORES}, x AS (SELECT CAST("end" - start AS DOUBLE) AS len, score FROM gene_scores),
+r AS (SELECT len, score, rank() OVER (ORDER BY len) + (count(*) OVER (PARTITION BY len) - 1) / 2.0 AS a, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS b FROM x),
+c AS (SELECT 'spearman' AS measure, count(*) AS n, corr(a, b) AS r FROM r UNION ALL SELECT 'pearson', count(*), corr(len, score) FROM r),
+t AS (SELECT *, r * sqrt((n - 2) / nullif(1 - r * r, 0)) AS t FROM c)
+SELECT measure, n, round(r, 6) AS r, round(t, 6) AS t, round({O.student_two_sided('t', '(n - 2)')}, 6) AS p FROM t"""
+)
+def correlation_tails(spark, sf_dir):
+    """Correlations of genes' lengths with their scores, by ranks and by values, with t and its two-sided chance."""
+    rows = settled(scored_genes(spark, sf_dir).select((F.col("end") - F.col("start")).alias("len"), "score"))
+    ranks = evaluate.spearman(rows, "len", "score").select(F.lit("spearman").alias("measure"), "n", F.col("rho").alias("r"))
+    values = evaluate.weighed_correlation(rows.withColumn("one", F.lit(1)), "len", "score", "one").select(F.lit("pearson").alias("measure"), "n", "r")
+    found = evaluate.with_tail(ranks.union(values), "r")
+    return found.select("measure", "n", *[r6(c).alias(c) for c in ("r", "t", "p")])
+
+
+def panel_sql(genes: str, profile: str) -> str:
+    """The panel over genes (gene_id, genome, seq; 31 letters or more); profile: genome, seq of the sequences whose 3-mers are a genome's profile."""
+    return f"""genes AS (SELECT * FROM ({genes}) WHERE length(seq) >= 31), whole AS ({profile}),
+b3 AS (SELECT gene_id, genome, g, n / sum(n) OVER (PARTITION BY gene_id) AS p FROM {O.grams(3, 'genes', 'gene_id, genome')}),
+w3 AS (SELECT genome, g, sum(n) / sum(sum(n)) OVER (PARTITION BY genome) AS q FROM {O.grams(3, 'whole', 'genome')} GROUP BY genome, g),
+d AS (SELECT gene_id, sqrt(greatest(sum(p * log2(2 * p / (p + coalesce(q, 0))) + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 + (1 - sum(coalesce(q, 0))) / 2, 0)) AS structural FROM b3 LEFT JOIN w3 USING (genome, g) GROUP BY gene_id),
+own AS (SELECT DISTINCT gene_id, {O.packed('g', 31)} AS kmer FROM (SELECT gene_id, substr(seq, i, 31) AS g FROM (SELECT gene_id, seq, unnest(range(1, length(seq) - 29)) AS i FROM (SELECT gene_id, seq FROM genes UNION ALL SELECT gene_id, reverse(translate(seq, 'ACGT', 'TGCA')) FROM genes)))),
+c AS (SELECT gene_id, avg((kmer IN (SELECT kmer FROM strong))::INT) AS phenotype FROM own GROUP BY gene_id)
+SELECT gene_id, genome, round(phenotype, 6) AS phenotype, round(structural, 6) AS structural,
+  CASE WHEN round(phenotype, 9) > 0.1 AND round(structural, 9) > 0.3 THEN 'DUAL' WHEN round(phenotype, 9) > 0.1 THEN 'PHENOTYPE' WHEN round(structural, 9) > 0.3 THEN 'STRUCTURE' ELSE 'NONE' END AS evidence
+FROM genes JOIN d USING (gene_id) JOIN c USING (gene_id)"""
+
+
+def panel_of(genes: DataFrame, profile: DataFrame, strong: DataFrame) -> DataFrame:
+    found = fusion.panel(genes, fusion.triplet_profile(profile), strong, 31)
+    return found.select("gene_id", "genome", r6("phenotype").alias("phenotype"), r6("structural").alias("structural"), "evidence")
+
+
+DOCUMENT_GENES = "SELECT doc_id AS gene_id, source AS genome, seq FROM doc_seq WHERE source IS NOT NULL"
+PASSAGE_GENES = "SELECT item_id AS gene_id, 'host' AS genome, upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS seq FROM benchmark"
+
+
+@query(f"WITH {K31}, {panel_sql(DOCUMENT_GENES, 'SELECT source AS genome, seq FROM doc_seq')}")
+def mechanism_panel(spark, sf_dir):
+    """Documents as genes of the genome of their source: strong 31-mers beside the distance from the genome's own structure."""
+    docs = D.document_sequences(spark, sf_dir).select(F.col("doc_id").alias("gene_id"), F.col("source").alias("genome"), "seq").where("genome is not null")
+    return panel_of(docs, docs, strong31(spark, sf_dir))
+
+
+WHOLE_HOST = "SELECT 'host' AS genome, seq FROM doc_seq"
+
+
+@query(f"WITH {K31}, {panel_sql(PASSAGE_GENES, WHOLE_HOST)}")
+def mechanism_panel_passages(spark, sf_dir):
+    """Benchmark passages as genes against the structure of all documents as one genome."""
+    genes = benchmark_genes(spark, sf_dir).withColumn("genome", F.lit("host"))
+    return panel_of(genes, D.document_sequences(spark, sf_dir).select(F.lit("host").alias("genome"), "seq"), strong31(spark, sf_dir))
