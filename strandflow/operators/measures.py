@@ -23,27 +23,61 @@ FIELDS = "k1 array<bigint>, k2 array<bigint>, k3 array<bigint>, k4 array<bigint>
 NAMES = [f.split(" ")[0] for f in FIELDS.split(", ")]
 
 
-def rescaled_range_slope(x: np.ndarray) -> float:
-    """The Hurst exponent by rescaled ranges; 0.5 for fewer than 64 symbols or 3 usable widths."""
-    n = len(x)
-    if n < 64:
-        return 0.5
+#: Symbols of equally long sequences whose rescaled ranges are taken at a time.
+AT_A_TIME = 1 << 16
+
+
+def rescaled_range_slopes(sequences: list[np.ndarray]) -> list[float]:
+    """The Hurst exponents of arrays of codes by rescaled ranges; 0.5 for fewer than 64 symbols or 3 usable widths. Equally long ones are taken together.
+
+    All but the last division is of whole numbers: with C the running sum of a block of w symbols and S its sum, the walk away from the mean is (w C - k S) / w
+    at its k-th symbol, and the squared deviations sum up to (w Q - S^2) / w, Q being the sum of squares.
+    """
+    out = [0.5] * len(sequences)
+    lengths = np.array([len(s) for s in sequences])
+    for n in np.unique(lengths[lengths >= 64]):
+        same = np.flatnonzero(lengths == n)
+        size = max(1, AT_A_TIME // int(n))
+        for i in range(0, len(same), size):
+            slopes = _slopes(np.stack([sequences[j] for j in same[i : i + size]]))
+            for j, slope in zip(same[i : i + size], slopes, strict=True):
+                out[j] = slope
+    return out
+
+
+def _slopes(x: np.ndarray) -> list[float]:
+    rows, n = x.shape
+    sums, squares = np.cumsum(x, axis=1, dtype=np.int64), np.cumsum(x * x, axis=1, dtype=np.int64)
     logs = []
     for w in HURST_WIDTHS:
         if w >= n // 4:
             break
-        blocks = x[: -(-(n - w) // w) * w].reshape(-1, w)
-        away = blocks - blocks.mean(axis=1, keepdims=True)
-        walk = np.cumsum(away, axis=1)
-        deviation = np.sqrt((away * away).sum(axis=1) / (w - 1))
-        moving = deviation > 1e-9
-        if moving.any():
-            logs.append((np.log(w), np.log(((walk.max(axis=1) - walk.min(axis=1))[moving] / deviation[moving]).mean())))
+        blocks = -(-(n - w) // w)
+        ends = slice(w - 1, blocks * w, w)
+        before, q = (np.concatenate([np.zeros((rows, 1), np.int64), c[:, ends]], axis=1) for c in (sums, squares))
+        whole, q = np.diff(before), np.diff(q)
+        kind = np.int32 if 8 * w * w < 1 << 31 else np.int64  # what a walk can come to, codes being under 4
+        # places in a block come first in memory, so blocks are compared side by side
+        walk = np.subtract(sums[:, : blocks * w].reshape(rows, blocks, w).transpose(2, 0, 1), before[:, :-1], order="C", dtype=kind, casting="unsafe")
+        walk *= kind(w)
+        walk -= np.arange(1, w + 1, dtype=kind)[:, None, None] * whole.astype(kind)
+        away = w * q - whole * whole
+        moving = away > 0
+        ratio = (walk.max(axis=0) - walk.min(axis=0)) / np.where(moving, w * np.sqrt(away / (w * (w - 1.0))), np.inf)
+        many = moving.sum(axis=1)
+        logs.append(np.where(many > 0, np.log(np.maximum(ratio.sum(axis=1), 1e-300) / np.maximum(many, 1)), np.nan))
     if len(logs) < 3:
-        return 0.5
-    a, b = np.array(logs).T
-    a = a - a.mean()
-    return float(np.clip((a * b).sum() / (a * a).sum(), 0.0, 1.0))
+        return [0.5] * rows
+    found, widths, out = np.array(logs).T, np.log(HURST_WIDTHS[: len(logs)]), []
+    for b in found:
+        usable = ~np.isnan(b)
+        a = widths[usable]
+        if len(a) < 3:
+            out.append(0.5)
+            continue
+        a = a - a.mean()
+        out.append(float(np.clip((a * b[usable]).sum() / (a * a).sum(), 0.0, 1.0)))
+    return out
 
 
 def lagged_products(x: np.ndarray, most_lag: int = 30) -> np.ndarray | None:
@@ -74,8 +108,10 @@ def measured(segments: DataFrame, seq: str = "seq", wanted: tuple[str, ...] = tu
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 out: dict[str, list] = {n: [] for n in wanted}
-                for text in part.column(seq).to_pylist():
-                    s = CODES[np.frombuffer((text or "").encode(), np.uint8)]
+                coded = [CODES[np.frombuffer((text or "").encode(), np.uint8)] for text in part.column(seq).to_pylist()]
+                if "hurst" in out:
+                    out["hurst"] = rescaled_range_slopes(coded)
+                for s in coded:
                     n = len(s)
                     for size in (1, 2, 3, 4):
                         if f"k{size}" in out:
@@ -89,8 +125,6 @@ def measured(segments: DataFrame, seq: str = "seq", wanted: tuple[str, ...] = tu
                             out["pair_n"].append(counts)
                             if "pair_value" in out:
                                 out["pair_value"].append(values)
-                    if "hurst" in out:
-                        out["hurst"].append(rescaled_range_slope(s.astype(np.float64)))
                     if "autocorrelation" in out:
                         out["autocorrelation"].append(lagged_products(s.astype(np.float64)))
                 types = [pa.float64() if n == "hurst" else pa.list_(pa.float64() if n == "autocorrelation" else pa.int64()) for n in wanted]

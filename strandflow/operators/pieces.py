@@ -6,6 +6,8 @@ first letter. Windows gather only the parts of pieces that they cover, so a cont
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,6 +87,28 @@ def windows(pieces: DataFrame, window: int, step: int, extra: int = 0, tail: boo
     return found.select("contig_id", "window_no", begin.alias("start"), F.least(begin + window, F.col("_n")).alias("end"), "seq")
 
 
+def window_letters(pieces: DataFrame, window: int, step: int, sets: dict[str, str]) -> DataFrame:
+    """contig_id, window_no, start, end and, by name, how many letters of each set the window has; the windows are those of `windows`.
+
+    Letters are counted where the pieces lie, in tiles that windows are whole numbers of, and windows add up tiles: a row of counts a tile is
+    shuffled, no letter, and no window's letters are counted once for every window that they lie in.
+    """
+    tile = gcd(window, step)
+    wide, hop = window // tile, step // tile
+    lengths = contig_lengths(pieces).where("contig_length > 0")
+    rows = pieces.where("seq != ''").withColumn("_tile", F.explode(F.sequence(F.floor(F.col("start") / tile), F.floor((F.col("start") + F.length("seq") - 1) / tile))))
+    at = F.greatest(F.col("_tile") * tile, F.col("start"))
+    rows = rows.select("contig_id", "_tile", F.substring(F.col("seq"), (at - F.col("start") + 1).cast("int"), ((F.col("_tile") + 1) * tile - at).cast("int")).alias("_part"))
+    n = lambda letters: F.length("_part") - F.length(F.translate(F.col("_part"), letters, ""))
+    tiles = rows.groupBy("contig_id", "_tile").agg(*[F.sum(n(letters).cast("bigint")).alias(name) for name, letters in sets.items()])
+    last = F.greatest(F.lit(0), F.floor((F.col("contig_length") - window) / step))
+    first = F.greatest(F.lit(0), F.ceil((F.col("_tile") + 1 - wide) / hop))
+    tiles = tiles.join(lengths, "contig_id").withColumns({"_a": first.cast("bigint"), "_b": F.least(F.floor(F.col("_tile") / hop), last).cast("bigint")}).where("_a <= _b")
+    found = tiles.withColumn("window_no", F.explode(F.sequence("_a", "_b"))).groupBy("contig_id", "window_no").agg(F.max("contig_length").alias("_n"), *[F.sum(name).alias(name) for name in sets])
+    begin = F.col("window_no") * step
+    return found.select("contig_id", "window_no", begin.alias("start"), F.least(begin + window, F.col("_n")).alias("end"), *sets)
+
+
 def overlaps(left: DataFrame, right: DataFrame, tile: int, keys: list[str], how: str = "inner", pad: int = 0) -> DataFrame:
     """Interval join of left and right (start, end, half open) that share the keys, at a distance of at most pad.
 

@@ -38,6 +38,12 @@ def contig_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.windows(D.contig_pieces(spark, sf_dir), W, STEP)
 
 
+def window_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contig_id, start, end, gc: the GC content of the windows, by counts of tiles."""
+    found = settled(pieces.window_letters(D.contig_pieces(spark, sf_dir), W, STEP, {"gc": "CG"}))  # small rows that are read twice
+    return found.select("contig_id", "start", "end", (F.col("gc") / (F.col("end") - F.col("start"))).alias("gc"))
+
+
 def measured_windows(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
     """The windows with the wanted counts and measures."""
     return measured(contig_windows(spark, sf_dir), wanted=wanted)
@@ -51,7 +57,7 @@ SELECT contig_id, CAST(place AS INT) AS place, start, "end", round(gc, 6) AS gc,
 )
 def window_gc_topk(spark, sf_dir):
     """The five windows of each contig whose GC content is farthest from that of all windows."""
-    gc = contig_windows(spark, sf_dir).select("contig_id", "start", "end", S.gc_content(F.col("seq")).alias("gc"))
+    gc = window_gc(spark, sf_dir)
     stats = gc.agg(F.avg("gc").alias("m"), F.greatest(F.stddev_pop("gc"), F.lit(1e-6)).alias("s"))
     z = gc.crossJoin(F.broadcast(stats)).withColumn("z", F.abs(F.col("gc") - F.col("m")) / F.col("s"))
     place = F.row_number().over(Window.partitionBy("contig_id").orderBy(F.round("z", 9).desc(), "start"))
@@ -242,7 +248,7 @@ def otsu_threshold(spark, sf_dir):
 
 def scored_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genes with the largest GC deviation (from the contig's mean window) among the windows that overlap them, 0 without one."""
-    gc = contig_windows(spark, sf_dir).select("contig_id", "start", "end", S.gc_content(F.col("seq")).alias("gc"))
+    gc = window_gc(spark, sf_dir)
     mean = gc.groupBy("contig_id").agg(F.avg("gc").alias("m"))
     dev = gc.join(mean, "contig_id").select("contig_id", "start", "end", F.round(F.abs(F.col("gc") - F.col("m")), 9).alias("dev"))
     hit = pieces.overlaps(D.genes(spark, sf_dir), dev, W, ["contig_id"], "left")

@@ -437,3 +437,52 @@ def test_next_over_ranges(spark):
     value = {(k, t): v for k, t, v in rows}
     assert out == {(k, t): value.get((k, t + 1)) for k, t, _ in rows}
     assert pieces.with_next(df.limit(0), ["k"], ["t"], "v").count() == 0
+
+
+def test_window_letters(spark):
+    rng = random.Random(12)
+    contigs = {"a": 997, "b": 40, "c": 100, "d": 101, "e": 0, "f": 130}
+    rows = []
+    for k, n in contigs.items():
+        text, i = "".join(rng.choice("ACGTN") for _ in range(n)), 0
+        while text or i == 0:
+            cut = rng.randrange(90)
+            rows.append((k, i, text[:cut]))
+            text, i = text[cut:], i + 1
+    df = pieces.with_starts(spark.createDataFrame(rows, "contig_id string, ordinal bigint, seq string"))
+    for window, step in ((100, 25), (100, 40), (100, 100), (30, 70), (1, 1)):
+        out = sorted(tuple(r) for r in pieces.window_letters(df, window, step, {"gc": "CG", "n": "N"}).collect())
+        plain = pieces.windows(df, window, step).collect()
+        assert out == sorted((r.contig_id, r.window_no, r.start, r.end, r.seq.count("C") + r.seq.count("G"), r.seq.count("N")) for r in plain), (window, step)
+    assert pieces.window_letters(df.limit(0), 100, 25, {"gc": "CG"}).count() == 0
+
+
+def test_slopes_of_many_sequences():
+    import numpy as np
+
+    from strandflow.operators.measures import HURST_WIDTHS, rescaled_range_slopes
+
+    def plain(x):
+        logs = []
+        for w in [w for w in HURST_WIDTHS if w < len(x) // 4]:
+            ratios = []
+            for i in range(0, len(x) - w, w):
+                walk, away, mean = 0.0, 0.0, sum(x[i : i + w]) / w
+                places = [walk := walk + v - mean for v in x[i : i + w]]
+                away = sum((v - mean) ** 2 for v in x[i : i + w])
+                if away > 1e-9:
+                    ratios.append((max(places) - min(places)) / math.sqrt(away / (w - 1)))
+            if ratios:
+                logs.append((math.log(w), math.log(sum(ratios) / len(ratios))))
+        if len(x) < 64 or len(logs) < 3:
+            return 0.5
+        a, b = zip(*logs, strict=True)
+        middle = sum(a) / len(a)
+        return min(1.0, max(0.0, sum((p - middle) * q for p, q in logs) / sum((p - middle) ** 2 for p in a)))
+
+    rng = random.Random(8)
+    many = [[rng.randrange(rng.choice((1, 2, 4))) for _ in range(rng.choice((0, 1, 63, 64, 100, 128, 128, 777)))] for _ in range(60)]
+    many += [[v for v in (0, 3, 1) for _ in range(400)], [0] * 500 + [1, 2] * 40]
+    out = rescaled_range_slopes([np.array(x, np.int64) for x in many])
+    assert len(out) == len(many) and all(abs(a - plain(x)) < 1e-12 for a, x in zip(out, many, strict=True))
+    assert rescaled_range_slopes([]) == []
