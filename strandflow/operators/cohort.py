@@ -6,20 +6,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandflow.functions.sequence import let
 from strandflow.operators.measures import CODES, packed_kmers
 from strandflow.operators.pieces import islands
+from strandflow.plans.session import settled
 
 #: Bytes that are letters of a sequence.
 LETTER = np.zeros(256, bool)
 LETTER[[ord(c) for c in "ACGTacgt"]] = True
 
 
-def row_kmers(rows: DataFrame, k: int, seq: str, keep: list[str], both_strands: bool, places: bool) -> DataFrame:
-    """keep, kmer (and pos): the packed k-mers of each row's runs of ACGT, distinct in the row or (places) each with its place; in Arrow batches."""
+def row_kmers(rows: DataFrame, k: int, seq: str, keep: list[str], both_strands: bool, places: bool, canonical: bool = False) -> DataFrame:
+    """keep, kmer (and pos): the packed k-mers of each row's runs of ACGT, distinct in the row or (places) each with its place; in Arrow batches.
+    canonical: the smaller one of each k-mer and its reverse complement stands for both."""
     slim = rows.select(*keep, F.col(seq).alias("_seq"))
     new = [T.StructField("pos", T.IntegerType())] if places else []
     shape = T.StructType([*(slim.schema[c] for c in keep), *new, T.StructField("kmer", T.LongType())])
@@ -35,7 +38,8 @@ def row_kmers(rows: DataFrame, k: int, seq: str, keep: list[str], both_strands:
                     whole = np.flatnonzero(bad[k:] == bad[: len(bad) - k]) if len(s) >= k else np.zeros(0, np.int64)
                     kmers = packed_kmers(s, k)[whole]
                     if both_strands:
-                        kmers = np.r_[kmers, packed_kmers((3 - s)[::-1], k)[::-1][whole]]
+                        back = packed_kmers((3 - s)[::-1], k)[::-1][whole]
+                        kmers = np.minimum(kmers, back) if canonical else np.r_[kmers, back]
                     found.append(kmers if places else np.unique(kmers))
                     spots.append(whole)
                 owner = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in found]))
@@ -45,26 +49,53 @@ def row_kmers(rows: DataFrame, k: int, seq: str, keep: list[str], both_strands:
     return slim.mapInArrow(run, shape)
 
 
-def genome_kmers(genomes: DataFrame, k: int, seq: str = "seq", both_strands: bool = True, keep: list[str] | None = None) -> DataFrame:
+def genome_kmers(genomes: DataFrame, k: int, seq: str = "seq", both_strands: bool = True, keep: list[str] | None = None, canonical: bool = False) -> DataFrame:
     """genome_id (and the kept columns), kmer: the distinct packed k-mers of each genome. Runs are split at letters outside ACGT.
 
-    A genome may be several rows (pieces that overlap by k - 1 letters, or contigs). Copies within a row go before the shuffle; k is at most 31, so that a k-mer fits a bigint.
+    A genome may be several rows (pieces that overlap by k - 1 letters, or contigs). Copies within a row go before the shuffle, and where no genome has two rows, which
+    a count of the ids tells, there are no others and no shuffle is made; k is at most 31, so that a k-mer fits a bigint.
     """
-    return row_kmers(genomes, k, seq, ["genome_id", *(keep or [])], both_strands, False).distinct()
+    rows = row_kmers(genomes, k, seq, ["genome_id", *(keep or [])], both_strands, False, canonical)
+    several = genomes.groupBy("genome_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows if several.isEmpty() else rows.distinct()
+
+
+#: The bits that stay when groups of 2, 4, 8, 16 and 32 bits of a long change places with their neighbours.
+HALVES = ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF))
+
+
+def other_strand(kmer: Column, k: int) -> Column:
+    """The reverse complement of a packed k-mer (bigint)."""
+    x = F.bitwise_not(kmer)
+    for width, mask in HALVES:
+        x = let(x, lambda v: F.shiftrightunsigned(v, width).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(v.bitwiseAND(F.lit(mask)), width)))  # noqa: B023
+    return F.shiftrightunsigned(x, 64 - 2 * k)
+
+
+#: k-mers that are broadcast at most, about 64 bytes each in the workers' tables; more are joined by a shuffle.
+BROADCAST_KMERS = 1_000_000
+
+
+def wanted_side(wanted: DataFrame) -> DataFrame:
+    """The distinct kmer values of wanted as the side of a join: written once, counted, and broadcast if there are at most BROADCAST_KMERS."""
+    table = settled(wanted.select("kmer").distinct())
+    return F.broadcast(table) if table.count() <= BROADCAST_KMERS else table
 
 
 def association(genomes: DataFrame, k: int, informative: bool = True) -> DataFrame:
     """kmer, cnt_r, cnt_s, score = share of R genomes less share of S genomes that carry it.
 
-    informative: only k-mers in at least 3 and at most all but one genomes. Genomes have genome_id, label (R or S), seq.
+    informative: only k-mers in at least 3 and at most all but one genomes. Genomes have genome_id, label (R or S), seq. A k-mer and its reverse complement have the same
+    genomes, so one of them is shuffled and counted, and both come out.
     """
-    counts = genome_kmers(genomes, k, keep=["label"]).groupBy("kmer").agg(F.count_if(F.col("label") == "R").alias("cnt_r"), F.count_if(F.col("label") == "S").alias("cnt_s"))
+    counts = genome_kmers(genomes, k, keep=["label"], canonical=True).groupBy("kmer").agg(F.count_if(F.col("label") == "R").alias("cnt_r"), F.count_if(F.col("label") == "S").alias("cnt_s"))
     size = genomes.agg(F.count_if(F.col("label") == "R").alias("n_r"), F.count_if(F.col("label") == "S").alias("n_s"))
     rows = counts.crossJoin(F.broadcast(size))
     if informative:
         rows = rows.where((F.col("cnt_r") + F.col("cnt_s")).between(3, F.col("n_r") + F.col("n_s") - 1))
     share = lambda a, n: F.coalesce(F.col(a) / F.nullif(F.col(n), F.lit(0)), F.lit(0.0))
-    return rows.select("kmer", "cnt_r", "cnt_s", (share("cnt_r", "n_r") - share("cnt_s", "n_s")).alias("score"))
+    both = F.explode(F.array_distinct(F.array(F.col("kmer"), other_strand(F.col("kmer"), k)))).alias("kmer")
+    return rows.select(both, "cnt_r", "cnt_s", (share("cnt_r", "n_r") - share("cnt_s", "n_s")).alias("score"))
 
 
 def strong(scores: DataFrame, threshold: float) -> DataFrame:
@@ -74,7 +105,7 @@ def strong(scores: DataFrame, threshold: float) -> DataFrame:
 def hits(genomes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """genome_id, pos, kmer: places on the forward strand of the wanted k-mers."""
     places = row_kmers(genomes, k, "seq", ["genome_id"], False, True)
-    return places.join(wanted.select("kmer"), "kmer", "left_semi").select("genome_id", "pos", "kmer")
+    return places.join(wanted_side(wanted), "kmer", "left_semi").select("genome_id", "pos", "kmer")
 
 
 def loci(found: DataFrame, k: int, gap: int = 500) -> DataFrame:
@@ -86,7 +117,8 @@ def loci(found: DataFrame, k: int, gap: int = 500) -> DataFrame:
 def gene_carriage(genes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """gene_id, n_kmers, n_wanted, share: distinct k-mers (both strands) of each gene (gene_id, seq) and how many are wanted."""
     own = genome_kmers(genes.select(F.col("gene_id").alias("genome_id"), "seq"), k)
-    marked = own.join(wanted.select("kmer").distinct().withColumn("_w", F.lit(1)), "kmer", "left")
+    side = wanted_side(wanted)
+    marked = own.join(side.select("kmer", F.lit(1).alias("_w")), "kmer", "left")
     counts = marked.groupBy(F.col("genome_id").alias("gene_id")).agg(F.count(F.lit(1)).alias("n_kmers"), F.count("_w").alias("n_wanted"))
     return counts.withColumn("share", F.col("n_wanted") / F.col("n_kmers"))
 
@@ -158,7 +190,7 @@ def sketch_similarity(sketch: DataFrame, size: int = 3000) -> DataFrame:
 
 def within_lineages(genomes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """lineage, n_r, n_s, mean_r, mean_s, separates: mean wanted k-mers carried by R and S genomes of each lineage; separates: R over 1.5 S + 1."""
-    own = genome_kmers(genomes, k).join(wanted.select("kmer"), "kmer", "left_semi").groupBy("genome_id").agg(F.count(F.lit(1)).alias("n"))
+    own = genome_kmers(genomes, k).join(wanted_side(wanted), "kmer", "left_semi").groupBy("genome_id").agg(F.count(F.lit(1)).alias("n"))
     rows = genomes.select("genome_id", "label", "lineage").join(own, "genome_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     r, s = (F.avg(F.when(F.col("label") == x, F.col("n"))) for x in "RS")
     out = rows.groupBy("lineage").agg(F.count_if(F.col("label") == "R").alias("n_r"), F.count_if(F.col("label") == "S").alias("n_s"), r.alias("mean_r"), s.alias("mean_s"))

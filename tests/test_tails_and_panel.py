@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandflow.functions import tails
-from strandflow.operators import evaluate, fusion
+from strandflow.operators import cohort, evaluate, fusion
 
 
 def student(t: float, n: int) -> float:
@@ -89,3 +89,33 @@ def test_panel(spark, monkeypatch):
         plain = sum(x * math.log2(2 * x / (x + y)) if x else 0 for v, w in ((p, q), (q, p)) for x, y in zip(v, w, strict=True)) / 2
         assert math.isclose(out["acquired"].structural, math.sqrt(plain), rel_tol=1e-9)
     assert fusion.panel(df.limit(0), profiles, strong, 21).count() == 0
+
+
+def test_both_strands_of_a_kmer_count_alike(spark, monkeypatch):
+    rng = random.Random(9)
+    flip = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    number = lambda s: int("".join(str("ACGT".index(c)) for c in s), 4)
+    texts = ["".join(rng.choice("ACGT") for _ in range(40)) for _ in range(5)]
+    rows = [(g, "RS"[g % 2], texts[(g + i) % 5] + "N" + texts[g % 3][:20]) for g in range(6) for i in range(1 + (g == 2))] + [(8, "R", None), (9, "S", "")]
+    for several in (True, False):
+        some = rows if several else [r for i, r in enumerate(rows) if r[0] not in {q[0] for q in rows[:i]}]
+        df = spark.createDataFrame(some, "genome_id bigint, label string, seq string").withColumn("kmer", F.lit("clash"))
+        for k in (4, 31, 5):
+            held: dict[int, set] = {}
+            for g, _, s in some:
+                for part in (s or "").split("N"):
+                    for w in (part, flip(part)):
+                        for i in range(len(w) - k + 1):
+                            held.setdefault(number(w[i : i + k]), set()).add(g)
+            label = {g: c for g, c, _ in some}
+            plain = {x: tuple(sum(label[g] == c for g in gs) for c in "RS") for x, gs in held.items()}
+            assert {r.kmer: (r.cnt_r, r.cnt_s) for r in cohort.association(df, k, informative=False).collect()} == plain
+            every = cohort.association(df, k, informative=False)
+            wanted = every.where("cnt_r > cnt_s")
+            for most in (10**6, 0):
+                monkeypatch.setattr(cohort, "BROADCAST_KMERS", most)
+                out = {r.gene_id: (r.n_kmers, r.n_wanted) for r in cohort.gene_carriage(df.withColumnRenamed("genome_id", "gene_id"), wanted, k).collect()}
+                strong = {x for x, (r, s) in plain.items() if r > s}
+                mine = {g: {x for x, gs in held.items() if g in gs} for g in label}
+                assert out == {g: (len(v), len(v & strong)) for g, v in mine.items() if v}
+    assert cohort.association(df.limit(0), 5).count() == 0
