@@ -43,33 +43,43 @@ def resonance(matrix: DataFrame, columns: int, alphabet: int = 4, first_k: int =
     return scored_pairs(counts, share, places, least)
 
 
-def tiled_resonance(docs: DataFrame, columns: int, last_k: int = 6, least: int = 5) -> DataFrame:
+def tiled_resonance(docs: DataFrame, columns: int, last_k: int = 6, least: int = 5, codons: bool = False) -> DataFrame:
     """As resonance, over every letter of docs (seq of ACGT): a sequence is cut into consecutive rows of `columns` letters, and its
     last row, or a sequence shorter than a row, is a row of the letters that there are. Pairs lie within rows.
+    codons: the symbols are the codons 0 to 63 in frame 0 instead, a row has `columns` of them, and one or two letters behind the last codon take no part.
 
     Rows of different lengths make a ragged matrix: a pair counts in each row that reaches to its second symbol, and the
-    possible places of a distance and the shares of the symbols are counted, not computed from columns.
+    possible places of a distance and the shares of the symbols are counted, not computed from columns. Null and empty sequences have no rows.
+    A task holds alphabet^2 x (columns + 3 x alphabet) counts a distance (10 MB for codons in rows of 100), however many letters it reads.
     """
+    size = 64 if codons else 4
+    cells = size * size
+
+    def symbols(text: str) -> np.ndarray:
+        x = CODES[np.frombuffer(text.encode(), np.uint8)]
+        if codons:
+            x = x[: len(x) // 3 * 3].reshape(-1, 3) @ np.array([16, 4, 1])
+        return x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        widths = {"s": 1, "p": columns, "l": 4, "r": 4, "g": 4}
-        sums = {(kind, k): np.zeros((16, w), np.int64) for k in range(1, last_k + 1) for kind, w in widths.items() if kind != "s"} | {("s", 0): np.zeros((16, 1), np.int64)}
+        widths = {"s": 1, "p": columns, "l": size, "r": size, "g": size}
+        sums = {(kind, k): np.zeros((cells, w), np.int64) for k in range(1, last_k + 1) for kind, w in widths.items() if kind != "s"} | {("s", 0): np.zeros((cells, 1), np.int64)}
         for batch in batches:
             texts = [t for t in batch.column("seq").to_pylist() if t]
-            some, size = [], 0
+            some, held = [], 0
             for i, t in enumerate(texts):
-                some.append(CODES[np.frombuffer(t.encode(), np.uint8)])
-                size += len(t)
-                if size > 1 << 20 or i == len(texts) - 1:
+                some.append(symbols(t))
+                held += len(t)
+                if held > 1 << 20 or i == len(texts) - 1:
                     x, n = np.concatenate(some), np.array([len(v) for v in some])
                     at = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
                     c = at % columns
                     width = np.minimum(columns, np.repeat(n, n) - (at - c))
-                    sums["s", 0] += np.bincount(x, minlength=16)[:, None]
+                    sums["s", 0] += np.bincount(x, minlength=cells)[:, None]
                     for k in range(1, last_k + 1):
                         p = np.flatnonzero(c + k < width)
-                        pair = x[p] * 4 + x[p + k]
-                        add = lambda kind, on, value: sums[kind, k].__iadd__(np.bincount(pair[on] * widths[kind] + value, minlength=16 * widths[kind]).reshape(16, -1))  # noqa: B023, E731
+                        pair = x[p] * size + x[p + k]
+                        add = lambda kind, on, value: sums[kind, k].__iadd__(np.bincount(pair[on] * widths[kind] + value, minlength=cells * widths[kind]).reshape(cells, -1))  # noqa: B023, E731
                         add("p", slice(None), c[p])
                         inner = np.flatnonzero(c[p] > 0)
                         add("l", inner, x[p[inner] - 1])
@@ -77,10 +87,12 @@ def tiled_resonance(docs: DataFrame, columns: int, last_k: int = 6, least: int =
                         add("r", inner, x[p[inner] + k])
                         for g in range(1, min(k, 4)):
                             add("g", slice(None), x[p + g])
-                    some, size = [], 0
+                    some, held = [], 0
         for (kind, k), n in sums.items():
             pair, value = np.nonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(pair), pa.int32()), pa.array(pair // 4, pa.int32()), pa.array(pair % 4, pa.int32()), pa.array([kind] * len(pair), pa.string()), pa.array(value, pa.int32()), pa.array(n[pair, value], pa.int64())], ["k", "b1", "b2", "kind", "value", "n"])
+            whole = lambda v, of: pa.array(np.full(len(pair), v), of)  # noqa: B023, E731
+            tag = pa.DictionaryArray.from_arrays(whole(0, pa.int32()), pa.array([kind])).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([whole(k, pa.int32()), pa.array(pair // size, pa.int32()), pa.array(pair % size, pa.int32()), tag, pa.array(value, pa.int32()), pa.array(n[pair, value], pa.int64())], ["k", "b1", "b2", "kind", "value", "n"])
 
     # a task has at most a row for each cell of the histograms, so this table is small; the texts are read once
     found = docs.select("seq").mapInArrow(run, "k int, b1 int, b2 int, kind string, value int, n bigint").groupBy("k", "b1", "b2", "kind", "value").agg(F.sum("n").alias("n"))

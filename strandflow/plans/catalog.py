@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandflow.functions import sequence as S
@@ -121,13 +121,17 @@ def revcomp(spark, sf_dir):
     return D.document_sequences(spark, sf_dir).select("doc_id", F.md5(S.reverse_complement(F.col("seq")).cast("binary")).alias("revcomp_md5"))
 
 
+def codon_name(number: str) -> Column:
+    """The three letters of a codon's number."""
+    letter = lambda x: F.substring(F.lit("ACGT"), (x % 4 + 1).cast("int"), F.lit(1))
+    return F.concat(letter(F.floor(F.col(number) / 16)), letter(F.floor(F.col(number) / 4)), letter(F.col(number)))
+
+
 @query(f"WITH {O.DOCS}, d AS (SELECT lang AS contig_id, 0 AS window_no, seq FROM doc_seq) SELECT contig_id AS lang, g AS codon, CAST(sum(n) AS BIGINT) AS n FROM {O.grams(3, 'd', every=3)} GROUP BY contig_id, g")
 def codon_counts(spark, sf_dir):
     docs = D.document_sequences(spark, sf_dir).withColumn("s", S.codes(F.col("seq")))
     each = docs.select("lang", F.inline(S.histogram(S.codons(F.col("s")))))
-    letter = lambda x: F.substring(F.lit("ACGT"), (x % 4 + 1).cast("int"), F.lit(1))
-    codon = F.concat(letter(F.floor(F.col("value") / 16)), letter(F.floor(F.col("value") / 4)), letter(F.col("value")))
-    return each.groupBy("lang", codon.alias("codon")).agg(F.sum("n").alias("n"))
+    return each.groupBy("lang", codon_name("value").alias("codon")).agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {O.CONTIGS}, {O.windows()}, {O.hurst()} SELECT contig_id, window_no * {STEP} AS start, round(h, 6) AS hurst FROM hurst")
@@ -143,9 +147,7 @@ def autocorr_period3(spark, sf_dir):
 @query(f"WITH {O.CONTIGS}, {O.windows()}, {O.SPINE3}, {O.rscu('r')} SELECT contig_id, window_no * {STEP} AS start, g AS codon, round(rscu, 6) AS rscu FROM r")
 def rscu(spark, sf_dir):
     m = measured_windows(spark, sf_dir, "codon").select("contig_id", "start", F.posexplode(S.rscu_from_counts(F.col("codon"))).alias("i", "rscu"))
-    letter = lambda x: F.substring(F.lit("ACGT"), (x % 4 + 1).cast("int"), F.lit(1))
-    codon = F.concat(letter(F.floor(F.col("i") / 16)), letter(F.floor(F.col("i") / 4)), letter(F.col("i")))
-    return m.select("contig_id", "start", codon.alias("codon"), r6("rscu").alias("rscu"))
+    return m.select("contig_id", "start", codon_name("i").alias("codon"), r6("rscu").alias("rscu"))
 
 
 @query(
@@ -517,26 +519,41 @@ STABLE = "CASE WHEN sum(n) <= 1 THEN 0.0 WHEN count(*) < 2 THEN 1.0 ELSE 1.0 - (
 TILE = 300
 
 
-@query(
-    f"""WITH {O.DOCS}, m AS MATERIALIZED (SELECT substr(seq, t * {TILE} + 1, {TILE}) AS q FROM (SELECT seq, unnest(range(0, (length(seq) + {TILE - 1}) // {TILE})) AS t FROM doc_seq)),
-f AS (SELECT v, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS f FROM (SELECT unnest(string_split(q, '')) AS v FROM m) GROUP BY v),
-occ AS MATERIALIZED (SELECT k, c, length(q) AS w, q[c + 1] AS b1, q[c + k + 1] AS b2, q[c] AS l, q[c + 2] AS g1, q[c + 3] AS g2, q[c + 4] AS g3 FROM (SELECT q, k, unnest(range(0, length(q) - k)) AS c FROM (SELECT q, unnest(range(1, 7)) AS k FROM m))),
+def resonance_sql(rows: str, each: str, last_k: int, least: int, names: str) -> str:
+    """Resonance of the symbols of rows (q: a string of letters or a list of symbols; each unnests one); names: the columns b1 and b2 of the result."""
+    return f"""WITH {O.DOCS}, m AS MATERIALIZED ({rows}),
+f AS (SELECT v, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS f FROM (SELECT {each} AS v FROM m) GROUP BY v),
+occ AS MATERIALIZED (SELECT k, c, length(q) AS w, q[c + 1] AS b1, q[c + k + 1] AS b2, q[c] AS l, q[c + 2] AS g1, q[c + 3] AS g2, q[c + 4] AS g3 FROM (SELECT q, k, unnest(range(0, length(q) - k)) AS c FROM (SELECT q, unnest(range(1, {last_k + 1})) AS k FROM m))),
 p AS (SELECT k, b1, b2, 'p' AS kind, CAST(c AS VARCHAR) AS v FROM occ UNION ALL SELECT k, b1, b2, 'l', l FROM occ WHERE c > 0 UNION ALL SELECT k, b1, b2, 'r', b2 FROM occ WHERE c + k + 1 < w
   UNION ALL SELECT k, b1, b2, 'g', g1 FROM occ WHERE k > 1 UNION ALL SELECT k, b1, b2, 'g', g2 FROM occ WHERE k > 2 UNION ALL SELECT k, b1, b2, 'g', g3 FROM occ WHERE k > 3),
 h AS (SELECT k, b1, b2, kind, v, count(*) AS n FROM p GROUP BY ALL), st AS (SELECT k, b1, b2, kind, {STABLE} AS s FROM h GROUP BY k, b1, b2, kind),
 t AS (SELECT k, b1, b2, count(*) AS n FROM occ GROUP BY ALL), z AS (SELECT k, CAST(sum(n) AS DOUBLE) AS places FROM t GROUP BY k), w AS (SELECT k, b1, b2, max(s) FILTER (WHERE kind = 'p') AS p, max(s) FILTER (WHERE kind = 'l') AS l, max(s) FILTER (WHERE kind = 'r') AS r, max(s) FILTER (WHERE kind = 'g') AS g FROM st GROUP BY ALL),
 v AS (SELECT t.b1, t.b2, t.k, t.n, least(1, ln(1 + 10.0 * t.n) / ln(1 + z.places)) AS a, abs(t.n - coalesce(u.n, 0)) / (t.n + coalesce(u.n, 0)) AS d,
   1 - exp(-greatest(log2(t.n / z.places / (f1.f * f2.f)), 0) / 4) AS mi, w.p, (coalesce(w.l, 0) + coalesce(w.r, 0)) / 2 AS x, CASE WHEN t.k > 1 THEN coalesce(w.g, 0) ELSE 1.0 END AS g
-  FROM t JOIN z USING (k) LEFT JOIN t u ON u.k = t.k AND u.b1 = t.b2 AND u.b2 = t.b1 JOIN w ON w.k = t.k AND w.b1 = t.b1 AND w.b2 = t.b2 JOIN f f1 ON f1.v = t.b1 JOIN f f2 ON f2.v = t.b2 WHERE t.n >= 5)
-SELECT CAST(instr('ACGT', b1) - 1 AS INT) AS b1, CAST(instr('ACGT', b2) - 1 AS INT) AS b2, CAST(k AS INT) AS k, n, round(a, 6) AS a, round(d, 6) AS d, round(mi, 6) AS mi, round(p, 6) AS p, round(x, 6) AS x, round(g, 6) AS g,
+  FROM t JOIN z USING (k) LEFT JOIN t u ON u.k = t.k AND u.b1 = t.b2 AND u.b2 = t.b1 JOIN w ON w.k = t.k AND w.b1 = t.b1 AND w.b2 = t.b2 JOIN f f1 ON f1.v = t.b1 JOIN f f2 ON f2.v = t.b2 WHERE t.n >= {least})
+SELECT {names}, CAST(k AS INT) AS k, n, round(a, 6) AS a, round(d, 6) AS d, round(mi, 6) AS mi, round(p, 6) AS p, round(x, 6) AS x, round(g, 6) AS g,
   round(CASE WHEN least(a, d, mi, p, x, g) > 0 THEN exp((ln(a) + ln(d) + ln(mi) + ln(p) + ln(x) + ln(g)) / 6) ELSE 0 END, 6) AS r FROM v"""
-)
+
+
+@query(resonance_sql(f"SELECT substr(seq, t * {TILE} + 1, {TILE}) AS q FROM (SELECT seq, unnest(range(0, (length(seq) + {TILE - 1}) // {TILE})) AS t FROM doc_seq)", "unnest(string_split(q, ''))", 6, 5, "CAST(instr('ACGT', b1) - 1 AS INT) AS b1, CAST(instr('ACGT', b2) - 1 AS INT) AS b2"))
 def resonance_tiles(spark, sf_dir):
     """Pair resonance over all letters of all documents: each is cut into rows of 300 letters (the reference's width), the last one as long as what is left."""
     found = resonance.tiled_resonance(D.document_sequences(spark, sf_dir), TILE)
     return found.select("b1", "b2", "k", "n", *[r6(c).alias(c) for c in ("a", "d", "mi", "p", "x", "g", "r")])
 
 
+@query(
+    resonance_sql(
+        f"SELECT list_transform(range(0, length(t) // 3), lambda i: substr(t, i * 3 + 1, 3)) AS q FROM (SELECT substr(seq, t * {TILE} + 1, {TILE}) AS t FROM (SELECT seq, unnest(range(0, (length(seq) + {TILE - 1}) // {TILE})) AS t FROM doc_seq))",
+        "unnest(q)", 8, 20, "b1, b2",
+    )
+)
+def codon_resonance(spark, sf_dir):
+    """Pair resonance of codons at distances up to 8 over all documents, in rows of 100 codons from each document's first letter; pairs that occur 20 times."""
+    found = resonance.tiled_resonance(D.document_sequences(spark, sf_dir), TILE // 3, 8, 20, codons=True)
+    return found.select(codon_name("b1").alias("b1"), codon_name("b2").alias("b2"), "k", "n", *[r6(c).alias(c) for c in ("a", "d", "mi", "p", "x", "g", "r")])
+
+
 @query(
     f"""WITH {O.DOCS}, d AS (SELECT doc_id, seq FROM doc_seq WHERE length(seq) >= 12),
 x AS (SELECT doc_id, length(seq) AS n, i - 1 AS pos, substr(seq, i, 1) AS c, CASE WHEN i > 5 THEN substr(seq, i - 5, 5) END AS pre, CASE WHEN i + 5 <= length(seq) THEN substr(seq, i + 1, 5) END AS post FROM (SELECT *, unnest(range(1, length(seq) + 1)) AS i FROM d)),

@@ -365,6 +365,22 @@ def test_resonance_of_all_letters(spark):
     assert {k: v[0] for k, v in values(resonance.tiled_resonance(docs(texts), 12, least=1)).items()} == n  # short rows and letters behind the first row count
 
 
+def test_resonance_of_codons(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["ACG", "AAA", "TTG", "CAT", "A"]) for _ in range(n)) for n in (0, 1, 7, 60, 80)]
+    coded = lambda t: ["ACGT".index(t[i]) * 16 + "ACGT".index(t[i + 1]) * 4 + "ACGT".index(t[i + 2]) for i in range(0, len(t) - 2, 3)]
+    rows = [c[i : i + 6] for c in map(coded, texts) for i in range(0, len(c), 6)]
+    even = [t[i : i + 18] for t in texts for i in range(0, len(t), 18) if len(t[i : i + 18]) == 18]
+    docs = lambda rows: spark.createDataFrame([(t,) for t in [*rows, None, "A", "AC"]], "seq string").withColumn("k", F.lit("clash")).repartition(3)
+    matrix = spark.createDataFrame([(coded(t),) for t in even], "symbols array<int>")
+    values = lambda df: {(r.b1, r.b2, r.k): tuple(round(x, 9) for x in r[3:]) for r in df.collect()}
+    # letters that no codon holds don't count, so the shares of the symbols are those of the matrix
+    assert values(resonance.tiled_resonance(docs(even), 6, 8, 1, codons=True)) == values(resonance.resonance(matrix, 6, 64, last_k=8, least=1))
+    n = Counter((q[c], q[c + k], k) for q in rows for k in range(1, 9) for c in range(len(q) - k))
+    assert {key: v[0] for key, v in values(resonance.tiled_resonance(docs(texts), 6, 8, 1, codons=True)).items()} == n
+    assert resonance.tiled_resonance(docs(texts).limit(0), 6, codons=True).count() == 0
+
+
 def test_features_of_whole_contigs(spark):
     rng = random.Random(6)
     seqs = {"a": "A" * 50 + "".join(rng.choice("CGT") for _ in range(173)), "b": "".join(rng.choice("ACGT") for _ in range(100)), "c": "ACGTA" * 20 + "C"}
