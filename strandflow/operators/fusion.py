@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from strandflow.functions import sequence as S
+from strandflow.operators import evaluate
 from strandflow.operators.cohort import gene_carriage
 from strandflow.operators.evaluate import percentile_rank
 from strandflow.operators.measures import measured
-from strandflow.operators.pieces import contig_lengths, windows
+from strandflow.operators.pieces import contig_lengths, running_sums, windows
 from strandflow.plans.session import settled
 
 #: Median and scale of the reference distribution of heterogeneity.
@@ -90,6 +91,14 @@ PHENOTYPE, STRUCTURE = 0.1, 0.3
 BROADCAST_GENOMES = 10_000
 
 
+def profile_distances(genes: DataFrame, profiles: DataFrame) -> DataFrame:
+    """gene_id, genome, structural: how far the 3-mers of each gene (gene_id, genome, seq) are from the profile of its genome; null without a profile."""
+    table = settled(profiles)
+    few = table.count() <= BROADCAST_GENOMES
+    counted = measured(genes.select("gene_id", "genome", "seq"), wanted=("k3",)).select("gene_id", "genome", "k3")
+    return counted.join(F.broadcast(table) if few else table, "genome", "left").select("gene_id", "genome", jensen_shannon(F.col("k3"), F.col("profile")).alias("structural"))
+
+
 def panel(genes: DataFrame, profiles: DataFrame, strong: DataFrame, k: int = 31) -> DataFrame:
     """gene_id, genome, phenotype, structural, evidence of the genes (gene_id, unique; genome; seq) of k letters or more.
 
@@ -98,16 +107,62 @@ def panel(genes: DataFrame, profiles: DataFrame, strong: DataFrame, k: int = 31)
     null distance and no evidence of structure; shorter genes and null sequences have no row.
     """
     long = genes.where(F.length("seq") >= k)
-    table = settled(profiles)
-    few = table.count() <= BROADCAST_GENOMES
-    counted = measured(long.select("gene_id", "genome", "seq"), wanted=("k3",)).select("gene_id", "genome", "k3")
-    placed = counted.join(F.broadcast(table) if few else table, "genome", "left").select("gene_id", "genome", jensen_shannon(F.col("k3"), F.col("profile")).alias("structural"))
+    placed = profile_distances(long, profiles)
     held = gene_carriage(long.select("gene_id", "seq"), strong, k).select("gene_id", F.col("share").alias("phenotype"))
     causal, foreign = F.round("phenotype", 9) > PHENOTYPE, F.round("structural", 9) > STRUCTURE
     evidence = F.when(causal & foreign, "DUAL").when(causal, "PHENOTYPE").when(foreign, "STRUCTURE").otherwise("NONE")
     return placed.join(held, "gene_id").select("gene_id", "genome", "phenotype", "structural", evidence.alias("evidence"))
 
 
+def contig_regimes(found: DataFrame) -> DataFrame:
+    """contig_id, gc_std, h3_std (thousandths), gc_tail, h3_tail of windows (contig_id, gc, h3): the spread of both over a contig, and how far its most deviant window
+    lies from the median in median deviations. Values are taken to six digits, so that a contig's percentiles hold a million different ones at most."""
+    rows = settled(found.select("contig_id", *[F.round(c, 6).alias(c) for c in ("gc", "h3")]))
+    middle = lambda c: F.percentile(c, F.lit(0.5))
+    mid = rows.groupBy("contig_id").agg(*[middle(c).alias(f"_{c}") for c in ("gc", "h3")], *[F.round(F.stddev_pop(c) * 1000, 6).alias(f"{c}_std") for c in ("gc", "h3")])
+    away = rows.join(mid, "contig_id").select("contig_id", *[F.round(F.abs(F.col(c) - F.col(f"_{c}")), 6).alias(c) for c in ("gc", "h3")])
+    tails = away.groupBy("contig_id").agg(*[F.round(F.max(c) / (middle(c) + 1e-9), 3).alias(f"{c}_tail") for c in ("gc", "h3")])
+    return mid.drop("_gc", "_h3").join(tails, "contig_id")
+
+
+def regime_fusion(genes: DataFrame, regimes: DataFrame, features: list[str]) -> DataFrame:
+    """contig_id, n_pos, n_neg, feature, heterogeneity, own, other, mean, selected, soft, best: areas under the curve of two channels of gene scores and of their fusions, contig by contig.
+
+    genes: contig_id, gene_id (unique), is_pos, own, other (no nulls); regimes: contig_id and the features, 0 for contigs without a row. Of the features that which tells best which
+    channel wins is taken (largest rank correlation with own - other over all contigs, the first of equal ones), and its sign says whether high values speak for own. mean:
+    of both percentiles; selected: the channel that the feature's Otsu cut chooses for the contig; soft: percentiles weighed by the contig's rank by the feature among all contigs;
+    best: the better channel. Contigs without an id or without both classes have no row. Genes and contigs are ranked by ranges, so neither a contig nor the set is one task.
+    """
+    areas = lambda rows, names: evaluate.auc(rows, ["contig_id", "channel"], "v", "is_pos").where("auc is not null").groupBy("contig_id").agg(F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"), *[F.max(F.when(F.col("channel") == c, F.col("auc"))).alias(c) for c in names])
+    each = lambda **values: F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.round(v, 9).alias("v")) for c, v in values.items()]))
+    one = F.lit(1).alias("one")
+    long = settled(genes.select("contig_id", "gene_id", "is_pos", each(own=F.col("own"), other=F.col("other")), one))
+    single = settled(areas(long, ["own", "other"]))
+
+    known = single.join(regimes, "contig_id", "left").withColumn("won", F.round(F.col("own") - F.col("other"), 9))
+    cells = settled(known.select("contig_id", "won", F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("feature"), F.coalesce(F.col(c), F.lit(0.0)).alias("x")) for i, c in enumerate(features)])), one))
+    ranked = cells
+    for c in ("x", "won"):
+        levels = cells.groupBy("i", c).agg(F.count(F.lit(1)).alias("n"))
+        ranked = ranked.join(evaluate.mid_ranks(levels, ["i"], c, "n").select("i", c, F.col("_rank").alias(f"rank_{c}")), ["i", c])
+    told = ranked.groupBy("i").agg(F.round(F.coalesce(F.nanvl(F.corr("rank_x", "rank_won"), F.lit(0.0)), F.lit(0.0)), 9).alias("r"))
+    winner = told.orderBy(F.abs("r").desc(), "i").limit(1).select("i", (F.col("r") >= 0).alias("high"))  # of a row a feature
+
+    chosen = settled(cells.join(F.broadcast(winner), "i"))
+    cut = evaluate.otsu(chosen, [], "x").select("threshold").crossJoin(chosen.agg(F.count(F.lit(1)).alias("contigs")))
+    place = running_sums(chosen, [], ["x", "contig_id"], "one").crossJoin(F.broadcast(cut))
+    rank = F.when(F.col("contigs") > 1, F.col("before_one") / F.nullif(F.col("contigs") - 1, F.lit(0))).otherwise(0.0)
+    weighed = settled(place.select("contig_id", "feature", F.col("x").alias("heterogeneity"), F.when(F.col("high"), 1.0 - rank).otherwise(rank).alias("weight"), ((F.round("x", 9) >= F.round("threshold", 9)) == F.col("high")).alias("trusts_own")))
+
+    size = genes.groupBy("contig_id").agg(F.count(F.lit(1)).alias("n"))
+    share = running_sums(long, ["contig_id", "channel"], ["v", "gene_id"], "one").join(size, "contig_id")
+    share = share.withColumn("p", F.when(F.col("n") > 1, F.col("before_one") / F.nullif(F.col("n") - 1, F.lit(0))).otherwise(0.0))
+    both = share.groupBy("contig_id", "gene_id", "is_pos").agg(*[F.max(F.when(F.col("channel") == c, F.col("p"))).alias(c) for c in ("own", "other")]).join(weighed.select("contig_id", "weight"), "contig_id")
+    fused = both.select("contig_id", "is_pos", each(mean=(F.col("own") + F.col("other")) / 2, soft=(1.0 - F.col("weight")) * F.col("own") + F.col("weight") * F.col("other")))
+    rows = single.join(areas(settled(fused), ["mean", "soft"]).drop("n_pos", "n_neg"), "contig_id").join(weighed, "contig_id")
+    return rows.select("contig_id", "n_pos", "n_neg", "feature", "heterogeneity", "own", "other", "mean", F.when(F.col("trusts_own"), F.col("own")).otherwise(F.col("other")).alias("selected"), "soft", F.greatest("own", "other").alias("best"))
+
+
 def has_keyword(text: Column, keywords: list[str]) -> Column:
     lowered = F.lower(text)
     return F.coalesce(F.exists(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(lowered, k)), F.lit(False))

@@ -569,12 +569,17 @@ def correlation_tails(spark, sf_dir):
     return found.select("measure", "n", *[r6(c).alias(c) for c in ("r", "t", "p")])
 
 
+def distance_sql(genes: str) -> str:
+    """d: gene_id, structural of the genes (gene_id, genome, seq) against the profiles of whole (genome, seq)."""
+    return f"""b3 AS (SELECT gene_id, genome, g, n / sum(n) OVER (PARTITION BY gene_id) AS p FROM {O.grams(3, genes, 'gene_id, genome')}),
+w3 AS (SELECT genome, g, sum(n) / sum(sum(n)) OVER (PARTITION BY genome) AS q FROM {O.grams(3, 'whole', 'genome')} GROUP BY genome, g),
+d AS (SELECT gene_id, sqrt(greatest(sum(p * log2(2 * p / (p + coalesce(q, 0))) + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 + (1 - sum(coalesce(q, 0))) / 2, 0)) AS structural FROM b3 LEFT JOIN w3 USING (genome, g) GROUP BY gene_id)"""
+
+
 def panel_sql(genes: str, profile: str) -> str:
     """The panel over genes (gene_id, genome, seq; 31 letters or more); profile: genome, seq of the sequences whose 3-mers are a genome's profile."""
     return f"""genes AS (SELECT * FROM ({genes}) WHERE length(seq) >= 31), whole AS ({profile}),
-b3 AS (SELECT gene_id, genome, g, n / sum(n) OVER (PARTITION BY gene_id) AS p FROM {O.grams(3, 'genes', 'gene_id, genome')}),
-w3 AS (SELECT genome, g, sum(n) / sum(sum(n)) OVER (PARTITION BY genome) AS q FROM {O.grams(3, 'whole', 'genome')} GROUP BY genome, g),
-d AS (SELECT gene_id, sqrt(greatest(sum(p * log2(2 * p / (p + coalesce(q, 0))) + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 + (1 - sum(coalesce(q, 0))) / 2, 0)) AS structural FROM b3 LEFT JOIN w3 USING (genome, g) GROUP BY gene_id),
+{distance_sql('genes')},
 own AS (SELECT DISTINCT gene_id, {O.packed('g', 31)} AS kmer FROM (SELECT gene_id, substr(seq, i, 31) AS g FROM (SELECT gene_id, seq, unnest(range(1, length(seq) - 29)) AS i FROM (SELECT gene_id, seq FROM genes UNION ALL SELECT gene_id, reverse(translate(seq, 'ACGT', 'TGCA')) FROM genes)))),
 c AS (SELECT gene_id, avg((kmer IN (SELECT kmer FROM strong))::INT) AS phenotype FROM own GROUP BY gene_id)
 SELECT gene_id, genome, round(phenotype, 6) AS phenotype, round(structural, 6) AS structural,
@@ -606,3 +611,41 @@ def mechanism_panel_passages(spark, sf_dir):
     """Benchmark passages as genes against the structure of all documents as one genome."""
     genes = benchmark_genes(spark, sf_dir).withColumn("genome", F.lit("host"))
     return panel_of(genes, D.document_sequences(spark, sf_dir).select(F.lit("host").alias("genome"), "seq"), strong31(spark, sf_dir))
+
+
+REGIMES = ["gc_std", "h3_std", "gc_tail", "h3_tail"]
+
+
+def areas_sql(name: str, rows: str, channels: tuple[str, str]) -> str:
+    """name: contig_id, n_pos, n_neg and the areas of both channels of rows (contig_id, is_pos, channel, score)."""
+    each = ", ".join(f"max(auc) FILTER (WHERE channel = '{c}') AS {c}" for c in channels)
+    return f"""{name}_r AS (SELECT contig_id, channel, is_pos, {RANKS.format(k='contig_id, channel')} FROM ({rows})), {name}_s AS (SELECT contig_id, channel, {AUC_SQL}, sum(rk) FILTER (WHERE is_pos) AS s FROM {name}_r GROUP BY ALL),
+{name} AS (SELECT contig_id, max(n_pos) AS n_pos, max(n_neg) AS n_neg, {each} FROM (SELECT *, (s - n_pos * (n_pos + 1) / 2.0) / nullif(n_pos * n_neg, 0) AS auc FROM {name}_s) WHERE auc IS NOT NULL GROUP BY contig_id)"""
+
+
+@query(
+    f"""WITH {O.COMPOSITE_SCORES}, gseq AS (SELECT doc_id AS gene_id, source AS genome, seq FROM doc_seq WHERE length(seq) >= 150 AND source IS NOT NULL), whole AS (SELECT source AS genome, seq FROM doc_seq), {distance_sql("gseq")},
+g AS MATERIALIZED (SELECT contig_id, gene_id, is_pos, round(score, 9) AS own, round(structural, 9) AS other FROM gene_scores JOIN d USING (gene_id)),
+{areas_sql("single", "SELECT contig_id, is_pos, 'own' AS channel, own AS score FROM g UNION ALL SELECT contig_id, is_pos, 'other', other FROM g", ("own", "other"))},
+v AS (SELECT contig_id, round(gc, 6) AS gc, round(h3, 6) AS h3 FROM sig), q AS (SELECT contig_id, median(gc) AS mg, median(h3) AS mh FROM v GROUP BY contig_id),
+fe AS (SELECT contig_id, round(stddev_pop(gc) * 1000, 6) AS gc_std, round(stddev_pop(h3) * 1000, 6) AS h3_std, round(max(dg) / (median(dg) + 1e-9), 3) AS gc_tail, round(max(dh) / (median(dh) + 1e-9), 3) AS h3_tail
+  FROM (SELECT *, round(abs(gc - mg), 6) AS dg, round(abs(h3 - mh), 6) AS dh FROM v JOIN q USING (contig_id)) GROUP BY contig_id),
+cells AS MATERIALIZED (SELECT contig_id, round(own - other, 9) AS won, i, ['gc_std', 'h3_std', 'gc_tail', 'h3_tail'][i] AS feature, coalesce([gc_std, h3_std, gc_tail, h3_tail][i], 0) AS het FROM single LEFT JOIN fe USING (contig_id), (SELECT unnest([1, 2, 3, 4]) AS i)),
+rks AS (SELECT i, rank() OVER (PARTITION BY i ORDER BY het) + (count(*) OVER (PARTITION BY i, het) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY i ORDER BY won) + (count(*) OVER (PARTITION BY i, won) - 1) / 2.0 AS rw FROM cells),
+co AS (SELECT i, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(rw) > 0 THEN round(corr(rx, rw), 9) ELSE 0 END AS r FROM rks GROUP BY i), top AS (SELECT i, r >= 0 AS high FROM co ORDER BY abs(r) DESC, i LIMIT 1),
+het AS MATERIALIZED (SELECT contig_id, feature, het, high FROM cells JOIN top USING (i)), {OTSU},
+weighed AS (SELECT contig_id, feature, het, high, (round(het, 9) >= round(CASE WHEN (SELECT count(*) FROM het) < 2 THEN 0 ELSE cut END, 9)) = high AS trusts, (row_number() OVER (ORDER BY het, contig_id) - 1) / greatest(count(*) OVER () - 1, 1) AS w FROM het, cut),
+p AS (SELECT contig_id, is_pos, (row_number() OVER (PARTITION BY contig_id ORDER BY own, gene_id) - 1) / greatest(count(*) OVER (PARTITION BY contig_id) - 1, 1) AS a, (row_number() OVER (PARTITION BY contig_id ORDER BY other, gene_id) - 1) / greatest(count(*) OVER (PARTITION BY contig_id) - 1, 1) AS b FROM g),
+pw AS (SELECT contig_id, is_pos, a, b, CASE WHEN high THEN 1.0::DOUBLE - w ELSE w END AS w FROM p JOIN weighed USING (contig_id)),
+{areas_sql("fusedareas", "SELECT contig_id, is_pos, 'mean' AS channel, round((a + b) / 2, 9) AS score FROM pw UNION ALL SELECT contig_id, is_pos, 'soft', round((1.0::DOUBLE - w) * a + w * b, 9) FROM pw", ("mean", "soft"))}
+SELECT contig_id, s.n_pos, s.n_neg, feature, round(het, 6) AS heterogeneity, round(own, 6) AS own, round(other, 6) AS other, round(f.mean, 6) AS mean, round(CASE WHEN trusts THEN own ELSE other END, 6) AS selected, round(f.soft, 6) AS soft, round(greatest(own, other), 6) AS best
+FROM single s JOIN fusedareas f USING (contig_id) JOIN weighed USING (contig_id)"""
+)
+def regime_fusion(spark, sf_dir):
+    """The gene benchmark's fusions, source by source: the scan's composite and the structural distance of genes, their mean, a selector by the sources' own heterogeneity, and soft weights by its rank over the set."""
+    docs = D.document_sequences(spark, sf_dir).select(F.col("doc_id").alias("gene_id"), F.col("source").alias("genome"), "seq").where("genome is not null")
+    structural = fusion.profile_distances(docs.where(F.length("seq") >= 150), fusion.triplet_profile(docs)).select("gene_id", F.col("structural").alias("other"))
+    genes = composite_genes(spark, sf_dir).select("contig_id", "gene_id", "is_pos", F.col("score").alias("own")).join(structural, "gene_id")
+    whole = measured_windows(spark, sf_dir, "k3").where(F.col("end") - F.col("start") == W).select("contig_id", S.gc_content(F.col("seq")).alias("gc"), (S.entropy(F.col("k3")) / 6).alias("h3"))
+    found = fusion.regime_fusion(settled(genes), fusion.contig_regimes(whole), REGIMES)
+    return found.select("contig_id", "n_pos", "n_neg", "feature", *[r6(c).alias(c) for c in ("heterogeneity", "own", "other", "mean", "selected", "soft", "best")])

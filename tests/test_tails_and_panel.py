@@ -119,3 +119,57 @@ def test_both_strands_of_a_kmer_count_alike(spark, monkeypatch):
                 mine = {g: {x for x, gs in held.items() if g in gs} for g in label}
                 assert out == {g: (len(v), len(v & strong)) for g, v in mine.items() if v}
     assert cohort.association(df.limit(0), 5).count() == 0
+
+
+def test_regime_fusion(spark):
+    rng = random.Random(12)
+    genes, regimes = [], []
+    for c in range(9):
+        lively = rng.random()
+        regimes.append((f"c{c}", round(lively, 3), rng.choice([1.0, 2.0])))
+        for i in range(20 if c else 1):
+            pos = i % 4 == 0
+            genes.append((f"c{c}", c * 100 + i, pos, rng.randrange(6) + pos * lively * 4, rng.randrange(6) + pos * (1 - lively) * 4))
+    genes += [("late", 2000 + i, i == 1, float(i), 1.0) for i in range(3)]  # a contig without a regime; c0 has one class alone
+    df = spark.createDataFrame(genes, "contig_id string, gene_id int, is_pos boolean, own double, other double").withColumn("channel", F.lit("clash")).repartition(4)
+    table = spark.createDataFrame(regimes, "contig_id string, lively double, idle double")
+    out = {r.contig_id: r for r in fusion.regime_fusion(df, table, ["idle", "lively"]).collect()}
+
+    def area(rows):
+        pos, neg = ([v for p, v in rows if p is w] for w in (True, False))
+        return sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+
+    def ranks(values):
+        return [sum(y < x for y in values) + (values.count(x) + 1) / 2 for x in values]
+
+    def corr(a, b):
+        ma, mb = sum(a) / len(a), sum(b) / len(b)
+        s = math.sqrt(sum((x - ma) ** 2 for x in a) * sum((y - mb) ** 2 for y in b))
+        return sum((x - ma) * (y - mb) for x, y in zip(a, b, strict=True)) / s if s else 0
+
+    of = {c: [g for g in genes if g[0] == c] for c in dict.fromkeys(g[0] for g in genes)}
+    of.pop("c0")
+    names = sorted(of)
+    assert sorted(out) == names
+    own, other = ({c: area([(g[2], round(g[i], 9)) for g in of[c]]) for c in names} for i in (3, 4))
+    value = {f: {c: next((r[1 + j] for r in regimes if r[0] == c), 0.0) for c in names} for j, f in enumerate(("lively", "idle"))}
+    won = [round(own[c] - other[c], 9) for c in names]
+    told = {f: corr(ranks([value[f][c] for c in names]), ranks(won)) for f in ("idle", "lively")}
+    feature = max(("idle", "lively"), key=lambda f: abs(round(told[f], 9)))
+    high, x = told[feature] >= 0, value[feature]
+    cuts = sorted(set(x.values()))
+    spread = lambda cut: (lambda a, b: len(a) * len(b) / len(names) ** 2 * (sum(a) / len(a) - sum(b) / len(b)) ** 2)([v for v in x.values() if v <= cut], [v for v in x.values() if v > cut])
+    at = max(range(len(cuts) - 1), key=lambda i: round(spread(cuts[i]), 9))
+    cut = (cuts[at] + cuts[at + 1]) / 2
+    order = sorted(names, key=lambda c: (x[c], c))
+    for c in names:
+        place = {i: {g[1]: j / (len(of[c]) - 1) for j, g in enumerate(sorted(of[c], key=lambda g: (round(g[i], 9), g[1])))} for i in (3, 4)}
+        w = order.index(c) / (len(names) - 1)
+        w = 1 - w if high else w
+        r = out[c]
+        assert (r.feature, r.heterogeneity) == (feature, x[c])
+        assert math.isclose(r.own, own[c]) and math.isclose(r.other, other[c]) and r.best == max(r.own, r.other)
+        assert math.isclose(r.mean, area([(g[2], round((place[3][g[1]] + place[4][g[1]]) / 2, 9)) for g in of[c]]))
+        assert math.isclose(r.soft, area([(g[2], round((1 - w) * place[3][g[1]] + w * place[4][g[1]], 9)) for g in of[c]]))
+        assert r.selected == (r.own if (x[c] >= cut) == high else r.other)
+    assert fusion.regime_fusion(df.limit(0), table, ["idle", "lively"]).count() == 0
