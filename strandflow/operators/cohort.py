@@ -141,8 +141,9 @@ def sketches(genomes: DataFrame, k: int, size: int = 3000, hashed: bool = False,
 BLOCK_GENOMES = 64
 
 
-def sketch_similarity(sketch: DataFrame, size: int = 3000) -> DataFrame:
+def sketch_similarity(sketch: DataFrame, size: int = 3000, zero: bool = True) -> DataFrame:
     """a, b, jaccard of genomes that share a sketched k-mer: share of the size least k-mers of the union that both have; a pair without any has no row.
+    zero: keep pairs whose shared k-mers all lie beyond those size least, at 0.
 
     Genomes are dealt to blocks, and a task holds two blocks' sketches (128 x size k-mers at most in the mean), so no k-mer's genomes are paired as rows, however
     many have it. The rank in the union of a k-mer that both have is its rank in a plus its rank in b less the number of shared ones up to it.
@@ -178,7 +179,7 @@ def sketch_similarity(sketch: DataFrame, size: int = 3000) -> DataFrame:
             upto -= np.repeat(upto[begin] - hit[begin], n)
             rank = np.arange(len(theirs)) - np.repeat(begin, n) + 1
             kept = np.add.reduceat((hit & (at + 1 + rank - upto <= size)).astype(np.int64), begin)
-            some = np.flatnonzero(shared)
+            some = np.flatnonzero(shared if zero else kept)
             out[0].append(np.minimum(x, others[some]))
             out[1].append(np.maximum(x, others[some]))
             out[2].append(kept[some] / np.minimum(size, len(own) + n[some] - shared[some]))
