@@ -189,6 +189,64 @@ def sketch_similarity(sketch: DataFrame, size: int = 3000, zero: bool = True) ->
     return dealt.groupBy("p", "q").applyInArrow(compared, shape)
 
 
+#: Sketches of a posting list that a task pairs with as many others.
+CHUNK = 256
+
+
+def paired(lists: DataFrame, wanted: Column, *values: str) -> DataFrame:
+    """a, b (structs of a list's members, in their order) and the values, of all pairs of members that the condition on x and y holds for. Long lists are dealt
+    by pairs of chunks, so no task pairs the whole of one."""
+    chunks = F.ceil(F.size("members") / CHUNK).cast("int")
+    cut = lambda i: F.slice("members", i * CHUNK + 1, F.lit(CHUNK))
+    one = lists.withColumn("_i", F.explode(F.sequence(F.lit(0), chunks - 1))).withColumn("_j", F.explode(F.sequence(F.col("_i"), chunks - 1)))
+    one = one.select(*values, "_i", "_j", F.when(F.size("members") > CHUNK, cut(F.col("_i"))).otherwise(F.col("members")).alias("_x"), F.when(F.size("members") > CHUNK, cut(F.col("_j"))).otherwise(F.col("members")).alias("_y"))
+    several = one.where("_j > 0").repartition("_i", "_j", F.xxhash64(F.get("_x", F.lit(0))))
+    pairs = one.where("_j = 0").unionByName(several)
+    pairs = pairs.select(*values, "_i", "_j", F.posexplode("_x").alias("_p", "x"), "_y")
+    after = F.when(F.col("_i") == F.col("_j"), F.slice("_y", F.col("_p") + 2, F.greatest(F.size("_y") - F.col("_p") - 1, F.lit(0)))).otherwise(F.col("_y"))
+    return pairs.select(*values, "x", F.explode(after).alias("y")).where(wanted)
+
+
+def nearest_sketches(sketch: DataFrame, size: int = 3000, top: int = 5) -> DataFrame:
+    """genome_id, place, other, jaccard: the top nearest genomes of every genome, of those that share a sketched k-mer; ties by other, at nine places.
+
+    Genomes of equal sketches are one until the end. k-mers that the same sketches hold are one posting list with a weight, so a passage that many genomes share
+    pairs them once and not once a k-mer. Two sketches of at most size k-mers together have the Jaccard index of whole sets; for others the shared k-mers
+    are put in order, and one counts if its rank in the union (its ranks in both less the shared ones up to it) is at most size.
+    """
+    held = sketch.groupBy("genome_id").agg(F.array_sort(F.collect_list("kmer")).alias("kmers"))  # size k-mers at most
+    held = settled(held.select("genome_id", "kmers", F.xxhash64("kmers").alias("h"), F.xxhash64(F.lit(1), "kmers").alias("h2"), F.size("kmers").alias("n")))
+    groups = held.groupBy("h", "h2", "n").agg(F.min("genome_id").alias("rep"))
+    of = settled(held.select("genome_id", "h", "h2", "n").join(groups, ["h", "h2", "n"]).select("genome_id", "rep"))
+    reps = held.join(of.where("genome_id = rep").select("genome_id"), "genome_id")
+    posted = reps.select(F.col("genome_id").alias("rep"), "n", F.posexplode("kmers").alias("rank", "kmer"))
+    member = F.struct("rep", "n", (F.col("rank") + 1).alias("rank"))
+    lists = settled(posted.groupBy("kmer").agg(F.array_sort(F.collect_list(member)).alias("members")).where("size(members) > 1"))
+    whole = F.col("x.n") + F.col("y.n") <= size
+    plain = lists.select(F.transform("members", lambda m: F.struct(m["rep"].alias("rep"), m["n"].alias("n"))).alias("members"))
+    plain = settled(plain.groupBy(F.xxhash64("members").alias("h"), F.xxhash64(F.lit(1), "members").alias("h2")).agg(F.first("members").alias("members"), F.count(F.lit(1)).alias("m")))
+    short = paired(plain, whole, "m").groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.sum("m").alias("s"), F.first(F.col("x.n") + F.col("y.n")).alias("n"))
+    short = short.select("a", "b", (F.col("s") / (F.col("n") - F.col("s"))).alias("jaccard"))
+    # of sketches that may reach beyond the size least of their union
+    long = paired(lists, ~whole, "kmer").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), "kmer", (F.col("x.rank") + F.col("y.rank")).alias("r"), (F.col("x.n") + F.col("y.n")).alias("n"))
+    long = long.groupBy("a", "b").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("kmer", "r"))).alias("shared"))
+    kept = F.size(F.filter("shared", lambda s, i: s["r"] - i - 1 <= size))
+    long = long.select("a", "b", (kept / F.least(F.lit(size), F.col("n") - F.size("shared"))).alias("jaccard"))
+    found = settled(short.unionByName(long))
+    both = found.select(F.col("a").alias("rep"), F.col("b").alias("with"), "jaccard").union(found.select("b", "a", "jaccard"))
+    order = [F.round("jaccard", 9).desc(), "with"]
+    both = both.withColumn("_p", F.row_number().over(Window.partitionBy("rep").orderBy(*order))).where(F.col("_p") <= top).drop("_p")
+    # the first genomes of each equal sketch, of which one may be the genome itself; a group of equals is numbered where it is larger than that
+    first = settled(of.withColumn("_p", F.row_number().over(Window.partitionBy("rep").orderBy("genome_id"))).where(F.col("_p") <= top + 1).drop("_p").withColumnRenamed("genome_id", "other"))
+    near = both.join(first.withColumnRenamed("rep", "with"), "with").select("rep", "other", "jaccard")
+    copies = first.select("rep", "other", F.lit(1.0).alias("jaccard"))
+    best = near.withColumn("_p", F.row_number().over(Window.partitionBy("rep").orderBy(F.round("jaccard", 9).desc(), "other"))).where(F.col("_p") <= top).drop("_p")
+    best = best.union(copies).groupBy("rep").agg(F.collect_list(F.struct((-F.round("jaccard", 9)).alias("far"), "other", "jaccard")).alias("near"))  # 2 x top + 1 at most
+    own = F.slice(F.array_sort(F.filter("near", lambda x: x["other"] != F.col("genome_id"))), 1, top)
+    placed = of.join(best, "rep").select("genome_id", F.posexplode(own).alias("place", "x"))
+    return placed.select("genome_id", (F.col("place") + 1).alias("place"), F.col("x.other").alias("other"), F.col("x.jaccard").alias("jaccard"))
+
+
 def within_lineages(genomes: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """lineage, n_r, n_s, mean_r, mean_s, separates: mean wanted k-mers carried by R and S genomes of each lineage; separates: R over 1.5 S + 1."""
     own = genome_kmers(genomes, k).join(wanted_side(wanted), "kmer", "left_semi").groupBy("genome_id").agg(F.count(F.lit(1)).alias("n"))
