@@ -189,6 +189,57 @@ def sketch_similarity(sketch: DataFrame, size: int = 3000, zero: bool = True) ->
     return dealt.groupBy("p", "q").applyInArrow(compared, shape)
 
 
+def sketch_lists(genomes: DataFrame, k: int, size: int = 3000, seq: str = "seq") -> DataFrame:
+    """genome_id, kmers: the size least k-mers of each genome (either strand), ascending; genomes of one row, where none has two, leave their tasks with no shuffle."""
+    shape = T.StructType([genomes.schema["genome_id"], *T.StructType.fromDDL("kmers array<bigint>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part, found = batch.slice(at, 64), []
+                for text in part.column("_seq").to_pylist():
+                    raw = np.frombuffer((text or "").encode(), np.uint8)
+                    s, bad = CODES[raw], np.r_[0, np.cumsum(~LETTER[raw])]
+                    whole = np.flatnonzero(bad[k:] == bad[: len(bad) - k]) if len(s) >= k else np.zeros(0, np.int64)
+                    found.append(np.unique(np.r_[packed_kmers(s, k)[whole], packed_kmers((3 - s)[::-1], k)[::-1][whole]])[:size])
+                ends = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("genome_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], shape.names)
+
+    rows = genomes.select("genome_id", F.col(seq).alias("_seq")).mapInArrow(run, shape)
+    several = genomes.groupBy("genome_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not several.isEmpty():
+        rows = rows.groupBy("genome_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("kmers")))), 1, size).alias("kmers"))
+    return rows.where("size(kmers) > 0")
+
+
+#: Rows of a bucket of k-mers that a task puts in order.
+BUCKET_ROWS = 400_000
+
+
+def posting_lists(reps: DataFrame) -> DataFrame:
+    """kmer, members (rep, n, rank; by rep) of the k-mers that two of the sketches (rep, n, kmers) or more hold. k-mers are dealt to buckets by a hash; few are
+    held twice, so a bucket is sorted as arrays and the others end there."""
+    kind = reps.schema["rep"].dataType
+    buckets = max(1, int((reps.agg(F.sum("n")).first()[0] or 0) // BUCKET_ROWS))
+    posted = reps.select("rep", "n", F.posexplode("kmers").alias("rank", "kmer")).withColumn("bucket", F.pmod(F.xxhash64("kmer"), F.lit(buckets)).cast("int"))
+    member = T.StructType([T.StructField("rep", kind), *T.StructType.fromDDL("n int, rank int").fields])
+
+    def ordered(group: pa.Table) -> pa.Table:
+        kmer = group.column("kmer").to_numpy()
+        order = np.argsort(kmer, kind="stable")
+        new = np.r_[True, np.diff(kmer[order]) != 0]
+        many = np.diff(np.r_[np.flatnonzero(new), len(order)])
+        order = order[np.repeat(many > 1, many)]
+        part = group.take(pa.array(order)).sort_by([("kmer", "ascending"), ("rep", "ascending")]).combine_chunks()
+        ends = np.r_[0, np.cumsum(many[many > 1])].astype(np.int32)
+        flat = [part.column(c).combine_chunks() if part.num_rows else pa.array([], group.schema.field(c).type) for c in ("kmer", "rep", "n", "rank")]
+        rank = pa.array(flat[3].to_numpy(zero_copy_only=False).astype(np.int32) + np.int32(1), pa.int32())
+        members = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([flat[1], flat[2], rank], ["rep", "n", "rank"]))
+        return pa.Table.from_arrays([flat[0].take(pa.array(ends[:-1])), members], ["kmer", "members"])
+
+    return posted.groupBy("bucket").applyInArrow(ordered, T.StructType([T.StructField("kmer", T.LongType()), T.StructField("members", T.ArrayType(member))]))
+
+
 #: Sketches of a posting list that a task pairs with as many others.
 CHUNK = 256
 
@@ -207,21 +258,18 @@ def paired(lists: DataFrame, wanted: Column, *values: str) -> DataFrame:
     return pairs.select(*values, "x", F.explode(after).alias("y")).where(wanted)
 
 
-def nearest_sketches(sketch: DataFrame, size: int = 3000, top: int = 5) -> DataFrame:
-    """genome_id, place, other, jaccard: the top nearest genomes of every genome, of those that share a sketched k-mer; ties by other, at nine places.
+def nearest_sketches(held: DataFrame, size: int = 3000, top: int = 5) -> DataFrame:
+    """genome_id, place, other, jaccard: the top nearest genomes of every genome by sketches (genome_id, kmers), of those that share a k-mer; ties by other, at nine places.
 
     Genomes of equal sketches are one until the end. k-mers that the same sketches hold are one posting list with a weight, so a passage that many genomes share
     pairs them once and not once a k-mer. Two sketches of at most size k-mers together have the Jaccard index of whole sets; for others the shared k-mers
     are put in order, and one counts if its rank in the union (its ranks in both less the shared ones up to it) is at most size.
     """
-    held = sketch.groupBy("genome_id").agg(F.array_sort(F.collect_list("kmer")).alias("kmers"))  # size k-mers at most
     held = settled(held.select("genome_id", "kmers", F.xxhash64("kmers").alias("h"), F.xxhash64(F.lit(1), "kmers").alias("h2"), F.size("kmers").alias("n")))
     groups = held.groupBy("h", "h2", "n").agg(F.min("genome_id").alias("rep"))
     of = settled(held.select("genome_id", "h", "h2", "n").join(groups, ["h", "h2", "n"]).select("genome_id", "rep"))
     reps = held.join(of.where("genome_id = rep").select("genome_id"), "genome_id")
-    posted = reps.select(F.col("genome_id").alias("rep"), "n", F.posexplode("kmers").alias("rank", "kmer"))
-    member = F.struct("rep", "n", (F.col("rank") + 1).alias("rank"))
-    lists = settled(posted.groupBy("kmer").agg(F.array_sort(F.collect_list(member)).alias("members")).where("size(members) > 1"))
+    lists = settled(posting_lists(reps.select(F.col("genome_id").alias("rep"), "n", "kmers")))
     whole = F.col("x.n") + F.col("y.n") <= size
     plain = lists.select(F.transform("members", lambda m: F.struct(m["rep"].alias("rep"), m["n"].alias("n"))).alias("members"))
     plain = settled(plain.groupBy(F.xxhash64("members").alias("h"), F.xxhash64(F.lit(1), "members").alias("h2")).agg(F.first("members").alias("members"), F.count(F.lit(1)).alias("m")))
