@@ -50,7 +50,7 @@ class Fit:
         """The model's rows (with its features) and their labels, and their nearest centres (a column a start) at what squared distances."""
         model, centres = self.models[m], self.centres[m]
         if model.labels is not None:
-            some = np.isin(labels, model.labels)
+            some = np.logical_or.reduce([labels == x for x in model.labels])
             x, labels = x[some], labels[some]
         if model.without is not None:
             x = x.copy()
@@ -70,6 +70,12 @@ def slabs(batches: Iterator[pa.RecordBatch], rows: int = 2048) -> Iterator[tuple
             yield np.array(part.column("z").to_pylist(), np.float64).reshape(part.num_rows, -1), np.array(part.column("label").to_pylist(), object)
 
 
+def summed(x: np.ndarray, who: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
+    """Of each of k centres the sum of its rows, their number and the sum of their distances, as one product."""
+    of = (who == np.arange(k)[:, None]).astype(np.float64)
+    return np.c_[of @ x, of.sum(axis=1), of @ dist]
+
+
 def moved(data: DataFrame, fit: Fit) -> tuple[list[np.ndarray], np.ndarray]:
     """The means of the centres' rows, and the models' costs by start under the centres as they were. A row a model, start and centre leaves a task, and one comes to the driver."""
     size = next(c.shape[2] for c in fit.centres if c.size)
@@ -80,7 +86,7 @@ def moved(data: DataFrame, fit: Fit) -> tuple[list[np.ndarray], np.ndarray]:
             for m in range(len(fit.models)):
                 own, _, who, dist = fit.given(m, x, labels)
                 for s in range(who.shape[1]):
-                    np.add.at(sums[m][s], who[:, s], np.c_[own, np.ones(len(own)), dist[:, s]])
+                    sums[m][s] += summed(own, who[:, s], dist[:, s], sums[m].shape[1])
         for m, part in enumerate(sums):
             s, c = np.nonzero(part[:, :, size])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), m, np.int32)), pa.array(s.astype(np.int32)), pa.array(c.astype(np.int32)), *(pa.array(part[s, c, i]) for i in range(size + 2))], ["model", "start", "centre", *(f"v{i}" for i in range(size + 2))])
