@@ -54,7 +54,8 @@ def packed(sequences: DataFrame, seq: str = "seq") -> DataFrame:
 
 def places_of(flat: np.ndarray, a: int, b: int) -> np.ndarray:
     """Where a merge of a and b takes place, from the left: of a run of one symbol every second place."""
-    at = np.flatnonzero((flat[:-1] == a) & (flat[1:] == b))
+    at = np.flatnonzero(flat[:-1] == a)
+    at = at[flat[at + 1] == b]
     if a == b and len(at):
         run = np.r_[0, np.flatnonzero(np.diff(at) != 1) + 1]
         at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.r_[run, len(at)]))) % 2 == 0]
@@ -63,30 +64,88 @@ def places_of(flat: np.ndarray, a: int, b: int) -> np.ndarray:
 
 def merged(flat: np.ndarray, a: int, b: int, made: int) -> tuple[np.ndarray, np.ndarray]:
     """flat with the pair merged, and where the new symbols stand."""
-    at = places_of(flat, a, b)
+    return merged_at(flat, places_of(flat, a, b), made)
+
+
+def merged_at(flat: np.ndarray, at: np.ndarray, made: int) -> tuple[np.ndarray, np.ndarray]:
+    """As merged, at the places that are known already."""
     if not len(at):
         return flat, at
-    out = flat.copy()
-    out[at] = made
-    return np.delete(out, at + 1), at - np.arange(len(at))
+    kept = np.ones(len(flat), bool)
+    kept[at + 1] = False
+    out, stands = flat[kept], at - np.arange(len(at))
+    out[stands] = made
+    return out, stands
+
+
+#: Symbols in use up to which pairs are counted in a table of symbols by symbols, and places of a merge from which on it pays.
+DENSE, MANY = 2048, 64
+
+
+def numbered(flat: np.ndarray, more: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols in use and more, ascending from 0, and flat by their numbers among them."""
+    seen = np.zeros(max(int(flat.max(initial=0)), *more, 0) + 1, bool)
+    seen[flat] = seen[more] = seen[0] = True
+    which = np.flatnonzero(seen)
+    place = np.zeros(len(seen), np.uint16 if len(which) < 1 << 16 else np.int32)
+    place[which] = np.arange(len(which))
+    return which, place[flat]
 
 
-def codes_of(flat: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
-    """Neighbours at the places as one number, without those of a sequence's end."""
-    a, b = flat[:-1][at].astype(np.int64), flat[1:][at].astype(np.int64)
-    return ((a << 32) | b)[(a > 0) & (b > 0)]
+def cells_of(flat: np.ndarray, size: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Neighbours at the places as one number, symbols being numbers below size."""
+    cells = flat[:-1][at].astype(np.int64)
+    cells *= size
+    cells += flat[1:][at]
+    return cells
 
 
-def change_of(flat: np.ndarray, a: int, b: int, made: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """flat after the merge, and the pairs whose counts it changes, with by how much: only pairs at its places are looked at."""
+def between(cells: np.ndarray, size: int) -> np.ndarray:
+    """Whether a cell is a pair of symbols, neither of them the end of a sequence."""
+    return (cells >= size) & (cells % size > 0)
+
+
+def pairs_of(flat: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cells of the pairs of neighbours, ascending, with their first places and how often they are met."""
+    cells = cells_of(flat, size)
+    if size <= DENSE:
+        n, first = np.bincount(cells, minlength=size * size), np.zeros(size * size, np.int64)
+        first[cells[::-1]] = np.arange(len(cells))[::-1]  # of a cell that is met again the last assignment stays, which is its first place
+        cells = np.flatnonzero(n)
+        at, n = first[cells], n[cells]
+    else:
+        cells, at, n = np.unique(cells, return_index=True, return_counts=True)
+    some = between(cells, size)
+    return cells[some], at[some], n[some]
+
+
+def change_of(flat: np.ndarray, a: int, b: int, made: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """flat after the merge, and the cells whose counts it changes, with by how much: only pairs at its places are looked at."""
     at = places_of(flat, a, b)
-    new, stands = merged(flat, a, b, made)
-    beside = lambda x, width, n: np.unique(np.clip(np.concatenate([x + w for w in width]), 0, n - 2)) if len(x) else x
-    old_codes = codes_of(flat, beside(at, (-1, 0, 1), len(flat)))
-    new_codes = codes_of(new, beside(stands, (-1, 0), len(new)))
-    codes, where = np.unique(np.r_[old_codes, new_codes], return_inverse=True)
-    n = np.bincount(where[len(old_codes) :], minlength=len(codes)) - np.bincount(where[: len(old_codes)], minlength=len(codes))
-    return new, codes[n != 0], n[n != 0]
+    if not len(at):
+        return flat, at, at
+    new, stands = merged_at(flat, at, made)
+    table = size <= DENSE and len(at) >= MANY
+
+    def beside(x: np.ndarray, width: tuple[int, ...], n: int) -> np.ndarray:
+        if not table:
+            return np.unique(np.clip(np.concatenate([x + w for w in width]), 0, n - 2))
+        near = np.zeros(n + 2, bool)
+        for w in width:
+            near[x + w + 1] = True
+        return np.flatnonzero(near[1:n])
+
+    old_cells = cells_of(flat, size, beside(at, (-1, 0, 1), len(flat)))
+    new_cells = cells_of(new, size, beside(stands, (-1, 0), len(new))) if len(new) > 1 else at[:0]
+    if table:
+        n = np.bincount(new_cells, minlength=size * size) - np.bincount(old_cells, minlength=size * size)
+        cells = np.flatnonzero(n)
+        n = n[cells]
+    else:
+        cells, where = np.unique(np.r_[old_cells, new_cells], return_inverse=True)
+        n = np.bincount(where[len(old_cells) :], minlength=len(cells)) - np.bincount(where[: len(old_cells)], minlength=len(cells))
+    some = between(cells, size) & (n != 0)
+    return new, cells[some], n[some]
 
 
 class Counts:
@@ -123,35 +182,85 @@ class Counts:
         return self.codes[values == values.max()] if values.max() > 0 else self.codes[:0]
 
 
-def pass_over(blocks: DataFrame, pending: list[tuple[int, int, int]], plan: list[tuple[int, int, int]], sizes: dict[int, int]) -> tuple[Counts, dict, list[tuple]]:
-    """Counts and first places (sequence, letter) of all pairs after the pending merges, and the changes of counts by each merge of the plan after these."""
+def earliest(codes: np.ndarray, ids: np.ndarray, pos: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each pair once, ascending, with its least (id, place) and the sum of n."""
+    order = np.lexsort((pos, ids, codes))
+    codes = codes[order]
+    begin = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    return codes[begin], ids[order][begin], pos[order][begin], np.add.reduceat(n[order], begin)
+
+
+#: Rows of pairs that a task holds before it sums them up.
+PAIRS_HELD = 1 << 18
+
+
+def pairs_by_task(blocks: DataFrame, pending: list[tuple[int, int, int]], plan: list[tuple[int, int, int]], sizes: dict[int, int]) -> DataFrame:
+    """step, pair, n, seq_id, pos: counts and first places of the pairs after the pending merges (step 0), and the changes of counts by each merge of the plan (1, 2, ...).
+    A task sums up its blocks, so a row a pair (and step) leaves it; only where ids are no whole numbers, or some are null, does a block's first places leave by themselves."""
     kind = blocks.schema["ids"].dataType.elementType
+    whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
     shape = T.StructType([T.StructField("step", T.IntegerType()), T.StructField("pair", T.LongType()), T.StructField("n", T.LongType()), T.StructField("seq_id", kind), T.StructField("pos", T.LongType())])
 
+    known = sorted({x for m in (*pending, *plan) for x in m})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        moved: dict[int, list[tuple]] = defaultdict(list)
+        rows = more = 0
+        named = pa.int64()
+
+        def row(step: int, codes: np.ndarray, n: np.ndarray, ids: pa.Array | None = None, pos: np.ndarray | None = None) -> pa.RecordBatch:
+            size = len(codes)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(size, step, np.int32)), pa.array(codes), pa.array(n), pa.nulls(size, named) if ids is None else ids, pa.nulls(size, pa.int64()) if pos is None else pa.array(pos)], shape.names)
+
+        def summed(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+            codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            return codes, np.bincount(at, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
+
         for batch in batches:
             for ids, raw in zip(batch.column("ids"), batch.column("flat"), strict=True):
-                flat = np.frombuffer(raw.as_buffer(), np.int32)
-                for m in pending:
+                which, flat = numbered(np.frombuffer(raw.as_buffer(), np.int32), known)
+                size, named = len(which), ids.values.type
+                steps = [tuple(m) for m in np.searchsorted(which, np.array([*pending, *plan], np.int64).reshape(-1, 3)).tolist()]
+                coded = lambda cells: (which[cells // size] << 32) | which[cells % size]  # noqa: B023, E731
+                for m in steps[: len(pending)]:
                     flat, _ = merged(flat, *m)
-                a, b = flat[:-1].astype(np.int64), flat[1:].astype(np.int64)
-                starts = np.flatnonzero((a > 0) & (b > 0))
-                codes, at, n = np.unique((a[starts] << 32) | b[starts], return_index=True, return_counts=True)
-                spot = starts[at]
-                which, size = np.unique(flat, return_inverse=True)
-                letters = np.r_[0, np.cumsum(np.array([0 if x == 0 else sizes.get(x, 1) for x in which.tolist()])[size])]
+                cells, spot, n = pairs_of(flat, size)
+                codes = coded(cells)
+                letters = np.r_[0, np.cumsum(np.array([0 if x == 0 else sizes.get(x, 1) for x in which.tolist()], np.int64)[flat])]
                 ends = np.flatnonzero(flat == 0)
                 of = np.searchsorted(ends, spot)
                 begin = np.r_[0, ends + 1][of]
-                rows = [(np.zeros(len(codes), np.int32), codes, n, ids.values.take(pa.array(of)), pa.array(letters[spot] - letters[begin]))]
-                for step, m in enumerate(plan, 1):
-                    flat, codes, n = change_of(flat, *m)
-                    rows.append((np.full(len(codes), step, np.int32), codes, n, pa.nulls(len(codes), ids.values.type), pa.nulls(len(codes), pa.int64())))
-                for row in rows:
-                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in row], shape.names)
+                pos = letters[spot] - letters[begin]
+                if whole and not ids.values.null_count:
+                    held.append((codes, ids.values.to_numpy().astype(np.int64)[of], pos, n))
+                    rows += len(codes)
+                    if rows > PAIRS_HELD and len(held) > 1:
+                        held = [earliest(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                        rows = 0  # what is summed up already counts anew, so the work stays linear
+                else:
+                    yield row(0, codes, n, ids.values.take(pa.array(of)), pos)
+                for step, m in enumerate(steps[len(pending) :], 1):
+                    flat, cells, n = change_of(flat, *m, size)
+                    if len(cells):
+                        moved[step].append((coded(cells), n))
+                        more += len(cells)
+                if more > PAIRS_HELD:
+                    moved = defaultdict(list, {step: [summed(parts)] for step, parts in moved.items()})
+                    more = 0
+        if held:
+            codes, ids, pos, n = earliest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield row(0, codes, n, pa.array(ids).cast(named), pos)
+        for step, parts in moved.items():
+            yield row(step, *summed(parts))
+
+    return blocks.mapInArrow(run, shape)
 
+
+def pass_over(blocks: DataFrame, pending: list[tuple[int, int, int]], plan: list[tuple[int, int, int]], sizes: dict[int, int]) -> tuple[Counts, dict, list[tuple]]:
+    """Counts and first places (sequence, letter) of all pairs after the pending merges, and the changes of counts by each merge of the plan after these."""
     first = F.min(F.when(F.col("pos").isNotNull(), F.struct("seq_id", "pos")))
-    found = blocks.mapInArrow(run, shape).groupBy("step", "pair").agg(F.sum("n").alias("n"), first.alias("first")).where("n <> 0").toArrow().combine_chunks()
+    found = pairs_by_task(blocks, pending, plan, sizes).groupBy("step", "pair").agg(F.sum("n").alias("n"), first.alias("first")).where("n <> 0").toArrow().combine_chunks()
     step, pair, n = (found.column(c).to_numpy() for c in ("step", "pair", "n"))
     base = np.flatnonzero(step == 0)
     at = dict(zip(pair[base].tolist(), base.tolist(), strict=True))
