@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from strandflow.functions import sequence as S
 from strandflow.operators import evaluate
 from strandflow.operators.cohort import gene_carriage
 from strandflow.operators.evaluate import percentile_rank
-from strandflow.operators.measures import measured
+from strandflow.operators.measures import CODES, measured, plain_entropy
 from strandflow.operators.pieces import contig_lengths, running_sums, windows
 from strandflow.plans.session import settled
 
@@ -42,20 +43,27 @@ def soft_fusion(rows: DataFrame, order: str = "start") -> DataFrame:
     return rows.withColumn("fused", ((1.0 - F.col("weight")) * pct("composite") + F.col("weight") * pct("structural")) * 3.0)
 
 
+def orders(s: np.ndarray) -> np.ndarray:
+    """How each three neighbours of an array of codes lie: 4 if the first is over the second, plus 2 if that is over the third, plus 1 if the first is."""
+    return (s[:-2] > s[1:-1]) * 4 + (s[1:-1] > s[2:]) * 2 + (s[:-2] > s[2:])
+
+
 def structural_distance(rows: DataFrame, level: int = 6) -> DataFrame:
-    """rows (seq) with structural: how much worse than its contig's mean a window compresses, plus the same of its permutation entropy.
+    """rows with structural in the place of seq: how much worse than its contig's mean a window compresses, plus the same of its permutation entropy.
 
     An own default of the structural channel, not comparable with that of other tools; any column named structural can take its place.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ratio = [len(zlib.compress(s.encode(), level)) / max(1, len(s)) for s in batch.column("seq").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ratio, pa.float64())], [*batch.schema.names, "_ratio"])
-
-    s = S.codes(F.col("seq"))
-    order = lambda c: F.transform(S.steps(0, F.size(c) - 2), lambda i: (F.get(c, i) > F.get(c, i + 1)).cast("int") * 4 + (F.get(c, i + 1) > F.get(c, i + 2)).cast("int") * 2 + (F.get(c, i) > F.get(c, i + 2)).cast("int"))
-    rows = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_ratio", T.DoubleType())])).withColumn("_perm", S.entropy(S.counts(S.let(s, order))))
+            texts = [s.encode() for s in batch.column("seq").to_pylist()]
+            ratio = [len(zlib.compress(s, level)) / max(1, len(s)) for s in texts]
+            perm = [plain_entropy(np.bincount(orders(CODES[np.frombuffer(s, np.uint8)]))) for s in texts]
+            columns = [*batch.select(kept).columns, pa.array(ratio, pa.float64()), pa.array(perm, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "_ratio", "_perm"])
+
+    kept = [c for c in rows.columns if c != "seq"]
+    rows = rows.mapInArrow(run, T.StructType([*rows.drop("seq").schema.fields, T.StructField("_ratio", T.DoubleType()), T.StructField("_perm", T.DoubleType())]))
     mean = lambda c: F.avg(c).over(Window.partitionBy("contig_id"))
     return rows.withColumn("structural", F.abs(F.col("_ratio") - mean("_ratio")) + F.abs(F.col("_perm") - mean("_perm"))).drop("_ratio", "_perm")
 
