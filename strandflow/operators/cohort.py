@@ -131,6 +131,8 @@ def residual(wanted: DataFrame, genes: DataFrame, k: int) -> DataFrame:
 
 def sketches(genomes: DataFrame, k: int, size: int = 3000, hashed: bool = False, keep: list[str] | None = None) -> DataFrame:
     """genome_id, rank, kmer: the size least k-mers of each genome, as they are or (hashed) by xxhash64."""
+    if not hashed and not keep:
+        return sketch_lists(genomes, k, size).select("genome_id", F.posexplode("kmers").alias("rank", "kmer")).withColumn("rank", F.col("rank") + 1)
     value = F.xxhash64("kmer") if hashed else F.col("kmer")
     rows = genome_kmers(genomes, k, keep=keep).withColumn("kmer", value).distinct()
     rank = F.row_number().over(Window.partitionBy("genome_id").orderBy("kmer"))
@@ -149,8 +151,8 @@ def sketch_similarity(sketch: DataFrame, size: int = 3000, zero: bool = True) ->
     many have it. The rank in the union of a k-mer that both have is its rank in a plus its rank in b less the number of shared ones up to it.
     """
     kind = sketch.schema["genome_id"].dataType
-    held = sketch.groupBy("genome_id").agg(F.array_sort(F.collect_list("kmer")).alias("kmers"))  # size k-mers at most
-    blocks = max(1, -(-sketch.select("genome_id").distinct().count() // BLOCK_GENOMES))
+    held = settled(sketch.groupBy("genome_id").agg(F.array_sort(F.collect_list("kmer")).alias("kmers")))  # size k-mers at most
+    blocks = max(1, -(-held.count() // BLOCK_GENOMES))
     dealt = held.withColumn("block", F.pmod(F.xxhash64("genome_id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     dealt = dealt.select("genome_id", "kmers", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
     shape = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("jaccard", T.DoubleType())])
@@ -189,27 +191,65 @@ def sketch_similarity(sketch: DataFrame, size: int = 3000, zero: bool = True) ->
     return dealt.groupBy("p", "q").applyInArrow(compared, shape)
 
 
+#: Least k-mers that a task holds of its genomes together before they leave it, and letters that it codes at a time (a longer row by itself).
+HELD_KMERS, LETTERS_AT_A_TIME = 1 << 20, 1 << 18
+#: Parts that the lists of a genome of several rows are put together by, before they are put together.
+MERGE_PARTS = 16
+
+
 def sketch_lists(genomes: DataFrame, k: int, size: int = 3000, seq: str = "seq") -> DataFrame:
-    """genome_id, kmers: the size least k-mers of each genome (either strand), ascending; genomes of one row, where none has two, leave their tasks with no shuffle."""
+    """genome_id, kmers: the size least k-mers of each genome (either strand), ascending; genomes of one row, where none has two, leave their tasks with no shuffle.
+
+    A task keeps the size least k-mers of each genome over all its rows, so of a genome of any length a list a task is shuffled and never its k-mers.
+    """
     shape = T.StructType([genomes.schema["genome_id"], *T.StructType.fromDDL("kmers array<bigint>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        kind, top = None, np.iinfo(np.int64).max
+
+        def out() -> pa.RecordBatch:
+            ends = np.r_[0, np.cumsum([len(x) for x in held.values()])].astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int64), *held.values()])
+            return pa.RecordBatch.from_arrays([pa.array(list(held), kind), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], shape.names)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part, found = batch.slice(at, 64), []
-                for text in part.column("_seq").to_pylist():
-                    raw = np.frombuffer((text or "").encode(), np.uint8)
-                    s, bad = CODES[raw], np.r_[0, np.cumsum(~LETTER[raw])]
-                    whole = np.flatnonzero(bad[k:] == bad[: len(bad) - k]) if len(s) >= k else np.zeros(0, np.int64)
-                    found.append(np.unique(np.r_[packed_kmers(s, k)[whole], packed_kmers((3 - s)[::-1], k)[::-1][whole]])[:size])
-                ends = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("genome_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))], shape.names)
+            kind = batch.schema.field("genome_id").type
+            texts = [(t or "").encode() for t in batch.column("_seq").to_pylist()]
+            ids, at = batch.column("genome_id").to_pylist(), 0
+            while at < len(texts):
+                until, letters = at, 0
+                while until < len(texts) and (until == at or letters + len(texts[until]) <= LETTERS_AT_A_TIME):
+                    letters += len(texts[until]) + 1
+                    until += 1
+                raw = np.frombuffer(b"\n".join(texts[at:until]), np.uint8)  # no k-mer lies across a line feed
+                names = {g: i for i, g in enumerate(dict.fromkeys(ids[at:until]))}
+                genome = np.repeat([names[g] for g in ids[at:until]], [len(t) + 1 for t in texts[at:until]])
+                s, bad = CODES[raw], np.r_[0, np.cumsum(~LETTER[raw])]
+                whole = np.flatnonzero(bad[k:] == bad[: len(bad) - k]) if len(s) >= k else np.zeros(0, np.int64)
+                kmers = np.r_[packed_kmers(s, k)[whole], packed_kmers((3 - s)[::-1], k)[::-1][whole]]
+                owner = np.r_[genome[whole], genome[whole]]
+                most = np.array([held[g][-1] if len(held.get(g, ())) >= size else top for g in names])
+                some = kmers < most[owner]
+                kmers, owner = kmers[some], owner[some]
+                order = np.argsort(owner, kind="stable")
+                kmers, ends = kmers[order], np.searchsorted(owner[order], np.arange(len(names) + 1))
+                for g, i in names.items():
+                    if ends[i] < ends[i + 1]:
+                        held[g] = np.unique(np.r_[held.get(g, np.zeros(0, np.int64)), kmers[ends[i] : ends[i + 1]]])[:size]
+                at = until
+                if sum(map(len, held.values())) > HELD_KMERS:
+                    yield out()
+                    held.clear()
+        if held:
+            yield out()
 
     rows = genomes.select("genome_id", F.col(seq).alias("_seq")).mapInArrow(run, shape)
     several = genomes.groupBy("genome_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not several.isEmpty():
-        rows = rows.groupBy("genome_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("kmers")))), 1, size).alias("kmers"))
-    return rows.where("size(kmers) > 0")
+    if several.isEmpty():
+        return rows
+    least = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("kmers")))), 1, size).alias("kmers")
+    return rows.groupBy("genome_id", (F.spark_partition_id() % MERGE_PARTS).alias("_part")).agg(least).groupBy("genome_id").agg(least)
 
 
 #: Rows of a bucket of k-mers that a task puts in order.
