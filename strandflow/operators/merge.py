@@ -186,7 +186,7 @@ def earliest(codes: np.ndarray, ids: np.ndarray, pos: np.ndarray, n: np.ndarray)
     """Each pair once, ascending, with its least (id, place) and the sum of n."""
     order = np.lexsort((pos, ids, codes))
     codes = codes[order]
-    begin = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+    begin = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]][: len(codes)])  # none of a task whose blocks have no pairs
     return codes[begin], ids[order][begin], pos[order][begin], np.add.reduceat(n[order], begin)
 
 
